@@ -132,11 +132,11 @@ def meet(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes, list[
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
 
-def meet_some(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes, list[bytes]], pa.Table]) -> DataFrame:
-    """As meet(), giving messages, for the blocks alone that have a reply."""
+def meet_some(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes, list[bytes]], pa.Table], always: bool = False) -> DataFrame:
+    """As meet(), giving messages; without always, for the blocks alone that have a reply."""
 
     def some(block, payload, bodies):
-        return use(block, payload, bodies) if bodies else pa.Table.from_batches([messages([])])
+        return use(block, payload, bodies) if bodies or always else pa.Table.from_batches([messages([])])
 
     return meet(blocks, replies, some, MESSAGE_SCHEMA)
 
