@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from loomwright.llm.bpe import op4_byte_bpe
+from loomwright.llm.packing import op9_packing
 from loomwright.llm.substring_dedup import op2_substring_dedup
+from loomwright.llm.suffix_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
