@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from loomwright.llm.bpe import op4_byte_bpe
+from loomwright.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from loomwright.llm.packing import op9_packing
+from loomwright.llm.quality_rules import OP10_SQL, op10_quality_rules
 from loomwright.llm.substring_dedup import op2_substring_dedup
 from loomwright.llm.suffix_dedup import op5_suffix_dedup
 
@@ -11,7 +13,12 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_exact_dedup": op7_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": OP7_SQL,
+    "op10_quality_rules": OP10_SQL,
+}
