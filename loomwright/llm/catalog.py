@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomwright.llm.bpe import op4_byte_bpe
 from loomwright.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from loomwright.llm.line_dedup import OP8_SQL, op8_line_dedup
 from loomwright.llm.packing import op9_packing
 from loomwright.llm.quality_rules import OP10_SQL, op10_quality_rules
 from loomwright.llm.substring_dedup import op2_substring_dedup
@@ -14,11 +15,13 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
 }
