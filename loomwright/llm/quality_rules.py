@@ -101,7 +101,9 @@ def _judged(docs: DataFrame, text_col: str) -> DataFrame:
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return measure(docs, text_col).withColumn("failed", failed.cast("long"))
+    judged = measure(docs, text_col).withColumn("failed", failed.cast("long"))
+    # A generator's output: a filter on it is not moved below the measurements, where each use would compute them anew.
+    return judged.select("doc", F.inline(F.array(F.struct(*MEASURES, "failed"))))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
