@@ -26,8 +26,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("norm"), F.spark_partition_id().alias("salt")).withColumn("digest", F.sha2("norm", 256))
     counts = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     single = counts.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    shared = settle(counts.where("n > 1").select("digest"), "shared-digests")  # read back, so that a join may split a hot digest's rows
-    local = rows.join(shared, "digest", "left_semi").groupBy("digest", "norm", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.collect_list("doc_id").alias("ids"))
+    # Read back, and joined by another spelling of the digest: then neither side's layout ties a hot digest's rows to one task.
+    shared = settle(counts.where("n > 1").select(F.reverse("digest").alias("key")), "shared-digests")
+    local = rows.withColumn("key", F.reverse("digest")).join(shared.hint("merge"), "key", "left_semi").groupBy("digest", "norm", "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.collect_list("doc_id").alias("ids"))
     same = Window.partitionBy("digest", "norm")
     merged = local.select("digest", F.min("least").over(same).alias("keep_id"), F.sum("n").over(same).alias("group_size"), "ids")
     members = merged.select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "digest")
