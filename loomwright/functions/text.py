@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 # The vocabularies and patterns that classify lines.
 DICE = r"\d{0,2}d(?:4|6|8|10|12|20)"
@@ -201,7 +202,7 @@ def html_escape(s: Column | str, quotes: bool = True) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, _col(s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(S.StringType())
 def _unescape(s):
     import html
 

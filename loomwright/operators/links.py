@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from loomwright.functions import text as T
@@ -21,7 +22,7 @@ SHAPES = (
     ("paren", re.compile(rf"\((?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})\)", re.I)),
     ("bare", re.compile(rf"(?<![\w/])(?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})(?![\w/])", re.I)),
 )
-FOUND = "array<struct<rule:string,start:int,stop:int,label:string,book:string,pages:string>>"
+FOUND = S.ArrayType(S.StructType([S.StructField(n, S.IntegerType() if n in ("start", "stop") else S.StringType()) for n in ("rule", "start", "stop", "label", "book", "pages")]))
 
 
 def references(text: str | None) -> list[dict]:

@@ -103,4 +103,4 @@ def title_index(articles: DataFrame) -> DataFrame:
 def dominant(df: DataFrame, key: list[str], kind: Column, weight: Column, order: Column) -> DataFrame:
     """The kind with the greatest total weight in each key; of equal ones the one seen first."""
     per = df.groupBy(*key, kind.alias("kind")).agg(F.sum(weight).alias("w"), F.min(order).alias("o"))
-    return per.groupBy(*key).agg(F.max_by("kind", F.struct("w", -F.col("o"))).alias("kind"))
+    return per.groupBy(*key).agg(F.max_by("kind", F.struct("w", -F.col("o"), "kind")).alias("kind"))

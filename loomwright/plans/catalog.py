@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomwright.plans import model_queries, text_queries
 
-
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+QUERIES = text_queries.QUERIES | model_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | model_queries.ORACLE_SQL
+FLAGSHIP = model_queries.search_top
