@@ -1,0 +1,268 @@
+import hashlib
+import random
+import re
+import zlib
+from pathlib import Path
+from sys import path as where
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+where.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from loomwright.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality_model, quality_rules, substring_dedup, suffix_dedup, toxicity  # noqa: E402
+from loomwright.llm import tokens as T  # noqa: E402
+
+
+def texts(seed=5, n=120):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        if i % 17 == 0:
+            t = None if i % 2 else ""
+        else:
+            kind = rng.random()
+            alphabet = ["a", "b", "c d", "e\tf"] if kind < 0.3 else [f"w{rng.randint(0, 400)}" for _ in range(200)]
+            t = "".join(rng.choice(alphabet) + rng.choice([" ", " ", " ", "\n", "  ", ". "]) for _ in range(rng.choice((1, 2, 19, 20, 21, 60, 300))))
+        out.append((i, t))
+    full = [t for _, t in out if t and len(t) > 150]
+    for i in range(n // 2):
+        w = rng.choice(full).split(" ")
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "edited"
+        out.append((1000 + i, " ".join(w)))
+    out.append((5000, "x" * 30_000 + " long word"))
+    out.append((5001, "long " * 20_000))
+    return out
+
+
+@pytest.fixture(scope="module")
+def sample():
+    return texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sample):
+    return brute.clashing(brute.documents(spark, sample)).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def by_id(df, *columns):
+    return {r.doc_id: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+def test_substring(docs, sample, empty):
+    got = by_id(substring_dedup.dedup_substrings(docs, block_bytes=4000), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring(sample)
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_substring_other_widths(spark, sample):
+    some = [r for r in sample if r[0] < 5000]
+    for width in (3, 7):
+        got = by_id(substring_dedup.dedup_substrings(brute.documents(spark, some), width=width, block_bytes=9000), "n_words", "n_removed", "kept_sha256")
+        assert got == brute.substring(some, width)
+
+
+def test_suffix(docs, sample, empty):
+    got = by_id(suffix_dedup.dedup_bytes(docs, block_bytes=9000), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.suffix(sample)
+    assert suffix_dedup.dedup_bytes(empty).count() == 0
+
+
+def test_lines(spark, docs, sample, empty):
+    rng = random.Random(9)
+    some = [(i, None if i % 11 == 0 else "".join(rng.choice(["a\n", "b\n", "c\n", "d e\n", "\n", " \n", "x"]) for _ in range(rng.choice((0, 1, 4, 9, 60))))) for i in range(80)]
+    for given, frame in ((some, brute.documents(spark, some)), (sample, docs)):
+        for least in (2, 3) if given is some else (3,):
+            df = line_dedup.dedup_lines(frame, min_lines=least).select("doc.doc_id", F.coalesce("kept_text", F.lit("")).alias("kept"))
+            assert {r.doc_id: r.kept for r in df.collect()} == brute.lines(given, least)
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_near(docs, sample, empty):
+    for size in (2, 5):
+        got = by_id(near_dedup.near_duplicates(docs, shingle=size), "n_shingles", "component_id")
+        assert got == brute.near(sample, size)
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_regions_of_any_size_keep_copies_together():
+    rng = np.random.default_rng(3)
+    labels = np.zeros((700, near_dedup.DEPTH), np.uint16)
+    labels[:, 5:] = rng.integers(0, 6, (700, 3))
+    order = np.lexsort(labels.T[::-1])
+    signs = np.tile(rng.integers(0, 16, 128).astype(np.uint8), (700, 1))
+    signs[rng.integers(0, 700, 700), rng.integers(0, 128, 700)] = 3
+    pairs = near_dedup.region_pairs(np.arange(700), labels[order], signs, 4)
+    assert len(pairs) < 700 * 6
+    root = list(range(700))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {find(i) for i in range(700)} == {0}
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i + 1, i) for i in range(40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(80)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e if find(x) != x}
+
+
+def test_bpe_round_trip(docs, sample, empty):
+    enc = T.rank_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = {r.doc_id: (r.ids, bytes(r.text_bytes)) for r in bpe.encode_and_decode(docs, block_bytes=9000).collect()}
+    assert got == {d: (enc.encode_ordinary(t or ""), (t or "").encode()) for d, t in sample}
+    digests = by_id(bpe.digests(docs), "n_tokens", "ids_sha256", "decoded_sha256")
+    for d, (ids, text) in got.items():
+        assert digests[d] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+    assert bpe.digests(empty).count() == 0
+
+
+@pytest.mark.parametrize(("length", "weights"), [(1024, None), (64, {"s0": 1, "s1": 5}), (50, {"s2": 0})])
+def test_packing(docs, sample, length, weights):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in sample}
+    rows = packing.pack(docs, length=length, weights=weights, window_sequences=4, block_bytes=9000).collect()
+    done = dict.fromkeys(ids, 0)
+    sequences: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == done[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        done[r.doc_id] += r.length
+        piece = np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()
+        assert r.ids_crc32 == zlib.crc32(piece) and bytes(r.ids) == piece
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert done == {d: len(x) for d, x in ids.items()}
+    sizes = []
+    for s in range(len(sequences)):
+        at = 0
+        for offset, n in sorted(sequences[s]):
+            assert offset == at
+            at += n
+        sizes.append(at)
+    assert all(n == length for n in sizes[:-1]) and sizes[-1] <= length
+
+
+def test_windows_keep_the_proportions():
+    s = packing.Schedule([700, 200, 100], None, 50)
+    for w in range(1, s.windows + 1):
+        step = [b - a for a, b in zip(s.given(w - 1), s.given(w))]
+        assert all(abs(x - 50 * share) <= 1 for x, share in zip(step, (0.7, 0.2, 0.1)))
+    s = packing.Schedule([700, 200, 0, 10], [1, 1, 1, 0], 50)
+    assert s.given(s.windows) == [700, 200, 0, 10]
+    for q in (0, 1, 3):
+        for x in range(s.totals[q]):
+            w = s.window_of(q, x)
+            assert s.given(w)[q] <= x < s.given(w + 1)[q]
+
+
+def test_exact(docs, sample, empty):
+    groups: dict[bytes, list[int]] = {}
+    for d, t in sample:
+        b = (t or "").encode()
+        norm = re.sub(rb"[\x20\x09-\x0D]+", b" ", b)
+        groups.setdefault(norm, []).append(d)
+    want = {d: (min(g), len(g), d == min(g), hashlib.sha256(t).hexdigest()) for t, g in groups.items() for d in g}
+    assert by_id(exact_dedup.exact_dedup(docs), "keep_id", "group_size", "kept", "text_sha256") == want
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("bits", [20, 2])
+def test_quality_rules(docs, sample, empty, monkeypatch, bits):
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)  # two bits: prints clash, and the words decide
+    some = docs.where("doc_id < 5000") if bits == 2 else docs
+    got = by_id(quality_rules.ledger(some), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+    assert got == {d: brute.rules(t) for d, t in sample if d in got} and len(got) >= len(sample) - 2
+    assert quality_rules.ledger(empty).count() == 0
+
+
+def test_policies_and_ablations(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good), (2, "short"), (3, " ".join(["a b c"] * 60)), (4, " ".join(f"w{i}###" for i in range(70))), (5, None)]
+    docs = brute.documents(spark, rows)
+    entries = quality_rules.ledger(docs)
+    assert by_id(quality_rules.apply_policy(entries), "kept") == {1: (True,), 2: (False,), 3: (False,), 4: (False,), 5: (False,)}
+    kept = quality_rules.filter_documents(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
+    out = {r.rule: (r.n_failed, r.n_alone, r.n_kept_without) for r in quality_rules.ablations(entries).collect()}
+    assert out["symbols"] == (1, 1, 2) and out["too_short"][0] == 2
+
+
+def test_quality_model_learns_from_positives(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for i in range(600):
+        n = rng.randint(40, 120)
+        rows.append((i, " ".join(word() for _ in range(n)) + "." if i % 4 else " ".join(word() + " | ###" for _ in range(n))))
+    rows += [(900, None), (901, ""), (902, "   ")]
+    x = quality_model.features(brute.documents(spark, rows)).cache()
+    w = quality_model.fit(x, x.where("doc_id % 8 = 1"), 0.75)
+    got = by_id(quality_model.score(x, w), "score")
+    assert sum((got[i][0] >= 0.5) == (i % 4 > 0) for i in range(600)) > 590
+    assert all(0 <= s <= 1 for (s,) in got.values()) and len(got) == 603
+    assert quality_model.fit(x.where("false"), x, 0.5).tolist() == [0] * len(quality_model.FEATURES)
+
+
+def test_restoring_disguised_words():
+    words = "idiot moron stupid worthless loser trash then thing other reader better letters".split() * 50
+    code = toxicity._code[np.frombuffer(("  " + "  ".join(words) + "  ").encode(), np.uint8)]
+    counts = np.bincount(code[:-2] * 729 + code[1:-1] * 27 + code[2:], minlength=27**3).reshape(27, 27, 27).astype(float)
+    restore = toxicity.Restorer(counts).restore
+    given = {"1d10t": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "i d i o t": "idiot", "w.o.r.t.h.l.e.s.s": "worthless", "looooser": "loser", "tr@sh": "trash"}
+    assert {k: restore(k) for k in given} == given
+    text = b"plain words 1d10t and m o r o n or sooo 12 end$ x"
+    spans = toxicity.disguised(np.frombuffer(text, np.uint8), np.array([len(text)]))
+    assert [text[a:b] for a, b in spans] == [b"1d10t", b"sooo", b"m o r o n"]
+
+
+def test_toxicity_finds_plain_and_disguised_words(spark):
+    rng = random.Random(8)
+    clean = ["".join(rng.choice(["th", "er", "on", "in", "re", "es"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(clean) for _ in range(60)]
+        if i % 4 == 0:
+            w[rng.randrange(60)] = rng.choice(["idiot", "moron"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, " ".join(clean[:40]) + " m0r0n"), (1001, " ".join(clean[40:80])), (1002, None), (1003, "")]
+    docs = brute.documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = by_id(model.score(docs), "score")
+    assert sum((got[i][0] >= 0.5) == (i % 4 == 0) for i in range(400)) >= 396
+    assert got[1000][0] >= 0.5 > got[1001][0] and got[1002] == got[1003] and len(got) == 404
+    assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).score(docs).count() == 404
+
+
+def test_repeated_rows_and_ties(spark):
+    docs = brute.documents(spark, [(1, "same text here"), (2, "same text here"), (2, "same text here"), (3, "other")])
+    assert sorted(tuple(r) for r in exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size").collect()) == [(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 3, 1)]
+    assert near_dedup.near_duplicates(docs).count() == 4
+    for f in (substring_dedup.dedup_substrings, suffix_dedup.dedup_bytes, bpe.digests, quality_rules.ledger, quality_model.features, line_dedup.dedup_lines):
+        assert f(docs).count() == 4
