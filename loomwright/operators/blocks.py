@@ -69,7 +69,7 @@ def stat_headings(lines: DataFrame, key: str = "slug") -> DataFrame:
     flag = stats[0]
     for x in stats[1:] + tags:
         flag = flag | x
-    return lines.withColumn("is_stat_block", T.heading("line") & flag)
+    return lines.withColumn("is_stat_block", T.heading("line") & ~T.tag_line("line") & flag)
 
 
 def dice_tables(lines: DataFrame, key: str = "slug") -> DataFrame:
