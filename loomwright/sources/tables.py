@@ -51,7 +51,7 @@ def write_search_index(docs: DataFrame, folder: str) -> None:
     docs.write.mode("overwrite").json(folder)
 
 
-def previews_script(previews: DataFrame, name: str = "WIKI_PREVIEWS") -> str:
+def previews_script(previews: DataFrame, name: str = "PREVIEWS") -> str:
     """The previews of a book as one script; a published artefact for a browser, so small enough for the driver."""
     rows = {r.slug: json.loads(r.j) for r in previews.select("slug", F.to_json(F.struct(*[c for c in previews.columns if c != "slug"])).alias("j")).toLocalIterator()}
     return f"window.{name} = {json.dumps(rows, ensure_ascii=False, indent=2)};\n"

@@ -10,7 +10,7 @@ def frame(spark, *lines):
 
 
 def test_running_headers(spark):
-    rows = [("The Dread Riv", "The Dread River", True), ("The Dread River is the eastern border of the World's End", "The Dread River", False), ("Stonetop", "The village of Stonetop", True), ("x x", "y", True), ("", "y", True), ("Index", "y", True), ("plain text", "y", False)]
+    rows = [("The Dread Riv", "The Dread River", True), ("The Dread River is the eastern border of the World's End", "The Dread River", False), ("Greenvale", "The village of Greenvale", True), ("x x", "y", True), ("", "y", True), ("Index", "y", True), ("plain text", "y", False)]
     df = spark.createDataFrame(rows, "line string, title string, want boolean")
     assert all(r.got == r.want for r in df.select("want", R.running_header("line", "title", True).alias("got")).collect())
 
