@@ -58,7 +58,7 @@ def test_resolution_prefers_titles_and_falls_back_to_prefixes(spark):
 
 
 def test_title_scores(spark):
-    df = spark.createDataFrame([("flow", "flow of play", 80), ("trade", "trade with gordins", 80), ("deaths door", "death s door", 95), ("x", "y", None)], "a string, b string, want int")
+    df = spark.createDataFrame([("flow", "flow of play", 80), ("trade", "trade with harrows", 80), ("deaths door", "death s door", 95), ("x", "y", None)], "a string, b string, want int")
     assert all(r.s == r.want for r in df.select(links.title_score(F.col("a"), F.col("b")).alias("s"), "want").collect())
     scores = spark.createDataFrame([("s", 1, 1, 80), ("s", 1, 2, 80), ("s", 2, 1, 100), ("s", 2, 2, 55)], "slug string, label_pos int, section_pos int, score int")
     assert sorted((r.label_pos, r.section_pos) for r in links.assign_titles(scores).collect()) == [(1, 1), (2, 2)]
@@ -69,7 +69,7 @@ def test_wrapped_lines():
     assert fold("crys-", "tal") and lines.glue("crys-", "tal") == "crystal"
     assert fold("came—", "when") and lines.glue("came—", "when") == "came—when"
     assert fold("a thing (page", "436), especially")
-    assert fold("en route to", "Gordin's Delve")
+    assert fold("en route to", "Harrow's Delve")
     assert not fold("• Throw a tantrum", "Misshapen brutes with flesh")
     assert not fold("It ends.", "Another begins")
 
