@@ -1,7 +1,7 @@
 """Suffix-array dedup over bytes, the suffix arrays built by linear grouping.
 
 A string of 100 bytes can only repeat if its probe does: each window of `width` bytes picks, by the least fingerprint, one of
-its own substrings of PROBE bytes, and equal windows pick the same one at the same offset. A Spark round finds the probes that
+its own substrings, and equal windows pick the same one at the same offset. A Spark round finds the probes that
 occur twice; the rest of the text is settled. The stretches of text around the shared probes then go, each distinct stretch
 once a block, to the bucket of their probe. There the stretches of a probe that differ are aligned at it, columns in which the
 same stretches agree become one symbol, and the suffixes of these symbol strings are sorted by grouping (group_suffixes). The
@@ -56,10 +56,23 @@ def group_suffixes(s: list[int]) -> list[int]:
     prev = [-1] * n
     end = n
     while end > 0:
-        g = group[order[end - 1]]
-        members = order[g:end] if end - g > 1 else (order[g],)
+        i = order[end - 1]
+        g = group[i]
+        if end - g == 1:  # a group of one: its pointer's target alone moves
+            end, j = g, i - 1
+            while j >= 0 and group[j] >= g:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and size[old := group[j]] > 1:
+                size[old] -= 1
+                at = old + size[old]
+                here, other = place[j], order[at]
+                order[here], place[other] = other, here
+                order[at], place[j] = j, at
+                group[j], size[at] = at, 1
+            continue
         hits: dict[int, int] = {}
-        for i in sorted(members) if end - g > 1 else members:
+        for i in sorted(order[g:end]):
             j = i - 1
             while j >= 0 and group[j] >= g:
                 j = prev[j]
@@ -167,10 +180,11 @@ def _named(a: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> np
     return K.word_names(a, first, last + width)
 
 
-def _ragged(stretches: list[bytes], offsets: list[int], owners: list[tuple], width: int, base: int):
+def _ragged(stretches: list[bytes], offsets: list[int], width: int, base: int):
     """Aligned at their probe: symbol strings of the stretches, and what windows need of them.
 
-    Gives (rows, next base): a row is (symbols, first column run, runs' first columns, begin and end column).
+    Gives the rows, each (symbols, first run of columns, begin and end column), the first column of each run, the run of each
+    column, and the next free symbol.
     """
     m, most = len(stretches), max(offsets)
     wide = max(most - o + len(x) for x, o in zip(stretches, offsets, strict=True))
@@ -207,44 +221,49 @@ def first_copies(groups: list[tuple[list[bytes], list[int], list[tuple]]], width
     owner is the least owner, over the stretches that hold the same window. Suffixes of all groups are sorted at once.
     """
     text: list[int] = []
-    shapes, where, base = [], [], 1 + sum(len(g[0]) for g in groups)
+    run_of_symbol, row_of_symbol = [], []  # runs are numbered over all groups
+    shapes, runs, base = [], 0, 1 + sum(len(g[0]) for g in groups)
     mark = 1
-    for g, (stretches, offsets, owners) in enumerate(groups):
-        rows, run_at, run_of, base = _ragged(stretches, offsets, owners, width, base)
-        shapes.append((rows, run_of))
+    for stretches, offsets, _ in groups:
+        rows, run_at, run_of, base = _ragged(stretches, offsets, width, base)
+        shapes.append((rows, run_of, runs))
         for i, (symbols, r0, _, _) in enumerate(rows):
-            where.extend((g, i, r0 + k) for k in range(len(symbols)))
-            where.append(None)
+            run_of_symbol.extend(range(runs + r0, runs + r0 + len(symbols)))
+            row_of_symbol.extend([i] * (len(symbols) + 1))
+            run_of_symbol.append(-1)
             text.extend(symbols)
             text.append(mark)  # ends of stretches differ, so nothing is shared across one
             mark += 1
+        runs += len(run_at)
     text.append(0)
-    where.append(None)
+    run_of_symbol.append(-1)
     order = group_suffixes(text)
-    shared = common_prefixes(text, order)
-    sorted_of: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    previous = None
-    for x, i in enumerate(order):
-        if (w := where[i]) is not None:
-            key = (w[0], w[2])
-            sorted_of.setdefault(key, []).append((w[1], shared[x] if previous == key else 0))
-            previous = key
-        else:
-            previous = None
+    sorted_of: list[list[tuple[int, int]]] = [[] for _ in range(runs)]
+    previous = -1
+    for i, lcp in zip(order, common_prefixes(text, order), strict=True):
+        r = run_of_symbol[i]
+        if r >= 0:
+            sorted_of[r].append((row_of_symbol[i], lcp if previous == r else 0))
+        previous = r
     out = []
     for g, (stretches, _, owners) in enumerate(groups):
-        rows, run_of = shapes[g]
+        rows, run_of, run0 = shapes[g]
         best: dict[tuple[int, int], dict[int, tuple]] = {}
         result = []
-        runs = run_of.tolist()
+        a, b = run_of[: len(run_of) - width + 1], run_of[width - 1 :]
+        cuts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(a)], a[cuts].tolist(), (b[cuts] - a[cuts] + 1).tolist(), strict=True))
         for i, (_, _, c0, c1) in enumerate(rows):
             found: list[tuple[int, int, tuple]] = []
-            for c in range(c0, c1 - width + 1):
-                key = (r, need) = runs[c], runs[c + width - 1] - runs[c] + 1
+            for x, y, r, need in parts:  # windows that begin in one run of columns and end in another are alike
+                lo, hi = max(x, c0), min(y, c1 - width + 1)
+                if lo >= hi:
+                    continue
+                key = (r, need)
                 if key not in best:
                     least: dict[int, tuple] = {}
                     interval: list[int] = []
-                    for row, lcp in [*sorted_of[(g, r)], (-1, -1)]:
+                    for row, lcp in [*sorted_of[run0 + r], (-1, -1)]:
                         if lcp < need and interval:
                             first = min(owners[k] for k in interval)
                             for k in interval:
@@ -254,9 +273,9 @@ def first_copies(groups: list[tuple[list[bytes], list[int], list[tuple]]], width
                     best[key] = least
                 owner = best[key][i]
                 if found and found[-1][2] == owner:
-                    found[-1] = (found[-1][0], c - c0 + 1, owner)
+                    found[-1] = (found[-1][0], hi - c0, owner)
                 else:
-                    found.append((c - c0, c - c0 + 1, owner))
+                    found.append((lo - c0, hi - c0, owner))
             result.append(found)
         out.append(result)
     return out
