@@ -18,12 +18,12 @@ SPACE, LETTER, NUMBER, OTHER = range(4)
 @lru_cache(1)
 def classes() -> np.ndarray:
     """The class of each code point, asked from the pattern library."""
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    text = "".join(map(chr, points))
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, text):
-            out[points[m.start()] : points[m.end() - 1] + 1] = kind
+    for begin, end in ((0, 0xD800), (0xE000, 0x110000)):  # all but surrogates
+        text = np.arange(begin, end, dtype=np.uint32).tobytes().decode("utf-32-le")
+        for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, text):
+                out[begin + m.start() : begin + m.end()] = kind
     return out
 
 
