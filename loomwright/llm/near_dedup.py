@@ -99,17 +99,20 @@ def region_pairs(ids: np.ndarray, labels: np.ndarray, signs: np.ndarray, depth:
             share = _compare(signs[lo:hi])
             np.fill_diagonal(share, 0)
             mine = ids[lo:hi]
-            smaller = mine[None, :] < mine[:, None]
-            sure = np.where((share >= SURE) & smaller, mine[None, :], np.iinfo(np.int64).max).min(axis=1)
-            has = sure != np.iinfo(np.int64).max
-            out += zip(mine[has].tolist(), sure[has].tolist(), strict=True)
             group = np.arange(hi - lo)  # the least row reachable over sure pairs
+            via = np.full(hi - lo, -1)  # the row that this was last learned from: these pairs are a spanning forest
             strong = share >= SURE
             while True:
-                new = np.minimum(group, np.where(strong, group[None, :], hi - lo).min(axis=1))
-                if (new == group).all():
+                reach = np.where(strong, group[None, :], hi - lo)
+                nearest = reach.argmin(axis=1)
+                new = reach[np.arange(hi - lo), nearest]
+                lower = new < group
+                if not lower.any():
                     break
-                group = new
+                via[lower] = nearest[lower]
+                group = np.minimum(group, new)
+            has = via >= 0
+            out += zip(mine[has].tolist(), mine[via[has]].tolist(), strict=True)
             weak = np.where((share >= MAYBE) & (group[:, None] != group[None, :]), share, 0)
             best = np.argsort(-weak, axis=1, kind="stable")[:, :4]
             rows, cols = np.nonzero(np.take_along_axis(weak, best, axis=1) > 0)

@@ -115,6 +115,14 @@ def test_regions_of_any_size_keep_copies_together():
     assert {find(i) for i in range(700)} == {0}
 
 
+def test_star_with_the_largest_id_as_hub_is_one_tree():
+    signs = np.tile(np.arange(128) % 16, (3, 1)).astype(np.uint8)
+    signs[0, :12] += 1  # each leaf is 0.90 like the hub, the leaves 0.80 like each other
+    signs[1, 12:24] += 1
+    pairs = near_dedup.region_pairs(np.array([1, 2, 3]), np.zeros((3, near_dedup.DEPTH), np.uint16), signs & 15, 4)
+    assert {tuple(sorted(p)) for p in pairs} == {(1, 3), (2, 3)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i + 1, i) for i in range(40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(80)]
