@@ -3,13 +3,14 @@
 Each document becomes its set of word shingles and a signature of minimal hashes. Documents with equal sets are one class and
 go on once. The forest is several sorted orders of the signatures: in tree t the label is the t-th stretch of the signature,
 and the rows of all trees are dealt by range of (tree, label, id), so that a region that very many documents share is cut over
-many tasks. Neighbours by longest common prefix are candidates; a region of at most REGION rows is compared whole by the
+many tasks. Neighbours by longest common prefix are the first candidates; a region of at most REGION rows is compared by the
 signatures, and a larger one is split at the next depth, which so adapts to each region, its parts kept together by pairs of
 first members and of neighbours. Candidates are confirmed on the full sets, and confirmed links are joined to components by
-alternating large and small stars.
+alternating large and small stars. Then the regions that hold several components, of any size, are cut into chunks whose pairs
+are work of their own, and every pair of rows across components that the signatures hold possible is confirmed too.
 
-A pair of similarity 0.8 that shares no region of at least MIN_DEPTH in any tree is missed (0.59 ** 16, two in ten thousand
-pairs), unless other links join the two. Everything else is exact.
+A pair of similarity 0.8 that shares no region of MIN_DEPTH in any tree is missed (0.59 ** 16, two in ten thousand pairs), and
+one whose signatures agree in less than MAYBE of their parts, unless other links join the two. Everything else is exact.
 
 Null and empty texts have no shingles and no links. Repeated rows and equal texts are one class. Very long texts are read
 whole. Columns other than the id and the text are not read.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwright.llm import blocks as B
 from loomwright.llm import kernels as K
@@ -35,6 +37,8 @@ TREES = 16
 DEPTH = 8
 MIN_DEPTH = 4
 REGION = 128
+#: Pairs across components that a row of a region gives in each block of the work before all of them are given.
+FIRST = 8
 #: Share of equal signature parts from which a pair is confirmed, and from which one such pair is enough for a document.
 MAYBE, SURE = 0.66, 0.88
 _HASHES = TREES * DEPTH
@@ -188,6 +192,46 @@ def candidates(classes: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(sweep, "a long, b long").distinct()
 
 
+def across(classes: DataFrame, found: DataFrame, parts: int, most: int | None = None) -> DataFrame:
+    """(a, b), a > b: all pairs of classes (id, sig) of one region, whatever its size, that the signatures hold possible and that
+    are in different components (found: id, component); of each row and block of the work only the `most` best, if given."""
+    held = classes.select("id", "sig").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig")
+    labels = F.array(*[F.substring("sig", 1 + 2 * DEPTH * t, 2 * MIN_DEPTH) for t in range(TREES)])
+    light = held.select("id", "component", F.posexplode(labels).alias("tree", "label"))
+    mixed = light.groupBy("tree", "label").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tree", "label")
+    place = F.row_number().over(Window.partitionBy("tree", "label").orderBy("component", "id"))
+    rows = settle(light.join(mixed, ["tree", "label"]).select("tree", "label", "id", F.floor((place - 1) / REGION).cast("int").alias("chunk")), "mixed")
+    chunks = settle(
+        rows.join(held, "id").groupBy("tree", "label", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("id", "component", "sig")).alias("rows")),
+        "chunks",
+    )
+    ends = chunks.select("tree", "label", F.col("chunk").alias("i"), F.col("lo").alias("low"))
+    work = ends.join(chunks.select("tree", "label", F.col("chunk").alias("j"), "hi"), ["tree", "label"]).where("i <= j and low < hi").select("tree", "label", "i", "j")
+    work = work.repartition(parts, "tree", "label", "i", "j")  # the pairs of chunks of one region are dealt over tasks
+    work = work.join(chunks.select("tree", "label", F.col("chunk").alias("i"), F.col("rows").alias("x")), ["tree", "label", "i"])
+    work = work.join(chunks.select("tree", "label", F.col("chunk").alias("j"), F.col("rows").alias("y")), ["tree", "label", "j"])
+
+    def opened(rows):
+        sigs = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(len(rows), _HASHES)
+        return rows.field("id").to_numpy(), rows.field("component").to_numpy(), sigs
+
+    def compare(batches):
+        for batch in batches:
+            pairs = set()
+            for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
+                (a, mine, p), (b, other, q) = opened(left.values), opened(right.values)
+                share = np.stack([(row == q).mean(axis=1) for row in p])
+                share[mine[:, None] == other[None, :]] = 0
+                if most is not None and len(b) > most:
+                    np.put_along_axis(share, np.argsort(-share, axis=1, kind="stable")[:, most:], 0, axis=1)
+                i, j = np.nonzero(share >= MAYBE)
+                pairs.update(zip(np.maximum(a[i], b[j]).tolist(), np.minimum(a[i], b[j]).tolist(), strict=True))
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return work.select("x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= similarity * union."""
     wanted = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
@@ -228,8 +272,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = settle(signatures(docs, id_col, text_col, shingle), "signatures")
     classes = settle(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    pairs = settle(candidates(classes, B.bucket_count(docs, parts)), "pairs")
-    found = components(confirm(docs, pairs, id_col, text_col, shingle, similarity))
+    n_parts = B.bucket_count(docs, parts)
+    tested = settle(candidates(classes, n_parts), "pairs")
+    links = settle(confirm(docs, tested, id_col, text_col, shingle, similarity), "confirmed")
+    found = settle(components(links), "found")
+    for most in (FIRST, None):  # the best pairs first, so that few components are left when all pairs across them are tested
+        fresh = settle(across(classes, found, n_parts, most).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            continue
+        new = settle(confirm(docs, fresh, id_col, text_col, shingle, similarity), "confirmed")
+        tested = tested.union(fresh)
+        if not new.isEmpty():
+            links = links.union(new)
+            found = settle(components(links), "found")
     labels = settle(classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "labels")
     return signed.join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
 

@@ -123,6 +123,35 @@ def test_star_with_the_largest_id_as_hub_is_one_tree():
     assert {tuple(sorted(p)) for p in pairs} == {(1, 3), (2, 3)}
 
 
+def test_large_groups_of_different_texts_near_the_threshold(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(1000):  # one shingle is a word: sets of 100, each alike 0.8 and more to some and less to others
+        w = list(base)
+        for k in rng.sample(range(100), rng.randint(5, 11)):
+            w[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    got = by_id(near_dedup.near_duplicates(brute.documents(spark, rows), shingle=1), "component_id")
+    sets = [set(t.split()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = find(i), find(j)
+            if x != y:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(x, y)] = min(x, y)
+    wrong = sum(got[i][0] != find(i) for i in range(len(rows)))
+    assert wrong == 0 and len({find(i) for i in range(len(rows))}) > 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i + 1, i) for i in range(40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(80)]
