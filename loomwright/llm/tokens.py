@@ -125,7 +125,7 @@ class WordIds:
 
     def _clear(self):
         self.names = np.empty(0, np.uint64)
-        self.begins, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.uint16)
+        self.begins, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
 
     def look_up(self, text: bytes, starts: np.ndarray, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, counts) of the distinct words with these sorted names; first has the number of one pre-token of each."""
@@ -139,15 +139,15 @@ class WordIds:
         ends = np.append(starts[1:], len(text))
         i = first[new]
         lists = [self.encode(text[a:b].decode()) for a, b in zip(starts[i].tolist(), ends[i].tolist(), strict=True)]
-        counts = np.fromiter(map(len, lists), np.uint16, len(lists))
-        flat = np.fromiter((x for one in lists for x in one), np.uint16, int(counts.sum(dtype=np.int64)))
-        begins = len(self.flat) + np.cumsum(counts, dtype=np.int64) - counts
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((x for one in lists for x in one), np.uint16, int(counts.sum()))
+        begins = len(self.flat) + np.cumsum(counts) - counts
         self.flat = np.concatenate((self.flat, flat))
         self.names = np.insert(self.names, at[new], names[new])
         self.begins = np.insert(self.begins, at[new], begins)
         self.counts = np.insert(self.counts, at[new], counts)
         at = np.searchsorted(self.names, names)
-        counts = self.counts[at].astype(np.int64)
+        counts = self.counts[at]
         ends = np.cumsum(counts)
         return self.flat[np.repeat(self.begins[at] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)], counts
 

@@ -205,6 +205,16 @@ def test_packing(docs, sample, length, weights):
     assert all(n == length for n in sizes[:-1]) and sizes[-1] <= length
 
 
+def test_pretoken_of_more_than_65535_ids():
+    text = "\u9f98" * 40_001
+    enc = T.json_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    data = text.encode()
+    starts, names, first, which = T.distinct_words(data, np.array([len(data)]))
+    flat, counts = T.WordIds(enc.encode_ordinary).look_up(data, starts, names, first)
+    assert len(starts) == 1 and counts[0] > 65_535
+    assert T.take_lists(flat, counts, which).tolist() == enc.encode_ordinary(text)
+
+
 def test_windows_keep_the_proportions():
     s = packing.Schedule([700, 200, 100], None, 50)
     for w in range(1, s.windows + 1):
