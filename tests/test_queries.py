@@ -37,3 +37,19 @@ def test_import_of_package_does_not_need_corpus_operators():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
             assert not any(".llm" in n for n in names), path
+
+
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_engine_stands_without_corpus_operators(tmp_path, pipeline_too):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "llm"))
+    if pipeline_too:
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
