@@ -1,56 +1,153 @@
-"""Line dedup by distributed prefix doubling over sequences of line ids.
-
-A document is its sequence of lines that hold a word. Round by round, runs of 1, 2, 4 .. lines get a name, made from the names
-of their two halves: the place where the run starts first. Sorting the suffixes by their names of all rounds is the suffix
-array; suffixes that share a round's name are an interval whose common prefix has at least that many lines, and a suffix alone
-under its name leaves the rounds. The last round joins two overlapping names to runs of just `min_lines` lines. A line is
-deleted if such a run covers it that starts earlier too (a smaller id, or earlier in the document); so of each maximal repeated
-run the first copy stays whole.
-
-Null and empty texts have no lines. Lines without a word are never deleted and never part of a run. Documents are told apart by
-id; rows of one id count as one place, so neither is cut for the other. Extra columns of any name stay as they are.
+"""Line dedup by a suffix array over sequences of line ids, built by distributed prefix doubling.
+
+A document is its sequence of lines that hold a word; the suffixes are the places where such a line begins. A round sorts the
+suffixes by their first 1, 2, 4 .. lines: a suffix's rank is the number of suffixes before its group, and the next round orders
+a group by the ranks that stand as many lines further on. Groups of a round are intervals of the suffix array whose common
+prefix has at least that many lines; a suffix alone in its group has its final rank. Rounds go on until no group has two
+places, so long copies take log2(lines) rounds, over the documents alone that still share something. Ranks come from sums
+within ranges of the sorted order and the totals of the ranges (a number a range reaches the driver), so no group, however
+large, is sorted or numbered in one task.
+
+In each interval the first place (smaller id, or earlier in the document) is the copy that stays. A later copy of an interval's
+1, 2, 4 .. lines is deleted if these lines are at least `min_lines` or hold at least `min_words` words; what is deleted in a
+row is a maximal run. Runs of fewer than four lines with fewer than ten words stay, such as one-line salutations.
+
+Null and empty texts have no lines. Lines without a word are never deleted and never part of a run. Texts of any length are
+read whole. Documents are told apart by id and text: unequal rows of one id are documents of their own (in the order of a hash
+of their texts), and rows equal in both count as one document, so neither is cut for the other. A null id counts as the least.
+Empty tables give no rows. Extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
+from loomwright.llm import blocks as B
 from loomwright.llm.scratch import settle
 
-MIN_LINES = 3
+MIN_LINES = 4
+MIN_WORDS = 10
 WORD = "[^\\x20\\x09-\\x0D]"
+_LEAST = -(1 << 63)
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, i): the runs of min_lines lines, by the number of their first line, that also start earlier."""
-    ids = F.transform(F.filter(_lines(docs[text_col]), lambda x: x.rlike(WORD)), lambda x: F.unhex(F.md5(x)))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.posexplode(ids).alias("i", "name"))
-    rows, keys, have = settle(rows, "lines"), ["name"], 1
-    while True:
-        groups = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        rows = rows.join(settle(groups, "runs"), keys).select("doc_id", "i", "first")
-        if have == min_lines:
-            return rows.where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.i") != F.col("i"))).select("doc_id", "i")
-        step = min(have, min_lines - have)
-        ahead = Window.partitionBy("doc_id").orderBy("i").rangeBetween(step, step)
-        rows = rows.withColumn("then", F.first("first").over(ahead)).where("then is not null")
-        rows = settle(rows.select("doc_id", "i", F.col("first.doc_id").alias("d1"), F.col("first.i").alias("i1"), F.col("then.doc_id").alias("d2"), F.col("then.i").alias("i2")), "pairs")
-        keys, have = ["d1", "i1", "d2", "i2"], have + step
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """`doc`, the whole row as a struct, and n_lines, n_removed, n_runs (maximal deleted runs), kept_text."""
-    runs = repeated_runs(docs, id_col, text_col, min_lines).groupBy("doc_id").agg(F.collect_list("i").alias("runs"))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("t"))
-    df = whole.join(runs, "doc_id", "left").withColumn("l", _lines(F.col("t")))
+def _document(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A document's key: its id, and the hash of its text."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit(_LEAST)).alias("doc_id"), F.xxhash64(docs[text_col].cast("string")).alias("print")
+
+
+def _place() -> Column:
+    return F.struct("doc_id", "print", "i")
+
+
+def _numbered(groups: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Adds `to`: a group's rank and the number of rows in the groups of that rank that come before it in the order of the keys.
+
+    groups: rank, the keys after it, n. Range by range; what a range's first rank has in earlier ranges is added to it.
+    """
+    ordered = groups.repartitionByRange(parts, "rank", *keys).sortWithinPartitions("rank", *keys)
+    schema = S.StructType([*ordered.schema.fields, S.StructField("part", S.IntegerType()), S.StructField("within", S.LongType())])
+
+    def count(batches):
+        part, last, held = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rank, n = batch.column("rank").to_numpy(), batch.column("n").to_numpy()
+            before = np.cumsum(n) - n
+            fresh = np.append(rank[0] != last, rank[1:] != rank[:-1])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(n)), 0))
+            within = before - np.where(fresh[first], before[first], -held)
+            last, held = rank[-1], int(within[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part), pa.int32()), pa.array(within, pa.int64())], names=[*batch.schema.names, "part", "within"])
+
+    counted = settle(ordered.mapInArrow(count, schema), "numbered")
+    ends = counted.groupBy("part").agg(F.min("rank").alias("lo"), F.max(F.struct("rank", (F.col("within") + F.col("n")).alias("upto"))).alias("hi")).collect()
+    carried, rank, upto = [], None, 0
+    for r in sorted(ends, key=lambda r: r.part):
+        carry = upto if r.lo == rank else 0
+        if carry:
+            carried.append((r.part, r.lo, carry))
+        rank, upto = r.hi["rank"], r.hi["upto"] + (carry if r.hi["rank"] == r.lo else 0)
+    to = F.col("rank") + F.col("within")
+    if carried:  # at most one row a range
+        more = groups.sparkSession.createDataFrame(carried, "part int, lo long, carry long")
+        counted = counted.join(F.broadcast(more), "part", "left")
+        to = to + F.when(F.col("rank") == F.col("lo"), F.col("carry")).otherwise(0)
+    return counted.select("rank", *keys, "first", "shared", to.alias("to"))
+
+
+def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    found = rows.groupBy("rank", *keys).agg(F.count("*").alias("n"), F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+    return found.select("rank", *keys, "n", "first", (F.col("first") != F.col("last")).alias("shared"))
+
+
+def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, print, i, rank, run, run_words) for each line that occurs at two places.
+
+    rank orders the suffixes. run is the depth (1, 2, 4 .. lines) of the deepest interval in which the place is a later copy, 0
+    if there is none, and run_words the words of these lines.
+    """
+    parts = B.bucket_count(docs)
+    held = F.transform(F.filter(_lines(docs[text_col]), lambda x: x.rlike(WORD)), lambda x: F.struct(F.unhex(F.md5(x)).alias("name"), F.regexp_count(x, F.lit(WORD + "+")).cast("long").alias("words")))
+    lines = docs.select(*_document(docs, id_col, text_col), F.posexplode(held).alias("i", "line"))
+    lines = settle(lines.select("doc_id", "print", "i", "line.name", "line.words", F.lit(0).cast("long").alias("rank")), "lines")
+    names = _numbered(_groups(lines, ["name"]).where("shared"), ["name"], parts).select("name", "first", "to")
+    later = _place() != F.col("first")
+    rows = lines.join(names, "name").select(
+        "doc_id", "print", "i", F.col("to").alias("rank"), "words", F.lit(True).alias("active"), F.lit(False).alias("ended"),
+        F.when(later, 1).otherwise(0).alias("run"), F.when(later, F.col("words")).otherwise(0).alias("run_words"),
+    )
+    rows, depth, done = settle(rows, "suffixes"), 1, []
+    document = Window.partitionBy("doc_id", "print")
+    while not rows.where("active").isEmpty():
+        ahead = document.orderBy("i").rangeBetween(depth, depth)
+        pairs = rows.select("*", F.first("rank").over(ahead).alias("then"), F.first("words").over(ahead).alias("then_words"), F.max("active").over(document).alias("alive"))
+        pairs = settle(pairs.where("alive").drop("alive"), "pairs")
+        alone = F.col("then").isNull()  # what follows occurs nowhere else: a group of one, ordered by its place
+        keys = {"then": F.col("then"), "x": F.when(alone, F.col("doc_id")), "y": F.when(alone, F.col("print")), "z": F.when(alone, F.col("i"))}
+        open_ = pairs.where("active").withColumns(keys).drop("ended")
+        groups = _numbered(_groups(open_, list(keys)), list(keys), parts)
+        groups = groups.select(F.col("rank").alias("g_rank"), *[F.col(k).alias(f"g_{k}") for k in keys], "first", "shared", "to")
+        same = F.col("rank") == F.col("g_rank")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"g_{k}"))
+        later, words = F.col("shared") & (_place() != F.col("first")), F.col("words") + F.col("then_words")
+        moved = open_.join(groups, same).select(
+            "doc_id", "print", "i", F.col("to").alias("rank"), F.when(F.col("shared"), words).otherwise(F.col("words")).alias("words"), F.col("shared").alias("active"), (~F.col("shared")).alias("ended"),
+            F.when(later, 2 * depth).otherwise(F.col("run")).alias("run"), F.when(later, words).otherwise(F.col("run_words")).alias("run_words"),
+        )
+        still = pairs.where("not active").withColumn("ended", F.lit(False)).select(*moved.columns)
+        rows, depth = settle(moved.unionByName(still), "suffixes"), 2 * depth
+        done.append(rows.where("ended"))
+    out = rows.where("ended")
+    for table in done[:-1]:
+        out = out.unionByName(table)
+    return out.select("doc_id", "print", "i", "rank", "run", "run_words")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """`doc`, the whole row as a struct, and n_lines, n_removed, n_runs (maximal deleted runs), depth (of the deepest interval in
+    which one of its places is a later copy), kept_text. min_lines is a power of two."""
+    if min_lines < 1 or min_lines & (min_lines - 1):
+        raise ValueError("min_lines is a power of two")
+    later = suffix_array(docs, id_col, text_col).where((F.col("run") >= min_lines) | ((F.col("run") > 0) & (F.col("run_words") >= min_words)))
+    # The place after that of a deep interval is a later copy of at least half its depth, so the first min_lines lines of each do.
+    per = later.groupBy("doc_id", "print").agg(F.collect_list(F.struct("i", F.least("run", F.lit(min_lines)).alias("n"))).alias("runs"), F.max("run").alias("depth"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *_document(docs, id_col, text_col), docs[text_col].cast("string").alias("t"))
+    df = whole.join(per, ["doc_id", "print"], "left").withColumn("l", _lines(F.col("t")))
     places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda j: F.get("l", j).rlike(WORD))
-    gone = F.array_distinct(F.flatten(F.transform("runs", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1))))
     df = df.withColumn("places", places).withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform("gone", lambda k: F.get("places", k)))
     kept = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.array_join(F.transform(stay, lambda j: F.get("l", j)), "\n"))
@@ -59,6 +156,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("places").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
         F.size(F.array_except(F.transform("gone", lambda k: k - 1), F.col("gone"))).cast("long").alias("n_runs"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
         kept.alias("kept_text"),
     )
 
@@ -72,13 +170,16 @@ OP8_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents
 ), w AS (
-  SELECT doc_id, line, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT doc_id, line, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), g AS (
-  SELECT doc_id, i, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, n, n + lead(n) OVER d AS n2, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, lead(line, 3) OVER d AS e FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), f AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1
+  SELECT doc_id, i, 1 AS k FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id, i) AS r FROM g) WHERE r > 1 AND n >= 10
+  UNION ALL SELECT doc_id, i, 2 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS r FROM g WHERE b IS NOT NULL) WHERE r > 1 AND n2 >= 10
+  UNION ALL SELECT doc_id, i, 4 FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c, e ORDER BY doc_id, i) AS r FROM g WHERE e IS NOT NULL) WHERE r > 1
 ), x AS (
-  SELECT DISTINCT doc_id, i + d AS i FROM f, (VALUES (0), (1), (2)) AS v(d)
+  SELECT DISTINCT doc_id, i + d AS i FROM f, (VALUES (0), (1), (2), (3)) AS v(d) WHERE d < k
 ), s AS (
   SELECT l.doc_id, l.j, l.line, w.i, x.i IS NOT NULL AS gone
   FROM l LEFT JOIN w ON l.doc_id = w.doc_id AND l.j = w.j LEFT JOIN x ON w.doc_id = x.doc_id AND w.i = x.i

@@ -50,19 +50,24 @@ def suffix(texts, width=100):
     return out
 
 
-def lines(texts, least=3):
-    out, seen = {}, set()
-    for d, t in sorted(texts, key=lambda r: r[0]):
+def lines(texts, least=4, words=10):
+    """{(id, text): text that stays}; rows equal in both are one document."""
+    out, held = {}, []
+    for d, t in sorted(set(texts), key=lambda r: r[0]):
         whole = (t or "").split("\n")
-        at = [j for j, x in enumerate(whole) if x.encode().split()]
-        gone = set()
-        for k in range(len(at) - least + 1):
-            run = tuple(whole[j] for j in at[k : k + least])
-            if run in seen:
-                gone |= set(range(k, k + least))
-            seen.add(run)
-        drop = {at[k] for k in gone}
-        out[d] = "\n".join(x for j, x in enumerate(whole) if j not in drop)
+        held.append((d, t, whole, [j for j, x in enumerate(whole) if x.encode().split()], set()))
+    h = 1
+    while any(len(at) >= h for _, _, _, at, _ in held):
+        seen = set()
+        for _, _, whole, at, gone in held:
+            for k in range(len(at) - h + 1):
+                run = tuple(whole[j] for j in at[k : k + h])
+                if run in seen and (h >= least or sum(len(x.encode().split()) for x in run) >= words):
+                    gone |= set(at[k : k + h])
+                seen.add(run)
+        h *= 2
+    for d, t, whole, _, gone in held:
+        out[d, t] = "\n".join(x for j, x in enumerate(whole) if j not in gone)
     return out
 
 

@@ -77,16 +77,49 @@ def test_suffix(docs, sample, empty):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def kept_lines(df):
+    return {(r.doc_id, r.text): r.kept for r in df.select("doc.doc_id", "doc.text", F.coalesce("kept_text", F.lit("")).alias("kept")).collect()}
+
+
 def test_lines(spark, docs, sample, empty):
     rng = random.Random(9)
     some = [(i, None if i % 11 == 0 else "".join(rng.choice(["a\n", "b\n", "c\n", "d e\n", "\n", " \n", "x"]) for _ in range(rng.choice((0, 1, 4, 9, 60))))) for i in range(80)]
     for given, frame in ((some, brute.documents(spark, some)), (sample, docs)):
-        for least in (2, 3) if given is some else (3,):
-            df = line_dedup.dedup_lines(frame, min_lines=least).select("doc.doc_id", F.coalesce("kept_text", F.lit("")).alias("kept"))
-            assert {r.doc_id: r.kept for r in df.collect()} == brute.lines(given, least)
+        for least, words in ((2, 3), (4, 1000), (8, 5)) if given is some else ((4, 10),):
+            assert kept_lines(line_dedup.dedup_lines(frame, min_lines=least, min_words=words)) == brute.lines(given, least, words)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(1, "a0\na1\na2\na3"), (1, "b0\nb1\nb2\nb3"), (3, "a0\nb1\na2\nb3"), (4, "a0\na1\na2\na3"), (5, "same\nlines\nin\nboth"), (5, "same\nlines\nin\nboth")]
+    got = kept_lines(line_dedup.dedup_lines(brute.documents(spark, rows)))
+    assert got[3, rows[2][1]] == rows[2][1] and got[1, rows[1][1]] == rows[1][1] and got[1, rows[0][1]] == rows[0][1]
+    assert got[4, rows[3][1]] == "" and got[5, rows[4][1]] == rows[4][1]
+
+
+def test_line_suffixes_are_sorted(spark):
+    rng = random.Random(2)
+    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.choice((1, 5, 30))))) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + "\nend") for i in range(5)]
+    got = line_dedup.suffix_array(brute.documents(spark, rows)).orderBy("rank").collect()
+    assert [r.rank for r in got] == list(range(len(got)))
+    texts_ = {d: t.split("\n") for d, t in rows}
+    order = [texts_[r.doc_id][r.i :] for r in got]
+    for depth in (1, 2, 3, 4, 7, 8):  # suffixes that begin alike stand side by side at every depth
+        heads = [tuple(x[:depth]) for x in order if len(x) >= depth]
+        assert len(set(heads)) == 1 + sum(a != b for a, b in zip(heads, heads[1:]))
+    earlier = {}
+    for d in sorted(texts_):
+        for i in range(len(texts_[d])):
+            for k in (1, 2, 4, 8, 16):
+                if i + k <= len(texts_[d]):
+                    earlier.setdefault(tuple(texts_[d][i : i + k]), (d, i))
+    for r in got:
+        mine = texts_[r.doc_id]
+        want = max((k for k in (1, 2, 4, 8, 16) if r.i + k <= len(mine) and earlier[tuple(mine[r.i : r.i + k])] != (r.doc_id, r.i)), default=0)
+        assert r.run == want
+
+
 def test_near(docs, sample, empty):
     for size in (2, 5):
         got = by_id(near_dedup.near_duplicates(docs, shingle=size), "n_shingles", "component_id")
