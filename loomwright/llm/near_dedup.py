@@ -5,15 +5,22 @@ go on once. The forest is several sorted orders of the signatures: in tree t the
 and the rows of all trees are dealt by range of (tree, label, id), so that a region that very many documents share is cut over
 many tasks. Neighbours by longest common prefix are the first candidates; a region of at most REGION rows is compared by the
 signatures, and a larger one is split at the next depth, which so adapts to each region, its parts kept together by pairs of
-first members and of neighbours. Candidates are confirmed on the full sets, and confirmed links are joined to components by
-alternating large and small stars. Then the regions that hold several components, of any size, are cut into chunks whose pairs
-are work of their own, and every pair of rows across components that the signatures hold possible is confirmed too.
-
-A pair of similarity 0.8 that shares no region of MIN_DEPTH in any tree is missed (0.59 ** 16, two in ten thousand pairs), and
-one whose signatures agree in less than MAYBE of their parts, unless other links join the two. Everything else is exact.
-
-Null and empty texts have no shingles and no links. Repeated rows and equal texts are one class. Very long texts are read
-whole. Columns other than the id and the text are not read.
+first members and of neighbours. These candidates, a few for each row and tree, are confirmed on the full sets, and confirmed
+links are joined to components by alternating large and small stars.
+
+That leaves regions (rows that agree to MIN_DEPTH in a tree) with several components. These are compared whole, whatever their
+size: cut into blocks of bounded size, the blocks of one component never against each other. Pairs of blocks are dealt over
+the tasks; signatures tell the rows that have a possible partner in another component, and for these rows alone the full sets
+are fetched and all their intersections counted as a product of matrices. No pair is a row of any table: a pair of blocks
+gives one link for each two components that it joins.
+
+A pair of similarity 0.8 that shares no region in any tree is missed (0.59 ** 16, two in ten thousand pairs), and one whose
+signatures agree in less than MAYBE of their parts (three in a hundred thousand), unless other links join the two. All others
+are found. Very many different texts that are alike and yet not linked cost the square of their number in such products.
+
+Null and empty texts have no shingles and no links. Repeated rows and equal texts are one class; rows of one id with different
+texts are one document, linked by any of them. A row without an id is linked with equal sets alone. Very long texts are read whole. An empty table gives no rows. Columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomwright.llm import blocks as B
 from loomwright.llm import kernels as K
@@ -37,8 +43,8 @@ TREES = 16
 DEPTH = 8
 MIN_DEPTH = 4
 REGION = 128
-#: Pairs across components that a row of a region gives in each block of the work before all of them are given.
-FIRST = 8
+#: A block of a region is cut at about so many rows or shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
 #: Share of equal signature parts from which a pair is confirmed, and from which one such pair is enough for a document.
 MAYBE, SURE = 0.66, 0.88
 _HASHES = TREES * DEPTH
@@ -137,7 +143,8 @@ def region_pairs(ids: np.ndarray, labels: np.ndarray, signs: np.ndarray, depth:
 
 
 def candidates(classes: DataFrame, parts: int) -> DataFrame:
-    """(a, b), a > b: ids of classes (id, sig) that the forest puts side by side."""
+    """Two kinds of rows about classes (id, sig). (a, b), a > b: ids that the forest puts side by side. (a, tree, label): the rows of
+    each region, but for rows that are alone in theirs."""
 
     def grow(batches):
         for batch in batches:
@@ -156,7 +163,8 @@ def candidates(classes: DataFrame, parts: int) -> DataFrame:
     def sweep(batches):
         held: list[np.ndarray] | None = None
 
-        def close(ids, trees, labels, signs):
+        def close(ids, trees, labels, signs, edge):
+            """Pairs and members of whole regions; at an edge the first and last region may go on elsewhere."""
             fresh = np.append(True, (trees[1:] != trees[:-1]) | (labels[1:, :MIN_DEPTH] != labels[:-1, :MIN_DEPTH]).any(axis=1))
             cuts = np.flatnonzero(fresh)
             ends = np.append(cuts[1:], len(ids))
@@ -165,8 +173,18 @@ def candidates(classes: DataFrame, parts: int) -> DataFrame:
                 pairs += region_pairs(ids[x:y], labels[x:y], signs[x:y], MIN_DEPTH)
             pairs = {(max(p), min(p)) for p in pairs if p[0] != p[1]}
             a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
+            some = np.repeat(ends - cuts > 1, ends - cuts)
+            if edge:
+                some[: ends[0]] = some[cuts[-1] :] = True
+            some = np.flatnonzero(some)
+            short = np.ascontiguousarray(labels[some, :MIN_DEPTH].astype(">u2")).view(">i8").ravel().astype(np.int64)
+            none = [None] * len(a)
+            return pa.RecordBatch.from_pydict({
+                "a": pa.array([*a, *ids[some].tolist()], pa.int64()), "b": pa.array([*b, *[None] * len(some)], pa.int64()),
+                "tree": pa.array([*none, *trees[some].tolist()], pa.int32()), "label": pa.array([*none, *short.tolist()], pa.int64()),
+            })
+
+        first = True
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -181,60 +199,132 @@ def candidates(classes: DataFrame, parts: int) -> DataFrame:
             same = (trees == trees[-1]) & (labels[:, :MIN_DEPTH] == labels[-1, :MIN_DEPTH]).all(axis=1)
             cut = int(np.argmax(same))  # the last region may go on in the next batch
             if len(ids) - cut > 50_000:
-                cut = len(ids) - 1  # a region of very many rows is closed in parts, which share a row
-                yield close(ids, trees, labels, signs)
+                cut = len(ids) - 1  # first candidates of a region of very many rows come from parts of it, which share a row
+                yield close(ids, trees, labels, signs, True)
+                first = True
             elif cut:
+                yield close(*(x[:cut] for x in new), first)
+                first = False
+            held = [x[cut:] for x in new]
+        if held is not None:
+            yield close(*held, True)
+
+    return ordered.mapInArrow(sweep, "a long, b long, tree int, label long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(item, tree, id): the rows of each pair of blocks, of regions with several components; members: tree, label, id, component, n."""
+    region = ["tree", "label"]
+    needed = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    # Read back, so that a region's members aren't tied to the task that has counted them.
+    mixed = settle(members.groupBy(*region).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), needed).where("lo < hi").select(*region, "blocks"), "regions")
+    rows = settle(members.join(mixed, region).select(*region, "id", "component", "n", "blocks"), "mixed")
+    small = rows.where("blocks = 1").select(F.xxhash64(*region).alias("item"), "tree", "id")
+    large = rows.where("blocks > 1")
+    # A component that fills blocks has blocks of its own; the others are dealt over common blocks.
+    own = large.groupBy(*region, "component").agg(needed.alias("own")).where("own > 1")
+    number = F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1)))
+    whole = F.col("own").isNotNull()
+    block = F.struct(whole.alias("whole"), F.when(whole, F.col("component")).otherwise(0).alias("of"), F.when(whole, number).otherwise(F.pmod(F.xxhash64("component"), F.col("blocks"))).alias("k"))
+    large = settle(large.join(own, [*region, "component"], "left").select(*region, "id", block.alias("x")), "blocked")
+    kinds = settle(large.select(*region, "x").distinct(), "kinds")
+    work = kinds.join(kinds.withColumnRenamed("x", "y"), region).where("x <= y and not (x.whole and y.whole and x.of = y.of)")
+    work = settle(work.select(*region, "x", "y", F.xxhash64(*region, "x", "y").alias("item")), "work")
+    ends = work.select(*region, "x", "item").union(work.where("x <> y").select(*region, F.col("y").alias("x"), "item"))
+    return small.unionByName(large.join(ends, [*region, "x"]).select("item", "tree", "id"))
+
+
+def _possible(rows: DataFrame, parts: int) -> DataFrame:
+    """(item, id): rows that have a possible partner in another component of the item, with which they share no earlier tree; rows: item, tree, id, component, sig."""
+    ordered = rows.repartition(parts, "item").sortWithinPartitions("item")
+
+    def found(trees, component, sigs, labels):
+        """Which rows of one item have one."""
+        m = len(sigs)
+        out = np.zeros(m, bool)
+        if m < 2 or (component == component[0]).all():
+            return out
+        for lo in range(0, m, 32):
+            part = slice(lo, min(m, lo + 32))
+            same = np.zeros((part.stop - lo, m), np.uint8)
+            for c in range(_HASHES):
+                same += sigs[part, c, None] == sigs[None, :, c]
+            i, j = np.nonzero((same >= MAYBE * _HASHES) & (component[part, None] != component[None, :]))
+            i += lo
+            if len(i):
+                met = (labels[i] == labels[j]) & (np.arange(TREES)[None, :] < trees[i, None])
+                new = ~met.any(axis=1)
+                out[i[new]] = out[j[new]] = True
+        return out
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(n, _HASHES)
+            new = [*[batch.column(c).to_numpy() for c in ("item", "tree", "id", "component")], sigs]
+            if held is not None:
+                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if cut:
                 yield close(*(x[:cut] for x in new))
             held = [x[cut:] for x in new]
         if held is not None:
             yield close(*held)
 
-    return ordered.mapInArrow(sweep, "a long, b long").distinct()
-
-
-def across(classes: DataFrame, found: DataFrame, parts: int, most: int | None = None) -> DataFrame:
-    """(a, b), a > b: all pairs of classes (id, sig) of one region, whatever its size, that the signatures hold possible and that
-    are in different components (found: id, component); of each row and block of the work only the `most` best, if given."""
-    held = classes.select("id", "sig").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "sig")
-    labels = F.array(*[F.substring("sig", 1 + 2 * DEPTH * t, 2 * MIN_DEPTH) for t in range(TREES)])
-    light = held.select("id", "component", F.posexplode(labels).alias("tree", "label"))
-    mixed = light.groupBy("tree", "label").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tree", "label")
-    place = F.row_number().over(Window.partitionBy("tree", "label").orderBy("component", "id"))
-    rows = settle(light.join(mixed, ["tree", "label"]).select("tree", "label", "id", F.floor((place - 1) / REGION).cast("int").alias("chunk")), "mixed")
-    chunks = settle(
-        rows.join(held, "id").groupBy("tree", "label", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_list(F.struct("id", "component", "sig")).alias("rows")),
-        "chunks",
-    )
-    ends = chunks.select("tree", "label", F.col("chunk").alias("i"), F.col("lo").alias("low"))
-    work = ends.join(chunks.select("tree", "label", F.col("chunk").alias("j"), "hi"), ["tree", "label"]).where("i <= j and low < hi").select("tree", "label", "i", "j")
-    work = work.repartition(parts, "tree", "label", "i", "j")  # the pairs of chunks of one region are dealt over tasks
-    work = work.join(chunks.select("tree", "label", F.col("chunk").alias("i"), F.col("rows").alias("x")), ["tree", "label", "i"])
-    work = work.join(chunks.select("tree", "label", F.col("chunk").alias("j"), F.col("rows").alias("y")), ["tree", "label", "j"])
-
-    def opened(rows):
-        sigs = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(len(rows), _HASHES)
-        return rows.field("id").to_numpy(), rows.field("component").to_numpy(), sigs
-
-    def compare(batches):
-        for batch in batches:
-            pairs = set()
-            for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
-                (a, mine, p), (b, other, q) = opened(left.values), opened(right.values)
-                share = np.stack([(row == q).mean(axis=1) for row in p])
-                share[mine[:, None] == other[None, :]] = 0
-                if most is not None and len(b) > most:
-                    np.put_along_axis(share, np.argsort(-share, axis=1, kind="stable")[:, most:], 0, axis=1)
-                i, j = np.nonzero(share >= MAYBE)
-                pairs.update(zip(np.maximum(a[i], b[j]).tolist(), np.minimum(a[i], b[j]).tolist(), strict=True))
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def close(item, trees, ids, component, sigs):
+        cuts = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        labels = np.ascontiguousarray(sigs.reshape(len(ids), TREES, DEPTH)[:, :, :MIN_DEPTH]).view(np.uint64)[:, :, 0]
+        hit = np.concatenate([found(trees[x:y], component[x:y], sigs[x:y], labels[x:y]) for x, y in zip(cuts, np.append(cuts[1:], len(ids)), strict=True)])
+        return pa.RecordBatch.from_pydict({"item": pa.array(item[hit], pa.int64()), "id": pa.array(ids[hit], pa.int64())})
+
+    return ordered.mapInArrow(run, "item long, id long")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, as products of 0/1 matrices over the names that at least two sets have."""
+    sizes = [len(x) for x in sets]
+    names, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    number = np.cumsum(times > 1) - 1
+    keep = times[which] > 1
+    row, column = row[keep], number[which[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(number[-1]) + 1 if len(names) else 0, 4096):
+        x, y = np.searchsorted(column, (lo, lo + 4096))
+        block = np.zeros((len(sets), 4096), np.float32)
+        block[row[x:y], column[x:y] - lo] = 1
+        out += block @ block.T
+    return out
 
-    return work.select("x", "y").mapInArrow(compare, "a long, b long").distinct()
 
+def across(docs: DataFrame, classes: DataFrame, members: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int, similarity: int, parts: int) -> DataFrame:
+    """(a, b): links between different components (found: id, component) in the regions (members: tree, label, id); one for each
+    two components that a pair of blocks joins."""
+    held = settle(classes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "sig"), "held")
+    items = _blocks(members.distinct().join(held.select("id", "component", "n"), "id"))
+    wanted = settle(_possible(items.join(held.select("id", "component", "sig"), "id"), parts), "possible")
+    names = _sets(docs, wanted.select("id").distinct(), id_col, text_col, shingle)
+    rows = wanted.join(held.select("id", "component"), "id").join(names, "id")
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("names")]
+        common, size = intersections(sets), np.array([len(x) for x in sets])
+        i, j = np.nonzero((100 * common >= similarity * (size[:, None] + size[None, :] - common)) & (component[:, None] < component[None, :]))
+        _, once = np.unique(np.stack((component[i], component[j]), axis=1), axis=0, return_index=True) if len(i) else (None, np.empty(0, np.int64))
+        i, j = i[once], j[once]
+        return pa.table({"a": pa.array(np.maximum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.minimum(ids[i], ids[j]), pa.int64())})
+
+    return rows.select("item", "id", "component", "names").groupBy("item").applyInArrow(link, "a long, b long")
 
-def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= similarity * union."""
-    wanted = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, names): the full sets of the wanted ids."""
 
     def sets(batches):
         for _, rows in B.grouped(batches, B.BLOCK_BYTES):
@@ -243,8 +333,14 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shing
             names = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
             yield pa.RecordBatch.from_pydict({"id": pa.array([r[0] for r in rows], pa.int64()), "names": names})
 
-    rows = B.document_rows(docs, id_col, text_col).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    held = settle(rows.mapInArrow(sets, "id long, names array<long>"), "sets")
+    rows = B.document_rows(docs, id_col, text_col).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return settle(rows.mapInArrow(sets, "id long, names array<long>"), "sets")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= similarity * union."""
+    wanted = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    held = _sets(docs, wanted, id_col, text_col, shingle)
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("names").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))  # row by row in the JVM: a batch of pairs of long sets would be large
     return both.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -271,22 +367,23 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY, parts: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = settle(signatures(docs, id_col, text_col, shingle), "signatures")
-    classes = settle(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    known = signed.where("digest is not null")
+    classes = settle(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")).where("id is not null"), "classes")
     n_parts = B.bucket_count(docs, parts)
-    tested = settle(candidates(classes, n_parts), "pairs")
-    links = settle(confirm(docs, tested, id_col, text_col, shingle, similarity), "confirmed")
+    forest = settle(candidates(classes, n_parts), "forest")
+    pairs = settle(forest.where("tree is null").select("a", "b").distinct(), "pairs")
+    members = forest.where("tree is not null").select("tree", "label", F.col("a").alias("id"))
+    links = settle(confirm(docs, pairs, id_col, text_col, shingle, similarity), "confirmed")
     found = settle(components(links), "found")
-    for most in (FIRST, None):  # the best pairs first, so that few components are left when all pairs across them are tested
-        fresh = settle(across(classes, found, n_parts, most).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            continue
-        new = settle(confirm(docs, fresh, id_col, text_col, shingle, similarity), "confirmed")
-        tested = tested.union(fresh)
-        if not new.isEmpty():
-            links = links.union(new)
-            found = settle(components(links), "found")
+    more = settle(across(docs, classes, members, found, id_col, text_col, shingle, similarity, n_parts), "across")
+    if not more.isEmpty():  # links between components: these are joined in their turn
+        at = lambda c: F.coalesce(F.col(c), F.col(c[0]))
+        more = more.join(found.select(F.col("id").alias("a"), F.col("component").alias("a_component")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("b_component")), "b", "left")
+        over = settle(components(more.select(at("a_component").alias("a"), at("b_component").alias("b"))), "over")
+        whole = classes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
+        found = settle(whole.join(over.select(F.col("id").alias("part"), "component"), "part", "left").select("id", F.coalesce("component", "part").alias("component")), "found")
     labels = settle(classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component")), "labels")
-    return signed.join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    return signed.join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

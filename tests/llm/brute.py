@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def documents(spark: SparkSession, texts, parts=3):
-    rows = [(i, t, "en", None if i % 9 == 0 else f"s{i % 3}", None if t is None else len(t)) for i, t in texts]
+    rows = [(i, t, "en", None if (i or 0) % 9 == 0 else f"s{(i or 0) % 3}", None if t is None else len(t)) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA).repartition(parts)
 
 

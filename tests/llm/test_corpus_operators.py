@@ -185,6 +185,32 @@ def test_large_groups_of_different_texts_near_the_threshold(spark):
     assert wrong == 0 and len({find(i) for i in range(len(rows))}) > 1
 
 
+@pytest.mark.parametrize("rows_of_block", [256, 16])
+def test_true_pairs_among_many_that_nearly_are(spark, monkeypatch, rows_of_block):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows_of_block)
+    common = [f"c{i}" for i in range(1000)]
+    rows = []
+    for i in range(400):  # two of a pair 0.801, all others 0.792 alike
+        rows.append((i, " ".join(common + [f"p{i // 2}_{k}" for k in range(6)] + [f"u{i}_{k}" for k in range(125)])))
+    got = by_id(near_dedup.near_duplicates(brute.documents(spark, rows), shingle=1), "component_id", "kept")
+    assert got == {i: (i - i % 2, i % 2 == 0) for i in range(400)}
+
+
+def test_near_rows_that_share_an_id_or_have_none(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(7, text), (7, text), (7, "other words here"), (None, text), (None, "alone in the world"), (3, text + " more"), (9, "")]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(brute.documents(spark, rows)).collect())
+    assert got == [(False, 3, 47, 3, True), (False, 7, 1, 3, False), (False, 7, 46, 3, False), (False, 7, 46, 3, False), (False, 9, 0, 9, True), (True, 0, 1, None, True), (True, 0, 46, 3, False)]
+
+
+def test_intersections():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (1, 50, 7000, 3000, 0, 400)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = near_dedup.intersections(sets)
+    assert all(got[i][j] == want[i][j] for i in range(6) for j in range(6) if i != j)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i + 1, i) for i in range(40)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(80)]
