@@ -14,9 +14,12 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
-BLOCK_SCHEMA = "block long, payload binary"
+#: Stands for a null id within a block; so a null id counts as the least.
+NO_ID = -(1 << 63)
+BLOCK_SCHEMA = "block long, payload binary, size long"
 MESSAGE_SCHEMA = "bucket int, block long, body binary"
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
 
@@ -56,6 +59,16 @@ def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def id_array(rows) -> np.ndarray:
+    """The ids of rows whose first item is one."""
+    return np.array([NO_ID if r[0] is None else r[0] for r in rows], np.int64)
+
+
+def id_column(ids: np.ndarray) -> pa.Array:
+    """Ids as they were given, nulls included."""
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], block_bytes: int, extra: str | None = None):
     """(block id, rows) in the order of the rows; a row is (doc id, text bytes) or has the extra column too."""
     task, seq, rows, size = TaskContext.get(), 0, [], 0
@@ -79,11 +92,11 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def cut(batches):
         for block, rows in grouped(batches, block_bytes):
-            rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-            ids = np.array([-1 if r[0] is None else r[0] for r in rows], np.int64)
+            rows.sort(key=lambda r: NO_ID if r[0] is None else r[0])
+            ids = id_array(rows)
             lens = np.array([len(r[1]) for r in rows], np.int64)
             payload = squeeze(pack(ids, lens, b"".join(r[1] for r in rows)))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "payload": pa.array([payload], pa.binary()), "size": pa.array([int(lens.sum())], pa.int64())})
 
     return docs.mapInArrow(cut, BLOCK_SCHEMA)
 
@@ -141,19 +154,27 @@ def meet_some(blocks: DataFrame, replies: DataFrame, use: Callable[[int, bytes,
     return meet(blocks, replies, some, MESSAGE_SCHEMA)
 
 
-def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
-    """Buckets follow the session's shuffle partitions, which a deployment sizes to its data."""
-    return buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Text that one hash bucket serves; what a bucket receives of it must fit a task.
+BUCKET_BYTES = 128 << 20
+
+
+def bucket_count(df: DataFrame, buckets: int | None = None, text_bytes: int = 0) -> int:
+    """One for each BUCKET_BYTES of text, and at least as many as the session's shuffle partitions."""
+    return buckets or max(1, -(-text_bytes // BUCKET_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bytes_in(blocks: DataFrame) -> int:
+    """Bytes of text in settled blocks; reads one narrow column."""
+    return blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, indexes of its keys in their order)."""
+    """(bucket, indexes of its keys in their order), for the buckets that have keys."""
     where = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if cuts[b] < cuts[b + 1]:
-            yield b, order[cuts[b] : cuts[b + 1]]
+    cuts = np.flatnonzero(np.append(True, np.diff(where[order]) > 0)) if len(keys) else []
+    for x, y in zip(cuts, [*cuts[1:], len(keys)], strict=False):
+        yield int(where[order[x]]), order[x:y]
 
 
 FIVE = np.uint64((1 << 40) - 1)

@@ -112,7 +112,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     probe = max(1, min(PROBE, width // 2))
     blocks = settle(B.to_blocks(B.document_rows(docs, id_col, text_col), block_bytes), "words")
-    n_buckets = B.bucket_count(docs, buckets)
+    n_buckets = B.bucket_count(docs, buckets, B.bytes_in(blocks))
 
     def probes(block, payload):
         _, _, _, doc, names = _open(payload)
@@ -173,7 +173,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if n_gone[d]:
                 mine = compress(mine, (~gone[w_ends[d] - int(n_words[d]) : w_ends[d]]).tolist())
             kept.append(b" ".join(mine))
-        return pa.table({"doc_id": pa.array(ids), "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_gone), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": B.id_column(ids), "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_gone), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return B.meet(blocks, found, cut, RESULT)
 

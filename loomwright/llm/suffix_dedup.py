@@ -288,7 +288,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     span = max(1, width * 64 // 100)
     blocks = settle(B.to_blocks(B.document_rows(docs, id_col, text_col), block_bytes), "bytes")
-    n_buckets = B.bucket_count(docs, buckets)
+    n_buckets = B.bucket_count(docs, buckets, B.bytes_in(blocks))
 
     def probes(block, payload):
         _, lens, text = B.open_block(payload)
@@ -397,7 +397,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for d, n in enumerate(lens.tolist()):
             kept.append(a[at : at + n][~gone[at : at + n]].tobytes() if n_gone[d] else text[at : at + n])
             at += n
-        return pa.table({"doc_id": pa.array(ids), "n_bytes": pa.array(lens), "n_removed": pa.array(n_gone.astype(np.int64)), "n_spans": pa.array(n_spans.astype(np.int64)), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": B.id_column(ids), "n_bytes": pa.array(lens), "n_removed": pa.array(n_gone.astype(np.int64)), "n_spans": pa.array(n_spans.astype(np.int64)), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept": pa.array(kept, pa.binary())})
 
     return B.meet(blocks, found, cut, RESULT)
 
