@@ -116,6 +116,27 @@ def json_encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def added_tokens(path: str) -> tuple[tuple[bytes, int], ...]:
+    """(bytes, id) of the strings that a tokenizer file takes out of a text before anything else."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f).get("added_tokens", [])
+    if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in told):
+        raise ValueError(f"{path}: added tokens that take in white space or whole words alone are not supported")
+    return tuple((x["content"].encode(), x["id"]) for x in told)
+
+
+def split_added(text: bytes, added: tuple[tuple[bytes, int], ...]) -> tuple[list[bytes], list[int]]:
+    """The pieces between the added tokens in a text, and the tokens' ids: one fewer than pieces. Leftmost first, the longest of those."""
+    if not any(a in text for a, _ in added):
+        return [text], []
+    ids = dict(added)
+    found = regex.split(b"(" + b"|".join(regex.escape(a) for a in sorted(ids, key=len, reverse=True)) + b")", text)
+    return found[::2], [ids[x] for x in found[1::2]]
+
+
 class WordIds:
     """Ids of pre-tokens, each distinct one encoded once while it is held; at most `most` are held, as flat arrays."""
 
@@ -125,7 +146,7 @@ class WordIds:
 
     def _clear(self):
         self.names = np.empty(0, np.uint64)
-        self.begins, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
+        self.begins, self.counts, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def look_up(self, text: bytes, starts: np.ndarray, names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, counts) of the distinct words with these sorted names; first has the number of one pre-token of each."""
@@ -140,7 +161,7 @@ class WordIds:
         i = first[new]
         lists = [self.encode(text[a:b].decode()) for a, b in zip(starts[i].tolist(), ends[i].tolist(), strict=True)]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for one in lists for x in one), np.uint16, int(counts.sum()))
+        flat = np.fromiter((x for one in lists for x in one), np.uint32, int(counts.sum()))
         begins = len(self.flat) + np.cumsum(counts) - counts
         self.flat = np.concatenate((self.flat, flat))
         self.names = np.insert(self.names, at[new], names[new])
