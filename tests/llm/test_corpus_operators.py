@@ -274,13 +274,52 @@ def test_pretoken_of_more_than_65535_ids():
     assert T.take_lists(flat, counts, which).tolist() == enc.encode_ordinary(text)
 
 
+def test_packing_of_added_tokens_odd_sources_and_rows(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    given = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "\u9f98" * 40_001, "", None, "same", "same", "tail  <|endoftext|>  \n"]
+    sources = ["a\0b", "\1", None, "", "\1", "a\0b", None, "x", "x"]
+    ids = [0, 1, 2, 3, 4, None, 6, 6, 8]
+    docs = spark.createDataFrame(list(zip(ids, given, sources)), "doc_id long, text string, source string").repartition(3)
+    for added in (True, False):
+        tok.encode_special_tokens = not added
+        whole: dict = {}
+        for r in sorted(packing.pack(docs, length=16, window_sequences=2, added_tokens=added).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.source is None, r.source, r.start)):
+            whole.setdefault((r.doc_id, r.source), b"")
+            whole[r.doc_id, r.source] += bytes(r.ids)
+        want = {(i, s): np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t, s in zip(ids, given, sources)}
+        assert whole == want
+    assert packing.pack(docs.where("false")).count() == 0
+
+
+def test_packing_of_very_many_sources_keeps_their_shares(spark):
+    rows = [(i, "a b c d e f g h i", f"host{i % 2000}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = packing.pack(docs, length=100, window_sequences=80, block_bytes=20_000).collect()
+    assert sum(r.length for r in got) == 80_000
+    per: dict = {}
+    for r in got:
+        for place in range(r.sequence_id * 100 + r.offset, r.sequence_id * 100 + r.offset + r.length):
+            per.setdefault(place // 8000, {}).setdefault(r.source, 0)
+            per[place // 8000][r.source] += 1
+    assert len(per) == 10 and all(len(w) == 2000 and set(w.values()) <= {3, 4, 5} for w in per.values())
+
+
+def test_shares_are_exact_beyond_63_bits():
+    part, whole = np.array([0, 1, 7, (1 << 45) - 3, 1 << 45]), 1 << 45
+    for n in (0, 1, 12345, (1 << 44) + 7, 1 << 62):
+        if n * (1 << 45) // whole < 1 << 63:
+            assert packing._share(n, part, whole).tolist() == [n * int(x) // whole for x in part]
+
+
 def test_windows_keep_the_proportions():
     s = packing.Schedule([700, 200, 100], None, 50)
     for w in range(1, s.windows + 1):
-        step = [b - a for a, b in zip(s.given(w - 1), s.given(w))]
+        step = [b - a for a, b in zip(s.given(w - 1).tolist(), s.given(w).tolist())]
         assert all(abs(x - 50 * share) <= 1 for x, share in zip(step, (0.7, 0.2, 0.1)))
     s = packing.Schedule([700, 200, 0, 10], [1, 1, 1, 0], 50)
-    assert s.given(s.windows) == [700, 200, 0, 10]
+    assert s.given(s.windows).tolist() == [700, 200, 0, 10]
     for q in (0, 1, 3):
         for x in range(s.totals[q]):
             w = s.window_of(q, x)
@@ -298,6 +337,12 @@ def test_exact(docs, sample, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_rows_without_id(spark):
+    docs = brute.documents(spark, [(None, "a  b"), (4, "a\tb"), (4, "a b"), (9, "a b"), (None, "c"), (None, "c"), (None, "d")], 4)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.keep_id is None, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
+    assert got == [(False, 4, False, 4, 4, True), (False, 4, False, 4, 4, True), (False, 9, False, 4, 4, False), (True, 0, False, 4, 4, False), (True, 0, True, 0, 1, True), (True, 0, True, 0, 2, True), (True, 0, True, 0, 2, True)]
+
+
 @pytest.mark.parametrize("bits", [20, 2])
 def test_quality_rules(docs, sample, empty, monkeypatch, bits):
     monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)  # two bits: prints clash, and the words decide
@@ -335,16 +380,67 @@ def test_quality_model_learns_from_positives(spark):
     assert quality_model.fit(x.where("false"), x, 0.5).tolist() == [0] * len(quality_model.FEATURES)
 
 
-def test_restoring_disguised_words():
-    words = "idiot moron stupid worthless loser trash then thing other reader better letters".split() * 50
+def letter_counts(words):
     code = toxicity._code[np.frombuffer(("  " + "  ".join(words) + "  ").encode(), np.uint8)]
-    counts = np.bincount(code[:-2] * 729 + code[1:-1] * 27 + code[2:], minlength=27**3).reshape(27, 27, 27).astype(float)
-    restore = toxicity.Restorer(counts).restore
-    given = {"1d10t": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "i d i o t": "idiot", "w.o.r.t.h.l.e.s.s": "worthless", "looooser": "loser", "tr@sh": "trash"}
-    assert {k: restore(k) for k in given} == given
-    text = b"plain words 1d10t and m o r o n or sooo 12 end$ x"
-    spans = toxicity.disguised(np.frombuffer(text, np.uint8), np.array([len(text)]))
-    assert [text[a:b] for a, b in spans] == [b"1d10t", b"sooo", b"m o r o n"]
+    return np.bincount(code[:-2] * 729 + code[1:-1] * 27 + code[2:], minlength=27**3).reshape(27, 27, 27).astype(float)
+
+
+WORDS = "idiot moron stupid worthless loser trash then thing other reader better letters asshole ass fuck shit a".split()
+
+
+def test_restoring_disguised_words():
+    restore = toxicity.Restorer(letter_counts(WORDS * 50)).restore
+    for given, want in {"1d10t": "idiot", "id10t": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "looooser": "loser", "tr@sh": "trash", "l053r": "loser", "a$$": "ass", "@$$hole": "asshole", "a$$hole": "asshole", "$#!t": "shit", "f**k": "fuck", "f*ck": "fuck"}.items():
+        assert want in restore(toxicity.core(given), False), given
+    for given, want in {"i d i o t": "idiot", "w.o.r.t.h.l.e.s.s": "worthless", "a s s": "ass", "f  u  c  k": "fuck", "i d 1 0 t": "idiot", "a  l o s e r": "a loser"}.items():
+        assert want in restore(given, True), given
+
+
+def test_spans_that_may_be_disguised():
+    text = "plain words 1d10t and m o r o n or sooo 12 wow! \"$tupid (maybe) a s s 2024 f  u  c  k @$$ 3,000 l o\ns e r x".encode()
+    words, spaced = toxicity.disguised(np.frombuffer(text, np.uint8), np.array([len(text)]))
+    assert [x for a, b in words if (x := toxicity.core(text[a:b].decode()))] == ["1d10t", "sooo", "$tupid", "@$$"]
+    assert [text[a:b] for a, b in spaced] == [b"m o r o n", b"a s s", b"f  u  c  k", b"s e r x"]
+    two = toxicity.disguised(np.frombuffer(b"a b c d", np.uint8), np.array([3, 7]))
+    assert two == ([], [])
+
+
+def test_decoding_against_all_paths():
+    restorer = toxicity.Restorer(letter_counts(WORDS * 3))
+    rng = random.Random(6)
+    for spaced in (False, True):
+        for _ in range(60):
+            stretch = (" " if spaced else "").join(rng.choice("abst10$!@oo") for _ in range(rng.randint(1, 6))) + rng.choice(["", "ooo"] if not spaced else [""])
+            for literal in (True, False):
+                columns = restorer.lattice(stretch, spaced, literal)
+                paths = [((0, 0), 0.0, "")]
+                for choices, none in columns:
+                    paths = [((y, k), w + restorer.log[x, y, k] + extra, said + out) for (x, y), w, said in paths for k, out, extra in choices] + ([(s, w + none, said) for s, w, said in paths] if none is not None else [])
+                best = max(w + restorer.log[x, y, 0] for (x, y), w, _ in paths)
+                got = restorer.decode(columns)
+                assert any(said == got and abs(w + restorer.log[x, y, 0] - best) < 1e-9 for (x, y), w, said in paths)
+
+
+def test_gradient_and_fit_of_the_logistic_score():
+    rng = np.random.default_rng(4)
+    owner, column = np.nonzero(rng.random((60, 7)) < 0.4)
+    y, times = rng.integers(0, 2, 60).astype(float), rng.integers(1, 4, 60).astype(float)
+    w, bias = rng.normal(size=7), 0.3
+    value, gw, gb = toxicity.risk(w, bias, owner, column, y, times)
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-6
+        assert abs((toxicity.risk(w + step, bias, owner, column, y, times)[0] - value) / 1e-6 - gw[i]) < 1e-5
+    assert abs((toxicity.risk(w, bias + 1e-6, owner, column, y, times)[0] - value) / 1e-6 - gb) < 1e-5
+    x = np.zeros((60, 8))
+    x[owner, column] = 1
+    x[:, 7] = 1
+    plain = np.zeros(8)  # Newton steps on the dense matrix
+    ridge = toxicity.RIDGE * np.diag([1.0] * 7 + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ plain))
+        plain -= np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x / times.sum() + ridge, x.T @ (times * (p - y)) / times.sum() + ridge @ plain)
+    fitted, fitted_bias = toxicity.logistic(owner, column, y, times, 7, 5000)
+    assert np.allclose([*fitted, fitted_bias], plain, atol=0.02)
 
 
 def test_toxicity_finds_plain_and_disguised_words(spark):
