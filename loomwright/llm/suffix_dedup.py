@@ -6,10 +6,15 @@ occur twice; the rest of the text is settled. The stretches of text around the s
 once a block, to the bucket of their probe. There the stretches of a probe that differ are aligned at it, columns in which the
 same stretches agree become one symbol, and the suffixes of these symbol strings are sorted by grouping (group_suffixes). The
 longest common prefixes cut the sorted order into intervals; each interval is one repeated string and its least (id, position)
-is the copy that stays.
+is the copy that stays. Where all stretches of a probe are equal, their array is one interval and is not sorted.
 
-Null and empty texts have no bytes and lose none. Repeated rows are repeats like any other. Columns other than the id and the
-text are not read. A text may end in the middle of a character once bytes go, so the kept text is binary.
+A probe with very many different surroundings (HOT of the 256 values of a hash of them) would be one large group. Its stretches
+are split: each of their windows goes by itself to the bucket of its own bytes, so no group holds more than equal windows.
+
+Null and empty texts have no bytes and lose none; a null id counts as the least and stays null. Repeated rows are repeats like
+any other: of two rows with one id and equal texts one stays whole. Texts of any length are read whole. An empty table gives no
+rows. Columns other than the id and the text are not read. A text may end in the middle of a character once bytes go, so the
+kept text is binary.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from loomwright.llm import kernels as K
 from loomwright.llm.scratch import settle
 
 WIDTH = 100
+HOT = 64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -281,7 +287,27 @@ def first_copies(groups: list[tuple[list[bytes], list[int], list[tuple]]], width
     return out
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def _shared_probes(requests: DataFrame, hot: int) -> DataFrame:
+    """Replies with the shortened probes that at least two blocks sent: those with few surroundings, and those with very many."""
+
+    def reply(bucket, blocks, bodies):
+        parts = [B.unpack(x, bytes, np.uint8) for x in bodies]
+        keys = [B.lengthen(x) for x, _ in parts]
+        names, which, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        around = np.unique(which.astype(np.int64) << 8 | np.concatenate([x for _, x in parts]))
+        many = np.bincount(around >> 8, minlength=len(names)) >= hot
+        at = 0
+        for block, mine in zip(blocks, keys, strict=True):
+            i = which[at : at + len(mine)]
+            at += len(mine)
+            shared = counts[i] > 1
+            if shared.any():
+                yield block, B.pack(B.shorten(mine[shared & ~many[i]]), B.shorten(mine[shared & many[i]]))
+
+    return B.answer(requests, reply)
+
+
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, block_bytes: int = B.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each byte that a string of width bytes covers which also starts earlier (a smaller id, or earlier in the document).
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept.
@@ -292,12 +318,17 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def probes(block, payload):
         _, lens, text = B.open_block(payload)
-        prints = np.unique(_stretches(np.frombuffer(text, np.uint8), lens, width, span)[3])
+        a = np.frombuffer(text, np.uint8)
+        first, last, _, prints = _stretches(a, lens, width, span)
+        prints, once = np.unique(prints, return_index=True)
+        order = np.argsort(once)
+        around = np.empty(len(once), np.uint8)
+        around[order] = (_named(a, first[once[order]], last[once[order]], width) & np.uint64(255)).astype(np.uint8)
         for bucket, i in B.by_bucket(prints, n_buckets):
-            yield bucket, B.shorten(prints[i])
+            yield bucket, B.pack(B.shorten(prints[i]), around[i])
 
     # A probe also counts as shared if one block holds it in two stretches; the block sees that by itself.
-    shared = B.shared_keys(B.ask(blocks, probes))
+    shared = _shared_probes(B.ask(blocks, probes), hot)
 
     def stretches(block, payload, bodies):
         ids, lens, text = B.open_block(payload)
@@ -305,45 +336,59 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first, last, probe, prints = _stretches(a, lens, width, span)
         if not len(first):
             return pa.Table.from_batches([B.messages([])])
-        known = np.frombuffer(b"", np.uint64) if not bodies else np.concatenate([B.lengthen(x) for x in bodies])
+        told = [B.unpack(x, bytes, bytes) for x in bodies]
+        few, many = (np.concatenate([np.empty(0, np.uint64), *(B.lengthen(x[i]) for x in told)]) for i in (0, 1))
         uniq, which, times = np.unique(prints, return_inverse=True, return_counts=True)
-        hit = (np.isin(uniq & B.FIVE, known) | (times > 1))[which]
+        short = uniq & B.FIVE
+        split = np.isin(short, many)
+        hit = (np.isin(short, few) | split | (times > 1))[which]
+        split = split[which][hit]
         first, last, probe, prints = first[hit], last[hit], probe[hit], prints[hit]
-        _, once = np.unique(_named(a, first, last, width), return_index=True)
-        once.sort()
-        first, last, probe, prints = first[once], last[once], probe[once], prints[once]
+        names, once = np.unique(_named(a, first, last, width), return_index=True)
+        order = np.argsort(once)
+        names, once = names[order], once[order]
+        first, last, probe, prints, split = first[once], last[once], probe[once], prints[once], split[once]
+        shift = np.zeros(len(first), np.int64)
+        if split.any():  # each window of these stretches by itself
+            n = (last - first + 1)[split]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(first[split], n) + inner
+            whole = ~split
+            prints = np.concatenate((prints[whole], K.mix(_named(a, begin, begin, width))))
+            names = np.concatenate((names[whole], np.repeat(names[split], n)))
+            first, last, probe, shift = (np.concatenate((x[whole], y)) for x, y in ((first, begin), (last, begin), (probe, begin), (shift, inner)))
         cuts = np.cumsum(lens)
         doc = np.searchsorted(cuts, first, side="right")
         place = probe - (cuts - lens)[doc]
         out = []
         for bucket, i in B.by_bucket(prints, n_buckets):
             body = b"".join(text[x:y] for x, y in zip(first[i].tolist(), (last[i] + width).tolist(), strict=True))
-            head = B.pack(prints[i], (last - first)[i].astype(np.uint16), (probe - first)[i].astype(np.uint16), ids[doc[i]], place[i], body)
+            head = B.pack(prints[i], (last - first)[i].astype(np.uint16), (probe - first)[i].astype(np.uint16), ids[doc[i]], place[i], names[i], shift[i].astype(np.uint16), body)
             out.append((bucket, block, B.squeeze(head, 3)))
         return pa.Table.from_batches([B.messages(out)])
 
     def copies(bucket, blocks_, bodies):
         held: dict[int, dict[bytes, list]] = {}
         for k, body in enumerate(bodies):
-            prints, more, offs, ids, place, text = B.unpack(B.expand(body), np.uint64, np.uint16, np.uint16, np.int64, np.int64, bytes)
+            prints, more, offs, ids, place, names, shift, text = B.unpack(B.expand(body), np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.uint64, np.uint16, bytes)
             at = 0
-            for p, m, o, d, x in zip(prints.tolist(), more.tolist(), offs.tolist(), ids.tolist(), place.tolist(), strict=True):
+            for p, m, o, d, x, n, s in zip(prints.tolist(), more.tolist(), offs.tolist(), ids.tolist(), place.tolist(), names.tolist(), shift.tolist(), strict=True):
                 end = at + m + width
-                held.setdefault(p, {}).setdefault(text[at:end], []).append((d, x, k, o))
+                held.setdefault(p, {}).setdefault(text[at:end], []).append((d, x, k, o, n, s))
                 at = end
-        gone: list[list[tuple[bytes, int, int]]] = [[] for _ in bodies]
+        gone: list[list[tuple[int, int, int]]] = [[] for _ in bodies]
         ragged, waiting = [], []
 
-        def later(stretch, entries, ranges):
-            for d, x, k, _ in entries:
+        def later(entries, ranges):
+            for d, x, k, _, name, shift in entries:
                 for lo, hi, owner in ranges:
                     if owner < (d, x):
-                        gone[k].append((stretch, lo, hi))
+                        gone[k].append((name, lo + shift, hi + shift))
 
         def settle_ragged():
-            for (names, _, _), ranges, entries in zip(ragged, first_copies(ragged, width), waiting, strict=True):
-                for name, r, e in zip(names, ranges, entries, strict=True):
-                    later(name, e, r)
+            for ranges, entries in zip(first_copies(ragged, width), waiting, strict=True):
+                for r, e in zip(ranges, entries, strict=True):
+                    later(e, r)
             ragged.clear()
             waiting.clear()
 
@@ -352,7 +397,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             names = list(of_probe)
             owners = [min(e)[:2] for e in of_probe.values()]
             if len(names) == 1:
-                later(names[0], of_probe[names[0]], [(0, len(names[0]) - width + 1, owners[0])])
+                later(of_probe[names[0]], [(0, len(names[0]) - width + 1, owners[0])])
             else:
                 ragged.append((names, [e[0][3] for e in of_probe.values()], owners))
                 waiting.append(list(of_probe.values()))
@@ -364,10 +409,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             settle_ragged()
         for k, found in enumerate(gone):
             if found:
-                whole = np.frombuffer(b"".join(x for x, _, _ in found), np.uint8)
-                ends = np.cumsum([len(x) for x, _, _ in found])
-                names = K.word_names(whole, np.concatenate(([0], ends[:-1])), ends)
-                yield blocks_[k], B.pack(names, np.array([x[1] for x in found], np.uint16), np.array([x[2] for x in found], np.uint16))
+                yield blocks_[k], B.pack(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.uint16), np.array([x[2] for x in found], np.uint16))
 
     found = B.answer(B.meet_some(blocks, shared, stretches, always=True), copies)
 
