@@ -12,9 +12,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset, a temporary folder of this run."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder of this run if Spark is local, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,14 +32,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every settled table of this process; call it once the results have been written."""
+def mark() -> int:
+    """How many tables there are so far; clear() can spare these."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, last: bool = True) -> None:
+    """Delete the settled tables of this process, those before `since` and (without last) the newest one spared. Only once nothing
+    that reads them is to run any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        _, path = _written.pop()
+    end = len(_written) if last else len(_written) - 1
+    for _, path in _written[since:end]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
+    del _written[since:end]
 
 
 @atexit.register

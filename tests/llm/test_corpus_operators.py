@@ -74,9 +74,20 @@ def test_substring_other_widths(spark, sample):
 def test_suffix(docs, sample, empty):
     got = by_id(suffix_dedup.dedup_bytes(docs, block_bytes=9000), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.suffix(sample)
+    got = by_id(suffix_dedup.dedup_bytes(docs, block_bytes=9000, hot=2), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.suffix(sample)
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_suffix_phrase_with_very_many_surroundings(spark):
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase = noise(90)
+    rows = [(i, noise(rng.randint(0, 60)) + rng.choice("xyz") * 8 + phrase + rng.choice("xyz") * 8 + noise(rng.randint(0, 60))) for i in range(300)]
+    got = by_id(suffix_dedup.dedup_bytes(brute.documents(spark, rows, 6), block_bytes=1500), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.suffix(rows)
+
+
 def kept_lines(df):
     return {(r.doc_id, r.text): r.kept for r in df.select("doc.doc_id", "doc.text", F.coalesce("kept_text", F.lit("")).alias("kept")).collect()}
 
@@ -364,20 +375,71 @@ def test_policies_and_ablations(spark):
     assert out["symbols"] == (1, 1, 2) and out["too_short"][0] == 2
 
 
-def test_quality_model_learns_from_positives(spark):
-    rng = random.Random(3)
+def quality_rows(seed=3):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
     rows = []
     for i in range(600):
         n = rng.randint(40, 120)
         rows.append((i, " ".join(word() for _ in range(n)) + "." if i % 4 else " ".join(word() + " | ###" for _ in range(n))))
-    rows += [(900, None), (901, ""), (902, "   ")]
-    x = quality_model.features(brute.documents(spark, rows)).cache()
-    w = quality_model.fit(x, x.where("doc_id % 8 = 1"), 0.75)
+    return rows + [(900, None), (901, ""), (902, "   "), (None, "no id")]
+
+
+def test_quality_model_learns_from_positives(spark):
+    docs = brute.documents(spark, quality_rows())
+    labels = docs.where("doc_id % 8 = 1").select("doc_id")
+    x, w, prior = quality_model.model(docs, labels)
     got = by_id(quality_model.score(x, w), "score")
+    assert 0.6 < prior < 0.9
     assert sum((got[i][0] >= 0.5) == (i % 4 > 0) for i in range(600)) > 590
-    assert all(0 <= s <= 1 for (s,) in got.values()) and len(got) == 603
-    assert quality_model.fit(x.where("false"), x, 0.5).tolist() == [0] * len(quality_model.FEATURES)
+    assert all(0 <= s <= 1 for (s,) in got.values()) and len(got) == 604
+    x, w, _ = quality_model.model(docs, labels.where("false"))
+    assert not w.any() and x.count() == 604
+    x, w, _ = quality_model.model(docs.where("false"), labels)
+    assert quality_model.score(x, w).count() == 0
+
+
+def test_quality_words_tell_texts_of_one_form_apart(spark):
+    rng = random.Random(5)
+    good, bad = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(60))) for i in range(800)]
+    docs = brute.documents(spark, rows)
+    x, w, prior = quality_model.model(docs, docs.where("doc_id % 6 = 1").select("doc_id"))
+    got = by_id(quality_model.score(x, w), "score")
+    assert sum((got[i][0] >= 0.5) == (i % 2 == 1) for i in range(800)) > 780 and 0.4 < prior < 0.6
+
+
+def test_quality_fit_against_plain_version(spark):
+    docs = brute.documents(spark, quality_rows(8))
+    rows = quality_model.features(docs, np.arange(1, 600, 8)).cache()
+    held = rows.collect()
+    x, good = np.array([r.x for r in held]), np.array([r.good for r in held])
+    assert good.sum() == 75
+    d = x.shape[1]
+
+    def plain_risk(w, prior):  # straight from the definition
+        loss = lambda z: np.logaddexp(0, -z)
+        z = x @ w
+        return prior * loss(z[good]).mean() + max(0.0, loss(-z).mean() - prior * loss(-z[good]).mean())
+
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.75):
+        w = rng.normal(size=d) * 0.3
+        u, p = quality_model._sums(rows, w)
+        slope = u.slope / u.n - prior * p.x / p.n
+        for i in range(d):
+            step = np.eye(d)[i] * 1e-6
+            assert u.loss / u.n < prior * p.loss / p.n or abs((plain_risk(w + step, prior) - plain_risk(w - step, prior)) / 2e-6 - slope[i]) < 1e-5
+        gather = lambda w: (quality_model.Sums(quality_model.sums_of(x, w), d), quality_model.Sums(quality_model.sums_of(x[good], w), d))
+        fitted, plain = quality_model.fit(rows, prior), quality_model.newton(gather, d, prior)
+        assert np.allclose(fitted, plain, rtol=1e-4, atol=1e-4)
+        assert plain_risk(fitted, prior) <= min(plain_risk(np.zeros(d), prior), plain_risk(w, prior)) + 1e-9
+
+
+def test_least_ratio_is_the_dilution():
+    good = np.array([0, 0, 100, 300, 600.0])
+    mixed = 0.4 * good / good.sum() * 50_000 + np.array([10_000, 15_000, 5_000, 0, 0])
+    assert abs(quality_model.least_ratio(mixed, good * 100) - 0.4) < 0.02
 
 
 def letter_counts(words):
@@ -466,5 +528,5 @@ def test_repeated_rows_and_ties(spark):
     docs = brute.documents(spark, [(1, "same text here"), (2, "same text here"), (2, "same text here"), (3, "other")])
     assert sorted(tuple(r) for r in exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size").collect()) == [(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 3, 1)]
     assert near_dedup.near_duplicates(docs).count() == 4
-    for f in (substring_dedup.dedup_substrings, suffix_dedup.dedup_bytes, bpe.digests, quality_rules.ledger, quality_model.features, line_dedup.dedup_lines):
+    for f in (substring_dedup.dedup_substrings, suffix_dedup.dedup_bytes, bpe.digests, quality_rules.ledger, lambda d: quality_model.features(d, np.array([2])), line_dedup.dedup_lines):
         assert f(docs).count() == 4
