@@ -129,8 +129,8 @@ def count_buckets(rows: DataFrame, positives: np.ndarray) -> np.ndarray:
 
 
 def _log_odds(u, p, n_u, n_p):
-    """How much more often positives have a bucket than all texts do, as a bounded log ratio."""
-    return np.clip(np.log((p + 2.0 * (u + 1) / (n_u + 1)) / (n_p + 2.0)) - np.log((u + 1.0) / (n_u + 1.0)), -3, 3)
+    """How much more often positives have a bucket than all texts do, as a log ratio of counts; rare buckets tell little."""
+    return np.log((p + 1.0) / (n_p * u / np.maximum(1, n_u) + 1.0))
 
 
 def measure_words(texts: list[bytes], good: np.ndarray, counts: np.ndarray) -> np.ndarray:
