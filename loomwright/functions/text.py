@@ -26,6 +26,11 @@ TAG_WORDS = (
     "deceptive", "arcane", "undead", "spirit", "elemental", "ancient", "wretched", "violent", "corrupted", "emanation",
 )
 SMALL_WORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "for", "from", "vs", "vs.", "on", "with", "by", "as", "at")
+ITEM_TAGS = (
+    "magical", "fragile", "immobile", "terrifying", "crude", "slow", "beautiful", "warm", "close", "reach", "awkward", "indestructible", "implanted", "large", "cumbersome",
+    "reload", "near", "far", "hand", "messy", "area", "dangerous", "forceful", "ignorearmor", "ap", "thrown", "twohanded", "worn", "applied",
+)
+ITEM_MEASURE = r"^\+?\d+(\s+(damage|piercing|armor|uses|weight|readiness))?$"
 LEADING_NOISE = r"(?i)^(?:(?:or|and|maybe|even|perhaps|possibly|just|like|including|a|an|the|some|any|its|their)\s+)+"
 KIND_WORDS = r"\s+(drake|bear|folk|spirit|ghost|wolf|boar|cougar)s?$"
 DINGBATS = {"ä": "•"}
@@ -50,14 +55,13 @@ def words(s: Column | str) -> Column:
 
 
 def undouble(s: Column | str) -> Column:
-    """Of each run of equal words (ignoring case) the first, third, .. word stays."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(acc: Column, w: Column) -> Column:
-        again = F.coalesce(F.lower(w) == acc["held"], F.lit(False))
-        return F.when(again, F.struct(acc["out"].alias("out"), F.lit(None).cast("string").alias("held"))).otherwise(F.struct(F.concat(acc["out"], F.array(w)).alias("out"), F.lower(w).alias("held")))
-
-    return F.array_join(F.aggregate(words(s), start, step, lambda acc: acc["out"]), " ")
+    """Of each run of equal words (ignoring case) the first, third, .. word stays: of places that differ in parity from their run's begin none."""
+    w = words(s)
+    at = F.sequence(F.lit(0), F.size(w) - 1)
+    begins = F.filter(at, lambda i: (i == 0) | (F.lower(F.get(w, i)) != F.lower(F.get(w, i - 1))))
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(w)))
+    kept = F.flatten(F.zip_with(begins, ends, lambda x, y: F.sequence(x, y - 1, F.lit(2))))
+    return F.when(F.size(w) == 0, F.lit("")).when(F.size(begins) == F.size(w), F.array_join(w, " ")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(w, i)), " "))
 
 
 def pairwise_doubled(s: Column | str) -> Column:
@@ -192,9 +196,11 @@ def tag_line(s: Column | str) -> Column:
 
 
 def pure_tags(s: Column | str) -> Column:
-    """Every comma part is a known tag, a value or a damage bonus."""
-    parts = F.transform(F.split(_col(s), ","), lambda x: F.trim(F.lower(x)))
-    return (_col(s) != "") & F.forall(parts, lambda p: p.isin(*TAG_WORDS) | p.rlike(r"^value \d+$") | p.rlike(r"^\+\d+ damage") | F.trim(F.regexp_replace(p, r"\d+", "")).isin(*TAG_WORDS))
+    """An item's tags and nothing else: every part is a known tag, a value or a measure. Inventory diamonds don't count."""
+    line = F.regexp_replace(F.trim(F.regexp_replace(F.trim(_col(s)), "^,+", "")), r"^[◇\s,]+", "")
+    parts = F.filter(F.transform(F.split(F.replace(line, F.lit("◇"), F.lit("")), "[,;]"), lambda p: F.trim(F.lower(p))), lambda p: p != "")
+    one = lambda p: p.isin(*ITEM_TAGS) | p.rlike(r"^values?\s*\d+$") | p.rlike(ITEM_MEASURE) | F.regexp_replace(p, r"[\d+\s]", "").isin(*ITEM_TAGS)
+    return F.coalesce((line != "") & (F.length(line) <= 90) & (F.size(parts) > 0) & F.forall(parts, lambda p: one(F.regexp_replace(p, r"\?+$", ""))), F.lit(False))
 
 
 def html_escape(s: Column | str, quotes: bool = True) -> Column:
