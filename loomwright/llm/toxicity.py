@@ -45,6 +45,8 @@ OPENING, CLOSING = "\"'`([{<", "\"'`.,;:!?)]}>"
 #: Log weights of the channel: a sign for a letter, a sign as itself within a word and at its ends, a doubled letter, a new word.
 _AS_LETTER, _AS_ITSELF, _AT_END, _TWICE, _BREAK = -1.0, -3.0, -0.5, -0.7, -2.0
 
+_RUNS = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+
 _code = np.zeros(256, np.int64)  # 0 is any other byte, 1 .. 26 the letters
 for _i, _c in enumerate(LETTERS, 1):
     _code[ord(_c)] = _code[ord(_c.upper())] = _i
@@ -118,11 +120,18 @@ class Restorer:
         every = np.arange(27)
         for choices, none in columns:
             new, come = np.full((27, 27), -np.inf), np.full((27, 27), -1, np.int8)
-            for code, _, weight in choices:
-                via = best + self.log[:, :, code]
+            if len(choices) > 5:  # all codes at once
+                codes = np.array([code for code, _, _ in choices])
+                via = best[:, :, None] + self.log[:, :, codes]
                 x = via.argmax(axis=0)
-                new[:, code] = via[x, every] + weight
-                come[:, code] = x
+                new[:, codes] = np.take_along_axis(via, x[None], axis=0)[0] + np.array([weight for _, _, weight in choices])
+                come[:, codes] = x
+            else:
+                for code, _, weight in choices:
+                    via = best + self.log[:, :, code]
+                    x = via.argmax(axis=0)
+                    new[:, code] = via[x, every] + weight
+                    come[:, code] = x
             if none is not None:
                 stay = best + none > new
                 new[stay], come[stay] = best[stay] + none, -1
@@ -144,8 +153,9 @@ class Restorer:
 
 
 def core(word: str) -> str:
-    """A word without the punctuation around it, or the empty string if nothing in it looks disguised."""
-    word = word.lstrip(OPENING).rstrip(CLOSING)
+    """A word without the punctuation around it, or the empty string if nothing in it looks disguised. Three or more equal signs
+    at an end are ornament."""
+    word = _RUNS.sub("", word.lstrip(OPENING).rstrip(CLOSING)).lstrip(OPENING).rstrip(CLOSING)
     if len(word) > 2 and word[0] == word[-1] == "*":
         word = word.strip("*")
     signs = [c for c in word if c in LOOKALIKES]
