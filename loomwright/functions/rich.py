@@ -117,17 +117,45 @@ def slug_of_path(path: Column | str) -> Column:
 
 
 def dice_button(expression: Column | str) -> Column:
-    e = F.regexp_replace(F.regexp_replace(_col(expression), r"\s+", ""), "[–—]", "-")
-    return F.concat(F.lit('<button class="dice" data-dice="'), T.html_escape(e), F.lit('">'), T.html_escape(expression), F.lit("</button>"))
+    """A button that rolls a (normalised) expression and shows it as written."""
+    e = F.regexp_replace(F.regexp_replace(F.lower(_col(expression)), "[–—]", "-"), r"\s*([+\-])\s*", "$1")
+    shown = T.html_escape(expression)
+    return F.concat(F.lit('<button type="button" class="dice-roll" data-dice="'), T.html_escape(e), F.lit('" title="Click to roll '), shown, F.lit('">'), shown, F.lit("</button>"))
 
 
-def check_list(items: Column, base: Column) -> Column:
-    """An array of texts as check boxes whose ids count up from the base."""
-    one = lambda x, i: F.concat(F.lit('<li><input type="checkbox" data-check-id="'), base, F.lit("-"), (i + 1).cast("string"), F.lit('">'), T.html_escape(x), F.lit("</li>"))
-    return F.concat(F.lit("<ul>"), F.array_join(F.transform(items, one), ""), F.lit("</ul>"))
+def benefit_continues(s: Column | str) -> Column:
+    """Prose that goes on with what a met requirement brings."""
+    line = F.trim(_col(s))
+    other = (line == "") | line.rlike(REQUIREMENT) | T.all_caps_label(line) | (F.lower(line) == "steading improvement") | line.rlike(rf"(?i)^{T.DICE}(\s+.+)?$")
+    opens = line.rlike(r"(?i)^(When you|Henceforth|Also,|Stonetop gains|Every |The steading|You can |You may |This |These )")
+    return ~other & (opens | ((F.length(line) > 50) & ~(T.heading(line) & (F.size(T.words(line)) <= 5))))
 
 
-def value_table(rows: Column) -> Column:
-    """An array of (item, value) as a table; a missing value shows a dash."""
-    one = lambda r: F.concat(F.lit("<tr><td>"), T.html_escape(r["item"]), F.lit("</td><td>"), F.coalesce(T.html_escape(r["value"]), F.lit("—")), F.lit("</td></tr>"))
-    return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, one), ""), F.lit("</table>"))
+def requirement_end(s: Column | str) -> Column:
+    return F.trim(_col(s)).rlike(REQUIREMENT_END)
+
+
+def mark_track(s: Column | str) -> Column:
+    """How many marks a row of signs has, if it has two to twelve and nothing else."""
+    line = F.trim(_col(s))
+    n = F.regexp_count(line, F.lit("[lLoO□☐○●•·]"))
+    return F.when(line.rlike(r"^[lLoO□☐○●•·\s]{2,}$") & n.between(2, 12), n).otherwise(0)
+
+
+def page_furniture(s: Column | str, y: Column, page_height: Column) -> Column:
+    """A page number at the foot of a page."""
+    return _col(s).rlike(r"^\d{1,3}$") & (y > page_height - 40)
+
+
+def split_bold(s: Column | str) -> Column:
+    """struct(prefix, text): the bold beginning of a line, and the line with that beginning in plain letters."""
+    prefix = bold_prefix(s)
+    rest = F.regexp_replace(_col(s), "^\\x04[^\\x04\\x05]*\\x05", "")
+    return F.struct(prefix.alias("prefix"), F.concat(prefix, rest).alias("text"))
+
+
+def roll_text(expression: Column, parts: Column, mod: Column, total: Column) -> Column:
+    """What a roll shows: the expression, its parts if there are several or something is added, and the total."""
+    sign = F.when(mod > 0, F.concat(F.lit(" + "), mod.cast("string"))).when(mod < 0, F.concat(F.lit(" − "), F.abs(mod).cast("string"))).otherwise(F.lit(""))
+    detail = F.when((F.size(parts) > 1) | (mod != 0), F.concat(F.lit(" ("), F.array_join(parts.cast("array<string>"), " + "), sign, F.lit(")"))).otherwise(F.lit(""))
+    return F.concat(expression, detail, F.lit(" → "), total.cast("string"))

@@ -107,12 +107,3 @@ def improvements(lines: DataFrame, key: str = "slug") -> DataFrame:
     is_item = R.requirement_item("line")
     g = df.groupBy(key, "part").agg(F.min_by("line", "pos").alias("header"), F.sort_array(F.collect_list(F.when(is_item, F.struct("pos", R.strip_marker("line").alias("item"))))).alias("x"))
     return g.where(R.requirement_header("header")).select(key, "part", "header", F.slice(F.transform("x", lambda x: x["item"]), 1, 30).alias("items"))
-
-
-def render(blocks: DataFrame, key: str = "slug") -> DataFrame:
-    """HTML of typed blocks (slug, block, kind, lines), put together in order."""
-    lines = F.transform("lines", lambda x: T.html_escape(x))
-    listed = F.concat(F.lit("<ul><li>"), F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, "^[•\\-–] ", "")), "</li><li>"), F.lit("</li></ul>"))
-    html = F.when(F.col("kind") == "bullet", listed).when(F.col("kind").isin("heading", "label"), F.concat(F.lit("<h2>"), F.array_join(lines, " "), F.lit("</h2>"))).when(F.col("kind") == "blank", F.lit("")).otherwise(F.concat(F.lit("<p>"), F.array_join(lines, "<br>"), F.lit("</p>")))
-    g = blocks.select(key, "block", html.alias("html")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", "html"))).alias("h"))
-    return g.select(key, F.array_join(F.transform("h", lambda x: x["html"]), "").alias("html"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions import rich as R
 from loomwright.functions import text as T
 
 
@@ -17,12 +18,16 @@ def statistics(df: DataFrame, expression: str) -> DataFrame:
     return out.withColumns({"least": F.col("n") + F.col("mod"), "most": F.col("n") * F.col("sides") + F.col("mod"), "mean": F.col("n") * (F.col("sides") + 1) / 2 + F.col("mod")})
 
 
+def totalled(df: DataFrame, expression: str) -> DataFrame:
+    """Rolled parts with their total and the text that shows the roll; df: (.., parts, mod)."""
+    out = df.withColumn("total", F.aggregate("parts", F.lit(0), lambda a, b: a + b) + F.col("mod"))
+    return out.withColumn("shown", R.roll_text(F.col(expression), F.col("parts"), F.col("mod"), F.col("total")))
+
+
 def roll(df: DataFrame, expression: str, seed: int) -> DataFrame:
     """parts, total and the text that shows them; the same seed gives the same rolls on the same partitioning."""
     out = parse(df, expression).where("n is not null").withColumn("parts", F.transform(F.sequence(F.lit(1), "n"), lambda _: (F.floor(F.rand(seed) * F.col("sides")) + 1).cast("int")))
-    total = F.aggregate("parts", F.lit(0), lambda a, b: a + b) + F.col("mod")
-    sign = F.when(F.col("mod") > 0, F.concat(F.lit(" + "), F.col("mod"))).when(F.col("mod") < 0, F.concat(F.lit(" - "), -F.col("mod"))).otherwise("")
-    return out.withColumn("total", total).withColumn("shown", F.concat(F.array_join(F.col("parts").cast("array<string>"), " + "), sign, F.lit(" = "), F.col("total")))
+    return totalled(out, expression)
 
 
 def look_up(totals: DataFrame, ranges: DataFrame) -> DataFrame:

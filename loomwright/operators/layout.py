@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 
@@ -26,25 +30,24 @@ def assign_columns(df: DataFrame, gutter: Column) -> DataFrame:
     return df.withColumn("col", F.when(F.col("x") < gutter, 0).otherwise(1))
 
 
-def glyph_kind(width: Column, height: Column, n_items: Column, first_op: Column) -> Column:
-    """The kind of a drawn shape by its size and number of path items."""
-    return (
-        F.when((height < 1.5) & (width > 40), "hrule").when((width > 120) & (height > 60), "info_box").when(width.between(6, 10) & height.between(6, 10) & (first_op == "re"), "checkbox")
-        .when((n_items >= 12) & width.between(6, 14), "spiral").when((n_items == 4) & width.between(3, 8) & height.between(3, 8), "diamond").when(n_items.between(2, 6) & width.between(4, 14), "tail")
-    )
-
-
 def cluster_lines(spans: DataFrame, key: list[str], within: float = 4.5) -> DataFrame:
-    """Adds line_y: a span joins the line whose first y is at most `within` away, else begins one. Anchored at the first span, so
-    a gap rule does not do; the fold is over one page's sorted array."""
-    start = F.struct(F.array().cast("array<struct<ord:bigint,line_y:double>>").alias("out"), F.lit(None).cast("double").alias("first"))
-
-    def step(acc: Column, s: Column) -> Column:
-        first = F.when(acc["first"].isNotNull() & (F.abs(s["y"] - acc["first"]) <= within), acc["first"]).otherwise(s["y"])
-        return F.struct(F.concat(acc["out"], F.array(F.struct(s["ord"].alias("ord"), first.alias("line_y")))).alias("out"), first.alias("first"))
-
-    g = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("ord").cast("long").alias("ord")))).alias("s"))
-    return g.select(*key, F.inline(F.aggregate("s", start, step, lambda acc: acc["out"])))
+    """(key, ord, line_y): a span joins the line whose first y is at most `within` away, else begins one. Anchored at the first span,
+    so a gap rule does not do: spans stream by in order and the line's first y is all that is kept."""
+    rows = spans.select(*key, F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("ord").cast("long").alias("ord"))
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "y", "x", "ord")
+    schema = S.StructType([*[rows.schema[k] for k in key], S.StructField("ord", S.LongType()), S.StructField("line_y", S.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, first = None, None
+        for batch in batches:
+            line_y = []
+            for *mine, y in zip(*[batch.column(k).to_pylist() for k in key], batch.column("y").to_pylist(), strict=True):
+                if first is None or mine != page or abs(y - first) > within:
+                    page, first = mine, y
+                line_y.append(first)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], batch.column("ord"), pa.array(line_y, pa.float64())], names=[*key, "ord", "line_y"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def glyphs_of_lines(lines: DataFrame, glyphs: DataFrame, key: list[str], band: float, left: float) -> DataFrame:

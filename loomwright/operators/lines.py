@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwright.functions import rich as R
+from loomwright.functions import rules as L
 from loomwright.functions import text as T
 
 
@@ -24,20 +25,33 @@ def islands(df: DataFrame, key: list[str], order: str, kind: Column, name: str =
 
 
 def excerpt(lines: DataFrame, key: str = "doc_id", least_words: int = 50, least_chars: int = 40) -> DataFrame:
-    """The paragraphs that first bring a document to least_words, the crossing one included; without any its first line."""
+    """The paragraphs that first bring a document to least_words, the crossing one included; without any its first line.
+
+    Paragraphs are unmarked lines outside info boxes with least_chars characters at least that are no entry, tags, hit points or
+    dice header.
+    """
     w = Window.partitionBy(key).orderBy("pos")
-    n = F.size(T.words("line"))
-    good = lines.where(F.length("line") >= least_chars).withColumn("before", F.sum(n).over(w) - n).where(F.col("before") < least_words)
-    body = good.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("p")).select(key, F.array_join(F.transform("p", lambda x: x["line"]), "\n\n").alias("body"))
+    box = F.last(F.when(F.col("line") == "\x02BOX", True).when(F.col("line") == "\x02ENDBOX", False), ignorenulls=True).over(w)
+    clean = F.trim(R.plain("line"))
+    other = F.col("clean").rlike(T.ENTRY) | T.tag_line("clean") | F.col("clean").rlike(T.HIT_POINTS) | F.col("clean").rlike(rf"(?i)^{T.DICE}\s+.+$")
+    df = lines.withColumn("in_box", F.coalesce(box, F.lit(False))).withColumn("clean", clean)
+    good = df.where(~F.col("in_box") & ~F.col("line").startswith("\x02") & (F.length("clean") >= least_chars) & ~other)
+    n = F.size(T.words("clean"))
+    good = good.withColumn("before", F.sum(n).over(w) - n).where(F.col("before") < least_words)
+    body = good.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "clean"))).alias("p")).select(key, F.array_join(F.transform("p", lambda x: x["clean"]), "\n\n").alias("body"))
     first = lines.groupBy(key).agg(F.min_by("line", "pos").alias("first_line"))
-    return first.join(body, key, "left").select(key, F.coalesce("body", "first_line").alias("excerpt"))
+    return first.join(body, key, "left").select(key, F.coalesce("body", R.strip_marker("first_line")).alias("excerpt"))
 
 
-def next_heading(headings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, level, end): the place of the next heading of the same or a higher level (a smaller number)."""
-    b = headings.select(F.col(key).alias("k2"), F.col("pos").alias("p2"), F.col("level").alias("l2"))
-    joined = headings.join(b, (F.col(key) == F.col("k2")) & (F.col("p2") > F.col("pos")) & (F.col("l2") <= F.col("level")), "left")
-    return joined.groupBy(key, "pos", "level").agg(F.min("p2").alias("end"))
+def next_heading(headings: DataFrame, key: str = "doc_id", levels: int = 6) -> DataFrame:
+    """(key, pos, level, end): the place of the next heading of the same or a higher level (a smaller number); one pass over each
+    document, no pairs."""
+    ahead = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    at = [F.first(F.when(F.col("level") == n, F.col("pos")), ignorenulls=True).over(ahead) for n in range(1, levels + 1)]
+    end = F.when(F.col("level") == 1, at[0])
+    for n in range(2, levels + 1):
+        end = end.when(F.col("level") == n, F.least(*at[:n]))
+    return headings.select(key, "pos", "level", end.alias("end"))
 
 
 def merge_tables(tables: DataFrame, key: str, order: str) -> DataFrame:
@@ -53,66 +67,43 @@ def carry_forward(df: DataFrame, key: str, order: str, value: Column, name: str)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def toc_peel(lines: DataFrame, key: str = "doc_id", prose_chars: int = 60) -> DataFrame:
-    """Whether each line belongs to a leading table of contents: at least three short lines before the first prose line, of five or more."""
+def toc_prose(s: Column | str) -> Column:
+    """The first body paragraph after a chapter's table of contents."""
+    line = F.trim(F.col(s) if isinstance(s, str) else s)
+    n = F.size(F.filter(T.words(line), lambda w: w.rlike(r"^\p{Ll}")))
+    openings = "|".join(L.CHAPTER_OPENINGS)
+    return (F.length(line) >= 70) | ((F.length(line) >= 48) & ((n >= 2) | ((n >= 1) & line.rlike("[.!?]$")))) | ((F.length(line) >= 35) & line.rlike(f"(?i)^({openings})"))
+
+
+def toc_garbage(s: Column | str) -> Column:
+    """Scraps of glued columns around a table of contents."""
+    line = F.trim(F.col(s) if isinstance(s, str) else s)
+    w = T.words(line)
+    soup = (F.size(F.filter(w, lambda x: x.rlike(r"^\p{Ll}"))) >= 2) & ~line.rlike("[.!?:]$")
+    return (line == "") | (soup & ((F.size(w) >= 5) | (F.length(line) > 42))) | F.lower(line).isin(*L.LONE_SHARDS)
+
+
+def toc_peel(lines: DataFrame, key: str = "doc_id", title: Column | None = None) -> DataFrame:
+    """The lines with `part`: toc for a label of a leading table of contents, body for the text after it, null for scraps.
+
+    There is one if a document has five lines or more, the first prose line is the fourth or later, no marked line and no long line
+    of no known kind stands before it, and at least three labels do. Else all lines are body.
+    """
+    title = F.lit("") if title is None else title
     w = Window.partitionBy(key)
-    prose = F.length("line") >= prose_chars
-    df = lines.withColumn("first_prose", F.min(F.when(prose, F.col("pos"))).over(w)).withColumn("n", F.count("*").over(w))
-    labels = F.sum(F.when((F.col("pos") < F.col("first_prose")) & (F.trim("line") != ""), 1).otherwise(0)).over(w)
-    df = df.withColumn("labels", labels)
-    return df.withColumn("is_toc", F.coalesce((F.col("n") >= 5) & (F.col("first_prose") >= 3) & (F.col("labels") >= 3) & (F.col("pos") < F.col("first_prose")), F.lit(False))).drop("n", "labels", "first_prose")
-
-
-_CONNECTORS = frozenset("a an the and or of to in for from with by as at on but nor so if than that which who whose into onto over under between their its his her your our".split())
-
-
-def joins_on(buffer: str, line: str) -> bool:
-    """Whether a line goes on with the text before it; ordered rules, the first that fires decides."""
-    a, b = buffer.rstrip(), line.lstrip()
-    if not a or not b:
-        return False
-    last = a.split()[-1].lower().strip(",;:()")
-    closed = a[-1] in ",;:-—–"
-    if a.startswith("•") and b[0].isupper() and not closed and last not in _CONNECTORS:
-        return False
-    if a.endswith("(page") and b[0].isdigit():
-        return True
-    if b[0] in "•–":
-        return False
-    if last in _CONNECTORS:
-        return True
-    if b.startswith(("When ", "If you", "On a ", "Choose", "Pick ")) and not a.endswith("-"):
-        return False
-    if a[-1] in "–—" or (a[-1] == "-" and not a.endswith("--")):
-        return True
-    if a[-1] in ".!?:;…\"”":
-        return False
-    if a[-1] == ")":
-        return b[0].islower()
-    return b[0].islower() or b[0] in "(\"“'" or a[-1] in ",;"
-
-
-def glue(a: str, b: str) -> str:
-    if a.endswith(("–", "—")):
-        return a + b
-    if a.endswith("-") and not a.endswith("--"):
-        return (a[:-1] if b[:1].islower() else a) + b
-    return f"{a} {b}"
-
-
-def merge_wrapped(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Wrapped lines put together again, in order; each decision needs the text merged so far, so this is a fold over a document's lines."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[str] = []
-        for line in rows.sort_values("pos")["line"]:
-            if out and joins_on(out[-1], line):
-                out[-1] = glue(out[-1].rstrip(), line.lstrip())
-            else:
-                out.append(line)
-        return pd.DataFrame({key: rows[key].iloc[0], "pos": range(len(out)), "line": out})
-
-    return lines.groupBy(key).applyInPandas(fold, f"{key} long, pos int, line string")
+    line = F.trim("line")
+    df = lines.withColumn("title_", F.coalesce(title, F.lit("")))
+    df = df.withColumn("prose_", F.min(F.when(toc_prose("line"), F.col("pos"))).over(w)).withColumn("n_", F.count("*").over(w)).withColumn("first_", F.min("pos").over(w))
+    df = df.withColumn("mark_", F.min(F.when(F.col("line").startswith("\x02"), F.col("pos"))).over(w)).withColumn("garbage_", toc_garbage("line"))
+    early = F.col("pos") < F.col("prose_")
+    own = (line != "") & (F.lower(T.normalize_text("line")) != F.lower(T.normalize_text("title_"))) & ~R.running_header(line, "title_", True) & ~F.col("garbage_")
+    label = T.heading(line) | ((F.length(line) <= 40) & line.rlike(r"^\p{Lu}") & ~line.rlike("[.;,]$"))
+    df = df.withColumn("label_", early & own & label).withColumn("odd_", early & own & ~label & (F.length(line) > 55))
+    df = df.withColumn("body_", F.min(F.when(~early & ~F.col("garbage_"), F.col("pos"))).over(w))
+    found = (F.col("n_") >= 5) & (F.col("prose_") - F.col("first_") >= 3) & F.coalesce(F.col("mark_") > F.col("prose_"), F.lit(True))
+    found = found & (F.sum(F.col("label_").cast("int")).over(w) >= 3) & ~F.coalesce(F.max("odd_").over(w), F.lit(False)) & F.col("body_").isNotNull()
+    part = F.when(~F.coalesce(found, F.lit(False)), "body").when(F.col("label_"), "toc").when(F.col("pos") >= F.col("body_"), "body")
+    return df.withColumn("part", part).drop("title_", "prose_", "n_", "first_", "mark_", "garbage_", "label_", "odd_", "body_")
 
 
 def classify(line: Column | str) -> Column:

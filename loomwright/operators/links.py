@@ -22,17 +22,28 @@ SHAPES = (
     ("paren", re.compile(rf"\((?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})\)", re.I)),
     ("bare", re.compile(rf"(?<![\w/])(?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})(?![\w/])", re.I)),
 )
-FOUND = S.ArrayType(S.StructType([S.StructField(n, S.IntegerType() if n in ("start", "stop") else S.StringType()) for n in ("rule", "start", "stop", "label", "book", "pages")]))
+#: In previews all but the bold ones, with titles in any case.
+PREVIEW_SHAPES = tuple((n, re.compile(p.pattern, re.I)) for n, p in SHAPES if n != "bold")
+FOUND = S.ArrayType(S.StructType([S.StructField(n, S.IntegerType() if n in ("start", "stop") else S.StringType()) for n in ("rule", "start", "stop", "label", "book", "pages", "shown")]))
 
 
-def references(text: str | None) -> list[dict]:
-    """References in a text: each rule takes what the ones before it left, so none overlaps another."""
+_PLAIN = str.maketrans("", "", "\x04\x05\x06\x07")
+
+
+def references(text: str | None, shapes=SHAPES) -> list[dict]:
+    """References in a text: each rule takes what the ones before it left, so none overlaps another. `shown` is a bold label with its
+    switches and possessive."""
     out, work = [], text or ""
-    for rule, pattern in SHAPES:
+    for rule, pattern in shapes:
         for m in pattern.finditer(work):
             g = m.groupdict()
+            label = (g.get("label") or "").translate(_PLAIN).strip(" (") or None
+            if rule == "bold" and (not label or len(label) < 2):
+                continue
+            after = work[m.end("label") + 1 : m.end()].partition("(")[0] if rule == "bold" else ""
+            shown = f"\x04{g['label'].rstrip(' (')}\x05{re.match(r'(?:[\'’]s?)?', after)[0]}" if rule == "bold" else None
             book = {"i": "book1", "1": "book1", "ii": "book2", "2": "book2"}.get((g.get("book") or "").lower())
-            out.append({"rule": rule, "start": m.start(), "stop": m.end(), "label": (g.get("label") or "").strip(" \x04\x05(") or None, "book": book, "pages": g["pages"].strip(" ,-–—")})
+            out.append({"rule": rule, "start": m.start(), "stop": m.end(), "label": label, "book": book, "pages": g["pages"].strip(" ,-–—"), "shown": shown})
             work = work[: m.start()] + "\0" * (m.end() - m.start()) + work[m.end() :]
     return sorted(out, key=lambda r: r["start"])
 
@@ -42,6 +53,11 @@ def find_references(s: pd.Series) -> pd.Series:
     return s.map(references)
 
 
+@F.pandas_udf(FOUND)
+def find_preview_references(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: references(x, PREVIEW_SHAPES))
+
+
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, rule, label, book, page, page_pos): a row for each page that a reference names. Texts without "page" never leave the JVM."""
     some = df.where(F.col(text).rlike("(?i)page"))
@@ -59,12 +75,20 @@ def resolve(links: DataFrame, page_lookup: DataFrame, title_index: DataFrame, by
     df = df.join(title_index.select("title_key", F.col("slug").alias("by_title")), "title_key", "left")
     df = df.join(page_lookup.select("page", F.col("slug").alias("by_page_slug")), "page", "left")
     df = df.withColumn("dst_slug", F.coalesce("by_title", "by_page_slug"))
-    keys = df.where("dst_slug is not null and by_title is null").select("link_id", "page", "dst_slug", F.posexplode(T.match_keys("label")).alias("k", "norm"))
+    best = fragments(df.where("dst_slug is not null and by_title is null"), by_page, by_slug)
+    return df.join(best, "link_id", "left").drop("title_key", "by_title", "by_page_slug")
+
+
+def fragments(links: DataFrame, by_page: DataFrame, by_slug: DataFrame) -> DataFrame:
+    """(link_id, fragment): the section that a label names in its article; links: (link_id, page, dst_slug, label).
+
+    Keys in their order, each as it is and without spaces; a section on the very page goes before one of the article.
+    """
+    keys = links.where("label is not null").select("link_id", "page", "dst_slug", F.posexplode(T.match_keys("label")).alias("k", "norm"))
     keys = keys.select("link_id", "page", "dst_slug", "k", F.explode(F.array(F.struct(F.lit(0).alias("c"), "norm"), F.struct(F.lit(2).alias("c"), F.replace("norm", F.lit(" "), F.lit("")).alias("norm")))).alias("p")).select("link_id", "page", "dst_slug", "k", "p.c", "p.norm")
     one = keys.join(by_page.select("page", "norm", F.col("slug").alias("dst_slug"), "id"), ["page", "norm", "dst_slug"]).select("link_id", (F.col("k") * 4 + F.col("c")).alias("o"), "id")
     two = keys.join(by_slug.select(F.col("slug").alias("dst_slug"), "norm", "id"), ["dst_slug", "norm"]).select("link_id", (F.col("k") * 4 + F.col("c") + 1).alias("o"), "id")
-    best = one.unionByName(two).groupBy("link_id").agg(F.min_by("id", "o").alias("fragment"))
-    return df.join(best, "link_id", "left").drop("title_key", "by_title", "by_page_slug")
+    return one.unionByName(two).groupBy("link_id").agg(F.min_by("id", "o").alias("fragment"))
 
 
 def resolve_unique(labels: DataFrame, unique: DataFrame) -> DataFrame:
@@ -76,19 +100,55 @@ def resolve_unique(labels: DataFrame, unique: DataFrame) -> DataFrame:
     return tries.join(unique, "norm").groupBy("label_id").agg(F.min_by(F.struct("slug", "id"), "o").alias("s")).select("label_id", "s.slug", "s.id")
 
 
-def title_score(label, name):
-    """How well a table-of-contents label fits a section name; null below 40. Both are section keys."""
-    a, b = F.replace(label, F.lit(" "), F.lit("")), F.replace(name, F.lit(" "), F.lit(""))
-    score = (
-        F.when(label == name, 100)
-        .when(name.startswith(F.concat(label, F.lit(" "))), 80)
-        .when(label.startswith(F.concat(name, F.lit(" "))), 55)
-        .when(F.contains(F.concat(F.lit(" "), name, F.lit(" ")), F.concat(F.lit(" "), label, F.lit(" "))), 45)
-        .when(a == b, 95)
-        .when(b.startswith(a), 70)
+def _loud(c, share: int):
+    """Whether at least this share (per cent) of a text's letters is upper case."""
+    letters, upper = F.length(F.regexp_replace(c, r"[^\p{L}]", "")), F.length(F.regexp_replace(c, r"[^\p{Lu}]", ""))
+    return (letters > 0) & (upper * 100 >= letters * share)
+
+
+def title_facts(title):
+    """What scoring needs of a title: its key, the key without spaces, and whether it is in capitals, as a label and as a name."""
+    key = T.section_key(title)
+    return F.struct(key.alias("key"), F.replace(key, F.lit(" "), F.lit("")).alias("close"), _loud(title, 75).alias("loud"), _loud(title, 60).alias("loud_name"))
+
+
+def score_facts(a, b):
+    """How well a table-of-contents label fits a section name, from their facts; null below 40 and for a label in capitals with a
+    name that is not."""
+    one, two = a["key"], b["key"]
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    first = (
+        F.when(one == two, 100)
+        .when(two.startswith(one) & (F.length(one) >= 3), 80 + F.least(F.length(one), F.lit(20)))
+        .when(one.startswith(two) & (F.length(two) >= 4), 55 + F.least(F.length(two), F.lit(15)))
+        .when((F.length(one) >= 6) & F.contains(padded(two), padded(one)), 45)
+        .when(a["close"] == b["close"], 95)
+        .when(b["close"].startswith(a["close"]) & (F.length(a["close"]) >= 4), 70)
         .otherwise(0)
     )
-    return F.when((label != "") & (name != "") & (score >= 40), score)
+    score = first + F.when(a["loud"] & b["loud_name"] & (first > 0), 10).otherwise(0)
+    return F.when((F.length(one) >= 2) & (two != "") & ~(a["loud"] & ~b["loud_name"]) & (score >= 40), score)
+
+
+def title_score(label, name):
+    """The score of two titles as written."""
+    return score_facts(title_facts(label), title_facts(name))
+
+
+def score_titles(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """(slug, label_pos, section_pos, score) of the pairs that score; labels: (slug, label_pos, label), names: (slug, section_pos, name).
+
+    Only pairs meet that share the first three letters, or the label's first word, without which none scores.
+    """
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("value"))
+    one = labels.select("slug", "label_pos", F.explode(F.array(title_facts(F.col("label")))).alias("a"))
+    two = names.select("slug", "section_pos", F.explode(F.array(title_facts(F.col("name")))).alias("b"))
+    start = lambda c: F.substring(c, 1, 3)
+    one = one.withColumn("key", F.explode(F.array(key("start", start(F.col("a.close"))), key("word", F.substring_index("a.key", " ", 1)))))
+    starts = F.array(key("start", start(F.col("b.close"))), key("start", F.substring("b.close", 1, 2)))
+    two = two.withColumn("key", F.explode(F.array_distinct(F.concat(starts, F.transform(F.split("b.key", " "), lambda w: key("word", w))))))
+    pairs = one.join(two, ["slug", "key"]).withColumn("score", score_facts(F.col("a"), F.col("b"))).where("score is not null")
+    return pairs.select("slug", "label_pos", "section_pos", "score").distinct()
 
 
 def assign_titles(scores: DataFrame) -> DataFrame:
@@ -108,6 +168,7 @@ def assign_titles(scores: DataFrame) -> DataFrame:
     return scores.groupBy("slug").applyInPandas(fold, "slug string, label_pos int, section_pos int, score int")
 
 
-def longest_first(titles: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.length("title").desc(), "ord")
+def longest_first(titles: DataFrame, key: str) -> DataFrame:
+    """A book's titles numbered from the longest."""
+    w = Window.partitionBy(key).orderBy(F.length("title").desc(), "ord")
     return titles.withColumn("rank", F.row_number().over(w))

@@ -9,14 +9,17 @@ from pyspark.sql.window import Window
 from loomwright.functions import text as T
 
 
-def articles_from_toc(toc: DataFrame, last_page: int | None = None) -> DataFrame:
-    """(ord, title, slug, start_page, end_page, kind) of first-level entries; ends are taken before contents and index go."""
+def articles_from_toc(toc: DataFrame, last_page: int | None = None, book: str | None = None) -> DataFrame:
+    """(ord, title, slug, start_page, end_page, kind) of first-level entries; ends are taken before contents and index go.
+
+    book: a column that tells books apart; without one the table is one book's contents, some hundred rows that one task orders.
+    """
     top = toc.where((F.col("level") == 1) & (F.col("page") >= 1)).withColumn("title", F.trim("title"))
-    w = Window.orderBy("ord")
+    w = (Window.partitionBy(book) if book else Window.partitionBy(F.lit(0))).orderBy("ord")
     df = top.withColumn("end_page", F.coalesce(F.lead("page").over(w) - 1, F.lit(last_page)))
     df = df.where(~F.lower("title").isin("contents", "index"))
     kind = F.when(F.lower("title").contains("maps"), "maps").otherwise("article")
-    return df.select("ord", "title", T.slug("title").alias("slug"), F.col("page").alias("start_page"), "end_page", kind.alias("kind"))
+    return df.select(*([book] if book else []), "ord", "title", T.slug("title").alias("slug"), F.col("page").alias("start_page"), "end_page", kind.alias("kind"))
 
 
 def pages_of(articles: DataFrame) -> DataFrame:
@@ -36,10 +39,11 @@ def card_pairs(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def nearest_title(pages: DataFrame, titles: DataFrame) -> DataFrame:
-    """Each page's title: on the very page, else the first within a page, else null."""
-    t = titles.select(F.col("page").alias("t_page"), "title")
-    df = pages.join(t, F.abs(F.col("page") - F.col("t_page")) <= 1, "left")
-    return df.groupBy("page").agg(F.min_by("title", F.struct(F.abs(F.col("page") - F.col("t_page")), F.col("t_page"))).alias("title"))
+    """Each page's title: on the very page, else the first within a page, else null. Each title goes to the three pages that it can
+    name, so pages and titles meet by equal keys."""
+    near = titles.select(F.explode(F.array(F.struct((F.col("page") - 1).alias("page"), F.lit(1).alias("off")), F.struct("page", F.lit(0).alias("off")), F.struct((F.col("page") + 1).alias("page"), F.lit(1).alias("off")))).alias("n"), F.col("page").alias("t_page"), "title")
+    best = near.groupBy(F.col("n.page").alias("page")).agg(F.min_by("title", F.struct("n.off", "t_page")).alias("title"))
+    return pages.select("page").distinct().join(best, "page", "left")
 
 
 def expand_hubs(hubs: DataFrame, children: DataFrame) -> DataFrame:

@@ -405,12 +405,12 @@ class Parser:
             self.add("heading", name=name, level=2)
         return True
 
-    def dice_entries(self, stop: Callable[[str], bool]) -> list[tuple[str, str, int]]:
-        """Numbered rows, lines that are none going on with the row above; rules and icons between them are decoration."""
+    def dice_entries(self, stop: Callable[[str], bool], through: bool = True) -> list[tuple[str, str, int]]:
+        """Numbered rows, lines that are none going on with the row above; rules and icons between them are decoration (with through)."""
         out: list[list[str]] = []
         while self.more:
             x = self.peek()
-            if L.marker(x) in ("HR", "ICON"):
+            if through and L.marker(x) in ("HR", "ICON"):
                 j = self.at + 1
                 while j < len(self.lines) and L.marker(self.lines[j]) in ("HR", "ICON"):
                     j += 1
@@ -523,7 +523,7 @@ class Parser:
                 self.take()
                 dice, label = (roll[1], roll[2].strip()) if roll else (said, "result")
                 self.take_while(lambda y: L.marker(y) == "HR")
-                if entries := self.dice_entries(lambda y: L.roll_header(y) or L.heading(y)):
+                if entries := self.dice_entries(lambda y: L.roll_header(y) or L.heading(y), False):
                     told.append((dice, label, entries))
                 continue
             told.append("• " + said.lstrip("•· ").strip() if said.startswith(("•", "·")) else said)

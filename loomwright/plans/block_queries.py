@@ -76,19 +76,17 @@ def words_in_rectangle(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT p_partkey, p_name, CASE p_partkey % 5 WHEN 0 THEN p_name || ' ' || p_name WHEN 1 THEN upper(p_name) || ' 12' WHEN 2 THEN left(p_name, 8) WHEN 3 THEN 'Contents' ELSE 'something else here' END AS line FROM part)
-SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN false WHEN 2 THEN length(regexp_replace(lower(left(p_name, 8)), '[^a-z0-9]+', '', 'g')) >= 6 OR left(p_name, 8) = p_name ELSE true END AS header FROM t
+SELECT p_partkey, CASE p_partkey % 6 WHEN 4 THEN false WHEN 2 THEN length(split_part(p_name, ' ', 1)) >= 6 OR NOT contains(p_name, ' ') WHEN 5 THEN length(split_part(p_name, ' ', -1)) >= 6 OR NOT contains(p_name, ' ') ELSE true END AS header FROM part
 """)
 def running_headers(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    line = F.when(k == 0, F.concat("p_name", F.lit(" "), "p_name")).when(k == 1, F.concat(F.upper("p_name"), F.lit(" 12"))).when(k == 2, F.substring("p_name", 1, 8)).when(k == 3, "Contents").otherwise("something else here")
+    k = F.col("p_partkey") % 6
+    line = F.when(k == 0, F.concat("p_name", F.lit(" "), "p_name")).when(k == 1, F.concat(F.upper("p_name"), F.lit(" 12"))).when(k == 2, F.substring_index("p_name", " ", 1)).when(k == 3, "Contents").when(k == 5, F.substring_index("p_name", " ", -1)).otherwise("something else here")
     return table(spark, sf_dir, "part").select("p_partkey", R.running_header(line, "p_name", True).alias("header"))
 
 
-@query("SELECT p_partkey, 'A ' || p_name AS title FROM part WHERE NOT regexp_matches(p_name, '^a ')")
+@query("SELECT p_partkey, 'A ' || p_name AS title FROM part")
 def title_collapse(spark, sf_dir):
-    df = table(spark, sf_dir, "part").where(~F.col("p_name").rlike("^a "))
-    return df.select("p_partkey", R.collapse_title(F.concat(F.lit("A "), "p_name", F.lit("  "), "p_name")).alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.collapse_title(F.concat(F.lit("A "), "p_name", F.lit("  "), "p_name")).alias("title"))
 
 
 @query("SELECT p_partkey, '<strong>' || p_name || '</strong> <em>' || p_brand || ' ' || p_type || '</em>' AS html FROM part")
@@ -103,18 +101,45 @@ def book_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.book_of(F.when(k == 0, " I").when(k == 1, "2").otherwise("x")).alias("book"))
 
 
-@query("SELECT page_id, regexp_extract('a/' || url || '/p' || page_id || '.html#x', '([^/#]+)\\.html', 1) AS slug FROM pages WHERE NOT contains(url, '.html')")
+@query("SELECT page_id, regexp_extract('a/' || replace(url, '.html', '_') || '/p' || page_id || '.html#x', '([^/#]+)\\.html', 1) AS slug FROM pages")
 def slug_of_path(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").where(~F.contains("url", F.lit(".html")))
-    return df.select("page_id", R.slug_of_path(F.concat(F.lit("a/"), "url", F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html#x"))).alias("slug"))
+    path = F.concat(F.lit("a/"), F.replace("url", F.lit(".html"), F.lit("_")), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html#x"))
+    return table(spark, sf_dir, "pages").select("page_id", R.slug_of_path(path).alias("slug"))
 
 
-@query()
+def _small(spark, sf_dir, *lines: str):
+    """A small document for each part, its name in place of {n}."""
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), "p_name", F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("pos", "line"))
+    return d.select("slug", "pos", F.replace("line", F.lit("{n}"), F.col("p_name")).alias("line"))
+
+
+def _joined(c, *fields):
+    return F.array_join(F.transform(c, lambda x: F.concat_ws("=", *[x[f].cast("string") for f in fields])), "; ")
+
+
+@query("SELECT p_partkey AS slug, unnest([1, 5]) AS pos, unnest(['1d6', 'd4']) AS dice, unnest([p_name, '']) AS label, unnest(['1=3=a bird of ill will; 4=4=' || p_name, '1=1=end']) AS entries FROM part")
 def dice_table_blocks(spark, sf_dir):
-    d = table(spark, sf_dir, "part").where("p_size > 0").select((F.col("p_partkey") / 10).cast("long").alias("slug"), F.posexplode(F.array(F.concat(F.lit("1d6 "), F.substring("p_name", 1, 20)), F.concat(F.lit("1-3 "), "p_name"), F.lit("and on"), F.lit("4 last"))).alias("i", "line"), "p_partkey")
-    return B.dice_tables(d.select("slug", (F.col("p_partkey") * 10 + F.col("i")).alias("pos"), "line")).select("slug", "pos", "dice", "label", F.size("entries").alias("n_entries"))
+    df = B.dice_tables(_small(spark, sf_dir, "intro", "1d6 {n}", "1-3 a bird", "of ill will", "4 {n}", "d4", "1 end"))
+    return df.select("slug", "pos", "dice", "label", _joined(F.col("entries"), "lo", "hi", "body").alias("entries"))
+
+
+@query("SELECT p_partkey AS slug, 'goods value' AS header, p_name || '=1; Cart, fine=free' AS rows FROM part UNION ALL SELECT p_partkey, 'Services Value', 'Guide=2' FROM part")
+def price_blocks(spark, sf_dir):
+    df = B.price_tables(_small(spark, sf_dir, "before 3", "goods value", "{n} 1", "Cart, fine free", "no price here", "Services Value", "Guide 2"))
+    return df.select("slug", "header", _joined(F.col("rows"), "item", "value").alias("rows"))
+
+
+@query("SELECT p_partkey AS slug, 'LAST STAND' AS name, 'When you fall ' || p_name AS body FROM part UNION ALL SELECT p_partkey, 'NEXT ONE', 'When it ends' FROM part")
+def move_blocks(spark, sf_dir):
+    return B.moves(_small(spark, sf_dir, "before", "LAST STAND", "When you fall", "{n}", "NEXT ONE", "When it ends")).select("slug", "name", "body")
+
+
+@query("SELECT p_partkey AS slug, 'Requires all of the following:' AS header, p_name || '; a mill' AS items FROM part UNION ALL SELECT p_partkey, 'And either of these', 'stone' FROM part")
+def improvement_blocks(spark, sf_dir):
+    df = B.improvements(_small(spark, sf_dir, "Requires all of the following:", "{n}", "a mill", "Terrain", "And either of these", "stone", "Henceforth", "x"))
+    return df.select("slug", "header", F.array_join("items", "; ").alias("items"))
 
 
-@query()
-def rendered_documents(spark, sf_dir):
-    return B.render(L.blocks(L.explode_lines(table(spark, sf_dir, "documents"))), "doc_id")
+@query("SELECT p_partkey AS slug, unnest([0, 1, 2, 3, 4])::INT AS pos, unnest([true, false, false, false, false]) AS is_stat_block FROM part")
+def stat_headings(spark, sf_dir):
+    return B.stat_headings(_small(spark, sf_dir, "Crag Wolf", "Horde, small, stealthy", "HP 4", "Far Field", "the {n} goes on here for long")).select("slug", "pos", "is_stat_block")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators import dice, layout, links, model, search
-from loomwright.plans.text_queries import TEXT_SQL, TITLE_SQL
+from loomwright.operators import blocks, cards, dice, layout, links, model, publish, rewrite, search, unlock
+from loomwright.plans.golden_queries import _escaped
+from loomwright.plans.text_queries import LINES_SQL, TEXT_SQL, TITLE_SQL
+from loomwright.sources import tables
 from loomwright.sources.tables import table
 from loomwright.streaming import state
 
@@ -44,9 +46,19 @@ def search_ranked(spark, sf_dir):
     return search.search(_docs(spark, sf_dir), SEARCH, None).select("slug", "title", "rank", "where")
 
 
-@query()
+_SNIPPET_SQL = """a AS (SELECT *, CASE WHEN instr(lower(text), 'the') = 0 THEN instr(lower(text), 'and') WHEN instr(lower(text), 'and') = 0 THEN instr(lower(text), 'the') ELSE least(instr(lower(text), 'the'), instr(lower(text), 'and')) END - 1 AS p FROM h WHERE it OR ix),
+b AS (SELECT *, greatest(0, p - 42) AS s, least(length(text), p + 54) AS e FROM a)"""
+_SHOWN_SQL = f"CASE WHEN s > 0 THEN '…' ELSE '' END || regexp_replace(regexp_replace({_escaped('substr(text, s + 1, e - s)')}, '(the)', '<mark>\\1</mark>', 'gi'), '(and)', '<mark>\\1</mark>', 'gi') || CASE WHEN e < length(text) THEN '…' ELSE '' END"
+
+
+@query(f"""
+WITH {_HITS_SQL}, {_SNIPPET_SQL}
+SELECT slug, title, CASE WHEN lower(title) = 'the and' THEN -1 WHEN it THEN 0 ELSE 1 END AS rank, CASE WHEN it AND ix THEN 'title + text' WHEN it THEN 'title' ELSE 'text' END AS "where",
+  CASE WHEN ix THEN {_SHOWN_SQL} ELSE {_escaped("coalesce(excerpt, title)")} END AS snippet FROM b ORDER BY rank, title, slug LIMIT 40
+""")
 def search_top(spark, sf_dir):
-    return search.search(_docs(spark, sf_dir), SEARCH)
+    """Ranked hits, titles of one rank in binary order (the order of a locale is the operator's default)."""
+    return search.search(_docs(spark, sf_dir), SEARCH, collation=None)
 
 
 @query(f"""
@@ -67,18 +79,19 @@ def search_count(spark, sf_dir):
 def _toc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     page = 3 * F.col("page_id") + 1 - F.when(F.col("page_id") % 7 == 0, 3).otherwise(0)
-    title = F.when(F.col("page_id") % 11 == 0, "Contents").otherwise(F.concat(F.lit("Page "), F.col("page_id").cast("string")))
-    return pages.select(F.col("page_id").alias("ord"), F.lit(1).alias("level"), title.alias("title"), page.alias("page"))
+    title = F.when(F.col("page_id") % 11 == 0, " Contents").when(F.col("page_id") % 13 == 0, "Maps ").otherwise(F.concat(F.lit("Page "), F.col("page_id").cast("string")))
+    level = F.when(F.col("page_id") % 5 == 4, 2).otherwise(1)
+    return pages.select(F.col("page_id").alias("ord"), (F.col("page_id") % 3).alias("book"), level.alias("level"), title.alias("title"), page.alias("page"))
 
 
-_TOC_SQL = """t AS (SELECT page_id AS ord, CASE WHEN page_id % 11 = 0 THEN 'Contents' ELSE 'Page ' || page_id END AS title, 3 * page_id + 1 - CASE WHEN page_id % 7 = 0 THEN 3 ELSE 0 END AS page FROM pages),
-g AS (SELECT * FROM t WHERE page >= 1), e AS (SELECT ord, title, page AS start_page, coalesce(lead(page) OVER (ORDER BY ord) - 1, 100000) AS end_page FROM g),
-a AS (SELECT ord, title, replace(lower(title), ' ', '-') AS slug, start_page, end_page FROM e WHERE title <> 'Contents')"""
+_TOC_SQL = """t AS (SELECT page_id AS ord, page_id % 3 AS book, CASE WHEN page_id % 11 = 0 THEN 'Contents' WHEN page_id % 13 = 0 THEN 'Maps' ELSE 'Page ' || page_id END AS title, 3 * page_id + 1 - CASE WHEN page_id % 7 = 0 THEN 3 ELSE 0 END AS page FROM pages WHERE page_id % 5 <> 4),
+g AS (SELECT * FROM t WHERE page >= 1), e AS (SELECT book, ord, title, page AS start_page, coalesce(lead(page) OVER (PARTITION BY book ORDER BY ord) - 1, 100000) AS end_page FROM g),
+a AS (SELECT book, ord, title, replace(lower(title), ' ', '-') AS slug, start_page, end_page, CASE WHEN title = 'Maps' THEN 'maps' ELSE 'article' END AS kind FROM e WHERE title <> 'Contents')"""
 
 
-@query(f"WITH {_TOC_SQL} SELECT ord, title, slug, start_page, end_page FROM a")
+@query(f"WITH {_TOC_SQL} SELECT book, ord, title, slug, start_page, end_page, kind FROM a")
 def toc_ranges(spark, sf_dir):
-    return model.articles_from_toc(_toc(spark, sf_dir), 100_000).select("ord", "title", "slug", "start_page", "end_page")
+    return model.articles_from_toc(tables.toc(_toc(spark, sf_dir)), 100_000, "book").select("book", "ord", "title", "slug", "start_page", "end_page", "kind")
 
 
 @query("""
@@ -193,23 +206,47 @@ def resolve_links(spark, sf_dir):
     return out.select("link_id", "dst_slug", F.col("fragment").alias("own"))
 
 
-@query()
+@query(f"""
+WITH {_SECTIONS_SQL}, u AS (SELECT norm, max(slug) AS slug, arg_max(id, pos) AS id FROM s WHERE contains(norm, ' ') GROUP BY norm HAVING count(DISTINCT slug) = 1)
+SELECT p_partkey AS label_id, u.slug, u.id FROM part JOIN u ON u.norm = trim(regexp_replace(lower(p_name || ' ' || p_size), '[^a-z0-9]+', ' ', 'g'))
+""")
 def unique_fallback(spark, sf_dir):
     labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label_id"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" hall")).alias("label"))
     return links.resolve_unique(labels, model.unique_sections(_sections(spark, sf_dir)))
 
 
-@query("""
-WITH n AS (SELECT p_brand, p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part WHERE p_partkey % 10 = 0),
-x AS (SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, a.k AS l, b.k AS m FROM n a JOIN n b ON a.p_brand = b.p_brand),
-s AS (SELECT p_brand, a, b, CASE WHEN l = m THEN 100 WHEN starts_with(m, l || ' ') THEN 80 WHEN starts_with(l, m || ' ') THEN 55 WHEN contains(' ' || m || ' ', ' ' || l || ' ') THEN 45 WHEN replace(l, ' ', '') = replace(m, ' ', '') THEN 95 WHEN starts_with(replace(m, ' ', ''), replace(l, ' ', '')) THEN 70 ELSE 0 END AS score FROM x)
-SELECT p_brand, a, b, score FROM s WHERE score >= 40
+def _names(spark, sf_dir, shift: int):
+    """The different names of each brand's parts, some in capitals, some cut or longer."""
+    part = table(spark, sf_dir, "part")
+    k = (F.col("p_partkey") + shift) % 4
+    name = F.when(k == 0, F.upper("p_name")).when(k == 1, F.substring_index("p_name", " ", 1)).when(k == 2, F.concat(F.lit("The "), "p_name", F.lit(" of "), "p_brand")).otherwise(F.replace("p_name", F.lit(" "), F.lit("")))
+    return part.select(F.col("p_brand").alias("slug"), name.alias("name")).distinct()
+
+
+def _names_sql(shift: int) -> str:
+    return f"SELECT DISTINCT p_brand AS slug, CASE (p_partkey + {shift}) % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN 'The ' || p_name || ' of ' || p_brand ELSE replace(p_name, ' ', '') END AS name FROM part"
+
+
+@query(f"""
+WITH l AS ({_names_sql(0)}), s AS ({_names_sql(1)}),
+k AS (SELECT l.slug, l.name AS label, s.name AS name, trim(regexp_replace(regexp_replace(lower(l.name), '^(a|an|the)\\s+', ''), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(s.name), '^(a|an|the)\\s+', ''), '[^a-z0-9]+', ' ', 'g')) AS b,
+  length(regexp_replace(l.name, '[^A-Z]', '', 'g')) >= 0.75 * length(regexp_replace(l.name, '[^A-Za-z]', '', 'g')) AS loud, length(regexp_replace(s.name, '[^A-Z]', '', 'g')) >= 0.6 * length(regexp_replace(s.name, '[^A-Za-z]', '', 'g')) AS loud_name FROM l JOIN s ON l.slug = s.slug),
+f AS (SELECT *, CASE WHEN a = b THEN 100 WHEN starts_with(b, a) AND length(a) >= 3 THEN 80 + least(length(a), 20) WHEN starts_with(a, b) AND length(b) >= 4 THEN 55 + least(length(b), 15) WHEN length(a) >= 6 AND contains(' ' || b || ' ', ' ' || a || ' ') THEN 45 ELSE 0 END AS f FROM k),
+c AS (SELECT *, CASE WHEN f >= 40 THEN f WHEN replace(a, ' ', '') = replace(b, ' ', '') THEN 95 WHEN starts_with(replace(b, ' ', ''), replace(a, ' ', '')) AND length(replace(a, ' ', '')) >= 4 THEN 70 ELSE f END AS c FROM f)
+SELECT slug, label AS label_pos, name AS section_pos, (c + CASE WHEN loud AND loud_name AND c > 0 THEN 10 ELSE 0 END)::INT AS score FROM c WHERE NOT (loud AND NOT loud_name) AND c + CASE WHEN loud AND loud_name AND c > 0 THEN 10 ELSE 0 END >= 40
 """)
 def toc_section_score(spark, sf_dir):
-    n = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_brand", "p_partkey", T.section_key("p_name").alias("k"))
-    m = n.select("p_brand", F.col("p_partkey").alias("b"), F.col("k").alias("m"))
-    df = n.join(m, "p_brand").select("p_brand", F.col("p_partkey").alias("a"), "b", links.title_score(F.col("k"), F.col("m")).alias("score"))
-    return df.where("score is not null")
+    labels, names = _names(spark, sf_dir, 0), _names(spark, sf_dir, 1)
+    return links.score_titles(labels.select("slug", F.col("name").alias("label_pos"), F.col("name").alias("label")), names.select("slug", F.col("name").alias("section_pos"), "name"))
+
+
+@query("SELECT p_brand AS slug, p_partkey::INT AS label_pos, p_partkey::INT AS section_pos, CASE WHEN p_partkey % 2 = 0 THEN 110 ELSE 100 END AS score FROM part")
+def toc_assigned(spark, sf_dir):
+    """Each label is the name of one section and fits the next one a little less."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("slug"), F.col("p_partkey").cast("int").alias("label_pos"), F.col("p_partkey").cast("int").alias("section_pos"))
+    best = part.withColumn("score", F.when(F.col("label_pos") % 2 == 0, 110).otherwise(100))
+    other = part.withColumn("section_pos", F.col("section_pos") + 1).withColumn("score", F.lit(90))
+    return links.assign_titles(best.unionByName(other).join(part.select("slug", "section_pos"), ["slug", "section_pos"], "left_semi").select("slug", "label_pos", "section_pos", "score"))
 
 
 @query("""
@@ -331,3 +368,275 @@ def nav_filter(spark, sf_dir):
     hits = docs.where(T.has_terms(F.lower("text"), SEARCH.split()) | T.has_terms(F.lower("title"), SEARCH.split()))
     sections = docs.select("slug", F.lit(1).alias("pos"), F.when(F.col("slug") % 2 == 0, "The And").otherwise("none").alias("name"))
     return search.filter_navigation(docs.select("slug", "title"), sections, hits, SEARCH)
+
+
+def _lookups(spark, sf_dir):
+    sections, brands = _sections(spark, sf_dir), _brands(spark, sf_dir)
+    by_slug = sections.groupBy("slug", "norm").agg(F.max_by("id", "pos").alias("id"))
+    pages = model.page_lookup(brands).withColumn("book", F.when(F.col("page") % 2 == 0, "book1").otherwise("book2"))
+    both = pages.unionByName(pages.withColumn("book", F.when(F.col("book") == "book1", "book2").otherwise("book1")).withColumn("slug", F.concat(F.lit("other-"), "slug")).withColumn("title", F.concat(F.lit("Other "), "title")))
+    return rewrite.Lookups(both, model.title_index(brands), model.sections_by_page(sections, brands), by_slug, model.unique_sections(sections))
+
+
+_PAGES_SQL = f"""{_BRANDS_SQL}, p AS (SELECT page, slug FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord % 20 DESC, ord DESC) AS n FROM x) WHERE n = 1),
+q AS (SELECT CASE WHEN page % 2 = 0 THEN 'book1' ELSE 'book2' END AS book, page, slug, slug AS title FROM p UNION ALL SELECT CASE WHEN page % 2 = 0 THEN 'book2' ELSE 'book1' END, page, 'other-' || slug, 'Other ' || slug FROM p)"""
+
+
+def _link(slug: str, shown: str, fragment: str = "''") -> str:
+    return f"('<a class=\"wiki-link\" href=\"' || {slug} || '.html' || CASE WHEN {fragment} <> '' THEN '#' || {fragment} ELSE '' END || '\" data-slug=\"' || {slug} || '\"' || CASE WHEN {fragment} <> '' THEN ' data-fragment=\"' || {fragment} || '\"' ELSE '' END || '>' || {shown} || '</a>')"
+
+
+@query(f"""
+WITH {_PAGES_SQL}, t AS (SELECT p_partkey, p_name, p_brand, p_size, p_size % 25 AS a, p_size % 25 + 30 AS b, (p_size + 1) % 25 AS c FROM part),
+j AS (SELECT t.*, qa.slug AS sa, qa.title AS ta, qb.title AS tb, qb.slug AS sb, qc.slug AS sc, qc.title AS tc FROM t LEFT JOIN q qa ON qa.book = 'book1' AND qa.page = a LEFT JOIN q qb ON qb.book = 'book1' AND qb.page = b LEFT JOIN q qc ON qc.book = 'book2' AND qc.page = c),
+h AS (SELECT *, CASE WHEN sa IS NULL OR sa = p_brand THEN p_name ELSE {_link("sa", "p_name")} END AS h1, CASE WHEN sb IS NULL THEN 'p. ' || b WHEN sb = p_brand THEN '' ELSE {_link("sb", "tb")} END AS h2,
+  CASE WHEN sc IS NULL THEN 'the Mill' WHEN sc = p_brand THEN 'the Mill' ELSE {_link("sc", "'the Mill'")} END AS h3, CASE WHEN sa IS NULL THEN 'p. ' || a WHEN sa = p_brand THEN '' ELSE {_link("sa", "ta")} END AS h4 FROM j)
+SELECT p_partkey AS text_id, 'or even ' || h1 || CASE WHEN h2 <> '' THEN ' (' || h2 || ')' ELSE '' END || ' &amp; ' || h3 || '; ' || h4 || '. Roll ' ||
+  '<button type="button" class="dice-roll" data-dice="2d6+1" title="Click to roll 2d6 + 1">2d6 + 1</button> <em>now</em>' AS html FROM h
+""")
+def linked_texts(spark, sf_dir):
+    """A label with two pages, a reference to the other book, a page alone, dice and italics."""
+    size = F.col("p_size")
+    a, b, c = (x.cast("string") for x in (size % 25, size % 25 + 30, (size + 1) % 25))
+    text = F.concat(F.lit("or even "), "p_name", F.lit(" (page "), a, F.lit(", "), b, F.lit(") & the Mill (Book II, page "), c, F.lit("); (page "), a, F.lit("). Roll 2d6 + 1 \x06now\x07"))
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), text.alias("text"), F.col("p_brand").alias("slug"), F.lit("book1").alias("book"))
+    return rewrite.rewrite(texts, _lookups(spark, sf_dir))
+
+
+@query(f"""
+WITH {_BRANDS_SQL}, t AS (SELECT p_partkey, p_name, p_brand, p_partkey % 3 AS k, 'Brand#' || (p_partkey % 25 + 1) AS other FROM part), j AS (SELECT t.*, b.slug AS hit FROM t LEFT JOIN b ON lower(b.slug) = lower(other))
+SELECT p_partkey AS text_id, 'see ' || CASE WHEN hit IS NULL THEN '<strong>' || other || '</strong> p. 999' WHEN hit = p_brand THEN '<strong>' || other || '</strong>''s' ELSE {_link("hit", "'<strong>' || other || '</strong>&#x27;s'")} END || '.' AS html FROM j
+""".replace("|| '</strong>''s' ELSE", "|| '</strong>&#x27;s' ELSE").replace("'</strong> p. 999'", "'</strong>&#x27;s p. 999'"))
+def linked_titles(spark, sf_dir):
+    """A bold title with its possessive leads to the article of that name, whatever the page."""
+    text = F.concat(F.lit("see \x04Brand#"), (F.col("p_partkey") % 25 + 1).cast("string"), F.lit("\x05's (page 999)."))
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), text.alias("text"), F.col("p_brand").alias("slug"), F.lit("book1").alias("book"))
+    return rewrite.rewrite(texts, _lookups(spark, sf_dir))
+
+
+@query(f"""
+WITH {_PAGES_SQL}, t AS (SELECT p_partkey, p_name, p_size % 25 AS a, p_size % 25 + 2 AS b FROM part),
+j AS (SELECT t.*, qa.slug AS sa, qa.title AS ta, qb.slug AS sb, qb.title AS tb FROM t LEFT JOIN q qa ON qa.book = 'book2' AND qa.page = a LEFT JOIN q qb ON qb.book = 'book2' AND qb.page = b),
+h AS (SELECT *, CASE WHEN sa IS NULL THEN p_name ELSE {_link("sa", "p_name", "CASE WHEN p_partkey % 2 = 0 THEN 'sec-' || sa ELSE '' END")} END AS h1, CASE WHEN sb IS NULL THEN 'page ' || b ELSE {_link("sb", "tb")} END AS h2, CASE WHEN sa IS NULL THEN 'page ' || a ELSE {_link("sa", "ta")} END AS h3 FROM j)
+SELECT p_partkey AS text_id, CASE WHEN p_partkey % 5 = 0 THEN 'No summary available.' ELSE '&lt;b&gt; ' || h1 || ' (' || h2 || '); ' || h3 END AS html FROM h
+""")
+def linked_previews(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    a, b = (F.col("p_size") % 25).cast("string"), (F.col("p_size") % 25 + 2).cast("string")
+    text = F.concat(F.lit("<b> "), "p_name", F.lit(" (pages "), a, F.lit("-"), b, F.lit("); see page "), a)
+    texts = part.select(F.col("p_partkey").alias("text_id"), F.when(F.col("p_partkey") % 5 != 0, text).alias("text"), F.lit("book2").alias("book"))
+    pages = _lookups(spark, sf_dir).pages
+    names = part.where("p_partkey % 2 = 0").select(F.concat(T.section_key("p_name"), F.lit("s")).alias("norm")).distinct()
+    sections = pages.select("slug").distinct().crossJoin(names).select("slug", "norm", F.concat(F.lit("sec-"), "slug").alias("id"))
+    even = texts.join(part.select(F.col("p_partkey").alias("text_id"), "p_partkey"), "text_id")
+    one = rewrite.link_previews(even.where("p_partkey % 2 = 0").drop("p_partkey"), pages, sections)
+    return one.unionByName(rewrite.link_previews(even.where("p_partkey % 2 = 1").drop("p_partkey"), pages, sections.limit(0)))
+
+
+@query("""
+WITH e AS (SELECT event_id AS seq, 'p' || user_id AS page, 'c' || event_id % 40 AS check_id, event_id % 97 <> 0 AS checked FROM events),
+f AS (SELECT check_id, max(seq) AS off FROM e WHERE NOT checked GROUP BY check_id), o AS (SELECT page, check_id, max(seq) AS seq FROM e WHERE checked GROUP BY ALL),
+s AS (SELECT page, o.check_id FROM o LEFT JOIN f ON o.check_id = f.check_id WHERE off IS NULL OR seq > off)
+SELECT o_orderkey AS request_id, 'p' || o_custkey AS page, 'c' || o_orderkey % 60 AS check_id, 'c' || o_orderkey % 60 IN (SELECT check_id FROM s) AS checked FROM orders
+""")
+def checks_read(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    held = state.check_state(e.select(k.alias("seq"), F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("page"), F.concat(F.lit("c"), (k % 40).cast("string")).alias("check_id"), (k % 97 != 0).alias("checked")))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("page"), F.concat(F.lit("c"), (F.col("o_orderkey") % 60).cast("string")).alias("check_id"))
+    return state.is_checked(asked, held)
+
+
+@query("SELECT DISTINCT l_orderkey AS page, l_linenumber AS line, l_linenumber AS icon FROM lineitem")
+def icons_of_lines(spark, sf_dir):
+    """Each line can have the icon of its number or the next; the first free one is its own."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.explode(F.array("l_linenumber", F.col("l_linenumber") + 1)).alias("icon")).distinct()
+    return layout.icons_to_lines(li, ["page"])
+
+
+def _six(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("ord"))
+
+
+@query("SELECT o_orderkey AS page, unnest([1, 3, 5]) AS ord FROM orders")
+def rules_apart(spark, sf_dir):
+    """Six rules three points apart: every second one is far enough from the ones that stay."""
+    return layout.rules_apart(_six(spark, sf_dir).withColumn("y", F.col("ord") * 3.0), ["page"], 5.0).select("page", "ord")
+
+
+@query("""
+WITH s AS (SELECT o_orderkey AS page, unnest(range(1, 7)) AS ord FROM orders), x AS (SELECT *, ord * 10 AS x, ord * 10 + 9 + (page + ord) % 2 AS x1, CASE WHEN ord = 3 THEN ' ,' ELSE 'w' || ord END AS t FROM s),
+p AS (SELECT *, CASE WHEN x - lag(x1) OVER (PARTITION BY page ORDER BY x) > 0.5 THEN ' ' ELSE '' END || t AS piece FROM x)
+SELECT page, trim(regexp_replace(regexp_replace(string_agg(piece, '' ORDER BY x), ' +,', ',', 'g'), ' +', ' ', 'g')) AS line FROM p GROUP BY page
+""")
+def assembled_lines(spark, sf_dir):
+    n = F.col("ord")
+    text = F.when(n == 3, " ,").otherwise(F.concat(F.lit("w"), n.cast("string")))
+    df = _six(spark, sf_dir).select("page", "ord", (n * 10.0).alias("x"), (n * 10.0 + 9 + (F.col("page") + n) % 2).alias("x1"), text.alias("text"))
+    return layout.assemble(df, ["page"], 0.5)
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS page, CASE l_linenumber % 3 WHEN 0 THEN '◇ ◇' WHEN 1 THEN '□' ELSE CASE WHEN l_returnflag = 'A' THEN 'text ◆' ELSE '' END END AS t FROM lineitem)
+SELECT page, sum(length(regexp_replace(t, '[^◇◆○●□☐]', '', 'g')))::BIGINT AS n_marks, sum(length(regexp_replace(t, '[^◇◆○●□☐]', '', 'g'))) >= 2 AND max(regexp_replace(t, '[◇◆○●□☐ ]', '', 'g')) = '' AS is_marks FROM s GROUP BY page
+""")
+def mark_rows(spark, sf_dir):
+    n = F.col("l_linenumber") % 3
+    text = F.when(n == 0, "◇ ◇").when(n == 1, "□").when(F.col("l_returnflag") == "A", "text ◆").otherwise("")
+    return blocks.mark_rows(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), text.alias("text")), ["page"])
+
+
+@query("SELECT n_regionkey AS hub, n_nationkey AS child_ord, CASE WHEN n_nationkey % 2 = 0 THEN 'minor-rune' ELSE 'minor-' || replace(lower(n_name), '_', '-') END || CASE WHEN n_nationkey % 2 = 0 AND k > 1 THEN '-' || k ELSE '' END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) AS k FROM nation)")
+def child_slugs(spark, sf_dir):
+    title = F.when(F.col("n_nationkey") % 2 == 0, "Rune").otherwise(F.col("n_name"))
+    kids = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("hub"), F.col("n_nationkey").alias("child_ord"), title.alias("title"), F.lit("minor").alias("prefix"))
+    return cards.child_slugs(kids).select("hub", "child_ord", "slug")
+
+
+@query("""
+WITH k AS (SELECT n_regionkey, string_agg('<li><a class="wiki-link" href="' || lower(n_name) || '.html" data-slug="' || lower(n_name) || '">' || n_name || '</a></li>', '' ORDER BY n_nationkey) AS items FROM nation GROUP BY n_regionkey)
+SELECT r_regionkey AS hub, '<p>Individual ' || CASE WHEN r_regionkey % 2 = 0 THEN 'minor' ELSE 'major' END || ' arcana, each on a page of its own.</p><div class="arcana-index"><h2>All ' || CASE WHEN r_regionkey % 2 = 0 THEN 'Minor' ELSE 'Major' END || ' Arcana</h2><ol>' || items || '</ol></div>' AS html FROM region JOIN k ON r_regionkey = n_regionkey
+""")
+def hub_pages(spark, sf_dir):
+    kids = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("hub")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("title"), F.lower("n_name").alias("slug")))).alias("kids"))
+    title = F.when(F.col("hub") % 2 == 0, "The Minor Arcana").otherwise("Major arcana")
+    return kids.select("hub", publish.hub_html(title, F.col("kids")).alias("html"))
+
+
+@query("""
+WITH s AS (SELECT n_regionkey, string_agg('<li class="nav-section"><a href="' || lower(r_name) || '.html#s' || n_nationkey || '">' || n_name || '</a></li>', '' ORDER BY n_nationkey) AS subs FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 2 GROUP BY n_regionkey)
+SELECT string_agg('<li' || CASE WHEN c <> '' THEN ' class="' || c || '"' ELSE '' END || '><a href="' || lower(r_name) || '.html">' || r_name || '</a>' || coalesce('<ul class="nav-sections">' || subs || '</ul>', '') || '</li>', chr(10) ORDER BY r_regionkey) AS nav
+FROM (SELECT *, concat_ws(' ', CASE r_regionkey WHEN 0 THEN 'nav-hub' WHEN 1 THEN 'nav-arcana' END, CASE WHEN subs IS NOT NULL THEN 'has-sections' END) AS c FROM region LEFT JOIN s ON r_regionkey = n_regionkey)
+""")
+def navigation(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    articles = region.select(F.col("r_regionkey").alias("ord"), F.lower("r_name").alias("slug"), F.col("r_name").alias("title"), F.when(F.col("r_regionkey") == 0, "arcana-hub").when(F.col("r_regionkey") == 1, "arcana").otherwise("article").alias("kind"))
+    sections = table(spark, sf_dir, "nation").where("n_regionkey <> 2").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("slug"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
+    return publish.nav(articles, sections)
+
+
+@query(f"""
+SELECT p_partkey AS ord, 's' || p_partkey AS slug, '<a class="index-card" href="pages/s' || p_partkey || '.html"><p class="card-title">' || {_escaped("p_name")} || '</p><p class="card-excerpt">' || CASE WHEN p_partkey % 2 = 0 THEN {_escaped("p_type")} ELSE '' END || '</p></a>' AS card FROM part WHERE p_partkey % 3 <> 0
+""")
+def index_cards(spark, sf_dir):
+    k = F.col("p_partkey")
+    slug = F.concat(F.lit("s"), k.cast("string"))
+    part = table(spark, sf_dir, "part")
+    articles = part.select(k.alias("ord"), slug.alias("slug"), F.col("p_name").alias("title"), F.when(k % 3 == 0, "arcana").when(k % 3 == 1, "article").alias("kind"))
+    return publish.index_cards(articles, part.where("p_partkey % 2 = 0").select(slug.alias("slug"), F.col("p_type").alias("excerpt")))
+
+
+@query("""
+WITH m AS (SELECT n_nationkey AS ord, 'maps/m' || n_nationkey || '.jpg' AS file, n_name AS label, 100 - n_nationkey AS page, n_nationkey % 2 = 0 AS hq FROM nation),
+h AS (SELECT *, '<div class="map-canvas" data-map="m' || ord || '.jpg"' || CASE WHEN hq THEN ' data-full="../images/' || file || '"' ELSE '' END || '><img src="../images/' || file || '" alt="' || label || '" loading="lazy" draggable="false"></div>' AS one FROM m)
+SELECT string_agg(one, '' ORDER BY hq, CASE WHEN hq THEN 0 ELSE page END, ord) AS strip FROM h
+""")
+def maps_strip(spark, sf_dir):
+    k = F.col("n_nationkey")
+    maps = table(spark, sf_dir, "nation").select(k.alias("ord"), F.concat(F.lit("maps/m"), k.cast("string"), F.lit(".jpg")).alias("file"), F.col("n_name").alias("label"), (100 - k).alias("page"), (k % 2 == 0).alias("hq"))
+    strip = F.regexp_extract("html", '(?s)<div class="maps-strip">(.*)</div>$', 1)
+    return publish.maps_html(maps).select(strip.alias("strip"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_partkey % 2 AS folder, CASE p_partkey % 5 WHEN 0 THEN 'old/' ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN 'Plan ' ELSE 'Map ' END || p_name || CASE p_partkey % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' ELSE '.txt' END AS path FROM part),
+g AS (SELECT DISTINCT folder, path, lower(split_part(path, '/', -1)) AS name, contains(path, '/') AS nested, CASE WHEN path LIKE '%.jpg' THEN 1 ELSE 3 END AS kind FROM f WHERE split_part(path, '/', -1) LIKE 'Map %' AND path NOT LIKE '%.txt')
+SELECT name, folder, path FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY folder, nested, kind, path) AS n FROM g) WHERE n = 1
+""")
+def map_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    path = F.concat(F.when(k % 5 == 0, "old/").otherwise(""), F.when(k % 7 == 0, "Plan ").otherwise("Map "), "p_name", F.when(k % 3 == 0, ".jpg").when(k % 3 == 1, ".png").otherwise(".txt"))
+    return tables.first_of_name(table(spark, sf_dir, "part").select((k % 2).alias("folder"), path.alias("path")))
+
+
+@query("""
+WITH s AS (SELECT l_orderkey AS page, l_linenumber::BIGINT AS ord, CASE WHEN l_linenumber = 2 THEN 1.4 ELSE l_linenumber::DOUBLE END AS x, l_quantity::DOUBLE AS y, CASE l_linenumber WHEN 1 THEN 'a b' WHEN 2 THEN 'a b' WHEN 3 THEN '  ' ELSE l_returnflag END AS text FROM lineitem),
+v AS (SELECT * FROM s WHERE trim(text) <> '' AND y >= 5 AND y < 45), n AS (SELECT *, row_number() OVER (PARTITION BY page, round_even(x, 0), round_even(y, 0), trim(text) ORDER BY ord) AS n FROM v)
+SELECT page, ord, x, y, text FROM n WHERE n = 1
+""")
+def spans_of_pages(spark, sf_dir):
+    """Pages with nested blocks, lines and spans; lines 1 and 2 of an order stand at one place."""
+    n = F.col("l_linenumber")
+    text = F.when(n == 1, "a\tb").when(n == 2, "a b").when(n == 3, "  ").otherwise(F.col("l_returnflag"))
+    span = F.struct(F.when(n == 2, 1.4).otherwise(n.cast("double")).alias("x"), F.col("l_quantity").cast("double").alias("y"), F.lit(0.0).alias("x1"), text.alias("text"), F.lit("F").alias("font"), F.lit(9.0).alias("size"))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", span.alias("s")))), lambda x: x["s"]).alias("spans"))
+    first = F.array(F.struct(F.lit(0).alias("type"), F.array(F.struct("spans")).alias("lines")), F.struct(F.lit(1).alias("type"), F.array(F.struct("spans")).alias("lines")))
+    df = tables.spans(g.select("page", first.alias("blocks")), 5, 45)
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("long"))).alias("at"))
+    return df.join(lines, "page").select("page", F.get("at", F.col("ord").cast("int")).alias("ord"), "x", "y", "text")
+
+
+@query(f"""
+WITH {LINES_SQL}, d AS (SELECT doc_id AS slug, pos, CASE WHEN length(line) < 30 THEN 1 WHEN length(line) < 60 THEN 2 ELSE 0 END AS level, line FROM l)
+SELECT a.slug, 'a' || a.pos AS id, 'n' || a.pos AS name, CASE WHEN length(trim(string_agg(b.line, chr(10) ORDER BY b.pos))) >= 8 THEN string_agg(b.line, chr(10) ORDER BY b.pos) ELSE '' END AS html, 'section' AS kind
+FROM d a JOIN (SELECT h.slug, h.pos, coalesce(min(o.pos), 1000000) AS stop FROM d h LEFT JOIN d o ON o.slug = h.slug AND o.pos > h.pos AND o.level BETWEEN 1 AND h.level WHERE h.level > 0 GROUP BY ALL) e ON a.slug = e.slug AND a.pos = e.pos JOIN d b ON b.slug = a.slug AND b.pos >= a.pos AND b.pos < e.stop GROUP BY ALL
+""")
+def section_previews(spark, sf_dir):
+    """Each short line is a heading; a section goes on to the next one of its level or a higher one."""
+    n = F.length("line")
+    from loomwright.operators import lines as L
+
+    df = L.explode_lines(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("slug"), "pos", F.when(n < 30, 1).when(n < 60, 2).otherwise(0).alias("level"), F.col("line").alias("html"))
+    blocks_ = df.withColumn("parent", F.lit(None).cast("int")).withColumn("kind", F.when(F.col("level") > 0, "heading").otherwise("paragraph")).withColumn("anchor", F.when(F.col("level") > 0, F.concat(F.lit("a"), F.col("pos").cast("string"))).otherwise(""))
+    sections = blocks_.where("level > 0").select("slug", F.col("anchor").alias("id"), F.concat(F.lit("n"), F.col("pos").cast("string")).alias("name"))
+    return publish.section_html(blocks_, sections)
+
+
+@query("SELECT p_partkey, [p_size % 6 + 1, p_partkey % 6 + 1]::VARCHAR AS parts, p_size % 6 + 1 + p_partkey % 6 + 1 + p_partkey % 3 - 1 AS total, '2d6' || CASE p_partkey % 3 WHEN 0 THEN '-1' WHEN 2 THEN '+1' ELSE '' END || ' (' || (p_size % 6 + 1) || ' + ' || (p_partkey % 6 + 1) || CASE p_partkey % 3 WHEN 0 THEN ' − 1' WHEN 2 THEN ' + 1' ELSE '' END || ') → ' || (p_size % 6 + 1 + p_partkey % 6 + 1 + p_partkey % 3 - 1) AS shown FROM part".replace("[p_size % 6 + 1, p_partkey % 6 + 1]::VARCHAR AS parts, ", ""))
+def roll_results(spark, sf_dir):
+    mod = (F.col("p_partkey") % 3 - 1).cast("int")
+    parts = F.array((F.col("p_size") % 6 + 1).cast("int"), (F.col("p_partkey") % 6 + 1).cast("int"))
+    e = F.concat(F.lit("2d6"), F.when(mod < 0, "-1").when(mod > 0, "+1").otherwise(""))
+    df = table(spark, sf_dir, "part").select("p_partkey", parts.alias("parts"), mod.alias("mod"), e.alias("e"))
+    return dice.totalled(df, "e").select("p_partkey", F.col("total").cast("long").alias("total"), "shown")
+
+
+@query("SELECT 0 AS slug, '' AS title, 0 AS rank, '' AS \"where\" WHERE false")
+def search_of_nothing(spark, sf_dir):
+    return search.search(_docs(spark, sf_dir), "   ").select("slug", "title", "rank", "where")
+
+
+@query("SELECT p_brand AS slug, p_partkey AS ord, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey) AS rank FROM part")
+def titles_longest_first(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select(F.col("p_brand").alias("slug"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"))
+    return links.longest_first(t, "slug").select("slug", "ord", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT p_brand AS book, p_partkey AS ord, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS number FROM part")
+def articles_in_order(spark, sf_dir):
+    a = table(spark, sf_dir, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").alias("ord"), F.col("p_size").alias("start_page"))
+    return publish.number_articles(a, "book").select("book", "ord", F.col("number").cast("long").alias("number"))
+
+
+@query("""
+WITH s AS (SELECT p_brand AS slug, p_partkey AS pos, 's' || p_size AS id, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE '<p>' || p_type || '</p>' END AS html FROM part),
+l AS (SELECT slug, id, arg_max(name, pos) AS name, arg_max(coalesce(html, ''), pos) AS html FROM s GROUP BY ALL)
+SELECT slug, 'Title ' || slug AS title, string_agg(id || '=' || name || html, ';' ORDER BY id) AS sections FROM l GROUP BY slug
+""")
+def previews_of_articles(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    articles = part.select(F.col("p_brand").alias("slug")).distinct().withColumn("title", F.concat(F.lit("Title "), "slug"))
+    sections = part.select(F.col("p_brand").alias("slug"), F.col("p_partkey").alias("pos"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("<p>"), "p_type", F.lit("</p>"))).alias("html"), F.lit("section").alias("kind"))
+    df = search.previews(articles, sections)
+    text = F.array_join(F.transform(F.sort_array(F.map_entries("sections")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["name"], e["value"]["html"])), ";")
+    return df.select("slug", "title", text.alias("sections"))
+
+
+@query("SELECT l_orderkey AS page, l_partkey AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_quantity / 3, 0) * 3, l_extendedprice, l_partkey) AS place FROM lineitem")
+def blocks_in_order(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("ord"), F.col("l_quantity").alias("y"), F.col("l_extendedprice").alias("x"), F.lit("t").alias("text"))
+    return unlock.block_order(li).select("page", "ord", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT p_partkey AS text_id, 'long' AS slug, upper(p_name) || ' of ash' AS title, 1 AS place FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'short', 'Some Mill', 7 FROM part WHERE p_partkey % 2 = 0")
+def titles_in_texts(spark, sf_dir):
+    """Each text has the name of its part as part of a longer title, and another title; half of the texts stand in that article."""
+    part = table(spark, sf_dir, "part")
+    even = F.col("p_partkey") % 2 == 0
+    texts = part.where(even).select(F.col("p_partkey").alias("text_id"), F.concat(F.lit("The "), "p_name", F.lit(" of Ash, by <some mill>: Some Mill.")).alias("text"), F.lit("here").alias("slug"))
+    odd = part.where(~even).select(F.col("p_partkey").alias("text_id"), F.lit("some mill").alias("text"), F.lit("short").alias("slug"))
+    names = part.select("p_name").distinct()
+    titles = names.select(F.concat(F.upper("p_name"), F.lit(" of ash")).alias("title"), F.lit("long").alias("slug")).unionByName(names.select(F.col("p_name").alias("title"), F.lit("part").alias("slug")))
+    titles = titles.unionByName(spark.createDataFrame([("Some Mill", "short"), ("Ash", "ash")], "title string, slug string"))
+    got = unlock.titles_in(texts.unionByName(odd), titles)
+    return got.withColumn("place", F.when(F.col("slug") == "short", 7).otherwise(F.col("place")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import lines as L
+from loomwright.operators import parse, publish, wrap
 from loomwright.sources.tables import table
 
 QUERIES: dict = {}
@@ -70,11 +71,11 @@ def undouble_lines(spark, sf_dir):
 
 
 @query(f"""
-WITH {LINES_SQL}, d AS (SELECT doc_id, pos, {WORDS_SQL.format("CASE WHEN pos % 3 = 0 THEN left(line, 20) || ' ' || left(line, 20) ELSE line END")} AS w FROM l)
+WITH {LINES_SQL}, d AS (SELECT doc_id, pos, {WORDS_SQL.format("CASE WHEN pos % 3 = 0 THEN line || ' ' || line ELSE line END")} AS w FROM l)
 SELECT doc_id, pos::INT AS pos, len(w) >= 2 AND len(w) % 2 = 0 AND len(list_filter(range(1, len(w) + 1, 2), lambda i: lower(w[i]) <> lower(w[i + 1]))) = 0 AS doubled FROM d
 """)
 def pairwise_doubled(spark, sf_dir):
-    odd = F.when(F.col("pos") % 3 == 0, F.concat(F.substring("line", 1, 20), F.lit(" "), F.substring("line", 1, 20))).otherwise(F.col("line"))
+    odd = F.when(F.col("pos") % 3 == 0, F.concat("line", F.lit(" "), "line")).otherwise(F.col("line"))
     return _lines(spark, sf_dir).select("doc_id", "pos", T.pairwise_doubled(odd).alias("doubled"))
 
 
@@ -114,11 +115,11 @@ def price_rows(spark, sf_dir):
     return table(spark, sf_dir, "part").withColumn("r", row).select("p_partkey", "r.item", "r.value")
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(CASE WHEN p_size = 7 THEN [7, 10] ELSE [p_size, p_size + 3, 7] END, lambda x: x::VARCHAR), ',') AS pages FROM part WHERE p_size NOT IN (4)")
+@query("SELECT p_partkey, array_to_string(list_transform(CASE p_size WHEN 7 THEN [7, 10] WHEN 4 THEN [4, 7] ELSE [p_size, p_size + 3, 7] END, lambda x: x::VARCHAR), ',') AS pages FROM part")
 def page_num_list(spark, sf_dir):
     size = F.col("p_size")
     spec = F.concat(size.cast("string"), F.lit("-"), (size + 3).cast("string"), F.lit(", 7; x"))
-    return table(spark, sf_dir, "part").where("p_size <> 4").select("p_partkey", F.array_join(T.page_numbers(spec).cast("array<string>"), ",").alias("pages"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.page_numbers(spec).cast("array<string>"), ",").alias("pages"))
 
 
 @query("SELECT p_partkey, p_name AS label FROM part")
@@ -137,11 +138,6 @@ def singularize(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.singular(F.concat(F.element_at(F.split("p_name", " "), -1), end)).alias("one"))
 
 
-@query()
-def match_keys(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.match_keys("p_name"), "|").alias("keys"))
-
-
 @query("""
 WITH t AS (SELECT p_partkey, concat(p_size % 120, 'd', p_size, CASE WHEN p_size % 3 = 0 THEN ' + 3' WHEN p_size % 3 = 1 THEN '-1' ELSE '' END) AS e, p_size % 120 AS n, p_size AS s, CASE WHEN p_size % 3 = 0 THEN 3 WHEN p_size % 3 = 1 THEN -1 ELSE 0 END AS m FROM part)
 SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 99 AND s > 0 THEN n END AS n, CASE WHEN n BETWEEN 1 AND 99 AND s > 0 THEN s END AS sides, CASE WHEN n BETWEEN 1 AND 99 AND s > 0 THEN m END AS mod FROM t
@@ -162,12 +158,15 @@ def dice_statistics(spark, sf_dir):
     return dice.statistics(table(spark, sf_dir, "part").withColumn("e", e), "e").select("p_partkey", "least", "most", F.col("mean").cast("double").alias("mean"))
 
 
-@query()
+@query("SELECT p_partkey, p_size % 9 + 1 AS n_parts, true AS valid FROM part")
 def dice_rolls(spark, sf_dir):
+    """Rolls, and whether their parts are faces of the die and the total is theirs."""
     from loomwright.operators import dice
 
     e = F.concat((F.col("p_size") % 9 + 1).cast("string"), F.lit("d6-1"))
-    return dice.roll(table(spark, sf_dir, "part").withColumn("e", e), "e", 7).select("p_partkey", "total", "shown")
+    df = dice.roll(table(spark, sf_dir, "part").withColumn("e", e), "e", 7)
+    faces = F.forall("parts", lambda x: x.between(1, 6)) & (F.col("total") == F.aggregate("parts", F.lit(-1), lambda a, x: a + x))
+    return df.select("p_partkey", F.size("parts").alias("n_parts"), faces.alias("valid"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
@@ -180,35 +179,81 @@ def excerpt_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.excerpt("text").alias("excerpt"))
 
 
+def _marked(df):
+    """Documents' lines with boxes, entries, hit points, dice headers and tags among them."""
+    p, line = F.col("pos"), F.col("line")
+    said = (
+        F.when(p % 11 == 3, "\x02BOX").when(p % 11 == 5, "\x02ENDBOX").when(p % 7 == 6, F.concat(F.lit("3 "), line)).when(p % 13 == 8, F.concat(F.lit("HP 5 "), line))
+        .when(p % 17 == 2, F.concat(F.lit("1d6 "), line)).when(p % 19 == 1, F.concat(F.lit("Horde, small, "), F.substring_index(line, " ", 8))).when(p % 19 == 4, F.concat(F.lit("\x04"), line, F.lit("\x05"))).otherwise(line)
+    )
+    return df.withColumn("line", said)
+
+
+_MARKED_SQL = """CASE WHEN pos % 11 = 3 THEN chr(2) || 'BOX' WHEN pos % 11 = 5 THEN chr(2) || 'ENDBOX' WHEN pos % 7 = 6 THEN '3 ' || line WHEN pos % 13 = 8 THEN 'HP 5 ' || line
+  WHEN pos % 17 = 2 THEN '1d6 ' || line WHEN pos % 19 = 1 THEN 'Horde, small, ' || array_to_string(string_split(line, ' ')[1:8], ' ') WHEN pos % 19 = 4 THEN chr(4) || line || chr(5) ELSE line END"""
+
+
 @query(f"""
-WITH {LINES_SQL}, g AS (SELECT *, length(line) > 0 AND len({WORDS_SQL.format("line")}) > 0 AS ok, len({WORDS_SQL.format("line")}) AS n FROM l WHERE length(line) >= 40),
-b AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS before FROM g),
-k AS (SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS body FROM b WHERE before < 50 GROUP BY doc_id)
-SELECT f.doc_id, coalesce(k.body, f.line) AS excerpt FROM (SELECT doc_id, line FROM l WHERE pos = 0) f LEFT JOIN k USING (doc_id)
+WITH {LINES_SQL}, m AS (SELECT doc_id, pos, {_MARKED_SQL} AS line FROM l),
+b AS (SELECT *, coalesce(last_value(CASE line WHEN chr(2) || 'BOX' THEN true WHEN chr(2) || 'ENDBOX' THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), false) AS boxed, trim(regexp_replace(line, '[\\x04-\\x07]', '', 'g')) AS clean FROM m),
+g AS (SELECT *, len({WORDS_SQL.format("clean")}) AS n FROM b WHERE NOT boxed AND NOT starts_with(line, chr(2)) AND length(clean) >= 40 AND NOT regexp_matches(clean, '^\\d{{1,2}}(\\s*[-–—]\\s*\\d{{1,2}})?\\s+.+$')
+  AND NOT regexp_matches(clean, '(?i)\\bHP\\s*\\d+') AND NOT regexp_matches(clean, '(?i)^\\d{{0,2}}d(4|6|8|10|12|20)\\s+.+$') AND NOT (starts_with(clean, 'Horde, small, ') AND length(clean) <= 160)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS before FROM g),
+k AS (SELECT doc_id, string_agg(clean, chr(10) || chr(10) ORDER BY pos) AS body FROM r WHERE before < 50 GROUP BY doc_id)
+SELECT f.doc_id, coalesce(k.body, regexp_replace(regexp_replace(f.line, '^\\x02[A-Z0-9]+ ?', ''), '[\\x04-\\x07]', '', 'g')) AS excerpt FROM (SELECT doc_id, line FROM m WHERE pos = 0) f LEFT JOIN k USING (doc_id)
 """)
 def excerpt_50_words(spark, sf_dir):
-    return L.excerpt(_lines(spark, sf_dir))
+    return L.excerpt(_marked(_lines(spark, sf_dir)))
+
+
+_SMALL = "list_filter({w}, lambda x: regexp_matches(x, '^\\p{{Ll}}'))"
+_PAIRED = "(len({w}) >= 2 AND len({w}) % 2 = 0 AND len(list_filter(range(1, len({w}) + 1, 2), lambda i: lower(({w})[i]) <> lower(({w})[i + 1]))) = 0)"
+_ROLL = "(regexp_matches({x}, '(?i)^\\d{{0,2}}d(4|6|8|10|12|20)(\\s+[^().;:]*)?$') OR regexp_matches({x}, '(?i)^.{{1,40}}\\s\\d{{0,2}}d(4|6|8|10|12|20)$'))"
+#: x is a line, w the list of its words.
+_HEADING = (
+    "(length({x}) BETWEEN 1 AND 55 AND regexp_matches({x}, '^[\\p{{Lu}}\\p{{Nd}}]') AND len({w}) <= 8 AND NOT " + _PAIRED + " AND NOT regexp_matches({x}, '[.,;][\"''”’]*$') AND NOT regexp_matches({x}, '^\\d{{1,2}}(\\s*[-–—]\\s*\\d{{1,2}})?\\s+.+$') "
+    "AND NOT regexp_matches({x}, '(?i)\\bHP\\s*\\d+') AND NOT " + _ROLL + " AND NOT regexp_matches({x}, '(?i)^.+\\s+(\\d{{1,2}}|\\+\\d{{1,2}}|free)(\\s+\\([^)]*\\))?\\s*$') AND NOT regexp_matches({x}, '^[\\d\\s,;:.)\\]]+$') AND NOT regexp_matches({x}, '(?i)\\bpages?\\s+\\d') "
+    "AND len(list_filter({w}, lambda x: regexp_matches(x, '^\\p{{Ll}}') AND NOT list_contains(['a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'for', 'from', 'vs', 'vs.', 'on', 'with', 'by', 'as', 'at'], trim(lower(x), '.,;:')))) < 3)"
+)
+
+
+def _with_labels(spark, sf_dir):
+    """Documents with up to five labels before their first line; every fourth one's first label is a mark."""
+    d = F.col("doc_id")
+    labels = F.transform(F.slice(F.array(*[F.lit(i) for i in range(1, 6)]), F.lit(1), (d % 6).cast("int")), lambda i: F.when((d % 4 == 3) & (i == 1), F.lit("\x02H2 Mark")).when(i == 3, F.lit("ALL CAPITALS")).otherwise(F.concat(F.lit("Label number "), i.cast("string"))))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.array_join(F.concat(labels, F.array(F.coalesce("text", F.lit("")))), "\n"))
+    return L.explode_lines(docs)
+
+
+_LABELS_SQL = """v AS (SELECT doc_id, array_to_string(list_append(list_transform(range(1, doc_id % 6 + 1), lambda i: CASE WHEN doc_id % 4 = 3 AND i = 1 THEN chr(2) || 'H2 Mark' WHEN i = 3 THEN 'ALL CAPITALS' ELSE 'Label number ' || i END), coalesce(text, '')), chr(10)) AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM v)"""
 
 
 @query(f"""
-WITH {LINES_SQL}, p AS (SELECT *, min(CASE WHEN length(line) >= 60 THEN pos END) OVER (PARTITION BY doc_id) AS fp, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
-s AS (SELECT *, sum(CASE WHEN pos < fp AND trim(line) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS labels FROM p)
-SELECT doc_id, pos::INT AS pos, coalesce(n >= 5 AND fp >= 3 AND labels >= 3 AND pos < fp, false) AS is_toc FROM s
+WITH {_LABELS_SQL}, t AS (SELECT *, trim(line) AS x, {WORDS_SQL.format("trim(line)")} AS w FROM l), s AS (SELECT *, len({_SMALL.format(w="w")}) AS small, len(w) AS n_w FROM t),
+f AS (SELECT *, length(x) >= 70 OR (length(x) >= 48 AND (small >= 2 OR (small >= 1 AND regexp_matches(x, '[.!?]$')))) OR (length(x) >= 35 AND regexp_matches(x, '(?i)^(There are|Maybe you|When you|Thanks to|Most events)')) AS prose,
+  x = '' OR (small >= 2 AND NOT regexp_matches(x, '[.!?:]$') AND (n_w >= 5 OR length(x) > 42)) OR list_contains(['up', 'plan', 'door', 'moves', 'fly', 'change'], lower(x)) AS scrap,
+  {_HEADING.format(x="x", w="w")} OR (length(x) <= 40 AND regexp_matches(x, '^\\p{{Lu}}') AND NOT regexp_matches(x, '[.;,]$')) AS label,
+  x = '' OR {_PAIRED.format(w="w")} OR (n_w >= 2 AND n_w % 2 = 0 AND list_transform(w, lambda y: lower(y))[1:n_w // 2] = list_transform(w, lambda y: lower(y))[n_w // 2 + 1:n_w]) OR lower(x) IN ('contents', 'index') AS running FROM s),
+p AS (SELECT *, min(CASE WHEN prose THEN pos END) OVER d AS fp, count(*) OVER d AS n, min(CASE WHEN starts_with(line, chr(2)) THEN pos END) OVER d AS mark FROM f WINDOW d AS (PARTITION BY doc_id)),
+q AS (SELECT *, coalesce(pos < fp, false) AND NOT running AND NOT scrap AND label AS lab, coalesce(pos < fp, false) AND NOT running AND NOT scrap AND NOT label AND length(x) > 55 AS odd, CASE WHEN pos >= fp AND NOT scrap THEN pos END AS b FROM p),
+r AS (SELECT *, n >= 5 AND fp >= 3 AND coalesce(mark > fp, true) AND sum(lab::INT) OVER d >= 3 AND NOT max(odd::INT) OVER d = 1 AND min(b) OVER d IS NOT NULL AS found, min(b) OVER d AS body FROM q WINDOW d AS (PARTITION BY doc_id))
+SELECT doc_id, pos::INT AS pos, CASE WHEN NOT coalesce(found, false) THEN 'body' WHEN lab THEN 'toc' WHEN pos >= body THEN 'body' END AS part FROM r
 """)
 def toc_peel(spark, sf_dir):
-    return L.toc_peel(_lines(spark, sf_dir)).select("doc_id", "pos", "is_toc")
+    return L.toc_peel(_with_labels(spark, sf_dir)).select("doc_id", "pos", "part")
 
 
 _LEVEL = "CASE WHEN length(line) < 30 THEN 1 WHEN length(line) < 60 THEN 2 ELSE 3 END"
 
 
 @query(f"""
-WITH {LINES_SQL}, h AS (SELECT doc_id, pos, {_LEVEL} AS level FROM l WHERE length(line) < 120)
+WITH {LINES_SQL}, h AS (SELECT doc_id, pos, {_LEVEL} AS level FROM l)
 SELECT a.doc_id, a.pos::INT AS pos, a.level, min(b.pos)::INT AS "end" FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.level <= a.level GROUP BY ALL
 """)
 def next_heading(spark, sf_dir):
     level = F.when(F.length("line") < 30, 1).when(F.length("line") < 60, 2).otherwise(3)
-    return L.next_heading(_lines(spark, sf_dir).where(F.length("line") < 120).select("doc_id", "pos", level.alias("level")))
+    return L.next_heading(_lines(spark, sf_dir).select("doc_id", "pos", level.alias("level")), levels=3)
 
 
 @query(f"""
@@ -247,14 +292,21 @@ def face_fill(spark, sf_dir):
 
 @query()
 def wrap_merge(spark, sf_dir):
-    return L.merge_wrapped(_lines(spark, sf_dir))
+    return wrap.merge_wrapped(_lines(spark, sf_dir))
 
 
 @query()
-def block_parse(spark, sf_dir):
-    return L.blocks(_lines(spark, sf_dir)).select("doc_id", "block", "kind", F.size("lines").alias("n_lines"))
+def parsed_documents(spark, sf_dir):
+    df = _lines(spark, sf_dir).withColumnRenamed("doc_id", "slug").withColumn("title", F.lit(""))
+    return parse.parse(df).select("slug", "pos", "kind", "name", F.size("items").alias("n_items"))
 
 
 @query()
+def rendered_documents(spark, sf_dir):
+    df = _lines(spark, sf_dir).withColumnRenamed("doc_id", "slug").withColumn("title", F.lit(""))
+    return publish.article_html(publish.render(parse.parse(df)))
+
+
+@query(f"WITH {LINES_SQL}, w AS (SELECT doc_id, pos, line, {WORDS_SQL.format('line')} AS w FROM l) SELECT doc_id, pos::INT AS pos, line FROM w WHERE {_HEADING.format(x='line', w='w')}")
 def heading_lines(spark, sf_dir):
     return _lines(spark, sf_dir).where(T.heading("line")).select("doc_id", "pos", "line")

@@ -25,9 +25,9 @@ def check_state(events: DataFrame) -> DataFrame:
 
 
 def is_checked(asked: DataFrame, state: DataFrame) -> DataFrame:
-    """Whether (page, check_id) is checked there or, for old keys, on any page."""
+    """The asked rows (.., page, check_id) with `checked`: there or, for old keys, on any page."""
     anywhere = state.select("check_id").distinct().withColumn("hit", F.lit(True))
-    return asked.join(anywhere, "check_id", "left").select("page", "check_id", F.coalesce("hit", F.lit(False)).alias("checked"))
+    return asked.join(anywhere, "check_id", "left").select(*asked.columns, F.coalesce("hit", F.lit(False)).alias("checked"))
 
 
 def pins(events: DataFrame) -> DataFrame:

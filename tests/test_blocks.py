@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import rich as R
 from loomwright.operators import blocks as B
-from loomwright.operators import lines as L
+from loomwright.operators import parse
+from loomwright.operators import publish as P
 
 
 def frame(spark, *lines):
@@ -55,8 +56,35 @@ def test_rows_of_marks(spark):
     assert {r["line"]: (r.n_marks, r.is_marks) for r in B.mark_rows(df, ["line"]).collect()} == {1: (3, True), 2: (1, False)}
 
 
-def test_rendering_escapes(spark):
-    html = B.render(L.blocks(frame(spark, "A Title", "• one", "• t<o", "plain text that is long enough to be no heading at all, surely.").withColumnRenamed("slug", "k"), "k"), "k").first().html
-    assert html == "<h2>A Title</h2><ul><li>one</li><li>t&lt;o</li></ul><p>plain text that is long enough to be no heading at all, surely.</p>"
-    df = spark.createDataFrame([(["a", "b<"],)], "x array<string>")
-    assert 'data-check-id="p-2">b&lt;' in df.select(R.check_list(F.col("x"), F.lit("p")).alias("h")).first().h
+def test_rendering_escapes_and_nests(spark):
+    rows = frame(spark, "\x02H2 A <b>", "\x02BOX", "\x02H4 Size", "small & old", "\x02ENDBOX", "\x02B one \x04two\x05", "\x02VT goods", "\x02VR Rope\x032").withColumn("title", F.lit("T"))
+    done = P.render(parse.parse(rows))
+    html = P.article_html(done).first().html
+    assert html == '<h2 id="a-b">A &lt;b&gt;</h2>\n<div class="infobox"><h4>Size</h4><p>small &amp; old</p></div>\n<ul class="bullets"><li>one <strong>two</strong></li></ul>\n<div class="value-table"><div class="value-table-head">Goods Value</div><table><tbody><tr><td>Rope</td><td class="val">2</td></tr></tbody></table></div>'
+    page = spark.createDataFrame([('<p>x</p><div class="stat-block" id="wolf"><div>in</div></div><div class="other" id="no"></div>',)], "html string")
+    assert page.select(P.blocks_by_id("html").alias("m")).first().m == {"wolf": '<div class="stat-block" id="wolf"><div>in</div></div>'}
+
+
+def test_stat_parts():
+    got = parse.stat_parts(["Threat (old)", "HP 4; Armor 1", "Damage d6,", "messy", "d4 (reach)", "Instinct: to hunt", "• howl", "run away", "A wolf of the north that has seen many winters and many hunters come.", "• an option", "Questions:", "• why?", "When it dies, mark it", "\x02C dead", ("1d4", "tasks", [("1", "eat", 0)])])
+    assert got == {
+        "tags": ["Threat (old)"], "stats": ["HP 4; Armor 1", "Damage d6, messy d4 (reach)", "Instinct: to hunt"], "moves": ["howl", "run away"],
+        "notes": ["A wolf of the north that has seen many winters and many hunters come.", "• an option", "Questions", "• why?", "When it dies, mark it"], "checks": ["dead"], "tables": [("1d4", "tasks", [("1", "eat", 0)])],
+    }
+
+
+def test_parser_always_moves_on():
+    import random
+
+    rng = random.Random(1)
+    lines = ["\x02HR", "\x02H3 Wolf", "\x02C x", "\x02VA y", "\x02VR a\x031", "\x02ENDBOX", "\x02BOX", "\x02ZZ ?", "Horde, small", "HP 4", "1d6 x", "1 a", "2 b", "goods value", "Rope 1", "•", "• a", "steading improvement", "Requires both:", "GOLD", "When you go", "text", "", "d6", "theme"]
+    for _ in range(400):
+        given = [rng.choice(lines) for _ in range(rng.randint(0, 14))]
+        parse.flat(parse.Parser(given, "T").run())
+
+
+def test_more_requirements_than_a_block_has():
+    anchors = parse.Anchors()
+    assert parse.improvement(["Requires all of the following:", *["a thing"] * 31], 0, anchors) is None and not anchors.sections
+    block, end = parse.improvement(["Requires all of the following:", *["a thing"] * 30], 0, anchors)
+    assert end == 31 and len(block.items) == 31 and anchors.sections[0][0] == "steading-improvement"

@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
-from loomwright.operators import dice, layout, lines, links, model, search
+from loomwright.functions import rich as R
+from loomwright.functions import rules as L
+from loomwright.functions import text as T
+from loomwright.operators import dice, layout, lines, links, model, search, wrap
 from loomwright.streaming import state
 
 
@@ -15,8 +18,8 @@ def test_half_even_dedupe(spark):
 
 
 def test_assemble(spark):
-    df = spark.createDataFrame([(1, 1, 0.0, 5.0, "case"), (1, 2, 5.5, 9.0, "s"), (1, 3, 12.0, 15.0, "with"), (1, 4, 17.0, 18.0, ".")], "line int, ord int, x double, x1 double, text string")
-    assert layout.assemble(df, ["line"]).first()["line"] == "cases with."
+    df = spark.createDataFrame([(1, 1, 0.0, 5.0, "case"), (1, 2, 5.5, 9.0, "s"), (1, 3, 12.0, 15.0, "with"), (1, 4, 17.0, 18.0, ".")], "row int, ord int, x double, x1 double, text string")
+    assert layout.assemble(df, ["row"]).first()["line"] == "cases with."
 
 
 def test_rules_apart_and_icons(spark):
@@ -58,20 +61,53 @@ def test_resolution_prefers_titles_and_falls_back_to_prefixes(spark):
 
 
 def test_title_scores(spark):
-    df = spark.createDataFrame([("flow", "flow of play", 80), ("trade", "trade with harrows", 80), ("deaths door", "death s door", 95), ("x", "y", None)], "a string, b string, want int")
-    assert all(r.s == r.want for r in df.select(links.title_score(F.col("a"), F.col("b")).alias("s"), "want").collect())
+    rows = [("The flow", "The flow of play", 84), ("trade", "trade with harrows", 85), ("DEATH'S DOOR", "Death s Door", None), ("DEATHS DOOR", "DEATH S DOOR", 105), ("x", "y", None), ("TRADE &", "Trade with Harrow", None), ("old mill pond", "old mill", 63), ("the mill", "by the old mill road", None), ("millpond", "by the millpond road", 45), ("ab", "ab", 100)]
+    df = spark.createDataFrame(rows, "a string, b string, want int")
+    for r in df.select("a", "b", links.title_score(F.col("a"), F.col("b")).alias("s"), "want").collect():
+        assert r.s == r.want, r
+    labels = df.select(F.lit("s").alias("slug"), F.col("a").alias("label_pos"), F.col("a").alias("label")).distinct()
+    names = df.select(F.lit("s").alias("slug"), F.col("b").alias("section_pos"), F.col("b").alias("name")).distinct()
+    every = labels.join(names, "slug").select("label_pos", "section_pos", links.title_score(F.col("label"), F.col("name")).alias("score")).where("score is not null")
+    assert sorted(map(tuple, links.score_titles(labels, names).select("label_pos", "section_pos", "score").collect())) == sorted(map(tuple, every.collect()))
     scores = spark.createDataFrame([("s", 1, 1, 80), ("s", 1, 2, 80), ("s", 2, 1, 100), ("s", 2, 2, 55)], "slug string, label_pos int, section_pos int, score int")
     assert sorted((r.label_pos, r.section_pos) for r in links.assign_titles(scores).collect()) == [(1, 1), (2, 2)]
 
 
 def test_wrapped_lines():
-    fold = lines.joins_on
-    assert fold("crys-", "tal") and lines.glue("crys-", "tal") == "crystal"
-    assert fold("came—", "when") and lines.glue("came—", "when") == "came—when"
-    assert fold("a thing (page", "436), especially")
-    assert fold("en route to", "Harrow's Delve")
-    assert not fold("• Throw a tantrum", "Misshapen brutes with flesh")
-    assert not fold("It ends.", "Another begins")
+    assert wrap.merged(["crys-", "tal", "came—", "when", "it ended.", "A thing (page", "436), especially"]) == ["crystal came—when it ended.", "A thing (page 436), especially"]
+    assert len(wrap.RULES) == 28 and len({n for n, _ in wrap.RULES}) == 28
+
+
+def test_wrapped_lines_of_many_documents(spark):
+    rows = [(d, i, x) for d in range(7) for i, x in enumerate(["a long line that", f"goes on {d}", "", "Short"] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, line string").repartition(5)
+    got = {}
+    for r in wrap.merge_wrapped(df).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+    assert got == {d: wrap.merged(["a long line that", f"goes on {d}", "", "Short"] * 3) for d in range(7)}
+    assert wrap.merge_wrapped(df.where("false")).count() == 0
+
+
+SAMPLES = [
+    "", "a", "The Mill", "the the old old", "a b a b", "HP 4", "Horde, small", "goods value", "Weapons & Armor Value", "Rope 2", "Room 3 for a night", "free", "+2", "1d6 omens", "d8", "omens 1d6", "3-5 a bird", "• item", "ALL CAPITALS",
+    "It ends.", "Contents", "Questions:", "Requires both:", "And then, all of these", "Henceforth it is", "magical, hand", "◇ close", "+1 damage", "see pages 4-5", "Value 3)", "a line that is far too long to be a heading of any kind in a book, so it is prose",
+    "When you strike, roll", "Steading improvement", "Also, it goes on", "up", "If you want of play and", "l l l", "123", "Title of a Thing by the River", "Nine words are too many for a heading here now", "Élan Vital", "ça va", "2 Things", "Threat (old)",
+]
+
+
+def test_rules_are_those_of_the_columns(spark):
+    df = spark.createDataFrame([(x,) for x in SAMPLES], "s string")
+    s = F.col("s")
+    pairs = {
+        "heading": (T.heading(s), L.heading), "tags": (T.tag_line(s), L.tag_line), "roll": (T.roll_header(s), L.roll_header), "price": (T.value_header(s), L.value_header), "caps": (T.all_caps_label(s), L.caps_label),
+        "doubled": (T.pairwise_doubled(s), L.doubled), "undoubled": (T.undouble(s), L.undouble), "head": (R.running_header(s, F.lit("The Mill"), True), lambda x: L.running_header(x, "The Mill", True)), "pure": (T.pure_tags(s), L.pure_tags),
+        "requires": (R.requirement_header(s), L.require_header), "item": (R.requirement_item(s), L.require_item), "benefit": (R.benefit_continues(s), L.benefit_continues), "prose": (lines.toc_prose(s), L.toc_prose), "scrap": (lines.toc_garbage(s), L.toc_garbage),
+        "marks": (R.mark_track(s), L.mark_track), "key": (T.section_key(s), L.section_key), "slug": (T.slug(s, "section"), lambda x: L.slug(x, "section")), "normal": (T.normalize_text(s), L.normal),
+        "row": (F.concat_ws("=", T.value_row(s)["item"], T.value_row(s)["value"]), lambda x: "=".join(L.value_row(x) or ())),
+    }
+    for row in df.select("s", *[c.alias(n) for n, (c, _) in pairs.items()]).collect():
+        for name, (_, rule) in pairs.items():
+            assert row[name] == rule(row.s), (name, row.s, row[name])
 
 
 def test_split_dice_tables(spark):
@@ -86,6 +122,8 @@ def test_search_ranks_and_counts(spark):
     docs = spark.createDataFrame([("1", "the cat", "", "x"), ("2", "The big cat", "", "x"), ("3", "dog", "e", "a cat and the dog"), ("4", "the", "e", "cat")], "slug string, title string, excerpt string, text string")
     got = search.search(docs, "The CAT").collect()
     assert [(r.slug, r.rank, r.where) for r in got] == [("1", -1, "title"), ("2", 0, "title"), ("3", 1, "text")]
+    by_title = spark.createDataFrame([("1", "Zoe cat", "", ""), ("2", "élan cat", "", ""), ("3", "abel cat", "", "")], "slug string, title string, excerpt string, text string")
+    assert [r.slug for r in search.search(by_title, "cat").collect()] == ["3", "2", "1"]
     assert search.search(docs, "  ").count() == 0 and search.count_hits(docs, "the cat").first().n_hits == 3
 
 
