@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
+from loomwright.operators import wrap as W
+
 
 def dedupe_rounded(df: DataFrame, key: list[str], coords: list[str], same: list[str], order: str) -> DataFrame:
     """Of rows whose coordinates round (half to even) alike, the first."""
@@ -70,29 +71,23 @@ def assemble(spans: DataFrame, key: list[str], gap: float = 1.0) -> DataFrame:
 def rules_apart(rules: DataFrame, key: list[str], within: float = 5.0) -> DataFrame:
     """Horizontal rules, without those near any rule of the page that stayed before."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[float] = []
-        keep = []
-        for y in rows.sort_values("ord")["y"]:
-            keep.append(all(abs(y - k) > within for k in kept))
-            if keep[-1]:
-                kept.append(y)
-        return rows.sort_values("ord")[keep]
+    def step(kept: list[float], row: dict) -> list[dict]:
+        if any(abs(row["y"] - y) <= within for y in kept):
+            return []
+        kept.append(row["y"])
+        return [row]
 
-    return rules.groupBy(*key).applyInPandas(fold, rules.schema)
+    return W.fold(rules, key, lambda row: [], step, lambda kept: [], rules.schema, ("ord",))
 
 
 def icons_to_lines(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Greedy one to one: in the order of lines each takes the first icon in reach that is still free; pairs: (key, line, icon)."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for line, mine in rows.sort_values(["line", "icon"]).groupby("line", sort=True):
-            free = [i for i in mine["icon"] if i not in used]
-            if free:
-                used.add(free[0])
-                out.append(mine[mine["icon"] == free[0]].iloc[0])
-        return pd.DataFrame(out, columns=rows.columns)
-
-    return pairs.groupBy(*key).applyInPandas(fold, pairs.schema)
+    def step(state: dict, row: dict) -> list[dict]:
+        if row["line"] == state["line"] or row["icon"] in state["used"]:
+            return []
+        state["line"] = row["line"]
+        state["used"].add(row["icon"])
+        return [row]
+
+    return W.fold(pairs, key, lambda row: {"line": None, "used": set()}, step, lambda state: [], pairs.schema, ("line", "icon"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
 from loomwright.functions import text as T
+from loomwright.operators import wrap as W
 
 # The shapes of references, in order of priority.
 _WORDS = r"[A-Za-z][A-Za-z0-9'’\-]*(?:\s+[A-Za-z][A-Za-z0-9'’\-]*){0,6}"
@@ -152,20 +153,18 @@ def score_titles(labels: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def assign_titles(scores: DataFrame) -> DataFrame:
-    """Greedy in the order of labels: each takes its best section that is still free; scores: (slug, label_pos, section_pos, score)."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for pos, mine in rows.sort_values(["label_pos", "section_pos"]).groupby("label_pos", sort=True):
-            free = mine[~mine["section_pos"].isin(used)]
-            if len(free):
-                best = free.loc[free["score"].idxmax()]
-                used.add(int(best["section_pos"]))
-                out.append((rows["slug"].iloc[0], int(pos), int(best["section_pos"]), int(best["score"])))
-        return pd.DataFrame(out, columns=["slug", "label_pos", "section_pos", "score"])
-
-    return scores.groupBy("slug").applyInPandas(fold, "slug string, label_pos int, section_pos int, score int")
+    """Greedy in the order of labels: each takes its best section that is still free, of equal ones the first; scores: (slug,
+    label_pos, section_pos, score)."""
+
+    def step(state: dict, row: dict) -> list[dict]:
+        if row["label_pos"] == state["label"] or row["section_pos"] in state["used"]:
+            return []
+        state["label"] = row["label_pos"]
+        state["used"].add(row["section_pos"])
+        return [row]
+
+    df = scores.select("slug", "label_pos", "section_pos", "score")
+    return W.fold(df, "slug", lambda row: {"label": None, "used": set()}, step, lambda state: [], df.schema, ("label_pos", F.desc("score"), "section_pos"))
 
 
 def longest_first(titles: DataFrame, key: str) -> DataFrame:
