@@ -151,14 +151,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = df.withColumn("places", places).withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform("gone", lambda k: F.get("places", k)))
     kept = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.array_join(F.transform(stay, lambda j: F.get("l", j)), "\n"))
-    return df.select(
-        "doc",
+    told = F.struct(
         F.size("places").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
         F.size(F.array_except(F.transform("gone", lambda k: k - 1), F.col("gone"))).cast("long").alias("n_runs"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
         kept.alias("kept_text"),
     )
+    # A generator's output: a filter on it is not moved below, where it would compute all of it anew.
+    return df.select("doc", F.inline(F.array(told)))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
