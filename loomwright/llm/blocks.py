@@ -189,17 +189,3 @@ def lengthen(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 5, 8), np.uint8)
     out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).ravel()
-
-
-def shared_keys(requests: DataFrame) -> DataFrame:
-    """Replies with the shortened keys that at least two blocks sent."""
-
-    def reply(bucket, blocks, bodies):
-        parts = [lengthen(x) for x in bodies]
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        common = keys[counts > 1]
-        for block, part in zip(blocks, parts, strict=True):
-            if len(mine := part[np.isin(part, common, assume_unique=True)]):
-                yield block, shorten(mine)
-
-    return answer(requests, reply)

@@ -5,16 +5,23 @@ every executor gives equal substrings equal names without exchanging a dictionar
 inside a repeated window the parse is the same wherever the window stands, except near its two ends. Each window picks the
 first boundary of the highest round that the window by itself proves to be there. Equal windows so pick the same place, and
 high rounds have few boundaries, so neighbouring windows mostly share one place. The words after these places are the shared
-symbols that reveal repeats: a Spark round finds the ones that occur twice, and another verifies the whole windows around them.
+symbols that reveal repeats: a Spark round finds the ones that occur twice. Another takes the stretches of text around them,
+each distinct stretch once a block, to the bucket of their symbol, and verifies the repeats there: stretches, and windows of
+stretches that differ, are compared by their very words, and the earliest copy is told.
 
-Nulls and empty texts have no words and lose none. Repeated rows are repeats like any other: of two rows with one doc_id and
-equal texts, one stays whole (rows of one id should be made distinct before if that matters). Columns other than the id and
-the text are not read, so clashing names do no harm. A text shorter than a window loses nothing.
+A symbol with very many different surroundings would be one large group; its stretches are split, and each of their windows goes
+by itself to the bucket of its own words.
+
+Nulls and empty texts have no words and lose none; a null id counts as the least and stays null. Repeated rows are repeats like
+any other: of two rows with one doc_id and equal texts, one stays whole (rows of one id should be made distinct before if that
+matters). Texts of any length are read whole; one shorter than a window loses nothing. An empty table gives no rows. Columns other
+than the id and the text are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from itertools import compress
 
 import numpy as np
@@ -24,6 +31,7 @@ from pyspark.sql import DataFrame
 from loomwright.llm import blocks as B
 from loomwright.llm import kernels as K
 from loomwright.llm.scratch import settle
+from loomwright.llm.suffix_dedup import HOT, shared_probes
 
 WINDOW = 20
 PROBE = 8
@@ -89,23 +97,41 @@ def places(names: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, probe
     return best
 
 
-def _open(payload: bytes):
-    ids, lens, text = B.open_block(payload)
-    a = np.frombuffer(text, np.uint8)
-    cuts = np.cumsum(lens)
-    starts, ends = K.words(a, cuts)
-    doc = np.searchsorted(cuts, starts, side="right").astype(np.int32)
-    return ids, lens, text, doc, K.word_names(a, starts, ends)
-
-
-def _probes(doc, names, at, width, probe, rounds):
-    """The place of each window, and the fingerprint of the words after every place."""
-    where = places(names, doc, at, width, probe, rounds)
-    chosen = np.flatnonzero(np.bincount(where, minlength=len(names)) > 0) if len(where) else np.empty(0, np.int64)
-    return where, chosen, K.rolling(names, probe)[chosen] if len(chosen) else np.empty(0, np.uint64)
+class Block:
+    """A block's words, and its stretches: runs of windows that pick one place.
 
+    first, last: the words at which a stretch's first and last window begin; place: the word it picks; print: the name of the words
+    there; number: equal stretches have one, in the order of their first ones, which are `once`.
+    """
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, buckets: int | None = None, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    def __init__(self, payload: bytes, width: int, probe: int):
+        self.ids, self.lens, self.text = B.open_block(payload)
+        a = np.frombuffer(self.text, np.uint8)
+        self.cuts = np.cumsum(self.lens)
+        starts, ends = K.words(a, self.cuts)
+        self.doc = np.searchsorted(self.cuts, starts, side="right").astype(np.int32)
+        names = K.word_names(a, starts, ends)
+        self.words = [w for x, y in zip((self.cuts - self.lens).tolist(), self.cuts.tolist(), strict=True) for w in self.text[x:y].split()]
+        self.plain = b" ".join(self.words)
+        self.begin = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        at = window_starts(self.doc, width)
+        where = places(names, self.doc, at, width, probe, ROUNDS)
+        fresh = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
+        self.first = at[fresh]
+        self.last = at[np.append(fresh[1:], len(at)) - 1] if len(at) else fresh
+        self.place = where[fresh].astype(np.int64) if len(at) else fresh
+        self.prints = K.rolling(names, probe)[self.place] if len(at) else np.empty(0, np.uint64)
+        self.window_names = K.rolling(names, width)
+        known: dict[bytes, int] = {}
+        stop = self.begin[self.last + width] - 1 if len(at) else fresh
+        self.number = np.fromiter((known.setdefault(self.plain[x:y], len(known)) for x, y in zip(self.begin[self.first].tolist(), stop.tolist(), strict=True)), np.int64, len(self.first))
+        _, self.once = np.unique(self.number, return_index=True)
+
+    def said(self, first: int, last: int, width: int) -> bytes:
+        return self.plain[self.begin[first] : self.begin[last + width] - 1]
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, buckets: int | None = None, block_bytes: int = B.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each word that a window of width words covers whose words also start earlier (a smaller id, or earlier in the document).
 
     Returns doc_id, n_words, n_removed, kept_sha256, kept_text (the words that stay, joined by one space).
@@ -115,65 +141,100 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n_buckets = B.bucket_count(docs, buckets, B.bytes_in(blocks))
 
     def probes(block, payload):
-        _, _, _, doc, names = _open(payload)
-        _, _, prints = _probes(doc, names, window_starts(doc, width), width, probe, ROUNDS)
-        prints = np.unique(prints)
+        b = Block(payload, width, probe)
+        prints, once = np.unique(b.prints, return_index=True)
+        around = np.fromiter((zlib.crc32(b.said(x, y, width)) & 255 for x, y in zip(b.first[once].tolist(), b.last[once].tolist(), strict=True)), np.uint8, len(once))
         for bucket, i in B.by_bucket(prints, n_buckets):
-            yield bucket, B.shorten(prints[i])
-
-    shared = B.shared_keys(B.ask(blocks, probes))
-
-    def windows(block, payload, bodies):
-        ids, _, _, doc, names = _open(payload)
-        at = window_starts(doc, width)
-        where, chosen, prints = _probes(doc, names, at, width, probe, ROUNDS)
-        known = np.unique(np.concatenate([B.lengthen(x) for x in bodies]))
-        hit = np.zeros(len(names), bool)
-        hit[chosen] = np.isin(prints & B.FIVE, known)
-        at = at[hit[where]] if len(at) else at
-        prints, first = np.unique(K.rolling(names, width)[at], return_index=True) if len(at) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        order = np.argsort(first)
-        prints, owner = prints[order], ids[doc[at[first[order]]]]
+            yield bucket, B.pack(B.shorten(prints[i]), around[i])
+
+    # A symbol also counts as shared if one block holds it in two stretches; the block sees that by itself.
+    shared = shared_probes(B.ask(blocks, probes), hot)
+
+    def stretches(block, payload, bodies):
+        b = Block(payload, width, probe)
+        told = [B.unpack(x, bytes, bytes) for x in bodies]
+        few, many = (np.concatenate([np.empty(0, np.uint64), *(B.lengthen(x[i]) for x in told)]) for i in (0, 1))
+        uniq, which, times = np.unique(b.prints, return_inverse=True, return_counts=True)
+        split = np.isin(uniq & B.FIVE, many)
+        hit = np.isin(uniq & B.FIVE, few) | split | (times > 1)
+        once = b.once[hit[which][b.once]]
+        apart = split[which][once]
+        number, first, last, place, prints = b.number[once], b.first[once], b.last[once], b.place[once], b.prints[once]
+        shift = np.zeros(len(first), np.int64)
+        if apart.any():  # each window of these stretches by itself
+            n = (last - first + 1)[apart]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(first[apart], n) + inner
+            whole = ~apart
+            prints = np.concatenate((prints[whole], K.mix(b.window_names[begin])))
+            number = np.concatenate((number[whole], np.repeat(number[apart], n)))
+            first, last, place, shift = (np.concatenate((x[whole], y)) for x, y in ((first, begin), (last, begin), (place, begin), (shift, inner)))
+        doc = b.doc[first]
+        at = place - np.searchsorted(b.doc, doc)
         out = []
         for bucket, i in B.by_bucket(prints, n_buckets):
-            mine = owner[i]
-            fresh = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-            out.append((bucket, block, B.pack(prints[i], mine[fresh], np.diff(fresh, append=len(mine)).astype(np.int32))))
+            said = [b.said(x, y, width) for x, y in zip(first[i].tolist(), last[i].tolist(), strict=True)]
+            head = B.pack(prints[i], (last - first)[i].astype(np.uint16), (place - first)[i].astype(np.uint16), b.ids[doc[i]], at[i], number[i].astype(np.uint32), shift[i].astype(np.uint16), np.array([len(x) for x in said], np.uint32), b"".join(said))
+            out.append((bucket, block, B.squeeze(head, 3)))
         return pa.Table.from_batches([B.messages(out)])
 
-    def earliest(bucket, blocks_, bodies):
-        parts = [B.unpack(x, np.uint64, np.int64, np.int32) for x in bodies]
-        sizes = [len(p[0]) for p in parts]
-        prints = np.concatenate([p[0] for p in parts])
-        owner = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-        part = np.repeat(np.arange(len(parts)), sizes)
-        order = np.lexsort((part, owner, prints))
-        later = np.zeros(len(prints), bool)
-        later[order[1:]] = prints[order[1:]] == prints[order[:-1]]
-        for k, flags in enumerate(np.split(later, np.cumsum(sizes)[:-1])):
-            if flags.any():
-                yield blocks_[k], np.ascontiguousarray(parts[k][0][flags]).tobytes()
-
-    found = B.answer(B.meet_some(blocks, shared, windows), earliest)
+    def copies(bucket, blocks_, bodies):
+        held: dict[int, dict[tuple[bytes, int], list]] = {}
+        for k, body in enumerate(bodies):
+            prints, more, offs, ids, at, number, shift, sizes, text = B.unpack(B.expand(body), np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.uint32, np.uint16, np.uint32, bytes)
+            ends = np.cumsum(sizes, dtype=np.int64).tolist()
+            begin = 0
+            for p, m, o, d, x, n, s, end in zip(prints.tolist(), more.tolist(), offs.tolist(), ids.tolist(), at.tolist(), number.tolist(), shift.tolist(), ends, strict=True):
+                held.setdefault(p, {}).setdefault((text[begin:end], o), []).append((d, x, k, m, n, s))
+                begin = end
+        gone: list[list[tuple[int, int, int]]] = [[] for _ in bodies]
+        for of_symbol in held.values():
+            if len(of_symbol) == 1:
+                (entries,) = of_symbol.values()
+                least = min(e[:2] for e in entries)
+                for d, x, k, m, n, s in entries:
+                    if least < (d, x):
+                        gone[k].append((n, s, s + m + 1))
+                continue
+            windows: dict[tuple[bytes, int], tuple[int, int]] = {}  # words, and the place among them: the earliest copy
+            parted = []
+            for (said, o), entries in of_symbol.items():
+                words, least = said.split(b" "), min(e[:2] for e in entries)
+                mine = [(b" ".join(words[j : j + width]), o - j) for j in range(len(words) - width + 1)]
+                for w in mine:
+                    if w not in windows or least < windows[w]:
+                        windows[w] = least
+                parted.append((mine, entries))
+            for mine, entries in parted:
+                for d, x, k, _, n, s in entries:
+                    gone[k] += [(n, s + j, s + j + 1) for j, w in enumerate(mine) if windows[w] < (d, x)]
+        for k, found in enumerate(gone):
+            if found:
+                yield blocks_[k], B.pack(*(np.array(x, t) for x, t in zip(zip(*found, strict=True), (np.uint32, np.uint16, np.uint16), strict=True)))
+
+    found = B.answer(B.meet_some(blocks, shared, stretches, always=True), copies)
 
     def cut(block, payload, bodies):
-        ids, lens, text, doc, names = _open(payload)
-        at = window_starts(doc, width)
-        prints, first, which = np.unique(K.rolling(names, width)[at], return_index=True, return_inverse=True) if len(at) else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        elsewhere = np.isin(prints, np.frombuffer(b"".join(bodies), np.uint64))
-        later = np.ones(len(at), bool)
-        later[first] = False
-        gone = K.covered(at[later | elsewhere[which]], width, len(doc))
-        n_words = np.bincount(doc, minlength=len(ids))
-        n_gone = np.bincount(doc, weights=gone, minlength=len(ids)).astype(np.int64)
-        ends, w_ends = np.cumsum(lens).tolist(), np.cumsum(n_words).tolist()
+        b = Block(payload, width, probe)
+        start = np.zeros(len(b.doc) + 1, np.int32)  # windows that go, as a step function of their first words
+        again = np.ones(len(b.first), bool)
+        again[b.once] = False
+        np.add.at(start, b.first[again], 1)
+        np.subtract.at(start, b.last[again] + 1, 1)
+        for body in bodies:
+            number, lo, hi = B.unpack(body, np.uint32, np.uint16, np.uint16)
+            at = b.first[b.once[number]]
+            np.add.at(start, at + lo, 1)
+            np.subtract.at(start, at + hi, 1)
+        gone = K.covered(np.flatnonzero(np.cumsum(start[:-1]) > 0), width, len(b.doc))
+        n_words = np.bincount(b.doc, minlength=len(b.ids))
+        n_gone = np.bincount(b.doc, weights=gone, minlength=len(b.ids)).astype(np.int64)
+        ends = np.cumsum(n_words).tolist()
         kept = []
-        for d in range(len(ids)):
-            mine = text[ends[d] - int(lens[d]) : ends[d]].split()
-            if n_gone[d]:
-                mine = compress(mine, (~gone[w_ends[d] - int(n_words[d]) : w_ends[d]]).tolist())
-            kept.append(b" ".join(mine))
-        return pa.table({"doc_id": B.id_column(ids), "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_gone), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        for end, n, lost in zip(ends, n_words.tolist(), n_gone.tolist(), strict=True):
+            mine = b.words[end - n : end]
+            kept.append(b" ".join(compress(mine, (~gone[end - n : end]).tolist()) if lost else mine))
+        return pa.table({"doc_id": B.id_column(b.ids), "n_words": pa.array(n_words.astype(np.int64)), "n_removed": pa.array(n_gone), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept], "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return B.meet(blocks, found, cut, RESULT)
 

@@ -287,7 +287,7 @@ def first_copies(groups: list[tuple[list[bytes], list[int], list[tuple]]], width
     return out
 
 
-def _shared_probes(requests: DataFrame, hot: int) -> DataFrame:
+def shared_probes(requests: DataFrame, hot: int) -> DataFrame:
     """Replies with the shortened probes that at least two blocks sent: those with few surroundings, and those with very many."""
 
     def reply(bucket, blocks, bodies):
@@ -328,7 +328,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield bucket, B.pack(B.shorten(prints[i]), around[i])
 
     # A probe also counts as shared if one block holds it in two stretches; the block sees that by itself.
-    shared = _shared_probes(B.ask(blocks, probes), hot)
+    shared = shared_probes(B.ask(blocks, probes), hot)
 
     def stretches(block, payload, bodies):
         ids, lens, text = B.open_block(payload)

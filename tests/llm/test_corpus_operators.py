@@ -61,9 +61,20 @@ def by_id(df, *columns):
 def test_substring(docs, sample, empty):
     got = by_id(substring_dedup.dedup_substrings(docs, block_bytes=4000), "n_words", "n_removed", "kept_sha256")
     assert got == brute.substring(sample)
+    got = by_id(substring_dedup.dedup_substrings(docs, block_bytes=4000, hot=2), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring(sample)
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_phrase_with_very_many_surroundings(spark):
+    rng = random.Random(21)
+    words = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 40)) for _ in range(n))
+    phrase = words(18)
+    rows = [(i, f"{words(rng.randint(0, 15))} {rng.choice('xyz')} {rng.choice('xyz')} {phrase} {rng.choice('xyz')} {rng.choice('xyz')} {words(rng.randint(0, 15))}") for i in range(300)]
+    got = by_id(substring_dedup.dedup_substrings(brute.documents(spark, rows, 6), block_bytes=1500), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring(rows)
+
+
 def test_substring_other_widths(spark, sample):
     some = [r for r in sample if r[0] < 5000]
     for width in (3, 7):
