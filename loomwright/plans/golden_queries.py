@@ -55,13 +55,8 @@ def golden(name: str, rule: Callable[[str], Column], samples: dict[str, object])
 
 
 def _python(rule: Callable, kind: str):
-    """A rule that is a function of one text as a column function."""
-
-    @F.pandas_udf(kind)
-    def udf(s):
-        return s.map(rule)
-
-    return udf
+    """A rule that is a function of one text as a column function, made when it is first asked for: there is a session then."""
+    return lambda s: F.pandas_udf(lambda texts: texts.map(rule), kind)(s)
 
 
 golden("dice_headers", T.roll_header, {
@@ -133,7 +128,7 @@ golden("names_and_tags", _python(lambda s: "|".join(unlock.name_tags_and_prose(s
     "An old case, fragile": "An old case|fragile|", "magical, warm": "|magical, warm|", "A dormitory magical In a ruin of {n}": "A dormitory|magical|In a ruin of {n}", "A key to {n} it is": "A key to {n} it is||", "It is far. magical": "It is far. magical||",
 })
 golden("powers_and_tags", _python(lambda s: "|".join(unlock.power_and_tags(s)), "string"), {"The Lullaby magical, area, near": "The Lullaby|magical, area, near", ", warm": "|warm", "Ring of Ash": "Ring of Ash|", "Bolt 2 piercing": "Bolt|2, piercing"})
-golden("power_titles", lambda s: _python(lambda x: unlock.is_power_title(x, "The Broom's Lullaby"), "boolean")(s), {"Broom's Lullaby": True, "The Brooms Lullaby magical, area": True, "A Lullaby": False, "{n}": False})
+golden("power_titles", _python(lambda x: unlock.is_power_title(x, "The Broom's Lullaby"), "boolean"), {"Broom's Lullaby": True, "The Brooms Lullaby magical, area": True, "A Lullaby": False, "{n}": False})
 golden("power_places", _python(lambda s: unlock.power_index(s.split("/"), "Ash Ring"), "int"), {"A key/To unlock it, go/Ash Ring/When you go": 2, "x y z/The Ash/Ring/When you go": 1, "A key/Ash/When you go": 1, "A key/a long line of words that is no title of it/When you go": 2, "{n}": None})
 golden("lone_bullets", _python(lambda s: "/".join(unlock.orphan_bullets(s.split("/"))), "string"), {
     "•/Consume {n}": "• Consume {n}", "•/HP 4": "HP 4", "a thing and/• {n}": "a thing and {n}", "• one (of/{n})": "• one (of {n})", "{n}/two": "{n}/two", "•": "",
