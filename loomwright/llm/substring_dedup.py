@@ -21,7 +21,7 @@ than the id and the text are not read, so clashing names do no harm.
 from __future__ import annotations
 
 import hashlib
-import zlib
+from functools import cached_property
 from itertools import compress
 
 import numpy as np
@@ -35,7 +35,7 @@ from loomwright.llm.suffix_dedup import HOT, shared_probes
 
 WINDOW = 20
 PROBE = 8
-ROUNDS = 4
+ROUNDS = 6
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -101,19 +101,17 @@ class Block:
     """A block's words, and its stretches: runs of windows that pick one place.
 
     first, last: the words at which a stretch's first and last window begin; place: the word it picks; print: the name of the words
-    there; number: equal stretches have one, in the order of their first ones, which are `once`.
+    there; kind: stretches with words of one kind may be equal. Words as bytes are only made where they are asked for.
     """
 
     def __init__(self, payload: bytes, width: int, probe: int):
+        self.width = width
         self.ids, self.lens, self.text = B.open_block(payload)
         a = np.frombuffer(self.text, np.uint8)
         self.cuts = np.cumsum(self.lens)
-        starts, ends = K.words(a, self.cuts)
-        self.doc = np.searchsorted(self.cuts, starts, side="right").astype(np.int32)
-        names = K.word_names(a, starts, ends)
-        self.words = [w for x, y in zip((self.cuts - self.lens).tolist(), self.cuts.tolist(), strict=True) for w in self.text[x:y].split()]
-        self.plain = b" ".join(self.words)
-        self.begin = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        self.starts, self.ends = K.words(a, self.cuts)
+        self.doc = np.searchsorted(self.cuts, self.starts, side="right").astype(np.int32)
+        names = K.word_names(a, self.starts, self.ends)
         at = window_starts(self.doc, width)
         where = places(names, self.doc, at, width, probe, ROUNDS)
         fresh = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
@@ -121,14 +119,37 @@ class Block:
         self.last = at[np.append(fresh[1:], len(at)) - 1] if len(at) else fresh
         self.place = where[fresh].astype(np.int64) if len(at) else fresh
         self.prints = K.rolling(names, probe)[self.place] if len(at) else np.empty(0, np.uint64)
-        self.window_names = K.rolling(names, width)
-        known: dict[bytes, int] = {}
-        stop = self.begin[self.last + width] - 1 if len(at) else fresh
-        self.number = np.fromiter((known.setdefault(self.plain[x:y], len(known)) for x, y in zip(self.begin[self.first].tolist(), stop.tolist(), strict=True)), np.int64, len(self.first))
-        _, self.once = np.unique(self.number, return_index=True)
+        self.windows = K.rolling(names, width)
+        self.kind = K.mix(self.windows[self.first] * np.uint64(3) + self.windows[self.last]) if len(at) else self.prints
 
-    def said(self, first: int, last: int, width: int) -> bytes:
-        return self.plain[self.begin[first] : self.begin[last + width] - 1]
+    @cached_property
+    def words(self) -> list[bytes]:
+        return [w for x, y in zip((self.cuts - self.lens).tolist(), self.cuts.tolist(), strict=True) for w in self.text[x:y].split()]
+
+    @cached_property
+    def plain(self) -> bytes:
+        return b" ".join(self.words)
+
+    @cached_property
+    def begin(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.ends - self.starts + 1)))
+
+    def said(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The words from the first window's to the last one's, joined by one space."""
+        stop = self.begin[last + self.width] - 1
+        return [self.plain[x:y] for x, y in zip(self.begin[first].tolist(), stop.tolist(), strict=True)]
+
+    @cached_property
+    def again(self) -> np.ndarray:
+        """Which stretches have the words of an earlier one of the block."""
+        out = np.zeros(len(self.first), bool)
+        _, which, times = np.unique(self.kind, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times[which] > 1)
+        known: set[bytes] = set()
+        for i, x in zip(some.tolist(), self.said(self.first[some], self.last[some]), strict=True):
+            out[i] = x in known
+            known.add(x)
+        return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, buckets: int | None = None, block_bytes: int = B.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
@@ -143,7 +164,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def probes(block, payload):
         b = Block(payload, width, probe)
         prints, once = np.unique(b.prints, return_index=True)
-        around = np.fromiter((zlib.crc32(b.said(x, y, width)) & 255 for x, y in zip(b.first[once].tolist(), b.last[once].tolist(), strict=True)), np.uint8, len(once))
+        around = (b.kind[once] & np.uint64(255)).astype(np.uint8)
         for bucket, i in B.by_bucket(prints, n_buckets):
             yield bucket, B.pack(B.shorten(prints[i]), around[i])
 
@@ -157,23 +178,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         uniq, which, times = np.unique(b.prints, return_inverse=True, return_counts=True)
         split = np.isin(uniq & B.FIVE, many)
         hit = np.isin(uniq & B.FIVE, few) | split | (times > 1)
-        once = b.once[hit[which][b.once]]
+        once = np.flatnonzero(hit[which] & ~b.again) if hit.any() else np.empty(0, np.int64)
         apart = split[which][once]
-        number, first, last, place, prints = b.number[once], b.first[once], b.last[once], b.place[once], b.prints[once]
+        first, last, place, prints = b.first[once], b.last[once], b.place[once], b.prints[once]
+        number = first  # a stretch is told by its first word
         shift = np.zeros(len(first), np.int64)
         if apart.any():  # each window of these stretches by itself
             n = (last - first + 1)[apart]
             inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             begin = np.repeat(first[apart], n) + inner
             whole = ~apart
-            prints = np.concatenate((prints[whole], K.mix(b.window_names[begin])))
+            prints = np.concatenate((prints[whole], K.mix(b.windows[begin])))
             number = np.concatenate((number[whole], np.repeat(number[apart], n)))
             first, last, place, shift = (np.concatenate((x[whole], y)) for x, y in ((first, begin), (last, begin), (place, begin), (shift, inner)))
         doc = b.doc[first]
         at = place - np.searchsorted(b.doc, doc)
         out = []
         for bucket, i in B.by_bucket(prints, n_buckets):
-            said = [b.said(x, y, width) for x, y in zip(first[i].tolist(), last[i].tolist(), strict=True)]
+            said = b.said(first[i], last[i])
             head = B.pack(prints[i], (last - first)[i].astype(np.uint16), (place - first)[i].astype(np.uint16), b.ids[doc[i]], at[i], number[i].astype(np.uint32), shift[i].astype(np.uint16), np.array([len(x) for x in said], np.uint32), b"".join(said))
             out.append((bucket, block, B.squeeze(head, 3)))
         return pa.Table.from_batches([B.messages(out)])
@@ -217,15 +239,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def cut(block, payload, bodies):
         b = Block(payload, width, probe)
         start = np.zeros(len(b.doc) + 1, np.int32)  # windows that go, as a step function of their first words
-        again = np.ones(len(b.first), bool)
-        again[b.once] = False
-        np.add.at(start, b.first[again], 1)
-        np.subtract.at(start, b.last[again] + 1, 1)
+        np.add.at(start, b.first[b.again], 1)
+        np.subtract.at(start, b.last[b.again] + 1, 1)
         for body in bodies:
             number, lo, hi = B.unpack(body, np.uint32, np.uint16, np.uint16)
-            at = b.first[b.once[number]]
-            np.add.at(start, at + lo, 1)
-            np.subtract.at(start, at + hi, 1)
+            np.add.at(start, number.astype(np.int64) + lo, 1)
+            np.subtract.at(start, number.astype(np.int64) + hi, 1)
         gone = K.covered(np.flatnonzero(np.cumsum(start[:-1]) > 0), width, len(b.doc))
         n_words = np.bincount(b.doc, minlength=len(b.ids))
         n_gone = np.bincount(b.doc, weights=gone, minlength=len(b.ids)).astype(np.int64)
