@@ -45,6 +45,11 @@ def test_scripts_and_loading(spark, tmp_path):
     assert loaded.get(str(tmp_path), "nothing", "slug string").count() == 0 and tables.read_script("/no/such") == {}
 
 
+def test_counted_rows(spark):
+    df, seen = tables.counted(spark.range(7), "rows")
+    assert df.where("id > 3").count() == 3 and seen.get["n"] == 7
+
+
 def test_output_and_static_files(tmp_path):
     (tmp_path / "static" / "css").mkdir(parents=True)
     (tmp_path / "static" / "css" / "wiki.css").write_text("x")
@@ -71,7 +76,7 @@ def book_tables(spark, folder):
     spark.createDataFrame(toc, "ord int, level int, title string, page int").write.parquet(f"{folder}/toc.parquet")
     spark.createDataFrame([(i, 396.0, 612.0) for i in (1, 2, 3)], "page int, width double, height double").write.parquet(f"{folder}/book_pages.parquet")
     spans = [
-        (2, 1, 30.0, 20.0, 70.0, "The Town", "Body", 9.0), (2, 2, 30.0, 100.0, 90.0, "Old Wolves", "Avara", 12.0), (2, 3, 30.0, 120.0, 180.0, "They live by the old Stone", "Body", 9.0), (2, 4, 30.0, 132.0, 180.0, "Gate (page 3). Roll 1d6.", "Body", 9.0),
+        (2, 1, 30.0, 20.0, 70.0, "The Town", "Body", 9.0), (2, 2, 30.0, 100.0, 90.0, "Old Wolves", "Avara", 12.0), (2, 3, 30.0, 120.0, 180.0, "They live there, by the old", "Body", 9.0), (2, 4, 30.0, 132.0, 180.0, "Stone Gate (page 3). Roll 1d6.", "Body", 9.0),
         (3, 1, 30.0, 100.0, 90.0, "Stone Gate", "Avara", 12.0), (3, 2, 30.0, 120.0, 180.0, "Here the Old Wolves (page 2) sleep", "Body", 9.0), (3, 3, 30.0, 132.0, 180.0, "for all of the long winter nights.", "Body", 9.0),
     ]
     spark.createDataFrame(spans, "page int, ord long, x double, y double, x1 double, text string, font string, size double").write.parquet(f"{folder}/spans.parquet")
@@ -89,7 +94,7 @@ def test_wiki_of_a_book(spark, tmp_path):
     told = wiki.write(done, str(out), str(tmp_path / "static"))
     assert told["pages"] == 2 and told["sections"] == 2 and told["static"] == 1
     town, mill = (out / "pages" / "the-town.html").read_text(), (out / "pages" / "the-mill.html").read_text()
-    assert '<h2 id="old-wolves">Old Wolves</h2>' in town and '<a class="wiki-link" href="the-mill.html#stone-gate" data-slug="the-mill" data-fragment="stone-gate">They live by the old Stone Gate</a>. Roll <button' in town
+    assert '<h2 id="old-wolves">Old Wolves</h2>' in town and '<a class="wiki-link" href="the-mill.html#stone-gate" data-slug="the-mill" data-fragment="stone-gate">by the old Stone Gate</a>. Roll <button' in town
     assert '<a class="wiki-link" href="the-town.html#old-wolves" data-slug="the-town" data-fragment="old-wolves">Here the Old Wolves</a> sleep for all of the long winter nights.' in mill
     assert '<a href="the-mill.html">The Mill</a><ul class="nav-sections">' in town
     held = tables.read_script(str(out / "js" / "previews-data.js"))
