@@ -535,6 +535,29 @@ def test_toxicity_finds_plain_and_disguised_words(spark):
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).score(docs).count() == 404
 
 
+def test_contents_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = brute.documents(spark, [(1, text), (1, text), (2, text), (None, text), (3, "short"), (3, "short")])
+    gone = {f: sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in f(docs).collect()) for f in (substring_dedup.dedup_substrings, suffix_dedup.dedup_bytes)}
+    # The row without an id counts as the least, so it stays; of the others all later copies go.
+    assert gone[substring_dedup.dedup_substrings] == [(False, 1, 40), (False, 1, 40), (False, 2, 40), (False, 3, 0), (False, 3, 0), (True, 0, 0)]
+    assert [n > 0 for _, _, n in gone[suffix_dedup.dedup_bytes]] == [True, True, True, False, False, False]
+    ids = [tuple(r.ids) for r in bpe.encode_and_decode(docs).where("doc_id = 1 or doc_id is null").collect()]
+    assert len(ids) == 3 and len(set(ids)) == 1
+    assert len({tuple(r.x) for r in quality_model.features(docs.where("doc_id = 3"), np.array([], np.int64)).collect()}) == 1
+    assert sorted(r.length for r in packing.pack(docs.where("doc_id = 3")).collect()) == [2, 2]
+    assert {(r.n_words, r.failed) for r in quality_rules.ledger(docs.where("doc_id = 3")).collect()} == {(1, quality_rules.mask_of(("too_short",)))}
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = brute.documents(spark, [(1, "fine words here"), (1, "fine words here"), (None, "fine words here"), (2, None)])
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    got = model.score(docs).collect()
+    assert len(got) == 4 and len({r.score for r in got}) == 1 and 0 <= got[0].score < 0.5 and sum(r.doc_id is None for r in got) == 1
+    assert model.score(docs.where("false")).count() == 0
+    assert toxicity.fit(docs.where("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).score(docs).count() == 4
+
+
 def test_repeated_rows_and_ties(spark):
     docs = brute.documents(spark, [(1, "same text here"), (2, "same text here"), (2, "same text here"), (3, "other")])
     assert sorted(tuple(r) for r in exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size").collect()) == [(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 3, 1)]
