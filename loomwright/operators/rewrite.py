@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import rich as R
 from loomwright.functions import text as T
 from loomwright.operators import links as K
+from loomwright.sources.steps import settle
 
 
 
@@ -91,9 +92,10 @@ def rewrite(texts: DataFrame, lookups: Lookups, key: str = "text_id", text: str
     said = F.when(F.col("rule") == "title", both).otherwise(F.struct(F.lit("").alias("prefix"), F.col("label").alias("label")))
     # A generator's output is computed once and not put into each expression that uses it.
     refs = refs.select(key, "pos", "here", "book", "rule", "start", "stop", "shown", "nums", "page", "page_slug", "page_title", "title_slug", F.inline(F.array(said))).withColumn("link_id", F.struct(F.col(key).alias("k"), "pos"))
+    refs = settle(refs, "references")  # read by each of the lookups below
     targets = refs.where("label is not null and title_slug is null and page_slug is not null")
     found = K.fragments(targets.select("link_id", "page", F.col("page_slug").alias("dst_slug"), "label"), lookups.by_page, lookups.by_slug)
-    refs = refs.join(found, "link_id", "left")
+    refs = settle(refs.join(found, "link_id", "left"), "references")
     lost = refs.where("rule <> 'bold' and label is not null and page_slug is not null and fragment is null")
     other = K.resolve_unique(lost.select(F.col("link_id").alias("label_id"), "label"), lookups.unique)
     refs = refs.join(other.select(F.col("label_id").alias("link_id"), F.col("slug").alias("else_slug"), F.col("id").alias("else_id")), "link_id", "left")

@@ -9,6 +9,7 @@ from loomwright.operators import blocks, cards, dice, layout, links, model, publ
 from loomwright.plans.golden_queries import _escaped
 from loomwright.plans.text_queries import LINES_SQL, TEXT_SQL, TITLE_SQL
 from loomwright.sources import tables
+from loomwright.sources.steps import settle
 from loomwright.sources.tables import table
 from loomwright.streaming import state
 
@@ -375,7 +376,8 @@ def _lookups(spark, sf_dir):
     by_slug = sections.groupBy("slug", "norm").agg(F.max_by("id", "pos").alias("id"))
     pages = model.page_lookup(brands).withColumn("book", F.when(F.col("page") % 2 == 0, "book1").otherwise("book2"))
     both = pages.unionByName(pages.withColumn("book", F.when(F.col("book") == "book1", "book2").otherwise("book1")).withColumn("slug", F.concat(F.lit("other-"), "slug")).withColumn("title", F.concat(F.lit("Other "), "title")))
-    return rewrite.Lookups(both, model.title_index(brands), model.sections_by_page(sections, brands), by_slug, model.unique_sections(sections))
+    found = (both, model.title_index(brands), model.sections_by_page(sections, brands), by_slug, model.unique_sections(sections))
+    return rewrite.Lookups(*[settle(df, "lookup") for df in found])
 
 
 _PAGES_SQL = f"""{_BRANDS_SQL}, p AS (SELECT page, slug FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY ord % 20 DESC, ord DESC) AS n FROM x) WHERE n = 1),
