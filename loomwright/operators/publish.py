@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from loomwright.functions import rich as R
 from loomwright.functions import text as T
+from loomwright.sources.steps import settle
 
 # Colours of map pins.
 PIN_COLORS = ("#e2534a", "#e08a3c", "#e6c34a", "#5aa85a", "#4a90d9", "#9b6dc4")
@@ -97,7 +98,7 @@ def block_html(inner: Column, ready: bool = False) -> Column:
 def render(blocks: DataFrame, key: str = "slug", depth: int = 4, ready: bool = False) -> DataFrame:
     """The blocks with `html`, each around the ones in it; blocks stand in one another `depth` deep at most (a table in a move in a box
     in an article is three)."""
-    rows = blocks.withColumn("deep", F.lit(0))
+    rows = settle(blocks, "blocks").withColumn("deep", F.lit(0))  # read once for each level
     layers, above = [], rows.where("parent is null").select(key, F.col("pos").alias("parent"))
     layers.append(rows.where("parent is null"))
     for n in range(1, depth):
