@@ -54,21 +54,36 @@ def words(s: Column | str) -> Column:
     return F.filter(F.split(_col(s), r"(?U)\s+"), lambda x: x != "")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), the value computed once: within a function of an array's items an expression is computed anew for each item."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def undouble(s: Column | str) -> Column:
     """Of each run of equal words (ignoring case) the first, third, .. word stays: of places that differ in parity from their run's begin none."""
-    w = words(s)
-    at = F.sequence(F.lit(0), F.size(w) - 1)
-    begins = F.filter(at, lambda i: (i == 0) | (F.lower(F.get(w, i)) != F.lower(F.get(w, i - 1))))
-    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(w)))
-    kept = F.flatten(F.zip_with(begins, ends, lambda x, y: F.sequence(x, y - 1, F.lit(2))))
-    return F.when(F.size(w) == 0, F.lit("")).when(F.size(begins) == F.size(w), F.array_join(w, " ")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(w, i)), " "))
+
+    def of(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - 1)
+        begins = F.filter(at, lambda i: (i == 0) | (F.lower(F.get(w, i)) != F.lower(F.get(w, i - 1))))
+
+        def kept(b: Column) -> Column:
+            ends = F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(w)))
+            places = F.flatten(F.zip_with(b, ends, lambda x, y: F.sequence(x, y - 1, F.lit(2))))
+            return F.when(F.size(b) == F.size(w), F.array_join(w, " ")).otherwise(F.array_join(F.transform(places, lambda i: F.get(w, i)), " "))
+
+        return F.when(F.size(w) == 0, F.lit("")).otherwise(bound(begins, kept))
+
+    return bound(words(s), of)
 
 
 def pairwise_doubled(s: Column | str) -> Column:
     """An even number of words, two at least, each second one equal to the one before it."""
-    w = words(s)
-    pairs = F.sequence(F.lit(0), (F.size(w) / 2).cast("int") - 1)
-    return F.when((F.size(w) >= 2) & (F.size(w) % 2 == 0), F.forall(pairs, lambda i: F.lower(F.get(w, i * 2)) == F.lower(F.get(w, i * 2 + 1)))).otherwise(F.lit(False))
+
+    def of(w: Column) -> Column:
+        pairs = F.sequence(F.lit(0), (F.size(w) / 2).cast("int") - 1)
+        return F.when((F.size(w) >= 2) & (F.size(w) % 2 == 0), F.forall(pairs, lambda i: F.lower(F.get(w, i * 2)) == F.lower(F.get(w, i * 2 + 1)))).otherwise(F.lit(False))
+
+    return bound(words(s), of)
 
 
 def slug(s: Column | str, empty: str = "") -> Column:
