@@ -35,6 +35,8 @@ MIN_LINES = 4
 MIN_WORDS = 10
 WORD = "[^\\x20\\x09-\\x0D]"
 _LEAST = -(1 << 63)
+#: Suffixes that one range of the sorted order holds, about.
+RANGE_ROWS = 20_000
 
 
 def _lines(text: Column) -> Column:
@@ -98,11 +100,11 @@ def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank orders the suffixes. run is the depth (1, 2, 4 .. lines) of the deepest interval in which the place is a later copy, 0
     if there is none, and run_words the words of these lines.
     """
-    parts = B.bucket_count(docs)
+    most = B.bucket_count(docs)
     held = F.transform(F.filter(_lines(docs[text_col]), lambda x: x.rlike(WORD)), lambda x: F.struct(F.unhex(F.md5(x)).alias("name"), F.regexp_count(x, F.lit(WORD + "+")).cast("long").alias("words")))
     lines = docs.select(*_document(docs, id_col, text_col), F.posexplode(held).alias("i", "line"))
     lines = settle(lines.select("doc_id", "print", "i", "line.name", "line.words", F.lit(0).cast("long").alias("rank")), "lines")
-    names = _numbered(_groups(lines, ["name"]).where("shared"), ["name"], parts).select("name", "first", "to")
+    names = _numbered(_groups(lines, ["name"]).where("shared"), ["name"], most).select("name", "first", "to")
     later = _place() != F.col("first")
     rows = lines.join(names, "name").select(
         "doc_id", "print", "i", F.col("to").alias("rank"), "words", F.lit(True).alias("active"), F.lit(False).alias("ended"),
@@ -110,7 +112,8 @@ def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     rows, depth, done = settle(rows, "suffixes"), 1, []
     document = Window.partitionBy("doc_id", "print")
-    while not rows.where("active").isEmpty():
+    while n_active := rows.where("active").count():
+        parts = min(most, 1 + n_active // RANGE_ROWS)  # later rounds are small
         ahead = document.orderBy("i").rangeBetween(depth, depth)
         pairs = rows.select("*", F.first("rank").over(ahead).alias("then"), F.first("words").over(ahead).alias("then_words"), F.max("active").over(document).alias("alive"))
         pairs = settle(pairs.where("alive").drop("alive"), "pairs")
