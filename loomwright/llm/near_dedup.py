@@ -222,7 +222,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     small = rows.where("blocks = 1").select(F.xxhash64(*region).alias("item"), "tree", "id")
     large = rows.where("blocks > 1")
     # A component that fills blocks has blocks of its own; the others are dealt over common blocks.
-    own = large.groupBy(*region, "component").agg(needed.alias("own")).where("own > 1")
+    own = settle(large.groupBy(*region, "component").agg(needed.alias("own")).where("own > 1"), "own")
     number = F.pmod(F.xxhash64("id"), F.coalesce("own", F.lit(1)))
     whole = F.col("own").isNotNull()
     block = F.struct(whole.alias("whole"), F.when(whole, F.col("component")).otherwise(0).alias("of"), F.when(whole, number).otherwise(F.pmod(F.xxhash64("component"), F.col("blocks"))).alias("k"))
