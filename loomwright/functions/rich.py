@@ -127,7 +127,7 @@ def benefit_continues(s: Column | str) -> Column:
     """Prose that goes on with what a met requirement brings."""
     line = F.trim(_col(s))
     other = (line == "") | line.rlike(REQUIREMENT) | T.all_caps_label(line) | (F.lower(line) == "steading improvement") | line.rlike(rf"(?i)^{T.DICE}(\s+.+)?$")
-    opens = line.rlike(r"(?i)^(When you|Henceforth|Also,|Stonetop gains|Every |The steading|You can |You may |This |These )")
+    opens = line.rlike(r"(?i)^(When you|Henceforth|Also,|\w+ gains\b|Every |The steading|You can |You may |This |These )")
     return ~other & (opens | ((F.length(line) > 50) & ~(T.heading(line) & (F.size(T.words(line)) <= 5))))
 
 

@@ -15,11 +15,13 @@ from loomwright.functions import text as T
 FORWARD_ROLL = rf"^({T.DICE})\s+(.+)$"
 REVERSE_ROLL = rf"^(.{{1,40}}?)\s+({T.DICE})$"
 CHAPTER_OPENINGS = (
-    "This chapter", "There are", "Player characters", "Sites are", "Maybe you", "A threat is", "Discoveries are", "NPCs are", "The homefront", "Stonetop is",
+    "This chapter", "There are", "Player characters", "Sites are", "Maybe you", "A threat is", "Discoveries are", "NPCs are", "The homefront",
     "The basic moves", "When you", "Introductions are", "Most events", "Use this procedure", "Thanks to", "The following works",
 )
 LONE_SHARDS = ("up", "plan", "door", "moves", "fly", "change")
-BENEFIT_OPENINGS = ("When you", "Henceforth", "Also,", "Stonetop gains", "Every ", "The steading", "You can ", "You may ", "This ", "These ")
+#: The home place, whatever its name, gains something.
+PLACE_GAINS = r"^\w+ gains\b"
+BENEFIT_OPENINGS = ("When you", "Henceforth", "Also,", "Every ", "The steading", "You can ", "You may ", "This ", "These ")
 ITALIC_PROSE = r"(When |Whenever |The |If |Pick |For |See |Consider |Most |Some )"
 TRACK = rf"^[A-Za-z][A-Za-z\s]{{0,20}}:\s*.*\b(nil|{r'\d*d\d+'})\b"
 
@@ -201,7 +203,7 @@ def benefit_continues(s: str) -> bool:
     line = s.strip()
     if not line or require_header(line) or caps_label(line) or line.lower() == "steading improvement" or dice_alone(line) or matches(FORWARD_ROLL, line):
         return False
-    return line.lower().startswith(tuple(x.lower() for x in BENEFIT_OPENINGS)) or len(line) > 50 and not (heading(line) and len(line.split()) <= 5)
+    return line.lower().startswith(tuple(x.lower() for x in BENEFIT_OPENINGS)) or bool(matches(PLACE_GAINS, line)) or len(line) > 50 and not (heading(line) and len(line.split()) <= 5)
 
 
 def toc_prose(s: str) -> bool:

@@ -645,10 +645,10 @@ def improvement(lines: list[str], start: int, anchors: Anchors) -> tuple[Block,
         return None
 
     def brings(k: int) -> bool:
-        return bool(L.matches(BENEFIT_START, get(k)) or L.benefit_continues(get(k)) and L.matches(r"^(Also,|Stonetop gains|Every )", get(k)))
+        return bool(L.matches(BENEFIT_START, get(k)) or L.benefit_continues(get(k)) and L.matches(r"^(Also,|\w+ gains\b|Every )", get(k)))
 
     def section(x: str) -> bool:
-        return L.heading(x) and len(x.split()) <= 4 and len(x) < 40 and not L.matches(r"^(When |Henceforth|Also|Stonetop|Every |The steading)", x)
+        return L.heading(x) and len(x.split()) <= 4 and len(x) < 40 and not L.matches(r"^(When |Henceforth|Also|\w+ gains\b|Every |The steading)", x)
 
     while j < len(lines) and brings(j):
         items.append(("benefit", get(j), 0))

@@ -117,8 +117,8 @@ golden("card_titles", _python(lambda s: cards.card_title(*[[x for x in side.spli
     "Lost|12/front": "Lost", "|The Wind's Own Breath:/magical": "The Wind's Own",
 })
 golden("page_titles", _python(lambda s: cards.page_title(s.split("/"), 540), "string"), {
-    "Appendix/Staff of the/Lidless Orb/When you hold it": "Staff of the Lidless Orb", "front/magical/Mindgem stone/A leather": "Mindgem stone", "12/,": "Arcana (p. 540)", "twisted spear": "Twisted Spear",
-    "Hungering Maw/of Hlad/This thing": "Hungering Maw of Hlad",
+    "Appendix/Staff of the/Glass Eye/When you hold it": "Staff of the Glass Eye", "front/magical/Dream stone/A leather": "Dream stone", "12/,": "Arcana (p. 540)", "bent lance": "Bent Lance",
+    "Singing Jaw/of Brand/This thing": "Singing Jaw of Brand",
 })
 golden("tag_words", _python(unlock.tag_token, "boolean"), {"magical,": True, "+1": True, "piercing": True, "1d4": False, "{n}": False})
 golden("unlock_lines", _python(lambda s: "intro" if unlock.unlock_intro(s) else "divider" if unlock.unlock_divider(s) else "item" if unlock.unlock_item(s) else "none", "string"), {
@@ -128,7 +128,7 @@ golden("names_and_tags", _python(lambda s: "|".join(unlock.name_tags_and_prose(s
     "An old case, fragile": "An old case|fragile|", "magical, warm": "|magical, warm|", "A dormitory magical In a ruin of {n}": "A dormitory|magical|In a ruin of {n}", "A key to {n} it is": "A key to {n} it is||", "It is far. magical": "It is far. magical||",
 })
 golden("powers_and_tags", _python(lambda s: "|".join(unlock.power_and_tags(s)), "string"), {"The Lullaby magical, area, near": "The Lullaby|magical, area, near", ", warm": "|warm", "Ring of Ash": "Ring of Ash|", "Bolt 2 piercing": "Bolt|2, piercing"})
-golden("power_titles", _python(lambda x: unlock.is_power_title(x, "The Broom's Lullaby"), "boolean"), {"Broom's Lullaby": True, "The Brooms Lullaby magical, area": True, "A Lullaby": False, "{n}": False})
+golden("power_titles", _python(lambda x: unlock.is_power_title(x, "The Miller's Lullaby"), "boolean"), {"Miller's Lullaby": True, "The Millers Lullaby magical, area": True, "A Lullaby": False, "{n}": False})
 golden("power_places", _python(lambda s: unlock.power_index(s.split("/"), "Ash Ring"), "int"), {"A key/To unlock it, go/Ash Ring/When you go": 2, "x y z/The Ash/Ring/When you go": 1, "A key/Ash/When you go": 1, "A key/a long line of words that is no title of it/When you go": 2, "{n}": None})
 golden("lone_bullets", _python(lambda s: "/".join(unlock.orphan_bullets(s.split("/"))), "string"), {
     "•/Consume {n}": "• Consume {n}", "•/HP 4": "HP 4", "a thing and/• {n}": "a thing and {n}", "• one (of/{n})": "• one (of {n})", "{n}/two": "{n}/two", "•": "",
@@ -149,14 +149,14 @@ def _pairs(kind: str):
 JOINS = {
     "\x06hand, magical\x07/\x06close, warm\x07": ("item_tags", True), "magical/In a ruin of {n}": ("item_tags", False), "{n}/\x02HR": ("marked_line", False), "\x02H2 {n}/goes on": ("marked_text", False),
     "\x02B an item that/goes on with {n}": ("small_beginning", True), "{n}/": ("nothing", False), "{n} and/Requires all of these": ("requirement", False), "• howl at the moon/Misshapen brutes of {n}": ("flavour_after_bullet", False),
-    "Instinct: to eat/Huge things": ("flavour_after_instinct", False), "Owan, Ragan,/Renan, Seadha": ("list_of_names", True), "see it (page/436), and {n}": ("split_before_page_number", True),
+    "Instinct: to eat/Huge things": ("flavour_after_instinct", False), "Olan, Rhys,/Tomas, Una": ("list_of_names", True), "see it (page/436), and {n}": ("split_before_page_number", True),
     "see it (pages 4/, 5) for {n}": ("split_in_page_list", True), "the river (page 4)/Spirits of the wild (page 5)": ("entries_with_pages", False), "{n}/Index": ("running_head", False),
     "en route to/Harrow": ("dangling_connector", True), "it is over there, where they/Short Title": ("short_heading", False), "it is there/3 {n}": ("block_of_its_own", False),
     "it is there/When you strike at the thing that is there, now": ("mechanical_opening", False), "it is there/For a place and a name, choose or have it rolled now:": ("introduction", False),
     "it is there/here is a long list of goods value": ("price_header", False), "it came—/then it went": ("dash", True), "a crys-/tal of {n}": ("hyphen", True), "on the road (page 4)/it goes": ("after_page", True),
     "It ends./it begins": ("sentence_end", False), "it (so)/goes on": ("closing_bracket", True), "it (so)/Goes on from there to where it is and on, and then more": ("closing_bracket", False),
     "{n}/goes on": ("small_beginning", True), "it is, here,/Goes on from there to where it is and on and then more": ("open_list", True),
-    "there are so few/Guards who are stationed there at night, and {n}": ("continuing_word", True), "they saw a thing that was the Huffel/Peaks (page 236). The petals are edible.": ("split_name", True),
+    "there are so few/Guards who are stationed there at night, and {n}": ("continuing_word", True), "they saw a thing that was the Karst/Peaks (page 236). The petals are edible.": ("split_name", True),
     "Short Title/Goes on from there to where it is and on and then more": ("none", False),
 }
 golden("join_rules", _pairs("rule"), {k: rule for k, (rule, _) in JOINS.items()})
