@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomwright.llm.bpe import op4_byte_bpe
 from loomwright.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from loomwright.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
+from loomwright.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from loomwright.llm.line_dedup import OP8_SQL, op8_line_dedup
 from loomwright.llm.near_dedup import op3_near_dedup
 from loomwright.llm.packing import op9_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
