@@ -6,6 +6,7 @@ from loomwright.llm.bpe import op4_byte_bpe
 from loomwright.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from loomwright.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from loomwright.llm.hard_negatives import OP12_SQL, op12_hard_negatives
+from loomwright.llm.language_id import op13_language_id
 from loomwright.llm.line_dedup import OP8_SQL, op8_line_dedup
 from loomwright.llm.near_dedup import op3_near_dedup
 from loomwright.llm.packing import op9_packing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
