@@ -92,9 +92,12 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary
 
 def restore(form: Column, output: Column) -> Column:
     """The text, from an output and its form."""
-    parts = F.split(output, "<[PSM]>", -1)
-    psm = F.concat(F.get(parts, F.lit(1)), F.get(parts, F.lit(3)), F.get(parts, F.lit(2)))
-    spm = F.concat(F.get(parts, F.lit(2)), F.get(parts, F.lit(3)), F.get(parts, F.lit(1)))
+    def between(start: str, end: str) -> Column:
+        return F.substring_index(F.substring_index(output, end, 1), start, -1)
+
+    middle = F.substring_index(output, MIDDLE, -1)
+    psm = F.concat(between(PREFIX, SUFFIX), middle, between(SUFFIX, MIDDLE))
+    spm = F.concat(between(PREFIX, MIDDLE), middle, between(SUFFIX, PREFIX))
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 

@@ -76,10 +76,14 @@ def grams(a: np.ndarray) -> np.ndarray:
 
 
 def pieces(text: bytes):
-    """Letters of a text in parts of bounded size; sequences over a part's edge are read with the earlier part."""
+    """Letters of a text in parts of about _PIECE letters, cut at ends of words, so that every sequence is in one part."""
     a = letters_of(text.decode("utf-8", "replace"))
-    for lo in range(0, len(a), _PIECE):
-        yield a[max(0, lo - GRAMS + 1) : lo + _PIECE]
+    ends = np.flatnonzero(a == 0)
+    lo = 0
+    while lo + 1 < len(a):
+        hi = int(ends[min(np.searchsorted(ends, lo + _PIECE), len(ends) - 1)])
+        yield a[lo : hi + 1]
+        lo = hi
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -131,11 +135,12 @@ def codewords(n: int, draws: int = 200) -> np.ndarray:
     bits, best, apart = 4 * int(np.ceil(np.log2(n))) + 3, None, -1
     random = np.random.Generator(np.random.PCG64(n))
     for _ in range(draws):
-        code = random.integers(0, 2, (n, bits))
-        code[random.integers(n, size=bits), np.arange(bits)] = 1
-        code[0] = 1  # a column and its opposite are one split
-        if (code.sum(axis=0) == n).any():
-            code[1, code.sum(axis=0) == n] = 0
+        if n <= 20:  # the splits are numbers, drawn without repeats
+            code = random.choice(2 ** (n - 1) - 1, bits, replace=False)[None] >> np.arange(n - 1)[:, None] & 1
+        else:
+            code = random.integers(0, 2, (n - 1, bits))
+            code[0, code.all(axis=0)] = 0
+        code = np.concatenate((np.ones((1, bits), np.int64), code))  # a column and its opposite are one split
         distance = (code[:, None] != code[None]).sum(axis=2) + bits * np.eye(n, dtype=np.int64)
         if len(np.unique(code, axis=1).T) == bits and distance.min() > apart:
             best, apart = code, distance.min()
@@ -199,7 +204,8 @@ def measure(rows: DataFrame, weights: np.ndarray) -> DataFrame:
 def _rows(batch: pa.RecordBatch, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have an x, and these rows' x."""
     x = batch.column("x")
-    return np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)), x.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, bits)
+    some = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+    return some, x.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(some), bits)
 
 
 def calibrate(measured: DataFrame, langs: list[str], code: np.ndarray) -> np.ndarray:
@@ -214,7 +220,7 @@ def calibrate(measured: DataFrame, langs: list[str], code: np.ndarray) -> np.nda
         for batch in batches:
             some, x = _rows(batch, bits)
             at = np.minimum(((x + REACH) * (BINS / (2 * REACH))).astype(np.int64), BINS - 1)
-            side = code[[number[k] for k in batch.column("lang").take(pa.array(some)).to_pylist()]].reshape(-1, bits)
+            side = code[[number[k] for k in batch.column("lang").take(pa.array(some)).to_pylist()]].reshape(len(some), bits)
             np.add.at(total, (side, np.broadcast_to(np.arange(bits), side.shape), at), 1)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "n": pa.array(total.ravel()[k], pa.int64())})
