@@ -33,8 +33,9 @@ WIDTH, CENTRES, SAMPLE, STEPS = 2, 256, 8_192, 6
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these parts of a positive's, in hundredths.
 LOWEST, HIGHEST = 50, 95
-#: Rows of a block, anchors of a block, and the anchors that are scored at once.
-ROWS, ANCHORS, AT_ONCE = 1 << 14, 1 << 13, 64
+#: Rows of a block (fewer only to occupy more tasks, and then at least LEAST_ROWS, since a block gives rows for each anchor),
+#: anchors of a block, and the anchors that are scored at once.
+ROWS, LEAST_ROWS, ANCHORS, AT_ONCE = 1 << 14, 1 << 10, 1 << 13, 64
 _PAIRS = 1 << 15
 _MOST = 1 << 27
 PAIR_SCHEMA = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
@@ -223,7 +224,7 @@ def hard_negatives(
     d = -(-known.d // WIDTH) * WIDTH
     fitted = items.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
     books = fit_codebooks(_matrix(fitted.column("vec"), d))
-    n_rows = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known.n // block_rows))
+    n_rows = max(1, -(-known.n // block_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known.n // min(block_rows, LEAST_ROWS))))
 
     def to_rows(table: pa.Table) -> pa.Table:
         payload = Rows.pack(table.column("vec_id").to_numpy(), table.column("label").to_numpy(), _matrix(table.column("vec"), d), books)
