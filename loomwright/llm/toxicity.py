@@ -3,14 +3,18 @@
 A character language model is counted over every document. What may be disguised goes to the decoder: every word that holds a
 look-alike sign (at its ends only if it is no common punctuation there), a letter three times or more in a row, and three or
 more single letters or signs with separators between them. Such a stretch becomes a lattice: at each place the letters that the
-sign may stand for and the sign itself, of a letter's run one or two, between single letters nothing or the end of a word.
-Viterbi decoding takes the path with the best product of channel and language model, once with signs as themselves among the
-choices and once without. The restored words are scored along with the text's own words, so a sign that means itself costs
-nothing.
+sign may stand for and the sign itself (from the third of equal signs on also nothing), of a letter's run one or two, between
+single letters nothing or the end of a word. Viterbi decoding takes the path with the best product of channel and language
+model, once with signs as themselves among the choices, once without, and once more without runs of three or more equal signs at
+its ends. The restored words are scored along with the text's own words, so a sign that means itself costs nothing.
+
+Full-width letters are read as plain ones, and so are Cyrillic look-alikes in words that mix both scripts. Not looked at are words
+cut in two by one space and letters doubled once in a word without signs.
 
 The score is a logistic one over which words and word beginnings a text has. Features are those that occur in some toxic texts
-that may be learned from and hardly in others. At most MOST_ROWS labelled rows of each kind are learned from, which bounds what
-the driver holds: the names that occur in several toxic ones of these rows.
+that may be learned from (5 of them, or a twentieth if there are fewer than 100, but 2 at least) and hardly in others. At most
+MOST_ROWS labelled rows of each kind are learned from, which bounds what the driver holds: the names that occur in several toxic
+ones of these rows.
 
 Null and empty texts have no features and get the score of the bias alone. Repeated rows, and rows of one id, are scored each,
 equal texts with equal scores; a null id stays null. Very long texts are read whole. An empty table gives no rows, and without
@@ -45,7 +49,15 @@ OPENING, CLOSING = "\"'`([{<", "\"'`.,;:!?)]}>"
 #: Log weights of the channel: a sign for a letter, a sign as itself within a word and at its ends, a doubled letter, a new word.
 _AS_LETTER, _AS_ITSELF, _AT_END, _TWICE, _BREAK = -1.0, -3.0, -0.5, -0.7, -2.0
 
-_RUNS = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+#: Letters of another script that look like a letter a to z.
+CYRILLIC = {"а": "a", "в": "b", "е": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x"}
+_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}  # full-width forms
+_wide = re.compile("[\uff01-\uff5e]")
+_twins = "".join(CYRILLIC)
+_mixed = re.compile(f"[^\\W\\d_]*(?:[a-z][{_twins}]|[{_twins}][a-z])[^\\W\\d_]*")
+_ENDS = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
+#: Columns of a lattice's end whose tables are kept.
+TAIL = 8
 
 _code = np.zeros(256, np.int64)  # 0 is any other byte, 1 .. 26 the letters
 for _i, _c in enumerate(LETTERS, 1):
@@ -78,17 +90,27 @@ def count_characters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.reshape(27, 27, 27)
 
 
+#: Choices (code, output, log weight) of a place, and the log weight of no output at all, if it may be.
+Column_ = tuple[tuple[tuple[int, str, float], ...], float | None]
+
+
 class Restorer:
-    """Viterbi decoding of one stretch under letter triples."""
+    """Viterbi decoding of one stretch under letter triples.
+
+    The places before the first sign have one choice each and are walked by the few states that live. From the first sign on,
+    tables hold the best rest for every pair of codes before it; those of the last TAIL places are kept, since many words end alike.
+    """
 
     def __init__(self, counts: np.ndarray):
         smooth = counts + 0.1 + 5 * counts.sum(axis=0, keepdims=True) / max(1.0, counts.sum()) * 27
         self.log = np.log(smooth / smooth.sum(axis=2, keepdims=True))
+        self.cells = self.log.tolist()
         self.restore = lru_cache(100_000)(self._restore)
+        self.tail = lru_cache(4_096)(self._tail)
 
-    def lattice(self, stretch: str, spaced: bool, literal: bool) -> list[tuple[list[tuple[int, str, float]], float | None]]:
+    def lattice(self, stretch: str, spaced: bool, literal: bool) -> list[Column_]:
         """Columns of (code, output, log weight) choices, and the log weight of no output at all, if it may be."""
-        out: list[tuple[list[tuple[int, str, float]], float | None]] = []
+        out: list[Column_] = []
         gaps = [len(m) for m in re.findall(f"[{re.escape(SEPARATORS)}]+", stretch)] if spaced else []
         i = 0
         while i < len(stretch):
@@ -96,66 +118,76 @@ class Restorer:
             if spaced and c in SEPARATORS:
                 while j < len(stretch) and stretch[j] in SEPARATORS:
                     j += 1
-                out.append(([(0, " ", 0.0 if j - i > min(gaps) else _BREAK)], 0.0))
+                out.append((((0, " ", 0.0 if j - i > min(gaps) else _BREAK),), 0.0))
             elif c in LOOKALIKES:
                 choices = [(ord(x) - 96, x, _AS_LETTER) for x in LOOKALIKES[c]]
                 if literal:
                     choices.append((0, c, _AT_END if i == 0 or j == len(stretch) else _AS_ITSELF))
-                out.append((choices, None))
+                out.append((tuple(choices), _TWICE if stretch[max(0, i - 2) : i] == 2 * c else None))
             else:
                 code = ord(c) - 96 if "a" <= c <= "z" else 0
                 while j < len(stretch) and stretch[j] == c:
                     j += 1
-                out.append(([(code, c, 0.0)], None))
+                out.append((((code, c, 0.0),), None))
                 if j - i > 1:
-                    out.append(([(code, c, _TWICE)], 0.0))
+                    out.append((((code, c, _TWICE),), 0.0))
             i = j
         return out
 
-    def decode(self, columns: list[tuple[list[tuple[int, str, float]], float | None]]) -> str:
+    def _before(self, column: Column_, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the last two codes: the best log weight from a column on, and its choice there (-1 for no output), if rest is what follows."""
+        choices, none = column
+        codes = [code for code, _, _ in choices]
+        via = self.log[:, :, codes] + (rest[:, codes] + np.array([weight for _, _, weight in choices]))[None]
+        pick = via.argmax(axis=2).astype(np.int8)
+        best = via.max(axis=2)
+        if none is not None:
+            stay = rest + none > best
+            best, pick = np.where(stay, rest + none, best), np.where(stay, np.int8(-1), pick)
+        return best, pick
+
+    def _tail(self, columns: tuple[Column_, ...]) -> tuple[np.ndarray, np.ndarray | None]:
+        return self._before(columns[0], self.tail(columns[1:])[0]) if columns else (self.log[:, :, 0], None)
+
+    def decode(self, columns: list[Column_]) -> str:
         """The outputs of the best path."""
-        best = np.full((27, 27), -np.inf)  # by the last two codes
-        best[0, 0] = 0.0
-        back = []
-        every = np.arange(27)
-        for choices, none in columns:
-            new, come = np.full((27, 27), -np.inf), np.full((27, 27), -1, np.int8)
-            if len(choices) > 5:  # all codes at once
-                codes = np.array([code for code, _, _ in choices])
-                via = best[:, :, None] + self.log[:, :, codes]
-                x = via.argmax(axis=0)
-                new[:, codes] = np.take_along_axis(via, x[None], axis=0)[0] + np.array([weight for _, _, weight in choices])
-                come[:, codes] = x
-            else:
-                for code, _, weight in choices:
-                    via = best + self.log[:, :, code]
-                    x = via.argmax(axis=0)
-                    new[:, code] = via[x, every] + weight
-                    come[:, code] = x
-            if none is not None:
-                stay = best + none > new
-                new[stay], come[stay] = best[stay] + none, -1
-            back.append(come)
-            best = new
-        y, k = np.unravel_index(int((best + self.log[:, :, 0]).argmax()), best.shape)
-        out = []
-        for (choices, _), come in zip(reversed(columns), reversed(back), strict=True):
-            x = come[y, k]
-            if x >= 0:
-                out.append(next(text for code, text, _ in choices if code == k))
-                y, k = x, y
-        return "".join(reversed(out))
+        at = next((i for i, (choices, _) in enumerate(columns) if len(choices) > 1), len(columns))
+        live = {(0, 0): (0.0, "")}
+        for ((code, text, weight),), none in columns[:at]:
+            after = {}
+            for (x, y), (total, said) in live.items():
+                step = total + self.cells[x][y][code] + weight
+                if step > after.get((y, code), (-np.inf,))[0]:
+                    after[y, code] = step, said + text
+                if none is not None and total + none > after.get((x, y), (-np.inf,))[0]:
+                    after[x, y] = total + none, said
+            live = after
+        n = len(columns)
+        best, _ = self.tail(tuple(columns[max(at, n - TAIL) :]))
+        picks = [self.tail(tuple(columns[j:]))[1] for j in range(n - 1, max(at, n - TAIL) - 1, -1)]  # from the last place back
+        for column in reversed(columns[at : max(at, n - TAIL)]):
+            best, pick = self._before(column, best)
+            picks.append(pick)
+        (x, y), (_, said) = max(live.items(), key=lambda item: item[1][0] + best[item[0]])
+        out = [said]
+        for (choices, _), pick in zip(columns[at:], reversed(picks), strict=True):
+            k = int(pick[x, y])
+            if k >= 0:
+                out.append(choices[k][1])
+                x, y = y, choices[k][0]
+        return "".join(out)
 
     def _restore(self, stretch: str, spaced: bool) -> tuple[str, ...]:
-        """What a stretch may say: with signs as themselves among the choices, and without."""
-        found = [self.decode(self.lattice(stretch, spaced, literal)) for literal in (True, False)]
+        """What a stretch may say: with signs as themselves among the choices, without, and without runs of equal signs at its ends."""
+        bare = stretch if spaced else _ENDS.sub("", stretch)
+        readings = [(stretch, True), (stretch, False)] + ([(bare, False)] if bare not in (stretch, "") else [])
+        found = [self.decode(self.lattice(x, spaced, literal)) for x, literal in readings]
         return tuple(x for x in dict.fromkeys(found) if x != stretch)
 
 
 def core(word: str) -> str:
-    """A word without the punctuation around it, or the empty string if nothing in it looks disguised. Three or more equal signs
-    at an end are ornament."""
-    word = _RUNS.sub("", word.lstrip(OPENING).rstrip(CLOSING)).lstrip(OPENING).rstrip(CLOSING)
+    """A word without the punctuation around it, or the empty string if nothing in it looks disguised."""
+    word = word.lstrip(OPENING).rstrip(CLOSING)
     if len(word) > 2 and word[0] == word[-1] == "*":
         word = word.strip("*")
     signs = [c for c in word if c in LOOKALIKES]
@@ -196,11 +228,18 @@ def disguised(a: np.ndarray, cuts: np.ndarray) -> tuple[list[tuple[int, int]], l
     return words, spaced
 
 
+def plain_letters(text: str) -> str:
+    """Lower case; full-width forms, and look-alikes of another script in words that have letters a to z beside them, as those letters."""
+    if not text.isascii():
+        if _wide.search(text):
+            text = text.translate(_WIDE)
+        text = text.lower()
+        return _mixed.sub(lambda m: "".join(CYRILLIC.get(c, c) for c in m[0]), text) if any(c in text for c in _twins) else text
+    return text.lower()
+
+
 def _lowered(rows) -> tuple[bytes, np.ndarray]:
-    texts = []
-    for r in rows:
-        t = r[1].decode("utf-8", "replace").lower().encode()
-        texts.append(t)
+    texts = [plain_letters(r[1].decode("utf-8", "replace")).encode() for r in rows]
     return b"".join(texts), np.cumsum(np.array([len(t) for t in texts], np.int64))
 
 
