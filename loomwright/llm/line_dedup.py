@@ -2,15 +2,21 @@
 
 A document is its sequence of lines that hold a word; the suffixes are the places where such a line begins. A round sorts the
 suffixes by their first 1, 2, 4 .. lines: a suffix's rank is the number of suffixes before its group, and the next round orders
-a group by the ranks that stand as many lines further on. Groups of a round are intervals of the suffix array whose common
-prefix has at least that many lines; a suffix alone in its group has its final rank. Rounds go on until no group has two
-places, so long copies take log2(lines) rounds, over the documents alone that still share something. Ranks come from sums
+a group by the ranks that stand as many lines further on; a suffix alone in its group has its final rank. Ranks come from sums
 within ranges of the sorted order and the totals of the ranges (a number a range reaches the driver), so no group, however
 large, is sorted or numbered in one task.
 
-In each interval the first place (smaller id, or earlier in the document) is the copy that stays. A later copy of an interval's
-1, 2, 4 .. lines is deleted if these lines are at least `min_lines` or hold at least `min_words` words; what is deleted in a
-row is a maximal run. Runs of fewer than four lines with fewer than ten words stay, such as one-line salutations.
+The neighbours in this order whose longest common prefix has h lines or more form the intervals of depth h. With d the last power
+of two up to h, two suffixes share h lines exactly if the ranks of d lines agree at their first line and h - d lines later, so
+the intervals of every depth are cut from the ranks of the rounds. In each interval the first place (smaller id, or earlier in
+the document) is the copy that stays, and the runs of h lines at the others are later copies.
+
+A later copy is deleted if it has at least `min_lines` lines or `min_words` words. What that deletes is the same for the maximal
+runs and for all runs within them, since whatever is deleted in a later copy of more than min_lines lines is in later copies of
+min_lines lines: each place of it but the last min_lines - 1 begins one. So the order is needed to min_lines lines and intervals
+of depths 1 to min_lines; suffix_array() itself goes on until no group has two places, if no depth is given (log2(longest run)
+rounds, over the documents alone that still share something). Runs of fewer than four lines with fewer than ten words stay, such
+as one-line salutations.
 
 Null and empty texts have no lines. Lines without a word are never deleted and never part of a run. Texts of any length are
 read whole. Documents are told apart by id and text: unequal rows of one id are documents of their own (in the order of a hash
@@ -34,6 +40,7 @@ from loomwright.llm.scratch import settle
 MIN_LINES = 4
 MIN_WORDS = 10
 WORD = "[^\\x20\\x09-\\x0D]"
+PLACE_COLUMNS = ("doc_id", "print", "i", "rank", "run", "run_words")
 _LEAST = -(1 << 63)
 #: Suffixes that one range of the sorted order holds, about.
 RANGE_ROWS = 20_000
@@ -94,11 +101,12 @@ def _groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return found.select("rank", *keys, "n", "first", (F.col("first") != F.col("last")).alias("shared"))
 
 
-def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None) -> DataFrame:
     """(doc_id, print, i, rank, run, run_words) for each line that occurs at two places.
 
-    rank orders the suffixes. run is the depth (1, 2, 4 .. lines) of the deepest interval in which the place is a later copy, 0
-    if there is none, and run_words the words of these lines.
+    rank orders the suffixes by their first `depth` lines (equal ones share it), or wholly. run is the depth of the deepest
+    interval in which the place is a later copy, 0 if there is none, and run_words the words of these lines; intervals of all
+    depths up to `depth` are looked at, or of 1, 2, 4 .. lines where none is given.
     """
     most = B.bucket_count(docs)
     held = F.transform(F.filter(_lines(docs[text_col]), lambda x: x.rlike(WORD)), lambda x: F.struct(F.unhex(F.md5(x)).alias("name"), F.regexp_count(x, F.lit(WORD + "+")).cast("long").alias("words")))
@@ -108,15 +116,28 @@ def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = _place() != F.col("first")
     rows = lines.join(names, "name").select(
         "doc_id", "print", "i", F.col("to").alias("rank"), "words", F.lit(True).alias("active"), F.lit(False).alias("ended"),
-        F.when(later, 1).otherwise(0).alias("run"), F.when(later, F.col("words")).otherwise(0).alias("run_words"),
+        F.when(later, 1).otherwise(0).alias("run"), F.when(later, F.col("words")).otherwise(0).alias("run_words"), F.col("words").alias("own"),
     )
-    rows, depth, done = settle(rows, "suffixes"), 1, []
+    rows, d, done = settle(rows, "suffixes"), 1, []
     document = Window.partitionBy("doc_id", "print")
-    while n_active := rows.where("active").count():
+    while (depth is None or d < depth) and (n_active := rows.where("active").count()):
         parts = min(most, 1 + n_active // RANGE_ROWS)  # later rounds are small
-        ahead = document.orderBy("i").rangeBetween(depth, depth)
-        pairs = rows.select("*", F.first("rank").over(ahead).alias("then"), F.first("words").over(ahead).alias("then_words"), F.max("active").over(document).alias("alive"))
+        between = range(d + 1, min(2 * d - 1, depth) + 1) if depth else ()
+        doubled = depth is None or 2 * d <= depth
+
+        def ahead(column: str, by: int):
+            return F.first(column).over(document.orderBy("i").rangeBetween(by, by))
+
+        seen = {f"then_{h}": ahead("rank", h - d) for h in between} | {f"words_{h}": F.sum("own").over(document.orderBy("i").rangeBetween(0, h - 1)) for h in between}
+        pairs = rows.select("*", ahead("rank", d).alias("then"), ahead("words", d).alias("then_words"), *[c.alias(k) for k, c in seen.items()], F.max("active").over(document).alias("alive"))
         pairs = settle(pairs.where("alive").drop("alive"), "pairs")
+        for h in between:  # two overlapping ranks are the rank of what they cover
+            known = pairs.where(F.col("active") & F.col(f"then_{h}").isNotNull())
+            groups = _groups(known, [f"then_{h}"]).where("shared").select(F.col("rank").alias("g_rank"), F.col(f"then_{h}").alias("g_then"), "first")
+            here = known.join(groups, (F.col("rank") == F.col("g_rank")) & (F.col(f"then_{h}") == F.col("g_then"))).where(_place() != F.col("first"))
+            done.append(here.select("doc_id", "print", "i", F.lit(None).cast("long").alias("rank"), F.lit(h).alias("run"), F.col(f"words_{h}").alias("run_words")))
+        if not doubled:
+            break
         alone = F.col("then").isNull()  # what follows occurs nowhere else: a group of one, ordered by its place
         keys = {"then": F.col("then"), "x": F.when(alone, F.col("doc_id")), "y": F.when(alone, F.col("print")), "z": F.when(alone, F.col("i"))}
         open_ = pairs.where("active").withColumns(keys).drop("ended")
@@ -128,37 +149,39 @@ def suffix_array(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         later, words = F.col("shared") & (_place() != F.col("first")), F.col("words") + F.col("then_words")
         moved = open_.join(groups, same).select(
             "doc_id", "print", "i", F.col("to").alias("rank"), F.when(F.col("shared"), words).otherwise(F.col("words")).alias("words"), F.col("shared").alias("active"), (~F.col("shared")).alias("ended"),
-            F.when(later, 2 * depth).otherwise(F.col("run")).alias("run"), F.when(later, words).otherwise(F.col("run_words")).alias("run_words"),
+            F.when(later, 2 * d).otherwise(F.col("run")).alias("run"), F.when(later, words).otherwise(F.col("run_words")).alias("run_words"), "own",
         )
         still = pairs.where("not active").withColumn("ended", F.lit(False)).select(*moved.columns)
-        rows, depth = settle(moved.unionByName(still), "suffixes"), 2 * depth
-        done.append(rows.where("ended"))
-    out = rows.where("ended")
-    for table in done[:-1]:
+        rows, d = settle(moved.unionByName(still), "suffixes"), 2 * d
+        done.append(rows.where("ended").select(*PLACE_COLUMNS))
+    done.append(rows.where("active").select(*PLACE_COLUMNS))
+    out = done[0]
+    for table in done[1:]:
         out = out.unionByName(table)
-    return out.select("doc_id", "print", "i", "rank", "run", "run_words")
+    if not depth:
+        return out
+    out = out.groupBy("doc_id", "print", "i").agg(F.max("rank").alias("rank"), F.max(F.struct("run", "run_words")).alias("deepest"))
+    return out.select("doc_id", "print", "i", "rank", "deepest.run", "deepest.run_words")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """`doc`, the whole row as a struct, and n_lines, n_removed, n_runs (maximal deleted runs), depth (of the deepest interval in
-    which one of its places is a later copy), kept_text. min_lines is a power of two."""
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines is a power of two")
-    later = suffix_array(docs, id_col, text_col).where((F.col("run") >= min_lines) | ((F.col("run") > 0) & (F.col("run_words") >= min_words)))
-    # The place after that of a deep interval is a later copy of at least half its depth, so the first min_lines lines of each do.
-    per = later.groupBy("doc_id", "print").agg(F.collect_list(F.struct("i", F.least("run", F.lit(min_lines)).alias("n"))).alias("runs"), F.max("run").alias("depth"))
+    """`doc`, the whole row as a struct, and n_lines, n_removed, n_runs (maximal deleted runs), longest (lines of the longest of
+    these), kept_text."""
+    later = suffix_array(docs, id_col, text_col, min_lines).where((F.col("run") >= min_lines) | ((F.col("run") > 0) & (F.col("run_words") >= min_words)))
+    per = later.groupBy("doc_id", "print").agg(F.collect_list(F.struct("i", F.col("run").alias("n"))).alias("runs"))
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), *_document(docs, id_col, text_col), docs[text_col].cast("string").alias("t"))
     df = whole.join(per, ["doc_id", "print"], "left").withColumn("l", _lines(F.col("t")))
     places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda j: F.get("l", j).rlike(WORD))
-    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1))))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["i"], r["i"] + r["n"] - 1)))))
     df = df.withColumn("places", places).withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
+    df = df.withColumns({"first": F.array_except("gone", F.transform("gone", lambda k: k + 1)), "last": F.array_except("gone", F.transform("gone", lambda k: k - 1))})
     stay = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.transform("gone", lambda k: F.get("places", k)))
     kept = F.when(F.size("gone") == 0, F.col("t")).otherwise(F.array_join(F.transform(stay, lambda j: F.get("l", j)), "\n"))
     told = F.struct(
         F.size("places").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
-        F.size(F.array_except(F.transform("gone", lambda k: k - 1), F.col("gone"))).cast("long").alias("n_runs"),
-        F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.size("first").cast("long").alias("n_runs"),
+        F.coalesce(F.array_max(F.zip_with("first", "last", lambda a, b: b - a + 1)), F.lit(0)).cast("long").alias("longest"),
         kept.alias("kept_text"),
     )
     # A generator's output: a filter on it is not moved below, where it would compute all of it anew.
@@ -167,7 +190,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     df = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return df.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    return df.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_removed", "n_runs", "longest", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
@@ -177,10 +200,11 @@ WITH l AS (
   SELECT doc_id, line, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), g AS (
-  SELECT doc_id, i, n, n + lead(n) OVER d AS n2, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, lead(line, 3) OVER d AS e FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, n, n + lead(n) OVER d AS n2, n + lead(n) OVER d + lead(n, 2) OVER d AS n3, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, lead(line, 3) OVER d AS e FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)
 ), f AS (
   SELECT doc_id, i, 1 AS k FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY doc_id, i) AS r FROM g) WHERE r > 1 AND n >= 10
   UNION ALL SELECT doc_id, i, 2 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS r FROM g WHERE b IS NOT NULL) WHERE r > 1 AND n2 >= 10
+  UNION ALL SELECT doc_id, i, 3 FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r FROM g WHERE c IS NOT NULL) WHERE r > 1 AND n3 >= 10
   UNION ALL SELECT doc_id, i, 4 FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c, e ORDER BY doc_id, i) AS r FROM g WHERE e IS NOT NULL) WHERE r > 1
 ), x AS (
   SELECT DISTINCT doc_id, i + d AS i FROM f, (VALUES (0), (1), (2), (3)) AS v(d) WHERE d < k
@@ -191,7 +215,8 @@ WITH l AS (
   SELECT doc_id, count(i) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '') AS kept
   FROM s GROUP BY doc_id
 ), r AS (
-  SELECT doc_id, count(*) AS n_runs FROM x WHERE NOT EXISTS (SELECT 1 FROM x AS y WHERE y.doc_id = x.doc_id AND y.i = x.i - 1) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_runs, max(n)::BIGINT AS longest
+  FROM (SELECT doc_id, i - r AS run, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM x) GROUP BY ALL) GROUP BY doc_id
 )
-SELECT t.doc_id, n_lines, n_removed, coalesce(n_runs, 0) AS n_runs, sha256(kept) AS kept_sha256 FROM t LEFT JOIN r ON t.doc_id = r.doc_id
+SELECT t.doc_id, n_lines, n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest, 0) AS longest, sha256(kept) AS kept_sha256 FROM t LEFT JOIN r ON t.doc_id = r.doc_id
 """

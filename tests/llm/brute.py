@@ -65,7 +65,7 @@ def lines(texts, least=4, words=10):
                 if run in seen and (h >= least or sum(len(x.encode().split()) for x in run) >= words):
                     gone |= set(at[k : k + h])
                 seen.add(run)
-        h *= 2
+        h += 1
     for d, t, whole, _, gone in held:
         out[d, t] = "\n".join(x for j, x in enumerate(whole) if j not in gone)
     return out

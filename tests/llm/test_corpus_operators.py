@@ -107,11 +107,22 @@ def test_lines(spark, docs, sample, empty):
     rng = random.Random(9)
     some = [(i, None if i % 11 == 0 else "".join(rng.choice(["a\n", "b\n", "c\n", "d e\n", "\n", " \n", "x"]) for _ in range(rng.choice((0, 1, 4, 9, 60))))) for i in range(80)]
     for given, frame in ((some, brute.documents(spark, some)), (sample, docs)):
-        for least, words in ((2, 3), (4, 1000), (8, 5)) if given is some else ((4, 10),):
+        for least, words in ((1, 1), (2, 3), (3, 1000), (4, 6), (5, 1000), (7, 9), (8, 5)) if given is some else ((4, 10),):
             assert kept_lines(line_dedup.dedup_lines(frame, min_lines=least, min_words=words)) == brute.lines(given, least, words)
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_runs_of_every_length(spark):
+    """Three lines of twelve words go, two of nine stay, and a longer run is one run wherever its parts stood before."""
+    three, two = ["one two three four", "five six seven eight", "nine ten eleven twelve"], ["a b c d", "e f g h i"]
+    rows = [(1, three + ["x"] + two), (2, ["y"] + three + ["z"]), (3, two + ["q"]), (4, ["p0", "p1", "p2", "p3", "p4"]), (5, ["p1", "p2", "p3", "p4", "r1", "r2"]), (6, ["p0", "p1", "p2", "p3", "p4", "r1", "r2"])]
+    docs = brute.documents(spark, [(i, "\n".join(x)) for i, x in rows])
+    got = by_id(line_dedup.dedup_lines(docs).select("doc.doc_id", "n_removed", "n_runs", "longest", "kept_text"), "n_removed", "n_runs", "longest", "kept_text")
+    assert got == {1: (0, 0, 0, "\n".join(rows[0][1])), 2: (3, 1, 3, "y\nz"), 3: (0, 0, 0, "\n".join(rows[2][1])), 4: (0, 0, 0, "\n".join(rows[3][1])), 5: (4, 1, 4, "r1\nr2"), 6: (7, 1, 7, "")}
+    deep = {(r.doc_id, r.i): (r.run, r.run_words) for r in line_dedup.suffix_array(docs, depth=3).collect()}
+    assert deep[2, 1] == (3, 12) and deep[2, 2] == (2, 8) and deep[3, 0] == (2, 9) and deep[6, 0] == (3, 3) and deep[1, 0] == (0, 0)
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     rows = [(1, "a0\na1\na2\na3"), (1, "b0\nb1\nb2\nb3"), (3, "a0\nb1\na2\nb3"), (4, "a0\na1\na2\na3"), (5, "same\nlines\nin\nboth"), (5, "same\nlines\nin\nboth")]
     got = kept_lines(line_dedup.dedup_lines(brute.documents(spark, rows)))
@@ -469,6 +480,14 @@ def test_restoring_disguised_words():
         assert want in restore(given, True), given
 
 
+def test_signs_at_ends_and_letters_of_other_forms():
+    restore = toxicity.Restorer(letter_counts(WORDS * 50)).restore
+    for given, want in {"a$$$": "ass", "@$$$": "ass", "a$$$$": "ass", "tra$h$$$": "trash", "l0ser***": "loser", "idio###": "idio###"}.items():
+        assert toxicity.core(given) == given and want in (given, *restore(given, False)), given
+    assert toxicity.plain_letters("ｆＵck ѕhіt Ѕtuріd") == "fuck shit stupid"
+    assert toxicity.plain_letters("Это слово НЕ меняется, Été") == "это слово не меняется, été"
+
+
 def test_spans_that_may_be_disguised():
     text = "plain words 1d10t and m o r o n or sooo 12 wow! \"$tupid (maybe) a s s 2024 f  u  c  k @$$ 3,000 l o\ns e r x".encode()
     words, spaced = toxicity.disguised(np.frombuffer(text, np.uint8), np.array([len(text)]))
