@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators import blocks, cards, dice, layout, links, model, publish, rewrite, search, unlock
+from loomwright.operators import blocks, cards, dice, layout, links, model, publish, rewrite, search, trigrams, unlock
 from loomwright.plans.golden_queries import _escaped
 from loomwright.plans.text_queries import LINES_SQL, TEXT_SQL, TITLE_SQL
 from loomwright.sources import tables
-from loomwright.sources.steps import settle
+from loomwright.sources.steps import new_folder, settle
 from loomwright.sources.tables import table
 from loomwright.streaming import state
 
@@ -47,6 +47,28 @@ def search_ranked(spark, sf_dir):
     return search.search(_docs(spark, sf_dir), SEARCH, None).select("slug", "title", "rank", "where")
 
 
+#: Of several terms, of one rare term, of one that is everywhere, of short ones, beyond ASCII, and of none in any text.
+LOOKED_UP = ("tion the", "idiot", "thing and of", "e", "ch un", "ción", "été", "THE The", "%", "no-such-term at all")
+_LOOKED_UP_SQL = ", ".join(f"('{q}', {[t for t in q.lower().split()]})" for q in LOOKED_UP)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS slug, split_part(text, chr(10), 1) AS title, text FROM documents),
+h AS (SELECT query, slug, title, lower(title) = array_to_string(terms, ' ') AS exact, len(list_filter(terms, lambda t: NOT contains(lower(title), t))) = 0 AS it, len(list_filter(terms, lambda t: NOT contains(lower(text), t))) = 0 AS ix
+  FROM d, (VALUES {_LOOKED_UP_SQL}) AS q(query, terms))
+SELECT query, slug, CASE WHEN it AND exact THEN -1 WHEN it THEN 0 ELSE 1 END AS rank, CASE WHEN it AND ix THEN 'title + text' WHEN it THEN 'title' ELSE 'text' END AS "where" FROM h WHERE it OR ix
+""")
+def trigram_search(spark, sf_dir):
+    """Ten searches over all documents, whose first lines are their titles, by the inverted index."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"), F.substring_index("text", "\n", 1).alias("title"), "text", F.lit(None).cast("string").alias("excerpt"))
+    index = trigrams.write_index(docs, new_folder(spark, "trigrams"))
+    hits = [trigrams.search(index, q, None).select(F.lit(q).alias("query"), "slug", "rank", "where") for q in LOOKED_UP]
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 _SNIPPET_SQL = """a AS (SELECT *, CASE WHEN instr(lower(text), 'the') = 0 THEN instr(lower(text), 'and') WHEN instr(lower(text), 'and') = 0 THEN instr(lower(text), 'the') ELSE least(instr(lower(text), 'the'), instr(lower(text), 'and')) END - 1 AS p FROM h WHERE it OR ix),
 b AS (SELECT *, greatest(0, p - 42) AS s, least(length(text), p + 54) AS e FROM a)"""
 _SHOWN_SQL = f"CASE WHEN s > 0 THEN '…' ELSE '' END || regexp_replace(regexp_replace({_escaped('substr(text, s + 1, e - s)')}, '(the)', '<mark>\\1</mark>', 'gi'), '(and)', '<mark>\\1</mark>', 'gi') || CASE WHEN e < length(text) THEN '…' ELSE '' END"
