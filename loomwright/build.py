@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import lines, model, pages, parse, publish, rewrite, search, wrap
-from loomwright.sources import tables
+from loomwright.sources import sites, tables
 
 
 @dataclass
@@ -88,18 +87,18 @@ def build(book: Book, work: str) -> Wiki:
 
 
 def write(wiki: Wiki, folder: str, static: str | None = None) -> dict[str, int]:
-    """The site in a folder that the driver can write; numbers of what was written."""
+    """The site in a folder that the driver and all executors share; numbers of what was written."""
     tables.reset_output(folder)
     n_static = tables.copy_static(static, folder) if static else 0
     navigation = publish.nav(wiki.articles, wiki.sections.select("slug", "pos", "id", "name"))
-    whole = publish.pages_with_nav(wiki.articles.join(wiki.html, "slug"), navigation)
-    n_pages = tables.write_page_files(whole, folder)
-    Path(folder, "js", "previews-data.js").write_text(tables.previews_script(wiki.previews, wiki.page_map), encoding="utf-8")
-    index = tables.search_script(wiki.search)
-    Path(folder, "js", "search-index.js").write_text(index, encoding="utf-8")
-    cards = publish.index_cards(wiki.articles, wiki.previews).orderBy("ord").select("card").toLocalIterator()
-    body = '<h2>Topics</h2><div class="index-grid">' + "".join(r.card for r in cards) + "</div>"
+    whole, pages_written = tables.counted(publish.pages_with_nav(wiki.articles.join(wiki.html, "slug"), navigation), "pages")
+    sites.write_pages(whole, f"{folder}/pages")
+    sites.write_previews_script(wiki.previews, wiki.page_map, f"{folder}/js/previews-data.js")
+    index_bytes = sites.write_search_script(wiki.search, f"{folder}/js/search-index.js")
     row = navigation.first()
-    shell = wiki.articles.sparkSession.range(1).select(publish.page_shell(F.lit("Wiki"), F.lit(body), F.lit(row["nav"].replace('href="', 'href="pages/') if row else ""), "").alias("html")).first()
-    Path(folder, "index.html").write_text(shell.html, encoding="utf-8")
-    return {"pages": n_pages, "sections": wiki.sections.count(), "static": n_static, "index_kb": len(index) // 1024}
+    shell = publish.page_shell(F.lit("Wiki"), F.lit("\0"), F.lit(row["nav"].replace('href="', 'href="pages/') if row else ""), "")
+    before, after = wiki.articles.sparkSession.range(1).select(shell.alias("html")).first().html.split("\0")
+    cards = publish.index_cards(wiki.articles, wiki.previews).select("ord", F.lit("").alias("key"), F.col("card").alias("row"))
+    start, end = before + '<h2>Topics</h2><div class="index-grid">', "</div>" + after
+    sites.write_ordered(cards.sparkSession, [start, sites.Rows(cards, ("ord",), sites.as_is, between=""), end], f"{folder}/index.html")
+    return {"pages": pages_written.get["n"], "sections": wiki.sections.count(), "static": n_static, "index_kb": index_bytes // 1024}

@@ -8,7 +8,7 @@ from loomwright.functions import text as T
 from loomwright.operators import blocks, cards, dice, layout, links, model, publish, rewrite, search, trigrams, unlock
 from loomwright.plans.golden_queries import _escaped
 from loomwright.plans.text_queries import LINES_SQL, TEXT_SQL, TITLE_SQL
-from loomwright.sources import tables
+from loomwright.sources import sites, tables
 from loomwright.sources.steps import new_folder, settle
 from loomwright.sources.tables import table
 from loomwright.streaming import state
@@ -47,6 +47,25 @@ def search_ranked(spark, sf_dir):
     return search.search(_docs(spark, sf_dir), SEARCH, None).select("slug", "title", "rank", "where")
 
 
+@query("SELECT page_id || '.html' AS file, strlen(html)::BIGINT AS bytes, sha256(html) AS digest FROM pages")
+def page_files(spark, sf_dir):
+    """A file for each page, as the executors have written it."""
+    folder = new_folder(spark, "pages")
+    sites.write_pages(table(spark, sf_dir, "pages").select("page_id", "html"), folder, "page_id")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@query(f"WITH {_DOCS_SQL} SELECT slug, title, excerpt, text FROM s")
+def search_array(spark, sf_dir):
+    """The search documents from one ordered JSON array that the executors have written."""
+    docs = _docs(spark, sf_dir)
+    path = new_folder(spark, "search") + "/index.json"
+    rows = sites.Rows(sites.json_rows(docs, "slug", docs.columns), ("slug",), sites.compact)
+    sites.write_ordered(spark, ["[", rows, "]"], path)
+    return spark.read.schema(docs.schema).option("multiLine", True).json(path)
+
+
 #: Of several terms, of one rare term, of one that is everywhere, of short ones, beyond ASCII, and of none in any text.
 LOOKED_UP = ("tion the", "idiot", "thing and of", "e", "ch un", "ción", "été", "THE The", "%", "no-such-term at all")
 _LOOKED_UP_SQL = ", ".join(f"('{q}', {[t for t in q.lower().split()]})" for q in LOOKED_UP)

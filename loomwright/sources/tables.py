@@ -1,4 +1,4 @@
-"""Sources and sinks: tables of a data folder, HTML pages, layout JSON, and what is published."""
+"""Sources: tables of a data folder, HTML pages, layout JSON, scripts; the output folder. Pages and scripts are written by sites."""
 
 from __future__ import annotations
 
@@ -106,47 +106,11 @@ def copy_static(source: str, folder: str) -> int:
     return len(files)
 
 
-def write_pages(articles: DataFrame, folder: str) -> None:
-    """One HTML text per article, under a folder of its slug, written by the executors."""
-    articles.select("slug", F.col("html").alias("value")).repartition("slug").write.mode("overwrite").partitionBy("slug").option("lineSep", "\0").text(folder)
-
-
-def write_page_files(articles: DataFrame, folder: str) -> int:
-    """pages/SLUG.html for every article, on a file system that the driver has too: a site for browsers."""
-    n = 0
-    for r in articles.select("slug", "html").toLocalIterator():
-        Path(folder, "pages", f"{r.slug}.html").write_text(r.html, encoding="utf-8")
-        n += 1
-    return n
-
-
 def write_search_index(docs: DataFrame, folder: str) -> None:
     """The search documents as JSON lines, in parts."""
     docs.write.mode("overwrite").json(folder)
 
 
-def _script(values: dict[str, object], compact: bool) -> str:
-    dump = lambda v: json.dumps(v, ensure_ascii=False, **({"separators": (",", ":")} if compact else {"indent": 2}))
-    return "".join(f"window.{name} = {dump(v)};\n" for name, v in values.items())
-
-
-def previews_script(previews: DataFrame, page_maps: DataFrame) -> str:
-    """Previews by slug and page maps by book as two globals; previews: (slug, ..), page_maps: (book, page, slug, title, sections). A
-    published artefact for a browser, so small enough for the driver."""
-    columns = [c for c in previews.columns if c != "slug"]
-    told = {r.slug: json.loads(r.j) for r in previews.select("slug", F.to_json(F.struct(*columns)).alias("j")).orderBy("slug").toLocalIterator()}
-    maps: dict[str, dict] = {}
-    for r in page_maps.select("book", "page", F.to_json(F.struct("slug", "title", "sections")).alias("j")).orderBy("book", "page").toLocalIterator():
-        maps.setdefault(r.book, {})[str(r.page)] = json.loads(r.j)
-    return _script({"WIKI_PREVIEWS": told, "WIKI_PAGE_MAP": maps}, False)
-
-
-def search_script(docs: DataFrame) -> str:
-    """The search documents as one array in a global."""
-    rows = [json.loads(r.j) for r in docs.select("slug", F.to_json(F.struct(*docs.columns)).alias("j")).orderBy("slug").toLocalIterator()]
-    return _script({"WIKI_SEARCH_INDEX": rows}, True)
-
-
 def read_script(path: str) -> dict[str, object]:
     """The globals of a script file; none if it can't be read."""
     try:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from loomwright import __main__ as cli
 from loomwright import build as wiki
 from loomwright.operators import search
-from loomwright.sources import pdf, tables
+from loomwright.sources import pdf, sites, tables
 
 
 def test_index_of_a_folder(spark, tmp_path):
@@ -31,13 +31,13 @@ def test_map_labels_and_contents(spark):
 def test_scripts_and_loading(spark, tmp_path):
     df = spark.createDataFrame([("a", "é", {"s": "x"})], "slug string, title string, sections map<string,string>")
     maps = spark.createDataFrame([("book2", 4, "a", "é", {"mill": "m"})], "book string, page int, slug string, title string, sections map<string,string>")
-    script = tables.previews_script(df, maps)
+    sites.write_previews_script(df, maps, str(tmp_path / "previews-data.js"))
+    script = (tmp_path / "previews-data.js").read_text(encoding="utf-8")
     assert script.startswith('window.WIKI_PREVIEWS = {\n  "a"') and "é" in script
-    (tmp_path / "previews-data.js").write_text(script, encoding="utf-8")
     got = tables.read_script(str(tmp_path / "previews-data.js"))
     assert got["WIKI_PAGE_MAP"] == {"book2": {"4": {"slug": "a", "title": "é", "sections": {"mill": "m"}}}}
     docs = spark.createDataFrame([("b", "T", "t"), ("a", "U", "u")], "slug string, title string, text string")
-    (tmp_path / "search-index.js").write_text(tables.search_script(docs), encoding="utf-8")
+    sites.write_search_script(docs, str(tmp_path / "search-index.js"))
     loaded = tables.Loaded(spark)
     args = (str(tmp_path), "search_docs", "slug string, title string, text string", "search-index.js", "WIKI_SEARCH_INDEX")
     first = loaded.get(*args)
