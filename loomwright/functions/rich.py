@@ -39,7 +39,7 @@ def to_html(s: Column | str) -> Column:
     """Formatting as tags; a run that a wrap has split is one run."""
     out = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), ((BOLD_ON, "<strong>"), (BOLD_OFF, "</strong>"), (ITALIC_ON, "<em>"), (ITALIC_OFF, "</em>")), _col(s))
     for off, on in (("</em></strong>", "<strong><em>"), ("</strong>", "<strong>"), ("</em>", "<em>")):
-        out = F.regexp_replace(out, rf"\s*{off}\s+{on}\s*", " ")
+        out = F.regexp_replace(out, T.U + rf"\s*{off}\s+{on}\s*", " ")
     return out
 
 
@@ -74,7 +74,7 @@ def collapse_title(s: Column | str) -> Column:
 
 def running_header(line: Column | str, title: Column | str, near_top: Column | bool = False) -> Column:
     """A page's running head: empty, doubled, or the article's title in some form."""
-    t = F.trim(_col(line))
+    t = T.strip(_col(line))
     w = F.transform(T.words(t), lambda x: F.lower(x))
     half = (F.size(w) / 2).cast("int")
     doubled = (F.size(w) >= 2) & (F.size(w) % 2 == 0) & (F.slice(w, F.lit(1), F.greatest(half, F.lit(1))) == F.slice(w, half + 1, F.greatest(half, F.lit(1))))
@@ -87,28 +87,28 @@ def running_header(line: Column | str, title: Column | str, near_top: Column | b
 
 
 def requirement_header(s: Column | str) -> Column:
-    return F.trim(_col(s)).rlike(REQUIREMENT)
+    return T.strip(_col(s)).rlike(T.U + REQUIREMENT)
 
 
 def requirement_item(s: Column | str) -> Column:
-    line = F.trim(strip_marker(s))
-    other = line.rlike(REQUIREMENT) | line.rlike(REQUIREMENT_END) | F.lower(line).isin("steading improvement", *SECTION_NAMES) | line.rlike(rf"(?i)^{T.DICE}(\s+.+)?$") | line.rlike(T.HIT_POINTS)
+    line = T.strip(strip_marker(s))
+    other = line.rlike(T.U + REQUIREMENT) | line.rlike(T.U + REQUIREMENT_END) | F.lower(line).isin("steading improvement", *SECTION_NAMES) | line.rlike(T.U + rf"(?i)^{T.DICE}(\s+.+)?$") | line.rlike(T.U + T.HIT_POINTS)
     return (line != "") & ~other & ~T.tag_line(line) & ~(T.all_caps_label(line) & (F.size(T.words(line)) <= 4)) & (F.length(line) < 220)
 
 
 def named_move(s: Column | str) -> Column:
     """struct(name, tags, trigger) of a line that begins with a bold name in capitals, or null."""
-    name = F.trim(bold_prefix(s))
+    name = T.strip(bold_prefix(s))
     rest = F.regexp_replace(_col(s), "^\\x04[^\\x04\\x05]*\\x05", "")
-    italic = F.trim(plain(F.regexp_extract(rest, "^\\s*\\x06([^\\x06\\x07]*)\\x07\\s*", 1)))
+    italic = T.strip(plain(F.regexp_extract(rest, "^\\s*\\x06([^\\x06\\x07]*)\\x07\\s*", 1)))
     tagged = (italic != "") & (F.contains(italic, F.lit("(")) | T.pure_tags(italic))
-    trigger = F.trim(F.when(tagged, F.regexp_replace(rest, "^\\s*\\x06[^\\x06\\x07]*\\x07\\s*", "")).otherwise(rest))
+    trigger = T.strip(F.when(tagged, F.regexp_replace(rest, "^\\s*\\x06[^\\x06\\x07]*\\x07\\s*", "")).otherwise(rest))
     tags = F.when(tagged, F.regexp_replace(italic, "^[ ()]+|[ ()]+$", "")).otherwise("")
     return F.when((name != "") & T.all_caps_label(name), F.struct(name.alias("name"), tags.alias("tags"), trigger.alias("trigger")))
 
 
 def book_of(token: Column | str) -> Column:
-    t = F.lower(F.trim(_col(token)))
+    t = F.lower(T.strip(_col(token)))
     return F.when(t.isin("i", "1"), "book1").when(t.isin("ii", "2"), "book2")
 
 
@@ -125,26 +125,26 @@ def dice_button(expression: Column | str) -> Column:
 
 def benefit_continues(s: Column | str) -> Column:
     """Prose that goes on with what a met requirement brings."""
-    line = F.trim(_col(s))
-    other = (line == "") | line.rlike(REQUIREMENT) | T.all_caps_label(line) | (F.lower(line) == "steading improvement") | line.rlike(rf"(?i)^{T.DICE}(\s+.+)?$")
-    opens = line.rlike(r"(?i)^(When you|Henceforth|Also,|\w+ gains\b|Every |The steading|You can |You may |This |These )")
+    line = T.strip(_col(s))
+    other = (line == "") | line.rlike(T.U + REQUIREMENT) | T.all_caps_label(line) | (F.lower(line) == "steading improvement") | line.rlike(T.U + rf"(?i)^{T.DICE}(\s+.+)?$")
+    opens = line.rlike(T.U + r"(?i)^(When you|Henceforth|Also,|\w+ gains\b|Every |The steading|You can |You may |This |These )")
     return ~other & (opens | ((F.length(line) > 50) & ~(T.heading(line) & (F.size(T.words(line)) <= 5))))
 
 
 def requirement_end(s: Column | str) -> Column:
-    return F.trim(_col(s)).rlike(REQUIREMENT_END)
+    return T.strip(_col(s)).rlike(T.U + REQUIREMENT_END)
 
 
 def mark_track(s: Column | str) -> Column:
     """How many marks a row of signs has, if it has two to twelve and nothing else."""
-    line = F.trim(_col(s))
+    line = T.strip(_col(s))
     n = F.regexp_count(line, F.lit("[lLoO□☐○●•·]"))
-    return F.when(line.rlike(r"^[lLoO□☐○●•·\s]{2,}$") & n.between(2, 12), n).otherwise(0)
+    return F.when(line.rlike(T.U + r"^[lLoO□☐○●•·\s]{2,}$") & n.between(2, 12), n).otherwise(0)
 
 
 def page_furniture(s: Column | str, y: Column, page_height: Column) -> Column:
     """A page number at the foot of a page."""
-    return _col(s).rlike(r"^\d{1,3}$") & (y > page_height - 40)
+    return _col(s).rlike(T.U + r"^\d{1,3}$") & (y > page_height - 40)
 
 
 def split_bold(s: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,6 +35,8 @@ ITEM_MEASURE = r"^\+?\d+(\s+(damage|piercing|armor|uses|weight|readiness))?$"
 LEADING_NOISE = r"(?i)^(?:(?:or|and|maybe|even|perhaps|possibly|just|like|including|a|an|the|some|any|its|their)\s+)+"
 KIND_WORDS = r"\s+(drake|bear|folk|spirit|ghost|wolf|boar|cougar)s?$"
 DINGBATS = {"ä": "•"}
+#: Before a pattern: digits, letters and white space are those of all scripts, as the rules mean them.
+U = "(?U)"
 SMALLER_QUOTES = {"‘": "'", "’": "'", "“": '"', "”": '"'}
 
 
@@ -41,12 +44,22 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(s: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_col(s), r"(?U)^\s+|\s+$", "")
+
+
+def one_of(s: Column, values: tuple[str, ...]) -> Column:
+    """Whether s is one of some strings: one pattern instead of a literal each."""
+    return s.rlike(U + "^(?:" + "|".join(re.escape(v) for v in values) + r")\z")
+
+
 def normalize_text(s: Column | str, dingbats: dict[str, str] | None = None) -> Column:
     """Straight quotes, no invisible characters, one space for runs of spaces and tabs, trimmed. dingbats: a font's odd signs."""
     odd = DINGBATS if dingbats is None else dingbats
     table = SMALLER_QUOTES | odd
     out = F.translate(_col(s), "".join(table) + "­﻿​‌", "".join(table.values()))
-    return F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), U + r"(?U)^\s+|\s+$", "")
 
 
 def words(s: Column | str) -> Column:
@@ -93,13 +106,13 @@ def slug(s: Column | str, empty: str = "") -> Column:
 
 
 def section_key(s: Column | str) -> Column:
-    t = F.regexp_replace(F.trim(F.lower(_col(s))), "[\"'“”‘’]", "")
-    t = F.regexp_replace(t, r"^(a|an|the)\s+", "")
-    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
+    t = F.regexp_replace(strip(F.lower(_col(s))), "[\"'“”‘’]", "")
+    t = F.regexp_replace(t, U + r"^(a|an|the)\s+", "")
+    return strip(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def strip_label_noise(s: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.trim(_col(s)), LEADING_NOISE, ""), "^[ ,;:-]+|[ ,;:-]+$", "")
+    return F.regexp_replace(F.regexp_replace(strip(_col(s)), U + LEADING_NOISE, ""), "^[ ,;:-]+|[ ,;:-]+$", "")
 
 
 def singular(word: Column | str) -> Column:
@@ -111,7 +124,7 @@ def singular(word: Column | str) -> Column:
         F.when(n <= 2, F.lit(None))
         .when(w.endswith("ves") & (n > 4), F.concat(cut(3), F.lit("f")))
         .when(w.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(w.rlike("(?:s|sh|ch|x|z)es$"), cut(2))
+        .when(w.rlike(U + "(?:s|sh|ch|x|z)es$"), cut(2))
         .when(w.endswith("oes") & (n > 3), cut(2))
         .when(w.endswith("es") & (n > 3), cut(1))
         .when(w.endswith("s") & ~w.endswith("ss"), cut(1))
@@ -128,7 +141,7 @@ def match_keys(label: Column | str) -> Column:
         last = F.element_at(w, -1)
         head = F.when(F.size(w) > 1, F.concat(F.array_join(F.slice(w, F.lit(1), F.size(w) - 1), " "), F.lit(" "))).otherwise(F.lit(""))
         stem = singular(last)
-        kind = F.trim(F.regexp_replace(k, KIND_WORDS, ""))
+        kind = strip(F.regexp_replace(k, KIND_WORDS, ""))
         return F.array(F.concat(head, stem), F.when(~last.endswith("s"), F.concat(head, last, F.lit("s"))), F.when(kind != k, kind), F.when(F.size(w) > 1, last), F.when(F.size(w) > 1, stem))
 
     w = F.split(base, " ")
@@ -142,44 +155,44 @@ def page_numbers(spec: Column | str) -> Column:
     """Numbers in a page list; of a range both ends; each number once, in order."""
 
     def of(part: Column) -> Column:
-        a, b = (F.regexp_extract(part, r"^(\d{1,3})\s*[-–—]\s*(\d{1,3})", i) for i in (1, 2))
-        return F.when(a != "", F.array(a.cast("int"), b.cast("int"))).when(part.rlike(r"^\d+$"), F.array(part.cast("int"))).otherwise(F.array().cast("array<int>"))
+        a, b = (F.regexp_extract(part, U + r"^(\d{1,3})\s*[-–—]\s*(\d{1,3})", i) for i in (1, 2))
+        return F.when(a != "", F.array(a.cast("int"), b.cast("int"))).when(part.rlike(U + r"^\d+$"), F.array(part.cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    return F.array_distinct(F.flatten(F.transform(F.split(_col(spec), "[,;]"), lambda p: of(F.trim(p)))))
+    return F.array_distinct(F.flatten(F.transform(F.split(_col(spec), "[,;]"), lambda p: of(strip(p)))))
 
 
 def value_header(s: Column | str) -> Column:
-    t = F.regexp_replace(F.replace(F.lower(F.trim(_col(s))), F.lit("&"), F.lit(" ")), r"\s+", " ")
-    known = t.endswith(" value") & F.trim(F.regexp_replace(t, " value$", "")).isin(*VALUE_HEADS)
-    return known | (t.endswith(" value") & F.trim(_col(s)).rlike(VALUE_HEADER))
+    t = F.regexp_replace(F.replace(F.lower(strip(_col(s))), F.lit("&"), F.lit(" ")), U + r"\s+", " ")
+    known = t.endswith(" value") & one_of(strip(F.regexp_replace(t, " value$", "")), VALUE_HEADS)
+    return known | (t.endswith(" value") & strip(_col(s)).rlike(U + VALUE_HEADER))
 
 
 def value_row(s: Column | str) -> Column:
     """struct(item, value) of a price line, or null."""
-    line = F.trim(_col(s))
+    line = strip(_col(s))
     low = F.lower(line)
     prose = reduce(lambda a, b: a | b, [low.startswith(x) for x in ("on a ", "when ", "pick ", "roll ", "if the ")])
-    tail = lambda i: F.regexp_extract(line, VALUE_TAIL, i)
-    row = lambda i: F.regexp_extract(line, VALUE_ROW, i)
-    tail_item = F.trim(F.regexp_replace(F.trim(F.concat_ws(" ", F.trim(tail(1)), F.trim(F.concat(tail(3), tail(4))))), r"(?i)\s*trade opportunities\s*$", ""))
-    item = F.trim(row(1))
+    tail = lambda i: F.regexp_extract(line, U + VALUE_TAIL, i)
+    row = lambda i: F.regexp_extract(line, U + VALUE_ROW, i)
+    tail_item = strip(F.regexp_replace(strip(F.concat_ws(" ", strip(tail(1)), strip(F.concat(tail(3), tail(4))))), U + r"(?i)\s*trade opportunities\s*$", ""))
+    item = strip(row(1))
     whole = F.when(row(3) != "", F.concat_ws(" ", item, row(3))).otherwise(item)
     make = lambda i, v: F.struct(i.alias("item"), v.alias("value"))
     return (
         F.when((line == "") | value_header(line) | prose, F.lit(None))
-        .when(line.rlike(VALUE_TAIL), make(tail_item, tail(2)))
-        .when(line.rlike(VALUE_ROW) & ~item.rlike(r"[,(/]$"), make(whole, row(2)))
+        .when(line.rlike(U + VALUE_TAIL), make(tail_item, tail(2)))
+        .when(line.rlike(U + VALUE_ROW) & ~item.rlike(U + r"[,(/]$"), make(whole, row(2)))
     )
 
 
 def roll_header(s: Column | str) -> Column:
     """A dice-table header: a die and a short label, a die alone, or a label and a die."""
-    line = F.trim(_col(s))
-    label = F.regexp_extract(line, rf"(?i)^({DICE})\s+(.+)$", 2)
+    line = strip(_col(s))
+    label = F.regexp_extract(line, U + rf"(?i)^({DICE})\s+(.+)$", 2)
     commas = F.length(label) - F.length(F.replace(label, F.lit(","), F.lit("")))
-    forward = (label != "") & (F.length(label) <= 48) & ~label.rlike(r"[()]") & ~label.rlike(r"(?i)\bvalue\b") & (commas < 2) & ~label.rlike(r"[.;:]$")
-    reverse = line.rlike(rf"(?i)^.{{1,40}}?\s+{DICE}$") & ~line.rlike(ENTRY)
-    return forward | line.rlike(rf"(?i)^{DICE}$") | reverse
+    forward = (label != "") & (F.length(label) <= 48) & ~label.rlike(U + r"[()]") & ~label.rlike(U + r"(?i)\bvalue\b") & (commas < 2) & ~label.rlike(U + r"[.;:]$")
+    reverse = line.rlike(U + rf"(?i)^.{{1,40}}?\s+{DICE}$") & ~line.rlike(U + ENTRY)
+    return forward | line.rlike(U + rf"(?i)^{DICE}$") | reverse
 
 
 def all_caps_label(s: Column | str) -> Column:
@@ -190,31 +203,34 @@ def all_caps_label(s: Column | str) -> Column:
 
 def heading(s: Column | str) -> Column:
     """A short title-like line that no other class claims."""
-    line = _col(s)
-    w = words(line)
-    lowerish = F.filter(w, lambda x: x.rlike(r"^\p{Ll}") & ~F.regexp_replace(F.lower(x), "^[.,;:]+|[.,;:]+$", "").isin(*SMALL_WORDS))
-    out = (line == "") | (F.length(line) > 55) | pairwise_doubled(line) | line.rlike(r"[.,;][\"'”’]*$") | line.rlike(ENTRY) | line.rlike(HIT_POINTS) | line.rlike("^[•\\-–]")
-    out = out | roll_header(line) | value_header(line) | line.rlike(VALUE_ROW) | line.rlike(LONE_VALUE) | F.trim(line).rlike(r"(?i)^Values?\s*\d+\s*\)?\.?$")
-    out = out | F.trim(line).rlike(r"^[\d\s,;:.)\]]+$") | line.rlike(PAGES) | line.rlike(r"(?i)\bpages?\s+\d") | (F.size(w) > 8)
-    return ~out & line.rlike(r"^[\p{Lu}\p{Nd}]") & (F.size(lowerish) < 3)
+
+    def of(line: Column) -> Column:
+        w = words(line)
+        lowerish = F.filter(w, lambda x: x.rlike(U + r"^\p{Ll}") & ~one_of(F.regexp_replace(F.lower(x), "^[.,;:]+|[.,;:]+$", ""), SMALL_WORDS))
+        out = pairwise_doubled(line) | line.rlike(U + r"[.,;][\"'”’]*$") | line.rlike(U + ENTRY) | line.rlike(U + HIT_POINTS) | line.rlike(U + "^[•\\-–]")
+        out = out | roll_header(line) | value_header(line) | line.rlike(U + VALUE_ROW) | line.rlike(U + LONE_VALUE) | strip(line).rlike(U + r"(?i)^Values?\s*\d+\s*\)?\.?$")
+        out = out | strip(line).rlike(U + r"^[\d\s,;:.)\]]+$") | line.rlike(U + PAGES) | line.rlike(U + r"(?i)\bpages?\s+\d") | (F.size(w) > 8)
+        return ~out & (F.size(lowerish) < 3)
+
+    line = _col(s)  # most lines are longer, and need no more
+    return F.when((line == "") | (F.length(line) > 55) | ~line.rlike(U + r"^[\p{Lu}\p{Nd}]"), F.lit(False)).otherwise(of(line))
 
 
 def tag_line(s: Column | str) -> Column:
     """A creature's tags: a known first word, or two parts with a known word."""
     line = _col(s)
-    parts = F.filter(F.transform(F.split(line, "[,;]"), lambda x: F.trim(F.lower(x))), lambda x: x != "")
-    known = F.array(*[F.lit(x) for x in TAG_WORDS])
-    hits = F.size(F.filter(parts, lambda p: F.arrays_overlap(words(p), known)))
+    parts = F.filter(F.transform(F.split(line, "[,;]"), lambda x: strip(F.lower(x))), lambda x: x != "")
+    hits = F.size(F.filter(parts, lambda p: F.exists(words(p), lambda x: one_of(x, TAG_WORDS))))
     first = F.get(words(F.get(parts, F.lit(0))), F.lit(0))
-    ok = (F.length(line) <= 160) & (line != "") & ~line.rlike(HIT_POINTS) & ~F.lower(line).startswith("damage") & (F.size(parts) > 0)
-    return F.coalesce(ok & (first.isin(*ORG_TAGS) | (hits >= 2)), F.lit(False))
+    ok = (F.length(line) <= 160) & (line != "") & ~line.rlike(U + HIT_POINTS) & ~F.lower(line).startswith("damage") & (F.size(parts) > 0)
+    return F.coalesce(ok & (one_of(first, ORG_TAGS) | (hits >= 2)), F.lit(False))
 
 
 def pure_tags(s: Column | str) -> Column:
     """An item's tags and nothing else: every part is a known tag, a value or a measure. Inventory diamonds don't count."""
-    line = F.regexp_replace(F.trim(F.regexp_replace(F.trim(_col(s)), "^,+", "")), r"^[◇\s,]+", "")
-    parts = F.filter(F.transform(F.split(F.replace(line, F.lit("◇"), F.lit("")), "[,;]"), lambda p: F.trim(F.lower(p))), lambda p: p != "")
-    one = lambda p: p.isin(*ITEM_TAGS) | p.rlike(r"^values?\s*\d+$") | p.rlike(ITEM_MEASURE) | F.regexp_replace(p, r"[\d+\s]", "").isin(*ITEM_TAGS)
+    line = strip(F.regexp_replace(strip(F.regexp_replace(strip(_col(s)), "^,+", "")), U + r"^[◇\s,]+", ""))
+    parts = F.filter(F.transform(F.split(F.replace(line, F.lit("◇"), F.lit("")), "[,;]"), lambda p: strip(F.lower(p))), lambda p: p != "")
+    one = lambda p: one_of(p, ITEM_TAGS) | p.rlike(U + r"^values?\s*\d+$") | p.rlike(U + ITEM_MEASURE) | one_of(F.regexp_replace(p, U + r"[\d+\s]", ""), ITEM_TAGS)
     return F.coalesce((line != "") & (F.length(line) <= 90) & (F.size(parts) > 0) & F.forall(parts, lambda p: one(F.regexp_replace(p, r"\?+$", ""))), F.lit(False))
 
 
@@ -281,7 +297,7 @@ def snippet(s: Column | str, terms: list[str], radius: int = 42) -> Column:
 
 def dice(expression: Column | str) -> Column:
     """struct(n, sides, mod) of n d sides + mod, or null if it can't be rolled."""
-    e = F.regexp_replace(F.lower(_col(expression)), r"\s+", "")
+    e = F.regexp_replace(F.lower(_col(expression)), U + r"\s+", "")
     e = F.regexp_replace(e, "[–—]", "-")
     pattern = r"^(\d*)d(\d+)([+-]\d+)?$"
     part = lambda i: F.regexp_extract(e, pattern, i)
