@@ -1,6 +1,6 @@
 """Exact dedup by skew-safe combining, in DataFrame operations only.
 
-A text whose digest no other row has needs no comparison. The rest combine in three stages that compare full content each time:
+A text whose digest no other row has needs no comparison, and isn't moved while the digests of the others can be sent around. The rest combine in three stages that compare full content each time:
 copies meet locally, within the part of the input that holds them; the local winners of SALTS groups of parts meet; and the
 winners of the salts meet globally. A group that holds a third of all rows so costs the last stage at most SALTS rows. What a
 group has found goes back the same way, over the salts to the parts, so no task sees a row of every part. Ids of the members
@@ -21,6 +21,8 @@ from loomwright.llm.scratch import settle
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 SALTS = 64
+#: Digests of texts that occur twice that are sent to every executor; 64 bytes each. Where there are more, they are joined by shuffle.
+MOST_SENT = 500_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,8 +33,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     single = counts.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     # Read back, and joined by another spelling of the digest: then neither side's layout ties a hot digest's rows to one task.
     shared = settle(counts.where("n > 1").select(F.reverse("digest").alias("key")), "shared-digests")
-    rows = rows.withColumn("key", F.reverse("digest")).join(shared.hint("merge"), "key", "left_semi")
-    local = rows.groupBy("digest", "norm", "part").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id")).alias("rows"))
+
+    def combined(some: DataFrame) -> DataFrame:
+        """Copies of each part as one row; the tasks that read them put them together before anything moves."""
+        per = some.groupBy("key", "digest", "norm", "part")
+        return per.agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.collect_list(F.struct("doc_id")).alias("rows"))
+
+    rows = rows.withColumn("key", F.reverse("digest"))
+    if shared.count() <= MOST_SENT:  # texts that occur once stay where they are read
+        local = combined(rows.join(F.broadcast(shared), "key", "left_semi")).drop("key")
+    else:
+        local = combined(rows).join(shared.hint("merge"), "key", "left_semi").drop("key")
     local = settle(local.withColumn("salt", F.pmod("part", F.lit(SALTS))).drop("part"), "local")
     salted = settle(local.groupBy("digest", "norm", "salt").agg(F.min("least").alias("least"), F.sum("n").alias("n")), "salted")
     whole = salted.groupBy("digest", "norm").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))

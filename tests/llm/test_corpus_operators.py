@@ -359,7 +359,9 @@ def test_windows_keep_the_proportions():
             assert s.given(w)[q] <= x < s.given(w + 1)[q]
 
 
-def test_exact(docs, sample, empty):
+@pytest.mark.parametrize("sent", [exact_dedup.MOST_SENT, 0])
+def test_exact(docs, sample, empty, monkeypatch, sent):
+    monkeypatch.setattr(exact_dedup, "MOST_SENT", sent)
     groups: dict[bytes, list[int]] = {}
     for d, t in sample:
         b = (t or "").encode()
