@@ -53,35 +53,40 @@ def expand_hubs(hubs: DataFrame, children: DataFrame) -> DataFrame:
     return top.unionByName(kids)
 
 
+def _first_free(rows: Column) -> Column:
+    """The rows (order, base, row) with `id`: the base, or the base and the first number from 2 on that no row before it has made it."""
+    start = F.struct(F.array().cast("array<string>").alias("taken"))
+
+    def step(have: Column, x: Column) -> Column:
+        numbers = F.sequence(F.lit(2), F.size(have["taken"]) + 2)
+        free = F.filter(numbers, lambda i: ~F.array_contains(have["taken"], F.concat_ws("-", x["base"], i.cast("string"))))
+        own = F.when(F.array_contains(have["taken"], x["base"]), F.concat_ws("-", x["base"], F.get(free, F.lit(0)).cast("string"))).otherwise(x["base"])
+        return F.struct(F.concat(have["taken"], F.array(own)).alias("taken"))
+
+    ids = F.aggregate(rows, start, step, lambda have: have["taken"])
+    return F.zip_with(rows, ids, lambda x, i: F.struct(x["row"].alias("row"), i.alias("id")))
+
+
 def unique_anchors(sections: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """`id`: the name's slug, with -2, -3 .. for later ones of a key.
 
-    Where a literal name already is what a number would make (Foo, Foo, Foo 2), the number goes on, as a fold would have it.
+    Where a literal name already is what a number would make (Foo, Foo, Foo 2), the number goes on, in the order of the rows. Names can
+    only meet within a family, the names of a key that are equal but for numbers at their ends; only families in which they do are
+    gone through row by row, all others are numbered by a window.
     """
+    columns = sections.columns
     base = F.when(T.slug(name) == "", "section").otherwise(T.slug(name))
-    df = sections.withColumn("base", base)
-    n = F.row_number().over(Window.partitionBy(key, "base").orderBy(order))
-    df = df.withColumn("n", n)
-    clash = df.where("n = 1").select(F.col(key).alias("k_"), F.col("base").alias("b_"))
-    made = df.where("n > 1").select(F.col(key).alias("k_"), F.concat_ws("-", "base", F.col("n").cast("string")).alias("b_"))
-    odd = clash.join(made, ["k_", "b_"], "left_semi").select("k_").distinct()
-
-    def fold(rows):
-        taken: set[str] = set()
-        ids = []
-        rows = rows.sort_values(order)
-        for b in rows["base"]:
-            k, i = b, 2
-            while k in taken:
-                k, i = f"{b}-{i}", i + 1
-            taken.add(k)
-            ids.append(k)
-        rows["id"] = ids
-        return rows
-
-    plain = df.join(odd, df[key] == odd["k_"], "left_anti").withColumn("id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string"))))
-    folded = df.join(odd, df[key] == odd["k_"], "left_semi")
-    return plain.unionByName(folded.groupBy(key).applyInPandas(fold, folded.withColumn("id", F.lit("")).schema)).drop("base", "n")
+    df = sections.select(F.struct(*columns).alias("row"), F.col(key).alias("key"), F.col(order).alias("order"), base.alias("base"))
+    df = df.withColumn("family", F.regexp_replace("base", "(-[0-9]+)+$", ""))
+    df = df.withColumn("n", F.row_number().over(Window.partitionBy("key", "family", "base").orderBy("order")))
+    own = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))
+    names = Window.partitionBy("key", "family", "id")
+    df = df.withColumn("id", own).withColumn("shared", F.count("*").over(names))
+    df = df.withColumn("meets", F.max("shared").over(Window.partitionBy("key", "family")) > 1)
+    plain = df.where("not meets").select("row", "id")
+    lists = df.where("meets").groupBy("key", "family").agg(F.sort_array(F.collect_list(F.struct("order", "base", "row"))).alias("rows"))
+    folded = lists.select(F.inline(_first_free(F.col("rows"))))
+    return plain.unionByName(folded).select("row.*", "id")
 
 
 def sections_by_page(sections: DataFrame, articles: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.operators import blocks, cards, dice, layout, links, model, publish, rewrite, search, trigrams, unlock
-from loomwright.plans.golden_queries import _escaped
+from loomwright.plans.line_queries import _escaped
 from loomwright.plans.text_queries import LINES_SQL, TEXT_SQL, TITLE_SQL
 from loomwright.sources import sites, tables
 from loomwright.sources.steps import new_folder, settle

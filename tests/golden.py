@@ -1,5 +1,5 @@
-"""Queries that apply a rule to sample lines, one sample for every row of `part`. Their SQL holds what each sample must give, worked out
-from the rule by hand and not by code; {n} in a sample is the row's name, {U} the name in capitals."""
+"""Samples of the rules: each is applied to sample lines, filled with the names of `part`. The SQL beside it holds what each sample must
+give, worked out from the rule by hand and not by code; {n} in a sample is the row's name, {U} the name in capitals."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.functions import rich as R
 from loomwright.functions import rules as L
 from loomwright.functions import text as T
-from loomwright.operators import cards, pages, parse, publish, rewrite, unlock
+from loomwright.operators import cards, pages, parse, rewrite, unlock
 from loomwright.operators import lines as N
 from loomwright.operators import wrap as W
 from loomwright.sources import tables
@@ -112,11 +112,11 @@ golden("named_moves", lambda s: F.to_json(R.named_move(s)), {
     "\x04{U}\x05 \x06magical\x07": '{"name":"{U}","tags":"magical","trigger":""}',
 })
 golden("card_lines_without_labels", cards.strip_running, {"{n} front 12": "{n}", "Back 3": "", "\x02H3 {n} back": "{n}", "frontier {n}": "frontier {n}"})
-golden("card_titles", _python(lambda s: cards.card_title(*[[x for x in side.split("/") if x] for side in s.split("|")]), "string"), {
+golden("card_titles", lambda s: cards.card_title(*[F.filter(F.split(F.substring_index(s, "|", k), "/"), lambda x: x != "") for k in (1, -1)]), {
     "A ring/magical|The Ring of {n}/When you wear it": "The Ring of {n}", "A carved bone/fragile/It hums|": "A carved bone", "|magical/When you": "Minor Arcanum", "|The Eye/of Storms/You have it": "The Eye of Storms",
     "Lost|12/front": "Lost", "|The Wind's Own Breath:/magical": "The Wind's Own",
 })
-golden("page_titles", _python(lambda s: cards.page_title(s.split("/"), 540), "string"), {
+golden("page_titles", lambda s: cards.page_title(F.split(s, "/"), F.lit(540)), {
     "Appendix/Staff of the/Glass Eye/When you hold it": "Staff of the Glass Eye", "front/magical/Dream stone/A leather": "Dream stone", "12/,": "Arcana (p. 540)", "bent lance": "Bent Lance",
     "Singing Jaw/of Brand/This thing": "Singing Jaw of Brand",
 })
@@ -147,16 +147,16 @@ def _pairs(kind: str):
 
 #: One pair of lines for each rule of the join table: the rule that decides, and what it says.
 JOINS = {
-    "\x06hand, magical\x07/\x06close, warm\x07": ("item_tags", True), "magical/In a ruin of {n}": ("item_tags", False), "{n}/\x02HR": ("marked_line", False), "\x02H2 {n}/goes on": ("marked_text", False),
-    "\x02B an item that/goes on with {n}": ("small_beginning", True), "{n}/": ("nothing", False), "{n} and/Requires all of these": ("requirement", False), "• howl at the moon/Misshapen brutes of {n}": ("flavour_after_bullet", False),
-    "Instinct: to eat/Huge things": ("flavour_after_instinct", False), "Olan, Rhys,/Tomas, Una": ("list_of_names", True), "see it (page/436), and {n}": ("split_before_page_number", True),
-    "see it (pages 4/, 5) for {n}": ("split_in_page_list", True), "the river (page 4)/Spirits of the wild (page 5)": ("entries_with_pages", False), "{n}/Index": ("running_head", False),
-    "en route to/Harrow": ("dangling_connector", True), "it is over there, where they/Short Title": ("short_heading", False), "it is there/3 {n}": ("block_of_its_own", False),
-    "it is there/When you strike at the thing that is there, now": ("mechanical_opening", False), "it is there/For a place and a name, choose or have it rolled now:": ("introduction", False),
-    "it is there/here is a long list of goods value": ("price_header", False), "it came—/then it went": ("dash", True), "a crys-/tal of {n}": ("hyphen", True), "on the road (page 4)/it goes": ("after_page", True),
-    "It ends./it begins": ("sentence_end", False), "it (so)/goes on": ("closing_bracket", True), "it (so)/Goes on from there to where it is and on, and then more": ("closing_bracket", False),
-    "{n}/goes on": ("small_beginning", True), "it is, here,/Goes on from there to where it is and on and then more": ("open_list", True),
-    "there are so few/Guards who are stationed there at night, and {n}": ("continuing_word", True), "they saw a thing that was the Karst/Peaks (page 236). The petals are edible.": ("split_name", True),
+    "\x06hand, magical\x07/\x06close, warm\x07": ("item tags", True), "magical/In a ruin of {n}": ("item tags", False), "{n}/\x02HR": ("marked", False), "\x02H2 {n}/goes on": ("marked", False),
+    "\x02B an item that/goes on with {n}": ("small beginning", True), "{n}/": ("nothing", False), "{n} and/Requires all of these": ("requirement", False), "• howl at the moon/Misshapen brutes of {n}": ("flavour after a bullet", False),
+    "Instinct: to eat/Huge things": ("flavour after an instinct", False), "Olan, Rhys,/Tomas, Una": ("list of names", True), "see it (page/436), and {n}": ("page list goes on", True),
+    "see it (pages 4/, 5) for {n}": ("page list goes on", True), "the river (page 4)/Spirits of the wild (page 5)": ("entries with pages", False), "{n}/Index": ("running head", False),
+    "en route to/Harrow": ("dangling connector", True), "it is over there, where they/Short Title": ("heading or block", False), "it is there/3 {n}": ("heading or block", False),
+    "it is there/When you strike at the thing that is there, now": ("mechanical opening", False), "it is there/For a place and a name, choose or have it rolled now:": ("introduction", False),
+    "it is there/here is a long list of goods value": ("price header", False), "it came—/then it went": ("dash, hyphen or page", True), "a crys-/tal of {n}": ("dash, hyphen or page", True), "on the road (page 4)/it goes": ("dash, hyphen or page", True),
+    "It ends./it begins": ("sentence end", False), "it (so)/goes on": ("closing bracket", True), "it (so)/Goes on from there to where it is and on, and then more": ("closing bracket", False),
+    "{n}/goes on": ("small beginning", True), "it is, here,/Goes on from there to where it is and on and then more": ("small beginning", True),
+    "there are so few/Guards who are stationed there at night, and {n}": ("continuing word", True), "they saw a thing that was the Karst/Peaks (page 236). The petals are edible.": ("split name", True),
     "Short Title/Goes on from there to where it is and on and then more": ("none", False),
 }
 golden("join_rules", _pairs("rule"), {k: rule for k, (rule, _) in JOINS.items()})
@@ -278,48 +278,6 @@ QUERIES["article_lines"] = article_lines
 ORACLE_SQL["article_lines"] = f"WITH w AS (SELECT n_name, [{', '.join(map(_sql, LINES))}] AS w FROM nation) SELECT n_name AS slug, generate_subscripts(w, 1)::INT - 1 AS pos, unnest(w) AS line FROM w"
 
 
-def _escaped(s: str) -> str:
-    return f"replace(replace(replace(replace(replace({s}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-
-
-_BUTTON = """'<button type="button" class="dice-roll" data-dice="1d6" title="Click to roll 1d6">1d6</button>'"""
-_ROWS = "'<tr><th scope=\"row\">1</th><td>' || {0} || '</td></tr><tr><th scope=\"row\">2-6</th><td>a &lt;b&gt;</td></tr>'".format(_escaped("p_name"))
-
-
-def rendered_parts(spark, sf_dir):
-    """Tables, check lists and tracks as HTML."""
-    name = F.col("p_name")
-    entry = lambda a, b: F.struct(a.alias("label"), b.alias("text"))
-    rows = F.array(F.struct(name.alias("item"), F.lit("2").alias("value")), F.struct(F.lit("x & y").alias("item"), F.lit("—").alias("value")))
-    return table(spark, sf_dir, "part").select(
-        "p_partkey",
-        publish.roll_table(F.lit("1d6"), name, F.array(entry(F.lit("1"), name), entry(F.lit("2-6"), F.lit("a <b>"))), F.when(F.col("p_partkey") % 2 == 0, T.slug(name)).otherwise("")).alias("rolls"),
-        publish.value_table(F.lit("Goods Value"), rows, F.array(F.lit("* old"))).alias("prices"),
-        publish.check_list(F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(name, F.lit("b"))), F.lit("req-1")).alias("checks"),
-        publish.mark_track((F.col("p_partkey") % 3).cast("int"), F.lit("marks"), F.lit("Progress marks")).alias("track"),
-        publish.icon_image(F.when(F.col("p_partkey") % 2 == 0, F.lit("/icons/beast.svg"))).alias("icon"),
-    )
-
-
-def _checked(cid: str, said: str) -> str:
-    return f"'<li class=\"check-item\"><label for=\"{cid}\"><input type=\"checkbox\" class=\"wiki-check\" id=\"{cid}\" data-check-id=\"{cid}\"> <span>' || {said} || '</span></label></li>'"
-
-
-def _step(i: int) -> str:
-    return f'<label class="track-step" for="marks-{i}" title="Mark {i + 1}"><input type="checkbox" class="wiki-check" id="marks-{i}" data-check-id="marks-{i}" aria-label="Mark {i + 1}"></label>'
-
-
-QUERIES["rendered_parts"] = rendered_parts
-ORACLE_SQL["rendered_parts"] = f"""
-SELECT p_partkey,
-  '<div class="roll-table"' || CASE WHEN p_partkey % 2 = 0 THEN ' id="' || replace(p_name, ' ', '-') || '"' ELSE '' END || '><div class="roll-table-head">' || {_BUTTON} || ' <span class="roll-label">' || {_escaped("p_name")} || '</span></div><table><tbody>' || {_ROWS} || '</tbody></table></div>' AS rolls,
-  '<div class="value-table"><div class="value-table-head">Goods Value</div><table><tbody><tr><td>' || {_escaped("p_name")} || '</td><td class="val">2</td></tr><tr><td>x &amp; y</td><td class="val">—</td></tr></tbody></table><div class="value-note">* old</div></div>' AS prices,
-  CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<ul class="check-list" data-check-list="req-1">' || {_checked("req-1-0", _escaped("p_name"))} || {_checked("req-1-1", "'b'")} || '</ul>' END AS checks,
-  CASE p_partkey % 3 WHEN 0 THEN '' ELSE '<div class="arcana-track" data-check-list="marks"><span class="track-label">Progress marks</span><span class="track-steps">{_step(0)}' || CASE WHEN p_partkey % 3 = 2 THEN '{_step(1)}' ELSE '' END || '</span></div>' END AS track,
-  CASE WHEN p_partkey % 2 = 0 THEN '<img class="book-icon" src="../images/icons/beast.svg" alt="" width="18" height="18" loading="lazy">' ELSE '' END AS icon
-FROM part
-"""
-
 golden("map_labels", lambda s: tables.map_label(F.col(s)), {
     "Map 1 - Green Vale - 11 x 14.jpg": "Map 1 — Green Vale", "Map 2 - {n} - A4.png": "Map 2 — {n}", "Map 3.jpg": "Map 3", "Map 4 - {n} - 8.5 x 11.jpeg": "Map 4 — {n}", "Map 5 - a-b.jpg": "Map 5 — a-b",
 })
