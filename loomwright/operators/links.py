@@ -2,65 +2,80 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
+from loomwright.functions import rich as R
 from loomwright.functions import text as T
 from loomwright.operators import wrap as W
 
-# The shapes of references, in order of priority.
+# The shapes of references, in order of priority: name, pattern, whether case counts, and which group is the label, the book and the pages.
 _WORDS = r"[A-Za-z][A-Za-z0-9'’\-]*(?:\s+[A-Za-z][A-Za-z0-9'’\-]*){0,6}"
 _NUMBERS = r"[\d,\s\-–—]+"
 SHAPES = (
-    ("book", re.compile(rf"(?:(?P<label>{_WORDS})\s+)?\(?(?:see\s+)?Book\s*(?P<book>II|I|2|1)\s*[,:]?\s*(?:starting\s+on\s+)?pages?\s+(?P<pages>{_NUMBERS})\)?", re.I)),
-    ("bold", re.compile(rf"\x04(?P<label>[^\x04\x05]*?)\x05(?:['’]s?)?\s*\(?\s*(?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})\)", re.I)),
-    ("title", re.compile(rf"(?P<label>{_WORDS})\s+\((?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})\)")),
-    ("paren", re.compile(rf"\((?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})\)", re.I)),
-    ("bare", re.compile(rf"(?<![\w/])(?:see\s+)?pages?\s+(?P<pages>{_NUMBERS})(?![\w/])", re.I)),
-)
+    ("book", rf"(?:({_WORDS})\s+)?\(?(?:see\s+)?Book\s*(II|I|2|1)\s*[,:]?\s*(?:starting\s+on\s+)?pages?\s+({_NUMBERS})\)?", False, (1, 2, 3)),
+    ("bold", rf"\x04([^\x04\x05]*?)\x05(?:['’]s?)?\s*\(?\s*(?:see\s+)?pages?\s+({_NUMBERS})\)", False, (1, None, 2)),
+    ("title", rf"({_WORDS})\s+\((?:see\s+)?pages?\s+({_NUMBERS})\)", True, (1, None, 2)),
+    ("paren", rf"\((?:see\s+)?pages?\s+({_NUMBERS})\)", False, (None, None, 1)),
+    ("bare", rf"(?<![\w/])(?:see\s+)?pages?\s+({_NUMBERS})(?![\w/])", False, (None, None, 1)),
+)
 #: In previews all but the bold ones, with titles in any case.
-PREVIEW_SHAPES = tuple((n, re.compile(p.pattern, re.I)) for n, p in SHAPES if n != "bold")
-FOUND = S.ArrayType(S.StructType([S.StructField(n, S.IntegerType() if n in ("start", "stop") else S.StringType()) for n in ("rule", "start", "stop", "label", "book", "pages", "shown")]))
+PREVIEW_SHAPES = tuple((n, p, False, groups) for n, p, _, groups in SHAPES if n != "bold")
+FOUND = "array<struct<rule:string,start:int,stop:int,label:string,book:string,pages:string,shown:string>>"
+
+
+def _taken(rule: str, pattern: str, case_counts: bool, groups: tuple, work: Column) -> Column:
+    """struct(found, left): a rule's references in a text, and the text with these blanked out at their places."""
+    shape = F.lit(("(?U)" if case_counts else "(?iU)") + pattern)
+    of = lambda k: F.regexp_extract_all(work, shape, F.lit(k))
+    label, book, pages = (of(k) if k else F.transform(of(0), lambda x: F.lit("")) for k in groups)
+    whole = F.arrays_zip(of(0).alias("all"), label.alias("label"), book.alias("book"), pages.alias("pages"), F.split(work, ("(?U)" if case_counts else "(?iU)") + pattern, -1).alias("before"))
+
+    def one(x: Column) -> Column:
+        said = F.btrim(R.plain(x["label"]), F.lit(" ("))
+        shown = F.concat(F.lit("\x04"), F.rtrim(x["label"], F.lit(" (")), F.lit("\x05"), F.regexp_extract(x["all"], "(?U)^\x04[^\x04\x05]*\x05((?:['’]s?)?)", 1))
+        lower = F.lower(x["book"])
+        return F.struct(
+            x["before"].alias("before"), F.coalesce(x["all"], F.lit("")).alias("all"), F.when(said != "", said).alias("label"), F.when(lower.isin("i", "1"), "book1").when(lower.isin("ii", "2"), "book2").alias("book"),
+            F.btrim(x["pages"], F.lit(" ,-–—")).alias("pages"), F.when(F.lit(rule == "bold"), shown).alias("shown"), (x["all"].isNotNull() & ((F.length(said) >= 2) if rule == "bold" else F.lit(True))).alias("taken"),
+        )
+
+    def step(have: Column, x: Column) -> Column:
+        start = have["at"] + F.length(x["before"])
+        stop = start + F.length(x["all"])
+        told = F.array(F.struct(F.lit(rule).alias("rule"), start.alias("start"), stop.alias("stop"), x["label"].alias("label"), x["book"].alias("book"), x["pages"].alias("pages"), x["shown"].alias("shown")))
+        blank = F.when(x["taken"], F.repeat(F.lit("\0"), F.length(x["all"]))).otherwise(x["all"])
+        return F.struct(F.concat(have["found"], F.when(x["taken"], told).otherwise(F.array().cast(FOUND))).alias("found"), F.concat(have["left"], x["before"], blank).alias("left"), stop.alias("at"))
+
+    begin = F.struct(F.array().cast(FOUND).alias("found"), F.lit("").alias("left"), F.lit(0).alias("at"))
+    return F.aggregate(F.transform(whole, one), begin, step)
 
 
-_PLAIN = str.maketrans("", "", "\x04\x05\x06\x07")
+def references(text: Column, shapes=SHAPES) -> Column:
+    """References in a text, by place: each rule takes what the ones before it left, so none overlaps another. `shown` is a bold label
+    with its switches and possessive. Texts without "page" have none and are not looked at further."""
 
+    def of(have: Column, left: tuple) -> Column:
+        if not left:
+            return have["found"]
+        return T.bound(_taken(*left[0], have["left"]), lambda now: of(F.struct(F.concat(have["found"], now["found"]).alias("found"), now["left"].alias("left")), left[1:]))
 
-def references(text: str | None, shapes=SHAPES) -> list[dict]:
-    """References in a text: each rule takes what the ones before it left, so none overlaps another. `shown` is a bold label with its
-    switches and possessive."""
-    out, work = [], text or ""
-    for rule, pattern in shapes:
-        for m in pattern.finditer(work):
-            g = m.groupdict()
-            label = (g.get("label") or "").translate(_PLAIN).strip(" (") or None
-            if rule == "bold" and (not label or len(label) < 2):
-                continue
-            after = work[m.end("label") + 1 : m.end()].partition("(")[0] if rule == "bold" else ""
-            shown = f"\x04{g['label'].rstrip(' (')}\x05{re.match(r'(?:[\'’]s?)?', after)[0]}" if rule == "bold" else None
-            book = {"i": "book1", "1": "book1", "ii": "book2", "2": "book2"}.get((g.get("book") or "").lower())
-            out.append({"rule": rule, "start": m.start(), "stop": m.end(), "label": label, "book": book, "pages": g["pages"].strip(" ,-–—"), "shown": shown})
-            work = work[: m.start()] + "\0" * (m.end() - m.start()) + work[m.end() :]
-    return sorted(out, key=lambda r: r["start"])
+    begin = F.struct(F.array().cast(FOUND).alias("found"), text.alias("left"))
+    found = F.array_sort(of(begin, tuple(shapes)), lambda a, b: a["start"] - b["start"])
+    return F.when(text.rlike("(?i)page"), found).otherwise(F.array().cast(FOUND))
 
 
-@F.pandas_udf(FOUND)
-def find_references(s: pd.Series) -> pd.Series:
-    return s.map(references)
+def find_references(text: Column | str) -> Column:
+    return references(F.col(text) if isinstance(text, str) else text)
 
 
-@F.pandas_udf(FOUND)
-def find_preview_references(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: references(x, PREVIEW_SHAPES))
+def find_preview_references(text: Column | str) -> Column:
+    return references(F.col(text) if isinstance(text, str) else text, PREVIEW_SHAPES)
 
 
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, rule, label, book, page, page_pos): a row for each page that a reference names. Texts without "page" never leave the JVM."""
+    """(key, pos, rule, label, book, page, page_pos): a row for each page that a reference names."""
     some = df.where(F.col(text).rlike("(?i)page"))
     rows = some.select(key, F.posexplode(find_references(text)).alias("pos", "r"))
     return rows.select(key, "pos", "r.rule", "r.label", "r.book", F.posexplode(T.page_numbers("r.pages")).alias("page_pos", "page"))
