@@ -412,12 +412,16 @@ def nav_filter(spark, sf_dir):
     return search.filter_navigation(docs.select("slug", "title"), sections, hits, SEARCH)
 
 
+def _pages(spark, sf_dir):
+    """The page lookup of two books."""
+    pages = model.page_lookup(_brands(spark, sf_dir)).withColumn("book", F.when(F.col("page") % 2 == 0, "book1").otherwise("book2"))
+    return pages.unionByName(pages.withColumn("book", F.when(F.col("book") == "book1", "book2").otherwise("book1")).withColumn("slug", F.concat(F.lit("other-"), "slug")).withColumn("title", F.concat(F.lit("Other "), "title")))
+
+
 def _lookups(spark, sf_dir):
     sections, brands = _sections(spark, sf_dir), _brands(spark, sf_dir)
     by_slug = sections.groupBy("slug", "norm").agg(F.max_by("id", "pos").alias("id"))
-    pages = model.page_lookup(brands).withColumn("book", F.when(F.col("page") % 2 == 0, "book1").otherwise("book2"))
-    both = pages.unionByName(pages.withColumn("book", F.when(F.col("book") == "book1", "book2").otherwise("book1")).withColumn("slug", F.concat(F.lit("other-"), "slug")).withColumn("title", F.concat(F.lit("Other "), "title")))
-    found = (both, model.title_index(brands), model.sections_by_page(sections, brands), by_slug, model.unique_sections(sections))
+    found = (_pages(spark, sf_dir), model.title_index(brands), model.sections_by_page(sections, brands), by_slug, model.unique_sections(sections))
     return rewrite.Lookups(*[settle(df, "lookup") for df in found])
 
 
@@ -468,9 +472,10 @@ def linked_previews(spark, sf_dir):
     a, b = (F.col("p_size") % 25).cast("string"), (F.col("p_size") % 25 + 2).cast("string")
     text = F.concat(F.lit("<b> "), "p_name", F.lit(" (pages "), a, F.lit("-"), b, F.lit("); see page "), a)
     texts = part.select(F.col("p_partkey").alias("text_id"), F.when(F.col("p_partkey") % 5 != 0, text).alias("text"), F.lit("book2").alias("book"))
-    pages = _lookups(spark, sf_dir).pages
-    names = part.where("p_partkey % 2 = 0").select(F.concat(T.section_key("p_name"), F.lit("s")).alias("norm")).distinct()
-    sections = pages.select("slug").distinct().crossJoin(names).select("slug", "norm", F.concat(F.lit("sec-"), "slug").alias("id"))
+    pages = settle(_pages(spark, sf_dir), "pages")
+    # The sections that the texts name, on the pages that they name.
+    named = part.where("p_partkey % 2 = 0").select((F.col("p_size") % 25).alias("page"), F.concat(T.section_key("p_name"), F.lit("s")).alias("norm")).distinct()
+    sections = named.join(pages.where("book = 'book2'"), "page").select("slug", "norm", F.concat(F.lit("sec-"), "slug").alias("id")).distinct()
     even = texts.join(part.select(F.col("p_partkey").alias("text_id"), "p_partkey"), "text_id")
     one = rewrite.link_previews(even.where("p_partkey % 2 = 0").drop("p_partkey"), pages, sections)
     return one.unionByName(rewrite.link_previews(even.where("p_partkey % 2 = 1").drop("p_partkey"), pages, sections.limit(0)))
@@ -547,14 +552,14 @@ def hub_pages(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT n_regionkey, string_agg('<li class="nav-section"><a href="' || lower(r_name) || '.html#s' || n_nationkey || '">' || n_name || '</a></li>', '' ORDER BY n_nationkey) AS subs FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 2 GROUP BY n_regionkey)
+WITH s AS (SELECT n_regionkey, string_agg('<li class="nav-section"><a href="' || lower(r_name) || '.html#s' || n_nationkey || '">' || n_name || '</a></li>', '' ORDER BY n_nationkey) AS subs FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey)
 SELECT string_agg('<li' || CASE WHEN c <> '' THEN ' class="' || c || '"' ELSE '' END || '><a href="' || lower(r_name) || '.html">' || r_name || '</a>' || coalesce('<ul class="nav-sections">' || subs || '</ul>', '') || '</li>', chr(10) ORDER BY r_regionkey) AS nav
 FROM (SELECT *, concat_ws(' ', CASE r_regionkey WHEN 0 THEN 'nav-hub' WHEN 1 THEN 'nav-arcana' END, CASE WHEN subs IS NOT NULL THEN 'has-sections' END) AS c FROM region LEFT JOIN s ON r_regionkey = n_regionkey)
 """)
 def navigation(spark, sf_dir):
     region = table(spark, sf_dir, "region")
     articles = region.select(F.col("r_regionkey").alias("ord"), F.lower("r_name").alias("slug"), F.col("r_name").alias("title"), F.when(F.col("r_regionkey") == 0, "arcana-hub").when(F.col("r_regionkey") == 1, "arcana").otherwise("article").alias("kind"))
-    sections = table(spark, sf_dir, "nation").where("n_regionkey <> 2").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("slug"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
+    sections = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("slug"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
     return publish.nav(articles, sections)
 
 
