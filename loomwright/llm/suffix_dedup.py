@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 
 from loomwright.llm import blocks as B
 from loomwright.llm import kernels as K
-from loomwright.llm.scratch import settle
 
 WIDTH = 100
 HOT = 64
+#: Larger than other operators' blocks: the longer a message to a bucket, the better it compresses.
+BLOCK_BYTES = 4 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -307,14 +308,16 @@ def shared_probes(requests: DataFrame, hot: int) -> DataFrame:
     return B.answer(requests, reply)
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, block_bytes: int = B.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each byte that a string of width bytes covers which also starts earlier (a smaller id, or earlier in the document).
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept.
     """
     span = max(1, width * 64 // 100)
-    blocks = settle(B.to_blocks(B.document_rows(docs, id_col, text_col), block_bytes), "bytes")
-    n_buckets = B.bucket_count(docs, buckets, B.bytes_in(blocks))
+    rows = B.document_rows(docs, id_col, text_col)
+    # The one copy of the texts on disk: all three rounds read this shuffle.
+    blocks = B.to_blocks(rows, block_bytes).drop("size").repartition("block")
+    n_buckets = B.bucket_count(docs, buckets, B.bytes_of(rows))
 
     def probes(block, payload):
         _, lens, text = B.open_block(payload)
@@ -344,10 +347,10 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hit = (np.isin(short, few) | split | (times > 1))[which]
         split = split[which][hit]
         first, last, probe, prints = first[hit], last[hit], probe[hit], prints[hit]
-        names, once = np.unique(_named(a, first, last, width), return_index=True)
-        order = np.argsort(once)
-        names, once = names[order], once[order]
+        _, once = np.unique(_named(a, first, last, width), return_index=True)
+        once = np.sort(once)
         first, last, probe, prints, split = first[once], last[once], probe[once], prints[once], split[once]
+        at = first.astype(np.uint32)  # where in the block a stretch begins; replies name it so
         shift = np.zeros(len(first), np.int64)
         if split.any():  # each window of these stretches by itself
             n = (last - first + 1)[split]
@@ -355,7 +358,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             begin = np.repeat(first[split], n) + inner
             whole = ~split
             prints = np.concatenate((prints[whole], K.mix(_named(a, begin, begin, width))))
-            names = np.concatenate((names[whole], np.repeat(names[split], n)))
+            at = np.concatenate((at[whole], np.repeat(at[split], n)))
             first, last, probe, shift = (np.concatenate((x[whole], y)) for x, y in ((first, begin), (last, begin), (probe, begin), (shift, inner)))
         cuts = np.cumsum(lens)
         doc = np.searchsorted(cuts, first, side="right")
@@ -363,16 +366,17 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = []
         for bucket, i in B.by_bucket(prints, n_buckets):
             body = b"".join(text[x:y] for x, y in zip(first[i].tolist(), (last[i] + width).tolist(), strict=True))
-            head = B.pack(prints[i], (last - first)[i].astype(np.uint16), (probe - first)[i].astype(np.uint16), ids[doc[i]], place[i], names[i], shift[i].astype(np.uint16), body)
+            head = B.pack(B.shorten(prints[i]), (last - first)[i].astype(np.uint16), (probe - first)[i].astype(np.uint16), ids[doc[i]], place[i], at[i], shift[i].astype(np.uint16), body)
             out.append((bucket, block, B.squeeze(head, 3)))
         return pa.Table.from_batches([B.messages(out)])
 
     def copies(bucket, blocks_, bodies):
         held: dict[int, dict[bytes, list]] = {}
         for k, body in enumerate(bodies):
-            prints, more, offs, ids, place, names, shift, text = B.unpack(B.expand(body), np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.uint64, np.uint16, bytes)
+            prints, more, offs, ids, place, begins, shift, text = B.unpack(B.expand(body), bytes, np.uint16, np.uint16, np.int64, np.int64, np.uint32, np.uint16, bytes)
             at = 0
-            for p, m, o, d, x, n, s in zip(prints.tolist(), more.tolist(), offs.tolist(), ids.tolist(), place.tolist(), names.tolist(), shift.tolist(), strict=True):
+            # Probes whose short keys are equal by chance share a group; no window of theirs is equal, so nothing comes of it.
+            for p, m, o, d, x, n, s in zip(B.lengthen(prints).tolist(), more.tolist(), offs.tolist(), ids.tolist(), place.tolist(), begins.tolist(), shift.tolist(), strict=True):
                 end = at + m + width
                 held.setdefault(p, {}).setdefault(text[at:end], []).append((d, x, k, o, n, s))
                 at = end
@@ -380,10 +384,10 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ragged, waiting = [], []
 
         def later(entries, ranges):
-            for d, x, k, _, name, shift in entries:
+            for d, x, k, _, begin, shift in entries:
                 for lo, hi, owner in ranges:
                     if owner < (d, x):
-                        gone[k].append((name, lo + shift, hi + shift))
+                        gone[k].append((begin, lo + shift, hi + shift))
 
         def settle_ragged():
             for ranges, entries in zip(first_copies(ragged, width), waiting, strict=True):
@@ -409,7 +413,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             settle_ragged()
         for k, found in enumerate(gone):
             if found:
-                yield blocks_[k], B.pack(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.uint16), np.array([x[2] for x in found], np.uint16))
+                yield blocks_[k], B.pack(np.array([x[0] for x in found], np.uint32), np.array([x[1] for x in found], np.uint16), np.array([x[2] for x in found], np.uint16))
 
     found = B.answer(B.meet_some(blocks, shared, stretches, always=True), copies)
 
@@ -418,15 +422,15 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         a = np.frombuffer(text, np.uint8)
         first, last, _, _ = _stretches(a, lens, width, span)
         names = _named(a, first, last, width)
-        uniq, once, which = np.unique(names, return_index=True, return_inverse=True)
+        _, once = np.unique(names, return_index=True)
         start = np.zeros(len(a) + 1, np.int32)  # windows that go, as a step function of their begins
         again = np.ones(len(first), bool)
         again[once] = False
         np.add.at(start, first[again], 1)
         np.subtract.at(start, last[again] + 1, 1)
         for body in bodies:
-            prints, lo, hi = B.unpack(body, np.uint64, np.uint16, np.uint16)
-            at = first[once[np.searchsorted(uniq, prints)]]
+            at, lo, hi = B.unpack(body, np.uint32, np.uint16, np.uint16)
+            at = at.astype(np.int64)
             np.add.at(start, at + lo, 1)
             np.subtract.at(start, at + hi, 1)
         gone = K.covered(np.flatnonzero(np.cumsum(start[:-1]) > 0), width, len(a)) if len(a) else np.zeros(0, bool)

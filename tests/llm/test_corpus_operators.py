@@ -585,3 +585,12 @@ def test_repeated_rows_and_ties(spark):
     assert near_dedup.near_duplicates(docs).count() == 4
     for f in (substring_dedup.dedup_substrings, suffix_dedup.dedup_bytes, bpe.digests, quality_rules.ledger, lambda d: quality_model.features(d, np.array([2])), line_dedup.dedup_lines):
         assert f(docs).count() == 4
+
+
+def test_suffix_texts_are_written_once(docs):
+    """No table of the texts stands beside the shuffle that all rounds read."""
+    from loomwright.llm.scratch import mark
+
+    before = mark()
+    assert suffix_dedup.dedup_bytes(docs, block_bytes=9000).count() > 0
+    assert mark() == before
