@@ -22,6 +22,9 @@ SHAPES = (
 )
 #: In previews all but the bold ones, with titles in any case.
 PREVIEW_SHAPES = tuple((n, p, False, groups) for n, p, _, groups in SHAPES if n != "bold")
+#: For sides that grow with the links or the sections. Their sizes are guessed from those of compressed files, before each row becomes
+#: a dozen keys, and a side guessed too small would be broadcast through the driver.
+NOT_BROADCAST = "merge"
 FOUND = "array<struct<rule:string,start:int,stop:int,label:string,book:string,pages:string,shown:string>>"
 
 
@@ -84,15 +87,15 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
 def resolve(links: DataFrame, page_lookup: DataFrame, title_index: DataFrame, by_page: DataFrame, by_slug: DataFrame) -> DataFrame:
     """Adds dst_slug and fragment. A label that is a title goes before the page; sections by key order, and by (page, article) before (article).
 
-    links: (link_id, label, page); by_page: (page, norm, slug, id); by_slug: (slug, norm, id). No side is hinted: small lookup
-    tables are broadcast when their size is known to be small, and joined by sort-merge otherwise.
+    links: (link_id, label, page); by_page: (page, norm, slug, id); by_slug: (slug, norm, id). Lookups of pages and titles may be
+    broadcast, keys of labels and sections never are.
     """
     df = links.withColumn("title_key", F.lower("label"))
     df = df.join(title_index.select("title_key", F.col("slug").alias("by_title")), "title_key", "left")
     df = df.join(page_lookup.select("page", F.col("slug").alias("by_page_slug")), "page", "left")
     df = df.withColumn("dst_slug", F.coalesce("by_title", "by_page_slug"))
     best = fragments(df.where("dst_slug is not null and by_title is null"), by_page, by_slug)
-    return df.join(best, "link_id", "left").drop("title_key", "by_title", "by_page_slug")
+    return df.join(best.hint(NOT_BROADCAST), "link_id", "left").drop("title_key", "by_title", "by_page_slug")
 
 
 def fragments(links: DataFrame, by_page: DataFrame, by_slug: DataFrame) -> DataFrame:
@@ -100,8 +103,10 @@ def fragments(links: DataFrame, by_page: DataFrame, by_slug: DataFrame) -> DataF
 
     Keys in their order, each as it is and without spaces; a section on the very page goes before one of the article.
     """
-    keys = links.where("label is not null").select("link_id", "page", "dst_slug", F.posexplode(T.match_keys("label")).alias("k", "norm"))
+    # Dealt anew: a small file is read by few tasks, and the keys of a label cost much more than reading it.
+    keys = links.where("label is not null").repartition("link_id").select("link_id", "page", "dst_slug", F.posexplode(T.match_keys("label")).alias("k", "norm"))
     keys = keys.select("link_id", "page", "dst_slug", "k", F.explode(F.array(F.struct(F.lit(0).alias("c"), "norm"), F.struct(F.lit(2).alias("c"), F.replace("norm", F.lit(" "), F.lit("")).alias("norm")))).alias("p")).select("link_id", "page", "dst_slug", "k", "p.c", "p.norm")
+    keys = keys.hint(NOT_BROADCAST)
     one = keys.join(by_page.select("page", "norm", F.col("slug").alias("dst_slug"), "id"), ["page", "norm", "dst_slug"]).select("link_id", (F.col("k") * 4 + F.col("c")).alias("o"), "id")
     two = keys.join(by_slug.select(F.col("slug").alias("dst_slug"), "norm", "id"), ["dst_slug", "norm"]).select("link_id", (F.col("k") * 4 + F.col("c") + 1).alias("o"), "id")
     return one.unionByName(two).groupBy("link_id").agg(F.min_by("id", "o").alias("fragment"))
@@ -109,11 +114,13 @@ def fragments(links: DataFrame, by_page: DataFrame, by_slug: DataFrame) -> DataF
 
 def resolve_unique(labels: DataFrame, unique: DataFrame) -> DataFrame:
     """(label_id, slug, id) by a section name that one article alone has: whole keys first, then shorter and shorter beginnings of two words at least."""
-    keys = labels.select("label_id", F.posexplode(T.match_keys("label")).alias("k", "norm"))
+    keys = labels.repartition("label_id").select("label_id", F.posexplode(T.match_keys("label")).alias("k", "norm"))
     w = F.split("norm", " ")
     heads = F.when(F.size(w) > 2, F.transform(F.sequence(F.size(w) - 1, F.lit(2), F.lit(-1)), lambda n: F.array_join(F.slice(w, F.lit(1), n), " "))).otherwise(F.array().cast("array<string>"))
-    tries = keys.select("label_id", F.col("k").alias("o"), "norm").unionByName(keys.select("label_id", "k", F.posexplode(heads).alias("j", "norm")).select("label_id", (1000 + F.col("k") * 100 + F.col("j")).alias("o"), "norm"))
-    return tries.join(unique, "norm").groupBy("label_id").agg(F.min_by(F.struct("slug", "id"), "o").alias("s")).select("label_id", "s.slug", "s.id")
+    # One row for a key and each of its beginnings, so that keys are made once.
+    each = F.concat(F.array(F.struct(F.col("k").alias("o"), "norm")), F.transform(heads, lambda x, j: F.struct((1000 + F.col("k") * 100 + j).alias("o"), x.alias("norm"))))
+    tries = keys.select("label_id", F.inline(each))
+    return tries.hint(NOT_BROADCAST).join(unique, "norm").groupBy("label_id").agg(F.min_by(F.struct("slug", "id"), "o").alias("s")).select("label_id", "s.slug", "s.id")
 
 
 def _loud(c, share: int):

@@ -59,3 +59,16 @@ def test_references_against_a_plain_version(spark):
     assert {x.rule for r in rows for x in r.a} == {"book", "bold", "title", "paren", "bare"}
     assert "Python" not in spark.createDataFrame([("page 1",)], "t string").select(links.find_references("t"))._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
     assert spark.createDataFrame([(None,)], "t string").select(F.size(links.find_references("t")).alias("n")).first().n == 0
+
+
+def test_keys_of_labels_are_not_broadcast(spark):
+    """A label becomes many keys, so the size of the file that it comes from says little about them."""
+    labels = spark.range(2000).select(F.col("id").alias("label_id"), F.concat(F.lit("The Old Mill of House "), F.col("id").cast("string"), F.lit(" hall")).alias("label"))
+    unique = spark.range(2000).select(F.concat(F.lit("old mill of house "), F.col("id").cast("string")).alias("norm"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("slug"), F.lit("x").alias("id"))
+    got = links.resolve_unique(labels, unique)
+    assert {(r.label_id, r.slug, r.id) for r in got.collect()} == {(i, f"a{i}", "x") for i in range(2000)}
+    asked = labels.select(F.col("label_id").alias("link_id"), F.lit(1).alias("page"), F.lit("s").alias("dst_slug"), "label")
+    by_slug = unique.select(F.lit("s").alias("slug"), "norm", "id")
+    both = links.fragments(asked, by_slug.withColumn("page", F.lit(1)), by_slug)
+    for df in (got, both):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
