@@ -6,6 +6,7 @@ A line may begin with a marker (a control character and a tag, see functions.ric
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from loomwright.functions import rich as R
@@ -30,22 +31,42 @@ _DROP = str.maketrans("", "", _SWITCHES)
 _NORMAL = str.maketrans(T.SMALLER_QUOTES | T.DINGBATS | dict.fromkeys("­﻿​‌", ""))
 
 
+def _anchored(p: str) -> bool:
+    """Whether a pattern begins with ^ and has no alternative outside brackets."""
+    bare_ = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", p)
+    depth = 0
+    for c in bare_:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            return False
+    return p.startswith("^")
+
+
 @lru_cache(500)
-def _pattern(p: str, ignore_case: bool) -> re.Pattern:
-    return re.compile(p, re.I if ignore_case else 0)
+def finder(p: str, ignore_case: bool) -> Callable[[str], re.Match | None]:
+    """A pattern's search; of one that only the beginning can match, that alone is looked at, not each place of a long line."""
+    pattern = re.compile(p.removeprefix("(?i)") if ignore_case else p, re.I if ignore_case else 0)
+    return pattern.match if _anchored(p.removeprefix("(?i)")) else pattern.search
 
 
 def matches(p: str, s: str) -> re.Match | None:
     """A search that ignores case; patterns may carry their own flag."""
-    return _pattern(p.removeprefix("(?i)"), True).search(s)
+    return finder(p, True)(s)
 
 
 def exactly(p: str, s: str) -> re.Match | None:
-    return _pattern(p, False).search(s)
+    return finder(p, False)(s)
 
 
 def plain(s: str) -> str:
-    return s.translate(_DROP)
+    # Few lines hold a switch, and looking for one costs a small part of a translation.
+    return s.translate(_DROP) if "\x04" in s or "\x05" in s or "\x06" in s or "\x07" in s else s
+
+
+def sentence(s: str) -> bool:
+    """A long line without switches that begins with a letter other than d and ends in a full stop: nothing that is told by a mark, a
+    number, a die, an item's tags, a price or shortness. Most lines are such, and rules need not look for these there."""
+    return len(s) > 90 and s[-1] == "." and s[0] not in "dD" and s[0].isalpha() and plain(s) is s
 
 
 def content(s: str) -> str:
@@ -97,15 +118,18 @@ def doubled(s: str) -> bool:
 
 def running_header(line: str, title: str, near_top: bool = False) -> bool:
     t = line.strip()
-    w = t.lower().split()
-    if not t or doubled(t) or t.lower() in ("contents", "index"):
-        return True
-    if len(w) > 1 and len(w) % 2 == 0 and w[: len(w) // 2] == w[len(w) // 2 :]:
+    if not t or len(t) <= 8 and t.lower() in ("contents", "index"):
         return True
+    w = t.split()
+    if len(w) % 2 == 0 and w[0].lower() in (w[1].lower(), w[len(w) // 2].lower()):
+        w = t.lower().split()
+        if w[::2] == w[1::2] or w[: len(w) // 2] == w[len(w) // 2 :]:
+            return True
     squeeze = lambda x: re.sub("[^a-z0-9]+", "", x.lower())
-    whole, mine, once = squeeze(title), squeeze(t), squeeze(undouble(t))
+    whole = squeeze(title)
     if not whole:
         return False
+    mine, once = squeeze(t), squeeze(undouble(t))
     if mine in (whole, whole * 2) or once in (whole, whole * 2):
         return True
     return near_top and len(once) >= 6 and (whole.startswith(once) or whole.endswith(once) or once.startswith(whole) and len(once) <= len(whole) + 6)
@@ -122,10 +146,16 @@ def roll_header(s: str) -> bool:
     if m := matches(FORWARD_ROLL, line):
         label = m[2]
         return len(label) <= 48 and not re.search("[()]", label) and not matches(r"\bvalue\b", label) and label.count(",") < 2 and not label.endswith((".", ";", ":"))
-    return bool(matches(REVERSE_ROLL, line)) and not exactly(T.ENTRY, line)
+    return bool(reverse_roll(line)) and not exactly(T.ENTRY, line)
+
+
+def reverse_roll(s: str) -> re.Match | None:
+    return matches(REVERSE_ROLL, s) if s.endswith(("4", "6", "8", "0", "2", "\n")) else None
 
 
 def value_header(s: str) -> bool:
+    if s.strip()[-5:].lower() != "value":  # so with most lines
+        return False
     t = re.sub(r"\s+", " ", s.strip().lower().replace("&", " "))
     return t.endswith(" value") and (t[:-6].strip() in T.VALUE_HEADS or bool(matches(T.VALUE_HEADER, s.strip())))
 
@@ -155,7 +185,7 @@ def entry(s: str) -> tuple[str, str] | None:
 
 
 def hit_points(s: str) -> bool:
-    return bool(matches(T.HIT_POINTS, s))
+    return ("HP" in s or "hp" in s or "Hp" in s or "hP" in s) and bool(matches(T.HIT_POINTS, s))
 
 
 def caps_label(s: str) -> bool:
@@ -163,8 +193,10 @@ def caps_label(s: str) -> bool:
 
 
 def tag_line(s: str) -> bool:
+    if len(s) > 160:
+        return False
     parts = [p.strip().lower() for p in re.split("[,;]", s) if p.strip()]
-    if len(s) > 160 or not parts or hit_points(s) or s.lower().startswith("damage"):
+    if not parts or hit_points(s) or s.lower().startswith("damage"):
         return False
     return parts[0].split()[0] in T.ORG_TAGS or sum(any(w in T.TAG_WORDS for w in p.split()) for p in parts) >= 2
 
@@ -228,19 +260,25 @@ def _item_text(s: str) -> str:
 
 def pure_tags(s: str) -> bool:
     line = _item_text(s)
+    if not line or len(line) > 90:
+        return False
     parts = [p.strip().lower().rstrip("?") for p in re.split("[,;]", line.replace("◇", "")) if p.strip()]
     known = lambda p: p in T.ITEM_TAGS or exactly(r"^values?\s*\d+$", p) or exactly(T.ITEM_MEASURE, p) or re.sub(r"[\d+\s]", "", p) in T.ITEM_TAGS
-    return bool(parts) and len(line) <= 90 and all(known(p) for p in parts)
+    return bool(parts) and all(known(p) for p in parts)
 
 
 def item_tags(s: str) -> bool:
     """An item's tag line: mostly italic and in short parts, or known tags alone."""
     if not s or s.startswith("\x02"):
         return False
+    line = _item_text(plain(s))
+    if not line or len(line) > 160:
+        return False
     italic = sum(len(x) for x in re.findall(f"{R.ITALIC_ON}([^{R.ITALIC_OFF}]*){R.ITALIC_OFF}", s))
+    if not italic:
+        return pure_tags(line) and bool(re.sub("[\x02-\x07]", "", s).strip())
     shown = re.sub("[\x02-\x07]", "", s).strip()
-    line = _item_text(plain(s))
-    if not shown or not line or len(line) > 160:
+    if not shown:
         return False
     size = max(1, len(re.sub(r"[◇\s,]+", " ", shown).strip()))
     if italic < max(3, size // 2):
