@@ -76,6 +76,8 @@ def running_header(line: Column | str, title: Column | str, near_top: Column | b
     """A page's running head: empty, doubled, or the article's title in some form."""
     t = T.strip(_col(line))
     w = F.transform(T.words(t), lambda x: F.lower(x))
+    # Of few lines is the first word the second or the one halfway; the others are not looked at word by word.
+    may = T.bound(T.words(t), lambda x: (F.size(x) % 2 == 0) & F.lower(F.get(x, F.lit(0))).isin(F.lower(F.get(x, F.lit(1))), F.lower(F.get(x, (F.size(x) / 2).cast("int")))))
     half = (F.size(w) / 2).cast("int")
     doubled = (F.size(w) >= 2) & (F.size(w) % 2 == 0) & (F.slice(w, F.lit(1), F.greatest(half, F.lit(1))) == F.slice(w, half + 1, F.greatest(half, F.lit(1))))
     squeeze = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
@@ -83,7 +85,7 @@ def running_header(line: Column | str, title: Column | str, near_top: Column | b
     same = (at != "") & ((lt == at) | (lc == at) | (lt == F.concat(at, at)) | (lc == F.concat(at, at)))
     top = (F.lit(near_top) if isinstance(near_top, bool) else near_top) & (at != "") & (F.length(lc) >= 6)
     part = at.startswith(lc) | (lc.startswith(at) & (F.length(lc) <= F.length(at) + 6)) | at.endswith(lc)
-    return (t == "") | T.pairwise_doubled(t) | doubled | same | (top & part) | F.lower(t).isin("contents", "index")
+    return (t == "") | (F.coalesce(may, F.lit(False)) & (T.pairwise_doubled(t) | doubled)) | same | (top & part) | F.lower(t).isin("contents", "index")
 
 
 def requirement_header(s: Column | str) -> Column:
