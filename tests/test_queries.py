@@ -53,3 +53,10 @@ def test_engine_stands_without_corpus_operators(tmp_path, pipeline_too):
         (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+
+
+def test_spans_are_not_put_together_in_a_few_partitions(spark):
+    from pyspark.sql import functions as F
+
+    parts = catalog.QUERIES["spans_of_pages"](spark, SF).select(F.spark_partition_id().alias("n")).distinct().count()
+    assert parts == int(spark.conf.get("spark.sql.shuffle.partitions"))
