@@ -47,3 +47,45 @@ def test_segments_bound_the_lists(spark, docs, tmp_path, monkeypatch):
 def test_index_of_no_documents(spark, docs, tmp_path):
     none = trigrams.write_index(docs.where("false").coalesce(1), f"file://{tmp_path}/none")
     assert trigrams.search(none, "abc").count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def none_small(spark):
+    """Spark sends no table to all tasks because it is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("query", ["abc", "a", "ABC ab"])
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_texts_are_not_shuffled(docs, index, none_small, monkeypatch, query, most):
+    monkeypatch.setattr(trigrams, "MOST_SENT", most, raising=False)
+    found = trigrams.search(index, query, None)
+    assert "SortMergeJoin" not in _plan(found) and "ShuffledHashJoin" not in _plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, search.search(docs, query, None).collect()), key=str)
+
+
+def test_query_shuffles_no_texts_and_no_titles(spark, none_small):
+    from loomwright.plans import catalog
+
+    plan = _plan(catalog.QUERIES["trigram_search"](spark, "/root/testdata/sf0.001"))
+    assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("longest,most", [(1 << 16, 1 << 22), (3, 1 << 22), (1 << 16, 9)])
+def test_lists_hold_each_trigram_of_each_text_once(spark, monkeypatch, longest, most):
+    monkeypatch.setattr(trigrams, "SEGMENT", longest)
+    monkeypatch.setattr(trigrams, "MOST_PLACES", most)
+    texts = ["\0", "abcabc", "x😀y😀", "a\nb\r c", "été", "z" * 50, "ab", "\0\0\0", "abc"]
+    numbers = [5, 6, 7, 1 << 33, (1 << 33) + 1, (1 << 33) + (1 << 17), 0, 1, 2]  # as of tasks that read parts of several shards
+    lists = trigrams._lists(spark.createDataFrame([*zip(numbers, texts)], "doc long, text string").coalesce(1))
+    assert "Exchange" not in _plan(lists)
+    rows = lists.collect()
+    got = sorted((r.segment + p, r.gram) for r in rows for p in r.places)
+    assert got == sorted((d, g) for d, t in zip(numbers, texts) for g in {(t + "\0\0")[i : i + 3] for i in range(len(t))})
+    assert len({(r.gram, r.segment) for r in rows}) == len(rows) and all(r.n == len(r.places) and [*r.places] == sorted(r.places) and max(r.places) < longest for r in rows)
