@@ -3,13 +3,15 @@
 A string of 100 bytes can only repeat if its probe does: each window of `width` bytes picks, by the least fingerprint, one of
 its own substrings, and equal windows pick the same one at the same offset. A Spark round finds the probes that
 occur twice; the rest of the text is settled. The stretches of text around the shared probes then go, each distinct stretch
-once a block, to the bucket of their probe. There the stretches of a probe that differ are aligned at it, columns in which the
-same stretches agree become one symbol, and the suffixes of these symbol strings are sorted by grouping (group_suffixes). The
-longest common prefixes cut the sorted order into intervals; each interval is one repeated string and its least (id, position)
-is the copy that stays. Where all stretches of a probe are equal, their array is one interval and is not sorted.
+once a block, to the bucket of their probe: their 64-bit names and places, and of stretches that differ from others of their
+probe also the bytes, sent by one block for all that hold the stretch. There the stretches of a probe that differ are aligned at
+it, columns in which the same stretches agree become one symbol, and the suffixes of these symbol strings are sorted by grouping
+(group_suffixes). The longest common prefixes cut the sorted order into intervals; each interval is one repeated string and its
+least (id, position) is the copy that stays. Where all stretches of a probe are equal, their array is one interval and is not
+sorted. Equal stretches are told by their names, within a block and between blocks.
 
-A probe with very many different surroundings (HOT of the 256 values of a hash of them) would be one large group. Its stretches
-are split: each of their windows goes by itself to the bucket of its own bytes, so no group holds more than equal windows.
+A probe with very many different surroundings (HOT) would be one large group. Its stretches are split: the name of each of their
+windows goes by itself to the bucket of that name, so no group holds more than equal windows and what a window costs is its name.
 
 Null and empty texts have no bytes and lose none; a null id counts as the least and stays null. Repeated rows are repeats like
 any other: of two rows with one id and equal texts one stays whole. Texts of any length are read whole. An empty table gives no
@@ -32,6 +34,8 @@ WIDTH = 100
 HOT = 64
 #: Larger than other operators' blocks: the longer a message to a bucket, the better it compresses.
 BLOCK_BYTES = 4 << 20
+#: What becomes of a stretch: it is the only one of its probe; its name goes to the bucket; its bytes too; its windows do.
+ALONE, ALIKE, SENT, SPLIT = 0, 1, 2, 3
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -308,6 +312,55 @@ def shared_probes(requests: DataFrame, hot: int) -> DataFrame:
     return B.answer(requests, reply)
 
 
+def told_stretches(requests: DataFrame, hot: int) -> DataFrame:
+    """Replies with a code for each stretch that a block has told of, in its order: see ALONE, ALIKE, SENT and SPLIT."""
+
+    def reply(bucket, blocks, bodies):
+        # In the order of the blocks: a task that runs again must ask the same block for a stretch's bytes.
+        by_block = sorted(range(len(blocks)), key=blocks.__getitem__)
+        parts = [B.unpack(bodies[k], np.uint32, bytes) for k in by_block]
+        keys, names = np.concatenate([x for x, _ in parts]), np.concatenate([B.lengthen(x) for _, x in parts])
+        order = np.lexsort((names, keys))
+        new_key, new_name = np.ones(len(order), bool), np.ones(len(order), bool)
+        new_key[1:] = np.diff(keys[order]) != 0
+        new_name[1:] = new_key[1:] | (np.diff(names[order]) != 0)
+        at = np.flatnonzero(new_key)
+        entries, different = np.diff(np.append(at, len(order))), np.add.reduceat(new_name.astype(np.int64), at)
+        of_key = np.where(entries == 1, ALONE, np.where(different == 1, ALIKE, np.where(different < hot, SENT, SPLIT))).astype(np.uint8)
+        sorted_code = np.repeat(of_key, entries)
+        sorted_code[(sorted_code == SENT) & ~new_name] = ALIKE  # one block sends the bytes
+        code = np.empty(len(order), np.uint8)
+        code[order] = sorted_code
+        begin = 0
+        for k, (mine, _) in zip(by_block, parts, strict=True):
+            x = code[begin : begin + len(mine)]
+            begin += len(mine)
+            if x.any():
+                yield blocks[k], B.squeeze(B.pack(np.array([bucket], np.int64), x))
+
+    return B.answer(requests, reply)
+
+
+def _head(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For places in a block, ascending: ids and starts of the documents that hold them, and the places, as differences that compress."""
+    doc = np.unique(np.searchsorted(starts, at, side="right") - 1)
+    return np.diff(ids[doc], prepend=np.int64(0)), starts[doc].astype(np.uint32), np.diff(at, prepend=0).astype(np.uint32)
+
+
+def _owners(heads: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], offs: list[np.ndarray]) -> np.ndarray:
+    """A number for each place of each (block, ids, starts, places) of _head, in the order of (id, row, place in the row)."""
+    ids, starts = np.concatenate([np.cumsum(h[1]) for h in heads]), np.concatenate([h[2] for h in heads])
+    order = np.lexsort((starts, np.repeat([h[0] for h in heads], [len(h[1]) for h in heads]), ids))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    out, base = [], 0
+    for (_, _, begins, at), off in zip(heads, offs, strict=True):
+        doc = np.searchsorted(begins, at, side="right") - 1
+        out.append(rank[base + doc] << 32 | (at + off - begins[doc]))
+        base += len(begins)
+    return np.concatenate(out)
+
+
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove each byte that a string of width bytes covers which also starts earlier (a smaller id, or earlier in the document).
 
@@ -319,103 +372,139 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = B.to_blocks(rows, block_bytes).drop("size").repartition("block")
     n_buckets = B.bucket_count(docs, buckets, B.bytes_of(rows))
 
+    def different(a, lens):
+        """The stretches that differ within a block, the first of each, in the order of their places; the last column is their names."""
+        first, last, probe, prints = _stretches(a, lens, width, span)
+        names = _named(a, first, last, width)
+        _, once = np.unique(names, return_index=True)
+        once.sort()
+        return [x[once] for x in (first, last, probe, prints, names)]
+
     def probes(block, payload):
         _, lens, text = B.open_block(payload)
-        a = np.frombuffer(text, np.uint8)
-        first, last, _, prints = _stretches(a, lens, width, span)
-        prints, once = np.unique(prints, return_index=True)
-        order = np.argsort(once)
-        around = np.empty(len(once), np.uint8)
-        around[order] = (_named(a, first[once[order]], last[once[order]], width) & np.uint64(255)).astype(np.uint8)
+        _, _, _, prints, names = different(np.frombuffer(text, np.uint8), lens)
         for bucket, i in B.by_bucket(prints, n_buckets):
-            yield bucket, B.pack(B.shorten(prints[i]), around[i])
+            yield bucket, B.pack(prints[i].astype(np.uint32), B.shorten(names[i]))
 
-    # A probe also counts as shared if one block holds it in two stretches; the block sees that by itself.
-    shared = shared_probes(B.ask(blocks, probes), hot)
+    told = told_stretches(B.ask(blocks, probes), hot)
 
     def stretches(block, payload, bodies):
         ids, lens, text = B.open_block(payload)
         a = np.frombuffer(text, np.uint8)
-        first, last, probe, prints = _stretches(a, lens, width, span)
-        if not len(first):
-            return pa.Table.from_batches([B.messages([])])
-        told = [B.unpack(x, bytes, bytes) for x in bodies]
-        few, many = (np.concatenate([np.empty(0, np.uint64), *(B.lengthen(x[i]) for x in told)]) for i in (0, 1))
-        uniq, which, times = np.unique(prints, return_inverse=True, return_counts=True)
-        short = uniq & B.FIVE
-        split = np.isin(short, many)
-        hit = (np.isin(short, few) | split | (times > 1))[which]
-        split = split[which][hit]
-        first, last, probe, prints = first[hit], last[hit], probe[hit], prints[hit]
-        _, once = np.unique(_named(a, first, last, width), return_index=True)
-        once = np.sort(once)
-        first, last, probe, prints, split = first[once], last[once], probe[once], prints[once], split[once]
-        at = first.astype(np.uint32)  # where in the block a stretch begins; replies name it so
-        shift = np.zeros(len(first), np.int64)
-        if split.any():  # each window of these stretches by itself
-            n = (last - first + 1)[split]
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.repeat(first[split], n) + inner
-            whole = ~split
-            prints = np.concatenate((prints[whole], K.mix(_named(a, begin, begin, width))))
-            at = np.concatenate((at[whole], np.repeat(at[split], n)))
-            first, last, probe, shift = (np.concatenate((x[whole], y)) for x, y in ((first, begin), (last, begin), (probe, begin), (shift, inner)))
-        cuts = np.cumsum(lens)
-        doc = np.searchsorted(cuts, first, side="right")
-        place = probe - (cuts - lens)[doc]
-        out = []
+        first, last, probe, prints, names = different(a, lens)
+        starts = np.cumsum(lens) - lens
+        full = lens > 0  # empty documents begin where the next one does
+        ids, starts = ids[full], starts[full]
+        codes = {int(b[0]): x for b, x in (B.unpack(B.expand(body), np.int64, np.uint8) for body in bodies)}
+        code = np.zeros(len(first), np.uint8)
         for bucket, i in B.by_bucket(prints, n_buckets):
-            body = b"".join(text[x:y] for x, y in zip(first[i].tolist(), (last[i] + width).tolist(), strict=True))
-            head = B.pack(B.shorten(prints[i]), (last - first)[i].astype(np.uint16), (probe - first)[i].astype(np.uint16), ids[doc[i]], place[i], at[i], shift[i].astype(np.uint16), body)
-            out.append((bucket, block, B.squeeze(head, 3)))
+            if bucket in codes:
+                code[i] = codes[bucket]
+        out = []
+        whole = np.flatnonzero((code == ALIKE) | (code == SENT))
+        for bucket, i in B.by_bucket(prints[whole], n_buckets):
+            i = whole[i]
+            sent = i[code[i] == SENT]
+            body = b"".join(text[x:y] for x, y in zip(first[sent].tolist(), (last[sent] + width).tolist(), strict=True))
+            head = _head(ids, starts, first[i])
+            out.append((bucket, block, B.squeeze(B.pack(*head, prints[i].astype(np.uint32), names[i], (last - first)[i].astype(np.uint16), (probe - first)[i].astype(np.uint16), code[i], body), 3)))
+        split = code == SPLIT
+        if split.any():  # each window of these stretches by itself, by name
+            n = (last - first + 1)[split]
+            begin = np.repeat(first[split], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            salt = np.repeat(prints[split].astype(np.uint16), n)  # equal windows have one probe
+            names = _named(a, begin, begin, width)
+            for bucket, i in B.by_bucket(names, n_buckets):
+                out.append((bucket, block, B.squeeze(B.pack(*_head(ids, starts, begin[i]), salt[i], names[i]))))
         return pa.Table.from_batches([B.messages(out)])
 
     def copies(bucket, blocks_, bodies):
-        held: dict[int, dict[bytes, list]] = {}
+        wholes, windows = [], []
         for k, body in enumerate(bodies):
-            prints, more, offs, ids, place, begins, shift, text = B.unpack(B.expand(body), bytes, np.uint16, np.uint16, np.int64, np.int64, np.uint32, np.uint16, bytes)
-            at = 0
-            # Probes whose short keys are equal by chance share a group; no window of theirs is equal, so nothing comes of it.
-            for p, m, o, d, x, n, s in zip(B.lengthen(prints).tolist(), more.tolist(), offs.tolist(), ids.tolist(), place.tolist(), begins.tolist(), shift.tolist(), strict=True):
-                end = at + m + width
-                held.setdefault(p, {}).setdefault(text[at:end], []).append((d, x, k, o, n, s))
-                at = end
-        gone: list[list[tuple[int, int, int]]] = [[] for _ in bodies]
-        ragged, waiting = [], []
-
-        def later(entries, ranges):
-            for d, x, k, _, begin, shift in entries:
-                for lo, hi, owner in ranges:
-                    if owner < (d, x):
-                        gone[k].append((begin, lo + shift, hi + shift))
-
-        def settle_ragged():
-            for ranges, entries in zip(first_copies(ragged, width), waiting, strict=True):
-                for r, e in zip(ranges, entries, strict=True):
-                    later(e, r)
-            ragged.clear()
-            waiting.clear()
-
-        load = 0
-        for of_probe in held.values():
-            names = list(of_probe)
-            owners = [min(e)[:2] for e in of_probe.values()]
-            if len(names) == 1:
-                later(of_probe[names[0]], [(0, len(names[0]) - width + 1, owners[0])])
+            body = B.expand(body)
+            if np.frombuffer(body, np.int64, 1)[0] == 5:
+                windows.append((k, *B.unpack(body, np.int64, np.uint32, np.uint32, np.uint16, np.uint64)))
             else:
-                ragged.append((names, [e[0][3] for e in of_probe.values()], owners))
-                waiting.append(list(of_probe.values()))
-                load += len(names)
-                if load > 5000:
-                    settle_ragged()
-                    load = 0
-        if ragged:
-            settle_ragged()
-        for k, found in enumerate(gone):
-            if found:
-                yield blocks_[k], B.pack(np.array([x[0] for x in found], np.uint32), np.array([x[1] for x in found], np.uint16), np.array([x[2] for x in found], np.uint16))
-
-    found = B.answer(B.meet_some(blocks, shared, stretches, always=True), copies)
+                wholes.append((k, *B.unpack(body, np.int64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint16, np.uint16, np.uint8, bytes)))
+        found: list[list[np.ndarray]] = [[], [], [], []]  # message, place in its block, windows [from, to) after it
+
+        def gone(*columns):
+            for to, x in zip(found, columns, strict=True):
+                to.append(np.asarray(x, np.int64))
+
+        def gather(parts, offs):
+            """Of all messages: which one, places, owners, keys and names; and their order by key, name and owner, with where keys and names begin."""
+            heads = [(blocks_[m[0]], m[1], m[2].astype(np.int64), np.cumsum(m[3].astype(np.int64))) for m in parts]
+            which = np.repeat([m[0] for m in parts], [len(m[3]) for m in parts])
+            at, owner = np.concatenate([h[3] for h in heads]), _owners(heads, offs)
+            keys, names = (np.concatenate([m[c] for m in parts]) for c in (4, 5))
+            order = np.lexsort((owner, names, keys))
+            new_key, new_name = np.ones(len(order), bool), np.ones(len(order), bool)
+            new_key[1:] = np.diff(keys[order]) != 0
+            new_name[1:] = new_key[1:] | (np.diff(names[order]) != 0)
+            return which[order], at[order], owner[order], new_key, new_name, order
+
+        if windows:
+            which, at, _, _, new_name, _ = gather(windows, [0] * len(windows))
+            later = ~new_name
+            gone(which[later], at[later], np.zeros(later.sum()), np.ones(later.sum()))
+        if wholes:
+            offs = [m[7].astype(np.int64) for m in wholes]
+            which, at, owner, new_key, new_name, order = gather(wholes, offs)
+            more, off, code = np.concatenate([m[6] for m in wholes])[order].astype(np.int64), np.concatenate(offs)[order], np.concatenate([m[8] for m in wholes])[order]
+            names_at, keys_at = np.flatnonzero(new_name), np.flatnonzero(new_key)
+            one = np.repeat(np.add.reduceat(new_name.astype(np.int64), keys_at) == 1, np.diff(np.append(keys_at, len(order))))
+            later = one & ~new_name
+            gone(which[later], at[later], np.zeros(later.sum()), more[later] + 1)
+            # Where the bytes of a stretch that was sent begin, in all messages' bytes one after the other.
+            text = b"".join(m[9] for m in wholes)
+            lens = np.concatenate([np.where(m[8] == SENT, m[6].astype(np.int64) + width, 0) for m in wholes])
+            text_at = (np.cumsum(lens) - lens)[order]
+            ends = np.append(names_at[1:], len(order))
+            # Probes whose short keys are equal by chance share a group; no window of theirs is equal, so nothing comes of it.
+            ragged, waiting = [], []
+
+            def settle_ragged():
+                late: list[list[int]] = [[], [], [], []]
+                for ranges, groups in zip(first_copies(ragged, width), waiting, strict=True):
+                    for r, (x, y) in zip(ranges, groups, strict=True):
+                        for o, w, p in zip(owner[x:y].tolist(), which[x:y].tolist(), at[x:y].tolist(), strict=True):
+                            for lo, hi, least in r:
+                                if least < o:
+                                    for to, v in zip(late, (w, p, lo, hi), strict=True):
+                                        to.append(v)
+                gone(*late)
+                ragged.clear()
+                waiting.clear()
+
+            load, held = 0, None
+            sent = code == SENT
+            for x, y in zip(names_at[~one[names_at]].tolist(), ends[~one[names_at]].tolist(), strict=True):
+                if new_key[x]:
+                    if load > 5000:
+                        settle_ragged()
+                        load = 0
+                    held = ([], [], [])
+                    ragged.append(held)
+                    waiting.append([])
+                i = x + int(sent[x:y].argmax())
+                if not sent[i]:
+                    raise ValueError("no block has sent the bytes of a stretch that differs from others of its probe: two names are equal in their low five bytes")
+                begin = int(text_at[i])
+                for to, v in zip(held, (text[begin : begin + int(more[i]) + width], int(off[i]), int(owner[x])), strict=True):
+                    to.append(v)
+                waiting[-1].append((x, y))
+                load += 1
+            if ragged:
+                settle_ragged()
+        which, at, lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+        order = np.lexsort((lo, at, which))
+        cuts = np.searchsorted(which[order], np.arange(len(bodies) + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            i = order[cuts[k] : cuts[k + 1]]
+            yield blocks_[k], B.squeeze(B.pack(np.diff(at[i], prepend=0).astype(np.uint32), lo[i].astype(np.uint16), hi[i].astype(np.uint16)))
+
+    found = B.answer(B.meet_some(blocks, told, stretches), copies)
 
     def cut(block, payload, bodies):
         ids, lens, text = B.open_block(payload)
@@ -429,8 +518,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         np.add.at(start, first[again], 1)
         np.subtract.at(start, last[again] + 1, 1)
         for body in bodies:
-            at, lo, hi = B.unpack(body, np.uint32, np.uint16, np.uint16)
-            at = at.astype(np.int64)
+            at, lo, hi = B.unpack(B.expand(body), np.uint32, np.uint16, np.uint16)
+            at = np.cumsum(at.astype(np.int64))
             np.add.at(start, at + lo, 1)
             np.subtract.at(start, at + hi, 1)
         gone = K.covered(np.flatnonzero(np.cumsum(start[:-1]) > 0), width, len(a)) if len(a) else np.zeros(0, bool)

@@ -594,3 +594,34 @@ def test_suffix_texts_are_written_once(docs):
     before = mark()
     assert suffix_dedup.dedup_bytes(docs, block_bytes=9000).count() > 0
     assert mark() == before
+
+
+def _shuffled(spark) -> int:
+    """Bytes that the session's shuffles have written."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_suffix_moves_little(spark, copies):
+    """Windows of a phrase that stands in different surroundings go by name, and bytes of stretches that are equal everywhere do not go."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    same = noise(3000 if copies else 80)
+    rows = [(i, same + noise(50) if copies else noise(200) + same + noise(200)) for i in range(60 if copies else 300)]
+    before = _shuffled(spark)
+    got = by_id(suffix_dedup.dedup_bytes(brute.documents(spark, rows, 6), block_bytes=24000 if copies else 500, buckets=32), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    moved = (_shuffled(spark) - before) / sum(len(x) for _, x in rows)
+    assert got == brute.suffix(rows)
+    assert moved < (1.3 if copies else 8), moved
+
+
+def test_suffix_rows_of_one_id_in_different_blocks(spark):
+    """Of rows with one id and equal texts one stays whole, wherever they stand."""
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(700))
+    docs = brute.documents(spark, [(7, text)] * 6, 6)
+    for hot in (64, 1):
+        got = sorted(r.n_removed for r in suffix_dedup.dedup_bytes(docs, block_bytes=500, hot=hot).collect())
+        assert got == [0, 700, 700, 700, 700, 700], got
