@@ -60,3 +60,14 @@ def test_spans_are_not_put_together_in_a_few_partitions(spark):
 
     parts = catalog.QUERIES["spans_of_pages"](spark, SF).select(F.spark_partition_id().alias("n")).distinct().count()
     assert parts == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_search_array_has_whole_texts(spark, tmp_path):
+    """Nothing is cut at the size of the search index, and what is searched for at a text's end is there."""
+    long = "<html><title>Long</title><p>" + "word and " * 20_000 + "the last words</p></html>"
+    rows = [(i, f"u{i}", html) for i, html in enumerate([long, "<title>Short</title><p>a few words</p>", "<title>Éé</title><p>" + "é\"\\ " * 50_000 + "end</p>"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows_match(spark, catalog.QUERIES["search_array"], catalog.ORACLE_SQL["search_array"], str(tmp_path))
+    got = {r.slug: r.text for r in catalog.QUERIES["search_array"](spark, str(tmp_path)).collect()}
+    assert got[0].endswith("the last words") and len(got[0]) == len("Long Long " + "word and " * 20_000 + "the last words")
+    assert got[2].endswith("end") and len(got[2]) > 150_000
